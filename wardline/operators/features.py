@@ -26,7 +26,7 @@ def clean_demographics(df: DataFrame) -> DataFrame:
 
 
 def code_table(df: DataFrame, columns: Sequence[str] = CODED_COLUMNS) -> DataFrame:
-    """J14 (+A4 payload): (column, value, code) with codes 0.. in sorted value order.
+    """J14 (+A4 payload): (feature, value, code) with codes 0.. in sorted value order.
 
     Values are the stripped, non-blank distinct values of each column; the window
     runs over distinct values only (a categorical domain), not over rows.
@@ -36,14 +36,14 @@ def code_table(df: DataFrame, columns: Sequence[str] = CODED_COLUMNS) -> DataFra
         if c not in df.columns:
             continue
         v = C.strip_ws(F.col(c).cast("string"))
-        parts.append(df.select(F.lit(c).alias("column"), F.when(~v.isin(*C.BLANKS), v).alias("value")))
+        parts.append(df.select(F.lit(c).alias("feature"), F.when(~v.isin(*C.BLANKS), v).alias("value")))
     if not parts:
         raise ValueError("none of the columns to encode is present")
     vals = parts[0]
     for p in parts[1:]:
         vals = vals.unionByName(p)
     vals = vals.filter(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
+    w = Window.partitionBy("feature").orderBy("value")
     return vals.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
 
 
@@ -54,7 +54,7 @@ def apply_codes(df: DataFrame, codes: DataFrame, columns: Sequence[str] = CODED_
     for c in columns:
         if c not in df.columns:
             continue
-        m = codes.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"),
+        m = codes.filter(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"),
                                                       F.col("code").alias(f"{c}_code"))
         key = C.strip_ws(F.col(c).cast("string"))
         df = df.join(m, key == F.col(f"_v_{c}"), "left").drop(f"_v_{c}")

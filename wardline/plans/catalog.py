@@ -21,3 +21,133 @@ def register(name: str):
 @register("category_outcomes")
 def q_category_outcomes(spark, sf_dir):
     return comparable(category_outcomes(Cohort(spark, sf_dir).features))
+
+
+# ---- harmonisation ------------------------------------------------------------
+from ..operators import explore as X  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import harmonise as H  # noqa: E402
+from ..operators.schema import feature_columns  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+DX_COLS = ["subject_id", "hadm_id", "seq_num", "icd_version", "icd_code", "dx_norm", "icd10_full", "icd10_3char"]
+
+
+@register("dx_harmonised")
+def q_dx_harmonised(spark, sf_dir):
+    return comparable(Cohort(spark, sf_dir, persist=False).mapped.select(*DX_COLS))
+
+
+@register("mapping_qa")
+def q_mapping_qa(spark, sf_dir):
+    return comparable(H.mapping_qa(Cohort(spark, sf_dir, persist=False).mapped))
+
+
+@register("unmapped_icd9_top20")
+def q_unmapped(spark, sf_dir):
+    return comparable(H.unmapped_codes(Cohort(spark, sf_dir, persist=False).mapped, 20))
+
+
+@register("ccsr_long")
+def q_ccsr_long(spark, sf_dir):
+    return comparable(Cohort(spark, sf_dir).ccsr_long)
+
+
+@register("ccsr_category_codes")
+def q_ccsr_codes(spark, sf_dir):
+    return comparable(H.ccsr_category_codes(Cohort(spark, sf_dir).inputs.ccsr_dimension()))
+
+
+@register("dx_categories")
+def q_dx_categories(spark, sf_dir):
+    d = FE.count_categories(Cohort(spark, sf_dir).with_ccsr)
+    return comparable(d.select("subject_id", "hadm_id", "seq_num", "icd10_full", "ccsr_list_sorted",
+                               "ccsr_description", "n_ccsr"))
+
+
+@register("multi_category_rows")
+def q_multi(spark, sf_dir):
+    d = H.multi_category_rows(Cohort(spark, sf_dir).with_ccsr)
+    return comparable(d.select("subject_id", "hadm_id", "seq_num", "ccsr_list_sorted"))
+
+
+# ---- features -----------------------------------------------------------------
+FEATURE_COLS = ["subject_id", "hadm_id", "seq_num", "gender", "race", "admission_type", "insurance",
+                "hospital_expire_flag", "race_code", "admission_type_code", "gender_code",
+                "admittime_dt", "dischtime_dt", "deathtime_dt", "los_hours", "los_days",
+                "adm_year", "adm_month", "adm_day", "adm_hour", "adm_weekday", "adm_weekend",
+                "age_at_admit", "n_ccsr"]
+
+
+@register("feature_table")
+def q_feature_table(spark, sf_dir):
+    return comparable(Cohort(spark, sf_dir).features.select(*FEATURE_COLS))
+
+
+@register("label_codes")
+def q_label_codes(spark, sf_dir):
+    return comparable(Cohort(spark, sf_dir).code_table)
+
+
+@register("minors")
+def q_minors(spark, sf_dir):
+    f = FE.minors(Cohort(spark, sf_dir).features)
+    return comparable(f.select("subject_id", "hadm_id", "seq_num", "age_at_admit"))
+
+
+@register("patient_mortality")
+def q_patient_mortality(spark, sf_dir):
+    return comparable(X.patient_mortality(Cohort(spark, sf_dir).features))
+
+
+@register("race_share")
+def q_race_share(spark, sf_dir):
+    return comparable(X.share_of_total(X.frequency(Cohort(spark, sf_dir).features, "race")))
+
+
+@register("top_categories")
+def q_top_categories(spark, sf_dir):
+    counts = X.token_frequency(Cohort(spark, sf_dir).features, "ccsr_list_sorted", "ccsr_category")
+    return comparable(X.top_k(counts, 10, "count", "ccsr_category"))
+
+
+@register("age_histogram")
+def q_age_hist(spark, sf_dir):
+    return comparable(X.histogram(Cohort(spark, sf_dir).features, "age_at_admit", 20))
+
+
+@register("los_histogram")
+def q_los_hist(spark, sf_dir):
+    return comparable(X.histogram(Cohort(spark, sf_dir).features, "los_days", 30))
+
+
+@register("los_modal_bin")
+def q_los_modal(spark, sf_dir):
+    return comparable(X.modal_bin(X.histogram(Cohort(spark, sf_dir).features, "los_days", 30)))
+
+
+@register("los_kde")
+def q_los_kde(spark, sf_dir):
+    return comparable(X.kde_grid(Cohort(spark, sf_dir).features, "los_days", 200))
+
+
+ROLLUP_COLS = ["hadm_id", "subject_id", "gender", "race", "admission_type", "hospital_expire_flag",
+               "los_days", "age_at_admit", "adm_year", "race_code", "seq_num", "icd_code", "n_ccsr",
+               "ccsr_union", "n_ccsr_unique", "n_dx_rows"]
+
+
+@register("admission_rollup")
+def q_rollup(spark, sf_dir):
+    return comparable(Cohort(spark, sf_dir).admissions.select(*ROLLUP_COLS))
+
+
+@register("model_matrix")
+def q_model_matrix(spark, sf_dir):
+    adm = Cohort(spark, sf_dir).admissions
+    cols = feature_columns(adm)
+    from ..functions.timecols import finite, to_number
+    out = adm.select("hadm_id", "subject_id",
+                     F.col("hospital_expire_flag").cast("int").alias("y_cls"),
+                     to_number(F.col("los_days"), None).alias("y_reg"),
+                     *[to_number(F.col(c), None).alias(c) for c in cols])
+    return comparable(out.withColumn("reg_ok", finite(F.col("y_reg"))))

@@ -133,3 +133,127 @@ ORACLE["category_outcomes"] = with_cohort(r"""
 SELECT ccsr_category, CAST(sum(n_rows) AS BIGINT) AS n_dx_rows, count(*) AS n_admissions,
  CAST(sum(died) AS BIGINT) AS n_deaths, round(avg(died), 9) AS mortality_rate, round(avg(los), 9) AS mean_los_days
 FROM per_adm GROUP BY 1""", HARMONISED, CATEGORIES, FEATURES)
+
+HC = (HARMONISED, CATEGORIES)
+HCF = (HARMONISED, CATEGORIES, FEATURES)
+
+ORACLE["dx_harmonised"] = with_cohort(
+    "SELECT subject_id, hadm_id, seq_num, icd_version, icd_code, dx_norm, icd10_full, icd10_3char FROM mapped3",
+    HARMONISED)
+
+ORACLE["mapping_qa"] = with_cohort(r"""
+SELECT count(*) AS total_rows, CAST(count_if(CAST(icd_version AS VARCHAR) = '9') AS BIGINT) AS icd9_rows,
+ round(avg(CASE WHEN CAST(icd_version AS VARCHAR) = '9' THEN CAST(icd10_full IS NOT NULL AS DOUBLE) END), 9) AS icd9_mapped_share,
+ round(avg(CAST(icd10_3char IS NOT NULL AS DOUBLE)), 9) AS char3_share,
+ CAST(count_if(icd10_full IS NULL) AS BIGINT) AS icd10_full_nulls, CAST(count_if(icd10_3char IS NULL) AS BIGINT) AS icd10_3char_nulls
+FROM mapped3""", HARMONISED)
+
+ORACLE["unmapped_icd9_top20"] = with_cohort(r"""
+SELECT icd_code, count(*) AS n FROM mapped3
+WHERE CAST(icd_version AS VARCHAR) = '9' AND icd10_full IS NULL
+GROUP BY icd_code ORDER BY n DESC, icd_code LIMIT 20""", HARMONISED)
+
+ORACLE["ccsr_long"] = with_cohort("SELECT icd10, ccsr_category, ccsr_description FROM ccsr_long", *HC)
+
+ORACLE["ccsr_category_codes"] = with_cohort(r"""
+SELECT DISTINCT icd10, cat AS ccsr_category FROM (
+ SELECT icd10, cat1 AS cat FROM cc UNION ALL SELECT icd10, cat2 FROM cc) u
+WHERE cat IS NOT NULL AND cat NOT IN ('', ' ')""", *HC)
+
+ORACLE["dx_categories"] = with_cohort(r"""
+SELECT h.subject_id, h.hadm_id, h.seq_num, h.icd10_full, rl.ccsr_list_sorted,
+ coalesce(rl.ccsr_description, '') AS ccsr_description, coalesce(rl.n_ccsr, 0) AS n_ccsr
+FROM harm h LEFT JOIN row_lists rl USING (subject_id, hadm_id, seq_num)""", *HC)
+
+ORACLE["multi_category_rows"] = with_cohort(r"""
+SELECT subject_id, hadm_id, seq_num, ccsr_list_sorted FROM harm JOIN row_lists USING (subject_id, hadm_id, seq_num)
+WHERE n_ccsr > 1""", *HC)
+
+TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
+
+ORACLE["feature_table"] = with_cohort(f"""
+SELECT subject_id, hadm_id, seq_num, gender, race, admission_type, insurance, hospital_expire_flag,
+ race_code, admission_type_code, gender_code, {TS.format('admittime_dt')}, {TS.format('dischtime_dt')},
+ {TS.format('deathtime_dt')}, round(los_hours, 9) AS los_hours, round(los_days, 9) AS los_days,
+ adm_year, adm_month, adm_day, adm_hour, adm_weekday, adm_weekend, round(age_at_admit, 9) AS age_at_admit, n_ccsr
+FROM feat""", *HCF)
+
+ORACLE["label_codes"] = with_cohort("SELECT col AS feature, v AS value, code FROM codes", *HCF)
+
+ORACLE["minors"] = with_cohort(
+    "SELECT subject_id, hadm_id, seq_num, round(age_at_admit, 9) AS age_at_admit FROM feat WHERE age_at_admit < 18",
+    *HCF)
+
+ORACLE["patient_mortality"] = with_cohort(r"""
+, pm AS (SELECT subject_id, max(hospital_expire_flag) AS flag FROM feat GROUP BY 1),
+cnt AS (SELECT flag, count(*) AS count FROM pm GROUP BY 1)
+SELECT CASE WHEN flag = 0 THEN 'Alive' WHEN flag = 1 THEN 'Dead' END AS hospital_expire_flag, count,
+ round(count * 100.0 / (SELECT sum(count) FROM cnt), 9) AS percentage FROM cnt""", *HCF)
+
+ORACLE["race_share"] = with_cohort(r"""
+, cnt AS (SELECT race, count(*) AS count FROM feat WHERE race IS NOT NULL GROUP BY 1)
+SELECT race, count, round(count * 100.0 / (SELECT sum(count) FROM cnt), 9) AS percentage FROM cnt""", *HCF)
+
+ORACLE["top_categories"] = with_cohort(r"""
+SELECT rc.ccsr_category, count(*) AS count FROM feat f JOIN row_cats rc USING (subject_id, hadm_id, seq_num)
+GROUP BY 1 ORDER BY count DESC, ccsr_category LIMIT 10""", *HCF)
+
+
+def _hist_sql(col: str, bins: int) -> str:
+    return rf"""
+, x AS (SELECT CAST({col} AS DOUBLE) AS x FROM feat WHERE {col} IS NOT NULL AND NOT isnan({col})),
+st AS (SELECT min(x) AS lo_all, max(x) AS hi_all FROM x),
+cnt AS (
+ SELECT CAST(CASE WHEN (hi_all - lo_all) / {bins} > 0
+   THEN least(floor((x - lo_all) / ((hi_all - lo_all) / {bins})), {bins - 1}) ELSE 0 END AS INTEGER) AS bin,
+  count(*) AS c FROM x, st GROUP BY 1),
+hist AS (
+ SELECT CAST(g.range AS INTEGER) AS bin, lo_all + g.range * ((hi_all - lo_all) / {bins}) AS lo,
+  lo_all + (g.range + 1) * ((hi_all - lo_all) / {bins}) AS hi,
+  lo_all + (g.range + 0.5) * ((hi_all - lo_all) / {bins}) AS center, CAST(coalesce(cnt.c, 0) AS BIGINT) AS count
+ FROM range(0, {bins}) g CROSS JOIN st LEFT JOIN cnt ON cnt.bin = g.range)"""
+
+
+ORACLE["age_histogram"] = with_cohort(
+    _hist_sql("age_at_admit", 20) + "\nSELECT bin, round(lo, 9) AS lo, round(hi, 9) AS hi, round(center, 9) AS center, count FROM hist",
+    *HCF)
+ORACLE["los_histogram"] = with_cohort(
+    _hist_sql("los_days", 30) + "\nSELECT bin, round(lo, 9) AS lo, round(hi, 9) AS hi, round(center, 9) AS center, count FROM hist",
+    *HCF)
+ORACLE["los_modal_bin"] = with_cohort(
+    _hist_sql("los_days", 30) + "\nSELECT bin, round(center, 9) AS center, count FROM hist ORDER BY count DESC, bin LIMIT 1",
+    *HCF)
+
+ORACLE["los_kde"] = with_cohort(r"""
+, x AS (SELECT CAST(los_days AS DOUBLE) AS x FROM feat WHERE los_days IS NOT NULL AND NOT isnan(los_days)),
+st AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd,
+        pow(CAST(count(*) AS DOUBLE), -0.2) * stddev_samp(x) AS bw FROM x),
+d AS (SELECT x, count(*) AS m FROM x GROUP BY 1),
+g AS (SELECT CAST(range AS INTEGER) AS point FROM range(0, 200))
+SELECT g.point, round(lo + g.point * ((hi - lo) / 199), 9) AS x,
+ round(sum(m * exp(-0.5 * pow((lo + g.point * ((hi - lo) / 199) - d.x) / bw, 2))) / (n * bw * sqrt(2 * pi())), 9) AS density
+FROM g CROSS JOIN d CROSS JOIN st GROUP BY g.point, lo, hi, n, bw""", *HCF)
+
+ORACLE["admission_rollup"] = with_cohort(r"""
+, adm AS (
+ SELECT hadm_id,
+  arg_min(subject_id, seq_num) FILTER (WHERE subject_id IS NOT NULL) AS subject_id,
+  arg_min(gender, seq_num) FILTER (WHERE gender IS NOT NULL) AS gender,
+  arg_min(race, seq_num) FILTER (WHERE race IS NOT NULL) AS race,
+  arg_min(admission_type, seq_num) FILTER (WHERE admission_type IS NOT NULL) AS admission_type,
+  arg_min(hospital_expire_flag, seq_num) FILTER (WHERE hospital_expire_flag IS NOT NULL) AS hospital_expire_flag,
+  arg_min(los_days, seq_num) FILTER (WHERE los_days IS NOT NULL) AS los_days,
+  arg_min(age_at_admit, seq_num) FILTER (WHERE age_at_admit IS NOT NULL) AS age_at_admit,
+  arg_min(adm_year, seq_num) FILTER (WHERE adm_year IS NOT NULL) AS adm_year,
+  arg_min(race_code, seq_num) FILTER (WHERE race_code IS NOT NULL) AS race_code,
+  min(seq_num) AS seq_num,
+  arg_min(icd_code, seq_num) FILTER (WHERE icd_code IS NOT NULL) AS icd_code,
+  arg_min(n_ccsr, seq_num) FILTER (WHERE n_ccsr IS NOT NULL) AS n_ccsr,
+  count(*) AS n_dx_rows
+ FROM feat GROUP BY hadm_id),
+un AS (SELECT hadm_id, string_agg(DISTINCT ccsr_category, '|' ORDER BY ccsr_category) AS u,
+        CAST(count(DISTINCT ccsr_category) AS INTEGER) AS k FROM row_cats GROUP BY 1)
+SELECT adm.hadm_id, subject_id, gender, race, admission_type, hospital_expire_flag, round(los_days, 9) AS los_days,
+ round(age_at_admit, 9) AS age_at_admit, adm_year, race_code, seq_num, icd_code, n_ccsr,
+ coalesce(un.u, '') AS ccsr_union, coalesce(un.k, 0) AS n_ccsr_unique, n_dx_rows
+FROM adm LEFT JOIN un USING (hadm_id)""", *HCF)
