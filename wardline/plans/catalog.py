@@ -151,3 +151,121 @@ def q_model_matrix(spark, sf_dir):
                      to_number(F.col("los_days"), None).alias("y_reg"),
                      *[to_number(F.col(c), None).alias(c) for c in cols])
     return comparable(out.withColumn("reg_ok", finite(F.col("y_reg"))))
+
+
+# ---- trajectories -------------------------------------------------------------
+from ..operators import split as S  # noqa: E402
+from ..operators import text as TX  # noqa: E402
+from ..operators import trajectory as TR  # noqa: E402
+
+
+def _seq(spark, sf_dir):
+    i = Cohort(spark, sf_dir).inputs
+    return TR.sequence_table(i.ehr_patients, i.ehr_admissions, i.ehr_diagnoses, i.ehr_icd9_map)
+
+
+SEQ_COLS = ["subject_id", "hadm_id", "dx_tokens", "n_dx", "n_dx_unique", "delta_prev_adm_hours", "los_hours",
+            "los_log", "mortality", "age_at_admit", "gender_code", "race_code", "admission_type_code",
+            "insurance_code", "marital_code", "adm_year", "adm_month", "adm_day", "adm_hour", "adm_weekday",
+            "adm_weekend"]
+
+
+@register("seq_admissions")
+def q_seq_admissions(spark, sf_dir):
+    return comparable(_seq(spark, sf_dir).select(*SEQ_COLS))
+
+
+@register("seq_patient_labels")
+def q_seq_labels(spark, sf_dir):
+    return comparable(TR.last_admission(_seq(spark, sf_dir)))
+
+
+def _seq_split(spark, sf_dir):
+    return S.grouped_split(_seq(spark, sf_dir), "subject_id", 0.2, 0.2, seed=42, val_seed=43)
+
+
+@register("seq_split_labels")
+def q_seq_split_labels(spark, sf_dir):
+    seq = _seq_split(spark, sf_dir)
+    labels = TR.last_admission(seq).join(seq.select("subject_id", "split").distinct(), "subject_id")
+    return labels.groupBy("split", "y_mort").agg(F.count(F.lit(1)).alias("patients"))
+
+
+def _seq_vocab(spark, sf_dir, seq):
+    i = Cohort(spark, sf_dir).inputs
+    toks = TR.dx_tokens(i.ehr_diagnoses, i.ehr_icd9_map)
+    return TR.vocabulary(TR.training_tokens(toks, seq.filter(F.col("split") == "train")))
+
+
+@register("seq_vocab")
+def q_seq_vocab(spark, sf_dir):
+    return comparable(_seq_vocab(spark, sf_dir, _seq_split(spark, sf_dir)))
+
+
+def _nested(c, inner=",", outer=";"):
+    return F.array_join(F.transform(F.col(c), lambda a: F.array_join(F.transform(a, lambda v: v.cast("string")), inner)), outer)
+
+
+@register("seq_padded")
+def q_seq_padded(spark, sf_dir):
+    seq = _seq_split(spark, sf_dir)
+    pad = TR.padded_patients(TR.token_ids(seq, _seq_vocab(spark, sf_dir, seq)))
+    return pad.select("subject_id", _nested("dx_ids").alias("dx_ids"), _nested("dx_mask").alias("dx_mask"),
+                      F.array_join("adm_mask", ",").alias("adm_mask"),
+                      F.size("adm_static").alias("n_steps"))
+
+
+@register("seq_scaler")
+def q_seq_scaler(spark, sf_dir):
+    seq = _seq_split(spark, sf_dir)
+    rows = TR.last_n_admissions(seq.filter(F.col("split") == "train"))
+    return comparable(TR.fit_scaler(rows), digits=6)
+
+
+# ---- text records and splits ------------------------------------------------------
+@register("admission_text_prose")
+def q_prose(spark, sf_dir):
+    return comparable(TX.prose_records(Cohort(spark, sf_dir).features))
+
+
+@register("admission_text_tokens")
+def q_tokens(spark, sf_dir):
+    return comparable(TX.token_records(Cohort(spark, sf_dir).features))
+
+
+@register("text_split_counts")
+def q_text_split(spark, sf_dir):
+    rec = TX.token_records(Cohort(spark, sf_dir).features)
+    sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
+    return sp.groupBy("race_subj", "split").agg(F.countDistinct("subject_id").alias("patients"),
+                                                F.count(F.lit(1)).alias("admissions"))
+
+
+@register("text_token_top")
+def q_text_token_top(spark, sf_dir):
+    rec = TX.token_records(Cohort(spark, sf_dir).features)
+    sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
+    counts = X.text_token_frequency(sp.filter(F.col("split") == "train"), "text")
+    return X.top_k(counts, 3000, "count", "token")
+
+
+@register("grouped_split_counts")
+def q_grouped_split(spark, sf_dir):
+    adm = S.grouped_split(Cohort(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
+    return adm.groupBy("split").agg(F.countDistinct("subject_id").alias("patients"),
+                                    F.count(F.lit(1)).alias("admissions"),
+                                    F.sum("hospital_expire_flag").cast("bigint").alias("deaths"))
+
+
+@register("group_kfold_counts")
+def q_kfold(spark, sf_dir):
+    adm = S.group_kfold(Cohort(spark, sf_dir).admissions, "subject_id", 5, seed=42)
+    return adm.groupBy("fold").agg(F.countDistinct("subject_id").alias("patients"),
+                                   F.count(F.lit(1)).alias("admissions"))
+
+
+@register("learning_curve_sizes")
+def q_lc(spark, sf_dir):
+    adm = S.grouped_split(Cohort(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
+    sub = S.learning_curve_subsets(adm.filter(F.col("split") != "test"), "subject_id", 6, 0.1, 1.0, seed=11)
+    return comparable(sub.groupBy("subset", "fraction").agg(F.count(F.lit(1)).alias("admissions")))

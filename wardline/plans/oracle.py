@@ -257,3 +257,253 @@ SELECT adm.hadm_id, subject_id, gender, race, admission_type, hospital_expire_fl
  round(age_at_admit, 9) AS age_at_admit, adm_year, race_code, seq_num, icd_code, n_ccsr,
  coalesce(un.u, '') AS ccsr_union, coalesce(un.k, 0) AS n_ccsr_unique, n_dx_rows
 FROM adm LEFT JOIN un USING (hadm_id)""", *HCF)
+
+# ---- sequence (trajectory) chain --------------------------------------------------
+def lenient3(x: str) -> str:
+    return (f"coalesce(nullif(regexp_extract({x}, '^([A-Z][0-9]{{2}})', 1), ''), "
+            f"CASE WHEN length({x}) >= 3 THEN substr({x}, 1, 3) END)")
+
+
+def clean_icd(x: str) -> str:
+    return f"regexp_replace(upper(coalesce(CAST({x} AS VARCHAR), '')), '[^A-Z0-9]', '', 'g')"
+
+
+def md5_unit(seed, key: str) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+SEQ = rf"""
+sadm AS (
+ SELECT a.subject_id, a.hadm_id, a.race, a.admission_type, a.insurance,
+  try_cast(a.admittime AS TIMESTAMP) AS admittime_dt, try_cast(a.dischtime AS TIMESTAMP) AS dischtime_dt,
+  CAST(coalesce(try_cast(CAST(a.hospital_expire_flag AS VARCHAR) AS DOUBLE), 0) AS INTEGER) AS mortality,
+  p.gender, p.anchor_age
+ FROM ehr_admissions a LEFT JOIN ehr_patients p ON p.subject_id = a.subject_id),
+sadm2 AS (
+ SELECT *, coalesce(CASE WHEN h IS NOT NULL THEN greatest(h, 0.0) END, 0.0) AS los_hours FROM (
+  SELECT *, (epoch_us(dischtime_dt) - epoch_us(admittime_dt)) / 3.6e9 AS h FROM sadm) t),
+xw3 AS (
+ SELECT src, arg_min(tok, tgt) AS mapped3 FROM (
+  SELECT src, tgt, {lenient3('tgt')} AS tok FROM (
+   SELECT {clean_icd('icd9')} AS src, nullif({clean_icd('icd10')}, '') AS tgt FROM ehr_icd9_map) x) y
+ WHERE src <> '' AND tok IS NOT NULL GROUP BY src),
+dxt AS (
+ SELECT d.subject_id, d.hadm_id, CAST(coalesce(try_cast(CAST(d.seq_num AS VARCHAR) AS DOUBLE), 0) AS INTEGER) AS seq_num,
+  d.icd_norm,
+  CASE WHEN d.icd_norm = '' THEN NULL
+       WHEN CAST(d.icd_version AS VARCHAR) = '10' OR regexp_matches(d.icd_norm, '^[A-Z][0-9]')
+         THEN coalesce({lenient3('d.icd_norm')}, 'UNK_DX')
+       ELSE coalesce(xw3.mapped3, 'UNK_DX') END AS dx_token
+ FROM (SELECT *, {clean_icd('icd_code')} AS icd_norm FROM ehr_diagnoses) d LEFT JOIN xw3 ON d.icd_norm = xw3.src),
+dxr AS (
+ SELECT *, row_number() OVER (PARTITION BY subject_id, hadm_id ORDER BY seq_num, icd_norm) AS rn
+ FROM dxt WHERE dx_token IS NOT NULL),
+tok AS (
+ SELECT subject_id, hadm_id, string_agg(CASE WHEN rn <= 40 THEN dx_token END, '|' ORDER BY rn) AS dx_tokens,
+  count(*) AS n_dx, count(DISTINCT dx_token) AS n_dx_unique FROM dxr GROUP BY 1, 2),
+seq0 AS (
+ SELECT s.*, coalesce(t.dx_tokens, '') AS dx_tokens, coalesce(t.n_dx, 0) AS n_dx, coalesce(t.n_dx_unique, 0) AS n_dx_unique,
+  lag(s.admittime_dt) OVER (PARTITION BY s.subject_id ORDER BY s.admittime_dt NULLS FIRST, s.hadm_id) AS prev_dt
+ FROM sadm2 s LEFT JOIN tok t ON t.subject_id = s.subject_id AND t.hadm_id = s.hadm_id),
+fcodes AS (
+ SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS code FROM (
+  SELECT DISTINCT 'gender' AS f, coalesce(CAST(gender AS VARCHAR), 'UNKNOWN') AS v FROM seq0 UNION
+  SELECT DISTINCT 'race', coalesce(race, 'UNKNOWN') FROM seq0 UNION
+  SELECT DISTINCT 'admission_type', coalesce(admission_type, 'UNKNOWN') FROM seq0 UNION
+  SELECT DISTINCT 'insurance', coalesce(insurance, 'UNKNOWN') FROM seq0 UNION
+  SELECT 'marital_status', 'UNKNOWN') u),
+seq AS (
+ SELECT s.subject_id, s.hadm_id, s.admittime_dt, s.race, s.dx_tokens, CAST(s.n_dx AS DOUBLE) AS n_dx,
+  CAST(s.n_dx_unique AS DOUBLE) AS n_dx_unique,
+  coalesce(CASE WHEN s.prev_dt IS NOT NULL AND s.admittime_dt IS NOT NULL
+   THEN greatest((epoch_us(s.admittime_dt) - epoch_us(s.prev_dt)) / 3.6e9, 0.0) END, 0.0) AS delta_prev_adm_hours,
+  s.los_hours, ln(1 + s.los_hours) AS los_log, s.mortality,
+  coalesce(try_cast(CAST(s.anchor_age AS VARCHAR) AS DOUBLE), 0.0) AS age_at_admit,
+  CAST(g.code AS DOUBLE) AS gender_code, CAST(r.code AS DOUBLE) AS race_code, CAST(t.code AS DOUBLE) AS admission_type_code,
+  CAST(i.code AS DOUBLE) AS insurance_code, CAST(m.code AS DOUBLE) AS marital_code,
+  CAST(coalesce(year(s.admittime_dt), 0) AS DOUBLE) AS adm_year, CAST(coalesce(month(s.admittime_dt), 0) AS DOUBLE) AS adm_month,
+  CAST(coalesce(day(s.admittime_dt), 0) AS DOUBLE) AS adm_day, CAST(coalesce(hour(s.admittime_dt), 0) AS DOUBLE) AS adm_hour,
+  CAST(coalesce(isodow(s.admittime_dt) - 1, 0) AS DOUBLE) AS adm_weekday,
+  CAST(CAST(coalesce(isodow(s.admittime_dt) - 1, 0) >= 5 AS INTEGER) AS DOUBLE) AS adm_weekend
+ FROM seq0 s
+ LEFT JOIN fcodes g ON g.f = 'gender' AND g.v = coalesce(CAST(s.gender AS VARCHAR), 'UNKNOWN')
+ LEFT JOIN fcodes r ON r.f = 'race' AND r.v = coalesce(s.race, 'UNKNOWN')
+ LEFT JOIN fcodes t ON t.f = 'admission_type' AND t.v = coalesce(s.admission_type, 'UNKNOWN')
+ LEFT JOIN fcodes i ON i.f = 'insurance' AND i.v = coalesce(s.insurance, 'UNKNOWN')
+ LEFT JOIN fcodes m ON m.f = 'marital_status' AND m.v = 'UNKNOWN'),
+seq_split AS (
+ SELECT *, CASE WHEN {md5_unit(42, 'subject_id')} < 0.2 THEN 'test'
+                WHEN {md5_unit(43, 'subject_id')} < 0.2 THEN 'val' ELSE 'train' END AS split FROM seq),
+labels AS (
+ SELECT subject_id, hadm_id AS last_hadm_id, mortality AS y_mort, los_log AS y_los_log,
+  coalesce(race, 'nan') AS race_last, split FROM (
+  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY admittime_dt DESC NULLS LAST, hadm_id DESC) AS rd
+  FROM seq_split) x WHERE rd = 1),
+vocab AS (
+ SELECT '<PAD>' AS token, CAST(NULL AS BIGINT) AS count, 0 AS id UNION ALL
+ SELECT '<UNK>', CAST(NULL AS BIGINT), 1 UNION ALL
+ SELECT token, count, CAST(row_number() OVER (ORDER BY count DESC, token) + 1 AS INTEGER) FROM (
+  SELECT dx_token AS token, count(*) AS count FROM dxr
+  WHERE (subject_id, hadm_id) IN (SELECT (subject_id, hadm_id) FROM seq_split WHERE split = 'train')
+  GROUP BY 1 HAVING count(*) >= 5) f)"""
+
+SEQ_VIEWS = ("ehr_patients", "ehr_admissions", "ehr_diagnoses", "ehr_icd9_map")
+SEQ_STATIC = ("age_at_admit", "gender_code", "race_code", "admission_type_code", "insurance_code",
+              "marital_code", "adm_year", "adm_month", "adm_day", "adm_hour", "adm_weekday",
+              "adm_weekend", "n_dx", "n_dx_unique", "delta_prev_adm_hours")
+
+
+def with_seq(body: str) -> str:
+    return with_cohort(body, SEQ, views=SEQ_VIEWS)
+
+
+ORACLE["seq_admissions"] = with_seq(
+    "SELECT subject_id, hadm_id, dx_tokens, n_dx, n_dx_unique, round(delta_prev_adm_hours, 9) AS delta_prev_adm_hours, "
+    "round(los_hours, 9) AS los_hours, round(los_log, 9) AS los_log, mortality, " +
+    ", ".join(f"round({c}, 9) AS {c}" for c in SEQ_STATIC if c not in ("n_dx", "n_dx_unique", "delta_prev_adm_hours"))
+    + " FROM seq")
+
+ORACLE["seq_patient_labels"] = with_seq(
+    "SELECT subject_id, last_hadm_id, y_mort, round(y_los_log, 9) AS y_los_log, race_last FROM labels")
+
+ORACLE["seq_split_labels"] = with_seq(
+    "SELECT split, y_mort, count(*) AS patients FROM labels GROUP BY 1, 2")
+
+ORACLE["seq_vocab"] = with_seq("SELECT token, count, id FROM vocab")
+
+ZERO40 = ",".join(["0"] * 40)
+ORACLE["seq_padded"] = with_seq(rf"""
+, kept AS (
+ SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY admittime_dt DESC NULLS LAST, hadm_id DESC) AS rd,
+  count(*) OVER (PARTITION BY subject_id) AS n_all FROM seq_split),
+last20 AS (SELECT *, least(n_all, 20) - rd AS t FROM kept WHERE rd <= 20),
+ids AS (
+ SELECT d.subject_id, d.hadm_id, list(coalesce(v.id, 1) ORDER BY d.rn) AS ids
+ FROM dxr d LEFT JOIN vocab v ON v.token = d.dx_token AND v.id >= 2 WHERE d.rn <= 40 GROUP BY 1, 2),
+steps AS (
+ SELECT l.subject_id, l.t, coalesce(i.ids, []::INTEGER[]) AS ids FROM last20 l
+ LEFT JOIN ids i ON i.subject_id = l.subject_id AND i.hadm_id = l.hadm_id),
+per AS (
+ SELECT subject_id, count(*) AS n,
+  string_agg(array_to_string(list_resize(ids, 40, 0), ','), ';' ORDER BY t) AS dx_ids,
+  string_agg(array_to_string(list_resize(list_transform(ids, lambda x: 1), 40, 0), ','), ';' ORDER BY t) AS dx_mask
+ FROM steps GROUP BY 1)
+SELECT subject_id, dx_ids || repeat(';{ZERO40}', CAST(20 - n AS INTEGER)) AS dx_ids,
+ dx_mask || repeat(';{ZERO40}', CAST(20 - n AS INTEGER)) AS dx_mask,
+ rtrim(repeat('1,', CAST(n AS INTEGER)) || repeat('0,', CAST(20 - n AS INTEGER)), ',') AS adm_mask,
+ 20 AS n_steps
+FROM per""")
+
+ORACLE["seq_scaler"] = with_seq(
+    ", kept AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY admittime_dt DESC NULLS LAST, hadm_id DESC) AS rd "
+    "FROM seq_split WHERE split = 'train')\nSELECT " +
+    ", ".join(f"round(avg({c}), 6) AS {c}__mean, round(stddev_pop({c}), 6) AS {c}__std" for c in SEQ_STATIC)
+    + " FROM kept WHERE rd <= 20")
+
+
+# ---- text records -------------------------------------------------------------------
+def valid_text(x: str) -> str:
+    s = strip(f"CAST({x} AS VARCHAR)")
+    return f"CASE WHEN {s} IS NOT NULL AND {s} <> '' AND lower({s}) <> 'nan' THEN {s} END"
+
+
+TEXT_ROWS = rf"""
+tr AS (
+ SELECT *, CASE WHEN vdx0 <> 'NoDx' THEN vdx0 END AS vdx,
+  list_filter(list_transform(coalesce(string_split(ccsr_list_sorted, '|'), []::VARCHAR[]), lambda c: {strip('c')}), lambda c: c <> '') AS cats,
+  list_transform(coalesce(string_split(ccsr_list_sorted, '|'), []::VARCHAR[]), lambda c: {strip('c')}) AS cats_all
+ FROM (SELECT f.*, row_number() OVER (PARTITION BY subject_id, hadm_id ORDER BY seq_num, icd_code) AS i,
+        count(*) OVER (PARTITION BY subject_id, hadm_id) AS n_all,
+        {valid_text('dx_norm')} AS vdx0, {valid_text('icd10_full')} AS vicd FROM feat f) a
+ WHERE i <= 60),
+rec_base AS (
+ SELECT subject_id, hadm_id, CAST(max(n_all) AS INTEGER) AS n_dx,
+  arg_min(hospital_expire_flag, i) AS y_mort, arg_min(los_days, i) AS y_los,
+  coalesce(arg_min(race, i), 'nan') AS race, coalesce(arg_min(age_at_admit, i), 0.0) AS age
+ FROM tr GROUP BY 1, 2)"""
+
+LOS_CLS = ("CAST(CASE WHEN y_los >= 0 AND y_los < 3 THEN 0 WHEN y_los >= 3 AND y_los < 7 THEN 1 "
+           "WHEN y_los >= 7 AND y_los < 14 THEN 2 ELSE 3 END AS INTEGER)")
+REC_SELECT = (f"SELECT b.subject_id, b.hadm_id, t.text, CAST(y_mort AS INTEGER) AS y_mort, round(y_los, 9) AS y_los, "
+              f"{LOS_CLS} AS y_los_cls, race, round(age, 9) AS age, n_dx FROM rec_base b JOIN txt t USING (subject_id, hadm_id)")
+
+PROSE = r"""
+, lines AS (
+ SELECT *, CASE WHEN coalesce(vdx, vicd) IS NOT NULL THEN CAST(i AS VARCHAR) || '. ' || coalesce(vdx, vicd) ||
+   CASE WHEN len(cats) > 0 THEN ' (CCSR: ' || array_to_string(list_slice(cats, 1, 2), ', ') || ')' ELSE '' END END AS line,
+  'A ' || coalesce(gender, 'NA') || ' patient, ' || coalesce(CAST(age_at_admit AS VARCHAR), 'NA') || ' years old, ' ||
+  'was admitted (' || coalesce(admission_type, 'NA') || ') via NA. Insurance: ' || coalesce(insurance, 'NA') ||
+  '. Race: ' || coalesce(race, 'NA') || '. Diagnoses in order:' AS hdr
+ FROM tr),
+txt AS (
+ SELECT subject_id, hadm_id, arg_min(hdr, i) || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY i), '1. NA') AS text
+ FROM lines GROUP BY 1, 2)
+"""
+
+TOKENS = r"""
+, toks AS (
+ SELECT *, list_concat(CASE WHEN vdx IS NOT NULL THEN ['DX_' || replace(vdx, '.', '_')] ELSE []::VARCHAR[] END,
+   list_transform(list_filter(list_slice(cats_all, 1, 2), lambda c: c <> ''), lambda c: 'CCSR_' || c)) AS tk,
+  CASE WHEN vicd IS NOT NULL THEN 'ICD10_' || replace(vicd, '.', '_') END AS fb,
+  '[AGE] ' || coalesce(CAST(age_at_admit AS VARCHAR), 'NA') || ' [SEX] ' || coalesce(gender, 'NA') || ' [RACE] ' ||
+  coalesce(race, 'NA') || ' [INS] ' || coalesce(insurance, 'NA') || ' [ATYPE] ' || coalesce(admission_type, 'NA') ||
+  ' [ALOC] NA ' AS hdr
+ FROM tr),
+txt AS (
+ SELECT subject_id, hadm_id, arg_min(hdr, i) || ' [DXSEQ] ' ||
+  array_to_string(CASE WHEN len(flatten(list(tk ORDER BY i))) > 0 THEN flatten(list(tk ORDER BY i))
+   ELSE coalesce(list(fb ORDER BY i) FILTER (WHERE fb IS NOT NULL), []::VARCHAR[]) END, ' ') AS text
+ FROM toks GROUP BY 1, 2)
+"""
+
+ORACLE["admission_text_prose"] = with_cohort(PROSE + REC_SELECT, *HCF, TEXT_ROWS)
+ORACLE["admission_text_tokens"] = with_cohort(TOKENS + REC_SELECT, *HCF, TEXT_ROWS)
+
+TEXT_SPLIT = rf"""
+, recs AS ({REC_SELECT}),
+rc AS (SELECT subject_id, race, count(*) AS c FROM recs GROUP BY 1, 2),
+modal AS (SELECT subject_id, coalesce(arg_min(race, (-c, race)), 'UNKNOWN') AS race_subj FROM rc GROUP BY 1),
+ranked AS (
+ SELECT *, row_number() OVER (PARTITION BY race_subj ORDER BY u, subject_id) AS rk,
+  count(*) OVER (PARTITION BY race_subj) AS n FROM (SELECT *, {md5_unit(42, 'subject_id')} AS u FROM modal) m),
+assign AS (
+ SELECT subject_id, race_subj, CASE WHEN n < 2 THEN 'train'
+   WHEN rk <= floor(n * CAST(0.15 AS DOUBLE)) THEN 'test'
+   WHEN rk <= floor(n * CAST(0.15 AS DOUBLE)) + floor((n - floor(n * CAST(0.15 AS DOUBLE))) * CAST({0.15 / 0.85!r} AS DOUBLE)) THEN 'val'
+   ELSE 'train' END AS split FROM ranked),
+sp AS (SELECT r.*, a.race_subj, a.split FROM recs r LEFT JOIN assign a USING (subject_id))
+"""
+
+ORACLE["text_split_counts"] = with_cohort(
+    TOKENS + TEXT_SPLIT + "SELECT race_subj, split, count(DISTINCT subject_id) AS patients, count(*) AS admissions "
+    "FROM sp GROUP BY 1, 2", *HCF, TEXT_ROWS)
+
+ORACLE["text_token_top"] = with_cohort(
+    TOKENS + TEXT_SPLIT + r"""
+SELECT token, count(*) AS count FROM (
+ SELECT unnest(string_split_regex(trim(text), '\s+')) AS token FROM sp WHERE split = 'train') w
+WHERE starts_with(token, 'DX_') OR starts_with(token, 'CCSR_')
+GROUP BY 1 ORDER BY count DESC, token LIMIT 3000""", *HCF, TEXT_ROWS)
+
+ADM_SPLIT = rf"""
+, adm AS (
+ SELECT hadm_id, arg_min(subject_id, seq_num) AS subject_id, arg_min(hospital_expire_flag, seq_num) AS flag FROM feat GROUP BY 1),
+asp AS (SELECT *, CASE WHEN {md5_unit(42, 'subject_id')} < 0.2 THEN 'test'
+                       WHEN {md5_unit(7, 'subject_id')} < 0.2 THEN 'val' ELSE 'train' END AS split FROM adm)
+"""
+
+ORACLE["grouped_split_counts"] = with_cohort(
+    ADM_SPLIT + "SELECT split, count(DISTINCT subject_id) AS patients, count(*) AS admissions, "
+    "CAST(sum(flag) AS BIGINT) AS deaths FROM asp GROUP BY 1", *HCF)
+
+ORACLE["group_kfold_counts"] = with_cohort(
+    ADM_SPLIT + f"SELECT CAST(floor({md5_unit(42, 'subject_id')} * 5) AS INTEGER) AS fold, "
+    "count(DISTINCT subject_id) AS patients, count(*) AS admissions FROM asp GROUP BY 1", *HCF)
+
+_FR = [0.1 + (1.0 - 0.1) * j / 5 for j in range(6)]
+ORACLE["learning_curve_sizes"] = with_cohort(
+    ADM_SPLIT + ", fr AS (SELECT * FROM (VALUES " + ", ".join(f"({j}, CAST({f!r} AS DOUBLE))" for j, f in enumerate(_FR))
+    + ") v(subset, fraction))\n"
+    f"SELECT CAST(subset AS INTEGER) AS subset, round(fraction, 9) AS fraction, count(*) AS admissions "
+    f"FROM asp JOIN fr ON {md5_unit(11, 'asp.subject_id')} < fr.fraction OR fr.fraction >= 1.0 "
+    "WHERE split <> 'test' GROUP BY 1, 2", *HCF)
