@@ -269,3 +269,134 @@ def q_lc(spark, sf_dir):
     adm = S.grouped_split(Cohort(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
     sub = S.learning_curve_subsets(adm.filter(F.col("split") != "test"), "subject_id", 6, 0.1, 1.0, seed=11)
     return comparable(sub.groupBy("subset", "fraction").agg(F.count(F.lit(1)).alias("admissions")))
+
+
+# ---- evaluation metrics -----------------------------------------------------------
+from ..functions import timecols as TC  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+
+PROBS = ("p0", "p1", "p2", "p3")
+
+
+def _scores(spark, sf_dir):
+    return Cohort(spark, sf_dir).inputs.ehr_scores
+
+
+def _los_scores(spark, sf_dir):
+    s = Cohort(spark, sf_dir).inputs.ehr_los_scores
+    return M.top_label(s, "y_cls", PROBS)
+
+
+@register("auroc_ap_overall")
+def q_auc_overall(spark, sf_dir):
+    return comparable(M.auroc_ap(M.score_steps(_scores(spark, sf_dir))))
+
+
+@register("auroc_ap_by_race")
+def q_auc_race(spark, sf_dir):
+    return comparable(M.auroc_ap(M.score_steps(_scores(spark, sf_dir), ["race"]), ["race"]))
+
+
+@register("roc_points_by_race")
+def q_roc_points(spark, sf_dir):
+    return comparable(M.roc_points(M.score_steps(_scores(spark, sf_dir), ["race"]), ["race"]))
+
+
+@register("pr_points")
+def q_pr_points(spark, sf_dir):
+    return comparable(M.pr_points(M.score_steps(_scores(spark, sf_dir))))
+
+
+@register("confusion_by_race")
+def q_confusion(spark, sf_dir):
+    s = _scores(spark, sf_dir).withColumn("y_pred", TC.threshold(F.col("y_prob"), 0.5))
+    return comparable(M.confusion(s, ["race"]))
+
+
+@register("binary_class_report")
+def q_binary_report(spark, sf_dir):
+    s = _scores(spark, sf_dir).withColumn("y_pred", TC.threshold(F.col("y_prob"), 0.5))
+    return comparable(M.multiclass_report(s))
+
+
+@register("los_class_report_by_race")
+def q_los_report(spark, sf_dir):
+    return comparable(M.multiclass_report(_los_scores(spark, sf_dir), ["race"], "y_cls", "pred_cls"))
+
+
+@register("los_ovr_auroc_by_race")
+def q_los_ovr(spark, sf_dir):
+    return comparable(M.ovr_macro_auroc(_los_scores(spark, sf_dir), ["race"], "y_cls", PROBS))
+
+
+def _expected_class(df):
+    return df.withColumn("y", F.col("y_cls").cast("double")).withColumn(
+        "yhat", sum(F.lit(float(k)) * F.col(c) for k, c in enumerate(PROBS)))
+
+
+@register("regression_errors_by_race")
+def q_regression(spark, sf_dir):
+    return comparable(M.regression_errors(_expected_class(_los_scores(spark, sf_dir)), ["race"]))
+
+
+@register("calibration_bins_by_race")
+def q_calibration_bins(spark, sf_dir):
+    return comparable(M.reliability(_scores(spark, sf_dir), ["race"]))
+
+
+@register("calibration_summary_by_race")
+def q_calibration_summary(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    e = M.ece(M.reliability(s, ["race"]), ["race"])
+    return comparable(M.brier(s, ["race"]).join(e, "race"))
+
+
+@register("multiclass_calibration_by_race")
+def q_mc_calibration(spark, sf_dir):
+    s = _los_scores(spark, sf_dir)
+    bins = M.reliability(s, ["race"], "correct", "conf")
+    e = M.ece(bins, ["race"]).withColumnRenamed("ece", "toplabel_ece")
+    return comparable(M.multiclass_brier(s, ["race"], "y_cls", PROBS).join(e, "race"))
+
+
+@register("threshold_best_f1")
+def q_thr_f1(spark, sf_dir):
+    return comparable(M.best_f1_threshold(M.grid_counts(_scores(spark, sf_dir), [], *M.F1_GRID)))
+
+
+@register("threshold_best_f1_by_race")
+def q_thr_f1_race(spark, sf_dir):
+    return comparable(M.best_f1_threshold(M.grid_counts(_scores(spark, sf_dir), ["race"], *M.F1_GRID), ["race"]))
+
+
+@register("threshold_target_recall")
+def q_thr_recall(spark, sf_dir):
+    c = M.grid_counts(_scores(spark, sf_dir), ["race"], *M.RECALL_GRID)
+    return comparable(M.recall_target_threshold(c, ["race"], 0.70))
+
+
+@register("threshold_target_precision")
+def q_thr_precision(spark, sf_dir):
+    c = M.grid_counts(_scores(spark, sf_dir), ["race"], *M.PRECISION_GRID)
+    return comparable(M.precision_target_threshold(c, ["race"], 0.50))
+
+
+@register("threshold_policy_precision")
+def q_thr_policy(spark, sf_dir):
+    return comparable(M.threshold_policy(_scores(spark, sf_dir), ["race"], "precision", target_precision=0.50))
+
+
+@register("threshold_observed_min_pos")
+def q_thr_observed(spark, sf_dir):
+    s = _scores(spark, sf_dir)
+    return comparable(M.best_f1_observed(M.score_steps(s, ["race"]), ["race"], 10))
+
+
+@register("score_losses_by_race")
+def q_losses(spark, sf_dir):
+    return comparable(M.losses(_scores(spark, sf_dir), ["race"]))
+
+
+@register("class_balance_by_race")
+def q_class_balance(spark, sf_dir):
+    return comparable(X.class_balance(_scores(spark, sf_dir), "y_true", ["race"]))

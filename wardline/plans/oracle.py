@@ -507,3 +507,230 @@ ORACLE["learning_curve_sizes"] = with_cohort(
     f"SELECT CAST(subset AS INTEGER) AS subset, round(fraction, 9) AS fraction, count(*) AS admissions "
     f"FROM asp JOIN fr ON {md5_unit(11, 'asp.subject_id')} < fr.fraction OR fr.fraction >= 1.0 "
     "WHERE split <> 'test' GROUP BY 1, 2", *HCF)
+
+# ---- evaluation metrics ---------------------------------------------------------------
+SCORE_VIEWS = ("ehr_admissions", "ehr_scores", "ehr_los_scores")
+
+
+def with_scores(body: str, *chain: str) -> str:
+    return with_cohort(body, *chain, views=SCORE_VIEWS)
+
+
+def r9(x: str, name: str) -> str:
+    return f"round({x}, 9) AS {name}"
+
+
+# AUROC from average ranks (Mann-Whitney), AP from the step-wise sum
+AUC_RANK = r"""
+ranked AS (
+ SELECT {g}y_true, y_prob, rank() OVER (PARTITION BY {gp} ORDER BY y_prob) + (count(*) OVER (PARTITION BY {gp}, y_prob) - 1) / 2.0 AS rk
+ FROM ehr_scores),
+auc AS (
+ SELECT {g}sum(y_true) AS P, count(*) - sum(y_true) AS N, sum(CASE WHEN y_true = 1 THEN rk ELSE 0 END) AS rs FROM ranked GROUP BY {gb}),
+st AS (
+ SELECT {g}y_prob AS s, sum(y_true) AS pos, count(*) - sum(y_true) AS neg FROM ehr_scores GROUP BY {gb}y_prob),
+cum AS (
+ SELECT *, sum(pos) OVER (PARTITION BY {gp} ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY {gp} ORDER BY s DESC) AS fp FROM st),
+ap AS (SELECT {g}sum(pos * tp / (tp + fp)) AS aps FROM cum GROUP BY {gb})
+"""
+
+
+def _auc_sql(by_race: bool) -> str:
+    g = "race, " if by_race else ""
+    gp = "race" if by_race else "1"
+    gb = "race" if by_race else "ALL"
+    gb2 = "race, " if by_race else ""
+    body = AUC_RANK.format(g=g, gp=gp, gb=gb if by_race else "()", ).replace("GROUP BY ()y_prob", "GROUP BY y_prob")
+    body = body.replace("GROUP BY racey_prob", "GROUP BY race, y_prob")
+    join = "JOIN ap USING (race)" if by_race else "CROSS JOIN ap"
+    return with_scores(
+        "," + body + f"SELECT {g}CASE WHEN P > 0 AND N > 0 THEN round((rs - P * (P + 1) / 2.0) / (P * N), 9) END AS auroc, "
+        f"CASE WHEN P > 0 AND N > 0 THEN round(aps / P, 9) END AS ap FROM auc {join}")
+
+
+ORACLE["auroc_ap_overall"] = _auc_sql(False)
+ORACLE["auroc_ap_by_race"] = _auc_sql(True)
+
+ORACLE["roc_points_by_race"] = with_scores(r"""
+, st AS (SELECT race, y_prob AS s, sum(y_true) AS pos, count(*) - sum(y_true) AS neg FROM ehr_scores GROUP BY 1, 2),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY race ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY race ORDER BY s DESC) AS fp,
+        sum(pos) OVER (PARTITION BY race) AS P, sum(neg) OVER (PARTITION BY race) AS N FROM st)
+SELECT race, s AS threshold, round(CASE WHEN N > 0 THEN fp / N END, 9) AS fpr, round(CASE WHEN P > 0 THEN tp / P END, 9) AS tpr FROM cum
+UNION ALL SELECT DISTINCT race, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM ehr_scores""")
+
+ORACLE["pr_points"] = with_scores(r"""
+, st AS (SELECT y_prob AS s, sum(y_true) AS pos, count(*) - sum(y_true) AS neg FROM ehr_scores GROUP BY 1),
+cum AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp,
+        sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM st)
+SELECT s AS threshold, round(CASE WHEN P > 0 THEN tp / P ELSE 1.0 END, 9) AS recall, round(tp / (tp + fp), 9) AS precision,
+ round(P / (P + N), 9) AS baseline FROM cum
+UNION ALL SELECT NULL, 0.0, 1.0, round(sum(y_true) / count(*), 9) FROM ehr_scores""")
+
+CONF = r"""
+, c AS (
+ SELECT {g}CAST(sum(CASE WHEN y_true = 0 AND y_pred = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn,
+  CAST(sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+  CAST(sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
+  CAST(sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp
+ FROM (SELECT *, CAST(y_prob >= 0.5 AS INTEGER) AS y_pred FROM ehr_scores) s {gb})
+"""
+ORACLE["confusion_by_race"] = with_scores(CONF.format(g="race, ", gb="GROUP BY race") + r"""
+SELECT race, tn, fp, fn, tp, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision,
+ round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall,
+ round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1,
+ round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 9) AS tpr, round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END, 9) AS fpr,
+ round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy FROM c""")
+
+
+def _report_sql(src: str, g: str, y: str, p: str) -> str:
+    gsel = f"{g}, " if g else ""
+    gby = f"GROUP BY {g}" if g else ""
+    return rf"""
+, src AS ({src}),
+per AS (
+ SELECT {gsel}cls, sum(support) AS support, sum(tp) AS tp, sum(pred_n) AS pred_n FROM (
+  SELECT {gsel}{y} AS cls, CAST(1 AS DOUBLE) AS support, CAST(CASE WHEN {y} = {p} THEN 1 ELSE 0 END AS DOUBLE) AS tp, CAST(0 AS DOUBLE) AS pred_n FROM src
+  UNION ALL SELECT {gsel}{p}, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM src) u GROUP BY {gsel}cls),
+m AS (
+ SELECT {gsel}CAST(cls AS VARCHAR) AS label, CASE WHEN pred_n > 0 THEN tp / pred_n ELSE 0 END AS precision,
+  CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall,
+  CASE WHEN 2 * tp + (pred_n - tp) + (support - tp) > 0 THEN 2 * tp / (2 * tp + (pred_n - tp) + (support - tp)) ELSE 0 END AS f1,
+  support FROM per)
+SELECT {gsel}label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM m
+UNION ALL SELECT {gsel}'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), sum(support) FROM m {gby}
+UNION ALL SELECT {gsel}'weighted avg', round(sum(precision * support) / sum(support), 9), round(sum(recall * support) / sum(support), 9),
+ round(sum(f1 * support) / sum(support), 9), sum(support) FROM m {gby}"""
+
+
+ORACLE["binary_class_report"] = with_scores(_report_sql(
+    "SELECT y_true, CAST(y_prob >= 0.5 AS INTEGER) AS y_pred FROM ehr_scores", "", "y_true", "y_pred"))
+
+LOS_TOP = ("SELECT *, greatest(p0, p1, p2, p3) AS conf, CAST(CASE WHEN p0 = greatest(p0, p1, p2, p3) THEN 0 "
+           "WHEN p1 = greatest(p0, p1, p2, p3) THEN 1 WHEN p2 = greatest(p0, p1, p2, p3) THEN 2 ELSE 3 END AS INTEGER) AS pred_cls "
+           "FROM ehr_los_scores")
+ORACLE["los_class_report_by_race"] = with_scores(_report_sql(LOS_TOP, "race", "y_cls", "pred_cls"))
+
+ORACLE["los_ovr_auroc_by_race"] = with_scores(r"""
+, long AS (
+ SELECT race, k, CASE WHEN y_cls = k THEN 1 ELSE 0 END AS t, CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS p
+ FROM ehr_los_scores CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(0, 4)) ks),
+rk AS (SELECT *, rank() OVER (PARTITION BY race, k ORDER BY p) + (count(*) OVER (PARTITION BY race, k, p) - 1) / 2.0 AS r FROM long),
+per AS (
+ SELECT race, k, sum(t) AS P, count(*) - sum(t) AS N, sum(CASE WHEN t = 1 THEN r ELSE 0 END) AS rs FROM rk GROUP BY 1, 2),
+auc AS (SELECT race, k, CASE WHEN P > 0 AND N > 0 THEN (rs - P * (P + 1) / 2.0) / (P * N) END AS a FROM per)
+SELECT race, round(CASE WHEN count(a) = 4 THEN avg(a) END, 9) AS auroc_ovr_macro FROM auc GROUP BY race""")
+
+ORACLE["regression_errors_by_race"] = with_scores(r"""
+, src AS (SELECT race, CAST(y_cls AS DOUBLE) AS y, 0.0 * p0 + 1.0 * p1 + 2.0 * p2 + 3.0 * p3 AS yhat FROM ehr_los_scores),
+mu AS (SELECT race, avg(y) AS ybar FROM src GROUP BY 1),
+e AS (SELECT s.race, avg(abs(yhat - y)) AS mae, sqrt(avg((yhat - y) * (yhat - y))) AS rmse, sum((yhat - y) * (yhat - y)) AS sse,
+        sum((y - ybar) * (y - ybar)) AS sst FROM src s JOIN mu USING (race) GROUP BY 1)
+SELECT race, round(mae, 9) AS mae, round(rmse, 9) AS rmse, round(CASE WHEN sst > 0 THEN 1 - sse / sst END, 9) AS r2 FROM e""")
+
+
+def _bin(p: str, n: int = 10) -> str:
+    step = 1.0 / n
+    return "(" + " + ".join(f"CASE WHEN {p} >= {i} * CAST({step!r} AS DOUBLE) THEN 1 ELSE 0 END" for i in range(1, n)) + ")"
+
+
+RELIABILITY = rf"""
+, b AS (SELECT race, {_bin('y_prob')} AS bin, y_prob, y_true FROM ehr_scores),
+agg AS (SELECT race, bin, count(*) AS count, avg(y_prob) AS mean_pred, avg(y_true) AS frac_pos FROM b GROUP BY 1, 2),
+grid AS (SELECT DISTINCT race, CAST(g.range AS INTEGER) AS bin FROM ehr_scores CROSS JOIN range(0, 10) g),
+rel AS (SELECT grid.race, grid.bin, coalesce(agg.count, 0) AS count, agg.mean_pred, agg.frac_pos FROM grid LEFT JOIN agg USING (race, bin))
+"""
+ORACLE["calibration_bins_by_race"] = with_scores(
+    RELIABILITY + "SELECT race, bin, count, round(mean_pred, 9) AS mean_pred, round(frac_pos, 9) AS frac_pos FROM rel")
+ORACLE["calibration_summary_by_race"] = with_scores(RELIABILITY + r"""
+, e AS (SELECT race, sum(CASE WHEN count > 0 THEN abs(frac_pos - mean_pred) * count END) / sum(count) AS ece FROM rel GROUP BY 1),
+br AS (SELECT race, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM ehr_scores GROUP BY 1)
+SELECT race, round(brier, 9) AS brier, round(ece, 9) AS ece FROM br JOIN e USING (race)""")
+
+ORACLE["multiclass_calibration_by_race"] = with_scores(rf"""
+, t AS (SELECT *, CAST(pred_cls = y_cls AS INTEGER) AS correct FROM ({LOS_TOP}) x),
+b AS (SELECT race, {_bin('conf')} AS bin, conf, correct FROM t),
+agg AS (SELECT race, bin, count(*) AS count, avg(conf) AS mp, avg(correct) AS fp FROM b GROUP BY 1, 2),
+e AS (SELECT race, sum(abs(fp - mp) * count) / sum(count) AS toplabel_ece FROM agg GROUP BY 1),
+br AS (SELECT race, avg(pow(p0 - CASE WHEN y_cls = 0 THEN 1 ELSE 0 END, 2) + pow(p1 - CASE WHEN y_cls = 1 THEN 1 ELSE 0 END, 2)
+   + pow(p2 - CASE WHEN y_cls = 2 THEN 1 ELSE 0 END, 2) + pow(p3 - CASE WHEN y_cls = 3 THEN 1 ELSE 0 END, 2)) AS brier_multiclass
+  FROM ehr_los_scores GROUP BY 1)
+SELECT race, round(brier_multiclass, 9) AS brier_multiclass, round(toplabel_ece, 9) AS toplabel_ece FROM br JOIN e USING (race)""")
+
+
+def _grid_sql(start: float, stop: float, num: int) -> str:
+    step = (stop - start) / (num - 1)
+    return (f"SELECT CASE WHEN range = {num - 1} THEN CAST({stop!r} AS DOUBLE) "
+            f"ELSE CAST(range AS DOUBLE) * CAST({step!r} AS DOUBLE) + CAST({start!r} AS DOUBLE) END AS t FROM range(0, {num})")
+
+
+def _grid_rates(start: float, stop: float, num: int, by_race: bool, pre: str = "") -> str:
+    gsel = "race, " if by_race else ""
+    rsel = f"{pre}gr.race, " if by_race else ""
+    src = "(SELECT DISTINCT race FROM ehr_scores) r CROSS JOIN " if by_race else ""
+    on = f"s.race = {pre}gr.race AND " if by_race else ""
+    return rf"""
+, {pre}grid AS ({_grid_sql(start, stop, num)}),
+{pre}gr AS (SELECT {'r.race, ' if by_race else ''}{pre}grid.t FROM {src}{pre}grid),
+{pre}cnt AS (
+ SELECT {rsel}{pre}gr.t, CAST(count(s.y_true) FILTER (WHERE s.y_true = 1) AS DOUBLE) AS tp,
+  CAST(count(s.y_true) FILTER (WHERE s.y_true = 0) AS DOUBLE) AS fp
+ FROM {pre}gr LEFT JOIN ehr_scores s ON {on}s.y_prob >= {pre}gr.t GROUP BY {rsel}{pre}gr.t),
+{pre}tot AS (SELECT {gsel}CAST(sum(y_true) AS DOUBLE) AS P FROM ehr_scores {'GROUP BY race' if by_race else ''}),
+{pre}rates AS (
+ SELECT {gsel}t, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+  CASE WHEN P > 0 THEN tp / P ELSE 0 END AS recall,
+  CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2 * tp / (2 * tp + fp + (P - tp)) ELSE 0 END AS f1
+ FROM {pre}cnt {f'JOIN {pre}tot USING (race)' if by_race else f'CROSS JOIN {pre}tot'})
+"""
+
+
+def _best_f1_sql(by_race: bool) -> str:
+    g = "race, " if by_race else ""
+    body = _grid_rates(0.001, 0.99, 1200, by_race) + (
+        f"SELECT {g}round(arg_max(t, (f1, -t)), 9) AS threshold, round(max(f1), 9) AS f1, "
+        f"round(arg_max(precision, (f1, -t)), 9) AS precision, round(arg_max(recall, (f1, -t)), 9) AS recall "
+        f"FROM rates {'GROUP BY race' if by_race else ''}")
+    return with_scores(body)
+
+
+ORACLE["threshold_best_f1"] = _best_f1_sql(False)
+ORACLE["threshold_best_f1_by_race"] = _best_f1_sql(True)
+ORACLE["threshold_target_recall"] = with_scores(_grid_rates(0.999, 0.001, 2000, True) + r"""
+, ok AS (SELECT race, max(t) FILTER (WHERE recall >= 0.7) AS tt FROM rates GROUP BY 1)
+SELECT ok.race, round(ok.tt, 9) AS threshold, round(r.precision, 9) AS precision, round(r.recall, 9) AS recall, round(r.f1, 9) AS f1
+FROM ok LEFT JOIN rates r ON r.race = ok.race AND r.t = ok.tt""")
+ORACLE["threshold_target_precision"] = with_scores(_grid_rates(0.001, 0.999, 2000, True) + r"""
+, ok AS (SELECT race, min(t) FILTER (WHERE precision >= 0.5) AS tt FROM rates GROUP BY 1)
+SELECT ok.race, round(ok.tt, 9) AS threshold, round(r.precision, 9) AS precision, round(r.recall, 9) AS recall, round(r.f1, 9) AS f1
+FROM ok LEFT JOIN rates r ON r.race = ok.race AND r.t = ok.tt""")
+
+ORACLE["threshold_policy_precision"] = with_scores(
+    _grid_rates(0.001, 0.99, 1200, True) + _grid_rates(0.001, 0.999, 2000, True, "p") + r"""
+, f1b AS (SELECT race, arg_max(t, (f1, -t)) AS ft FROM rates GROUP BY 1),
+pb AS (SELECT race, min(t) FILTER (WHERE precision >= 0.5) AS pt FROM prates GROUP BY 1)
+SELECT f1b.race, round(coalesce(pt, ft), 9) AS threshold, CASE WHEN pt IS NOT NULL THEN 'precision' ELSE 'f1' END AS source
+FROM f1b LEFT JOIN pb USING (race)""")
+
+ORACLE["threshold_observed_min_pos"] = with_scores(r"""
+, st AS (SELECT race, y_prob AS s, sum(y_true) AS pos, count(*) - sum(y_true) AS neg FROM ehr_scores GROUP BY 1, 2),
+cum AS (SELECT *, CAST(sum(pos) OVER (PARTITION BY race ORDER BY s DESC) AS DOUBLE) AS tp,
+        CAST(sum(neg) OVER (PARTITION BY race ORDER BY s DESC) AS DOUBLE) AS fp,
+        CAST(sum(pos) OVER (PARTITION BY race) AS DOUBLE) AS P FROM st),
+m AS (SELECT race, s, tp + fp >= 10 AS ok,
+  CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2 * tp / (2 * tp + fp + (P - tp)) ELSE 0 END AS f1,
+  2 * (tp / (tp + fp)) * (CASE WHEN P > 0 THEN tp / P ELSE 1.0 END) / ((tp / (tp + fp)) + (CASE WHEN P > 0 THEN tp / P ELSE 1.0 END) + 1e-12) AS sf1
+ FROM cum),
+b AS (SELECT race, arg_max(s, (f1, -s)) FILTER (WHERE ok) AS bt, arg_max(s, (sf1, -s)) AS ft FROM m GROUP BY 1)
+SELECT race, round(coalesce(bt, ft, 0.5), 9) AS threshold, CASE WHEN bt IS NOT NULL THEN 'min_pos' ELSE 'fallback' END AS source FROM b""")
+
+ORACLE["score_losses_by_race"] = with_scores(r"""
+, c AS (SELECT race, y_true, least(greatest(y_prob, 1e-7), 1 - 1e-7) AS p FROM ehr_scores),
+t AS (SELECT race, CASE WHEN y_true = 1 THEN p ELSE 1 - p END AS pt, CASE WHEN y_true = 1 THEN 0.25 ELSE 0.75 END AS a_t FROM c)
+SELECT race, round(avg(-ln(pt)), 9) AS log_loss, round(avg(-a_t * pow(1 - pt, 2.0) * ln(pt)), 9) AS focal_loss FROM t GROUP BY 1""")
+
+ORACLE["class_balance_by_race"] = with_scores(r"""
+, c AS (SELECT race, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS pos FROM ehr_scores GROUP BY 1)
+SELECT race, n, pos, n - pos AS neg, round(pos / n, 9) AS prevalence, round((n - pos) / greatest(1, pos), 9) AS imbalance_ratio,
+ round(CASE WHEN pos > 0 THEN n / (2.0 * pos) END, 9) AS w_pos_balanced, round(CASE WHEN n - pos > 0 THEN n / (2.0 * (n - pos)) END, 9) AS w_neg_balanced,
+ round(CASE WHEN pos > 0 THEN 1.0 / pos END, 9) AS w_pos_inverse, round(CASE WHEN n - pos > 0 THEN 1.0 / (n - pos) END, 9) AS w_neg_inverse
+FROM c""")
