@@ -400,3 +400,94 @@ def q_losses(spark, sf_dir):
 @register("class_balance_by_race")
 def q_class_balance(spark, sf_dir):
     return comparable(X.class_balance(_scores(spark, sf_dir), "y_true", ["race"]))
+
+
+# ---- bootstrap and fairness ------------------------------------------------------
+from ..operators import bootstrap as BS  # noqa: E402
+from ..operators import fairness as FA  # noqa: E402
+
+
+def _scored_pred(spark, sf_dir):
+    return _scores(spark, sf_dir).withColumn("y_pred", TC.threshold(F.col("y_prob"), 0.5))
+
+
+def _los_top(spark, sf_dir):
+    return _los_scores(spark, sf_dir).select("hadm_id", "y_cls", "p0", "p1", "p2", "p3", "pred_cls")
+
+
+def _both(spark, sf_dir):
+    return _scored_pred(spark, sf_dir).join(_los_top(spark, sf_dir), "hadm_id")
+
+
+@register("bootstrap_ci_overall")
+def q_boot_overall(spark, sf_dir):
+    return comparable(BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "ap", "f1"], [], "hadm_id", 50, seed=42))
+
+
+@register("bootstrap_ci_stratified")
+def q_boot_strat(spark, sf_dir):
+    return comparable(BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "f1"], [], "hadm_id", 50, seed=42,
+                                      stratify="y_true"))
+
+
+@register("subgroup_report")
+def q_subgroup_report(spark, sf_dir):
+    s = FA.collapse_rare(_scored_pred(spark, sf_dir), "race", 50)
+    return comparable(FA.subgroup_report(s, "race", 50, 10, n_boot=60, seed=42, min_valid=50))
+
+
+@register("subgroup_metrics_nomin")
+def q_subgroup_nomin(spark, sf_dir):
+    return comparable(FA.subgroup_metrics(_scored_pred(spark, sf_dir), "race"))
+
+
+@register("subgroup_both_tasks")
+def q_subgroup_both(spark, sf_dir):
+    return comparable(FA.both_tasks_table(_scored_pred(spark, sf_dir), _los_top(spark, sf_dir), "race", n_boot=30))
+
+
+@register("subgroup_regression")
+def q_subgroup_regression(spark, sf_dir):
+    return comparable(FA.regression_report(_expected_class(_los_scores(spark, sf_dir)), "race", 50, n_boot=30))
+
+
+@register("disparity_gaps")
+def q_gaps(spark, sf_dir):
+    return comparable(FA.disparity_gaps(_both(spark, sf_dir), n_boot=30))
+
+
+@register("roc_by_race_supported")
+def q_roc_supported(spark, sf_dir):
+    return comparable(FA.roc_by_group(_scores(spark, sf_dir), "race", 50, 10))
+
+
+def _two_models(spark, sf_dir):
+    s = _scored_pred(spark, sf_dir)
+    a = s.select(F.lit("score").alias("model"), "hadm_id", "y_true", "y_prob")
+    b = s.select(F.lit("coarse").alias("model"), "hadm_id", "y_true",
+                 (F.floor(F.col("y_prob") * 10) / 10).alias("y_prob"))
+    return a.unionByName(b).withColumn("y_pred", TC.threshold(F.col("y_prob"), 0.5))
+
+
+@register("model_compare_roc")
+def q_model_roc(spark, sf_dir):
+    return comparable(M.roc_points(M.score_steps(_two_models(spark, sf_dir), ["model"]), ["model"]))
+
+
+@register("metric_ci_table")
+def q_metric_ci(spark, sf_dir):
+    ci = BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "ap", "f1"], [], "hadm_id", 50, seed=42)
+    return comparable(FA.metric_ci_table(ci))
+
+
+@register("metric_bundle")
+def q_metric_bundle(spark, sf_dir):
+    los = _los_top(spark, sf_dir)
+    los2 = los.withColumn("model", F.lit("score")).unionByName(los.withColumn("model", F.lit("coarse")))
+    return comparable(FA.metric_bundle(_two_models(spark, sf_dir), los2))
+
+
+@register("balanced_resample_counts")
+def q_balanced(spark, sf_dir):
+    r = BS.balanced_resample(_scores(spark, sf_dir), "y_true", "hadm_id", seed=42)
+    return r.groupBy("y_true").agg(F.count(F.lit(1)).alias("rows"))

@@ -734,3 +734,278 @@ SELECT race, n, pos, n - pos AS neg, round(pos / n, 9) AS prevalence, round((n -
  round(CASE WHEN pos > 0 THEN n / (2.0 * pos) END, 9) AS w_pos_balanced, round(CASE WHEN n - pos > 0 THEN n / (2.0 * (n - pos)) END, 9) AS w_neg_balanced,
  round(CASE WHEN pos > 0 THEN 1.0 / pos END, 9) AS w_pos_inverse, round(CASE WHEN n - pos > 0 THEN 1.0 / (n - pos) END, 9) AS w_neg_inverse
 FROM c""")
+
+# ---- weighted metric SQL builders (bootstrap / fairness oracles) ----------------------
+from ..operators.bootstrap import POISSON1_CDF  # noqa: E402
+
+
+def poisson_sql(u: str) -> str:
+    return "(" + " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in POISSON1_CDF) + ")"
+
+
+def rep_unit(seed: int, b: str, key: str) -> str:
+    return (f"(CAST('0x' || substr(md5('{seed}:' || CAST({b} AS VARCHAR) || ':' || CAST({key} AS VARCHAR)), 1, 8) "
+            f"AS BIGINT) / 4294967296.0)")
+
+
+def reps_sql(src: str, n_boot: int, seed: int = 42, key: str = "hadm_id") -> str:
+    """Rows x replicates with Poisson(1) weight > 0."""
+    return (f"SELECT * FROM (SELECT s.*, CAST(b.range AS INTEGER) AS replicate, "
+            f"CAST({poisson_sql(rep_unit(seed, 'b.range', 's.' + key))} AS DOUBLE) AS w "
+            f"FROM ({src}) s CROSS JOIN range(1, {n_boot + 1}) b) x WHERE w > 0")
+
+
+def gl(g) -> tuple[str, str, str]:
+    """(select prefix, partition list, group-by list) for group columns ``g``."""
+    if not g:
+        return "", "1", "ALL"
+    return ", ".join(g) + ", ", ", ".join(g), ", ".join(g)
+
+
+def auc_sql(src: str, g, w: str = "w") -> str:
+    """(g..., auroc, ap) from src(g..., y_true, y_prob, w)."""
+    sel, part, gb = gl(g)
+    return f"""SELECT {sel}CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (N - fp + 0.5 * neg)) / (max(P) * max(N)) END AS auroc,
+ CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * tp / (tp + fp)) / max(P) END AS ap FROM (
+ SELECT *, sum(pos) OVER (PARTITION BY {part} ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY {part} ORDER BY s DESC) AS fp,
+  sum(pos) OVER (PARTITION BY {part}) AS P, sum(neg) OVER (PARTITION BY {part}) AS N FROM (
+  SELECT {sel}y_prob AS s, sum({w} * y_true) AS pos, sum({w} * (1 - y_true)) AS neg FROM ({src}) q GROUP BY {sel}y_prob) a) c
+ GROUP BY {gb}"""
+
+
+def conf_sql(src: str, g, w: str = "w") -> str:
+    """(g..., precision, recall, f1, tpr, fpr) of y_pred."""
+    sel, _, gb = gl(g)
+    return f"""SELECT {sel}CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+ CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
+ CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1,
+ CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END AS tpr, CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END AS fpr FROM (
+ SELECT {sel}sum(CASE WHEN y_true = 1 AND y_pred = 1 THEN {w} ELSE 0 END) AS tp, sum(CASE WHEN y_true = 0 AND y_pred = 1 THEN {w} ELSE 0 END) AS fp,
+  sum(CASE WHEN y_true = 1 AND y_pred = 0 THEN {w} ELSE 0 END) AS fn, sum(CASE WHEN y_true = 0 AND y_pred = 0 THEN {w} ELSE 0 END) AS tn
+ FROM ({src}) q GROUP BY {gb}) c"""
+
+
+def macro_f1_sql(src: str, g, w: str = "w") -> str:
+    """(g..., los_macro_f1) over the union of true and predicted classes."""
+    sel, _, gb = gl(g)
+    return f"""SELECT {sel}avg(CASE WHEN 2 * tp + (pn - tp) + (sp - tp) > 0 THEN 2 * tp / (2 * tp + (pn - tp) + (sp - tp)) ELSE 0 END) AS los_macro_f1
+ FROM (SELECT {sel}cls, sum(sp) AS sp, sum(tp) AS tp, sum(pn) AS pn FROM (
+  SELECT {sel}y_cls AS cls, {w} AS sp, CASE WHEN y_cls = pred_cls THEN {w} ELSE 0 END AS tp, 0 AS pn FROM ({src}) q
+  UNION ALL SELECT {sel}pred_cls, 0, 0, {w} FROM ({src}) q2) u GROUP BY {sel}cls) c GROUP BY {gb}"""
+
+
+def ovr_sql(src: str, g, w: str = "w") -> str:
+    """(g..., los_auroc) = mean one-vs-rest AUROC, NULL when a class is degenerate."""
+    sel, _, gb = gl(g)
+    long = (f"SELECT {sel}k, CASE WHEN y_cls = k THEN 1 ELSE 0 END AS y_true, "
+            f"CASE k WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END AS y_prob, {w} AS w "
+            f"FROM ({src}) q CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(0, 4)) ks")
+    per = auc_sql(long, list(g) + ["k"])
+    return f"SELECT {sel}CASE WHEN count(auroc) = 4 THEN avg(auroc) END AS los_auroc FROM ({per}) a GROUP BY {gb}"
+
+
+def ci_sql(vals: str, g, col: str, min_valid: int = 1) -> str:
+    """(g..., lo, hi, n_valid) percentile interval of ``col`` over replicates."""
+    sel, _, gb = gl(g)
+    return (f"SELECT {sel}CASE WHEN count(*) >= {min_valid} THEN quantile_cont({col}, 0.025) END AS lo, "
+            f"CASE WHEN count(*) >= {min_valid} THEN quantile_cont({col}, 0.975) END AS hi, count(*) AS n_valid "
+            f"FROM ({vals}) v WHERE {col} IS NOT NULL AND NOT isnan({col}) GROUP BY {gb}")
+
+
+SCORED_PRED = "SELECT *, CAST(y_prob >= 0.5 AS INTEGER) AS y_pred FROM ehr_scores"
+LOS_TOP_SQL = ("SELECT hadm_id, y_cls, p0, p1, p2, p3, greatest(p0, p1, p2, p3) AS conf, "
+               "CAST(CASE WHEN p0 = greatest(p0, p1, p2, p3) THEN 0 WHEN p1 = greatest(p0, p1, p2, p3) THEN 1 "
+               "WHEN p2 = greatest(p0, p1, p2, p3) THEN 2 ELSE 3 END AS INTEGER) AS pred_cls FROM ehr_los_scores")
+BOTH_SQL = f"SELECT m.*, l.y_cls, l.p0, l.p1, l.p2, l.p3, l.pred_cls FROM ({SCORED_PRED}) m JOIN ({LOS_TOP_SQL}) l USING (hadm_id)"
+
+ONE = "CAST(1 AS DOUBLE) AS w"
+
+
+def _boot_overall(metrics, stratified: bool = False) -> str:
+    w = "w2" if stratified else "w"
+    pre = rf"""
+, src AS ({SCORED_PRED}),
+reps AS ({reps_sql('SELECT * FROM src', 50)}),
+"""
+    if stratified:
+        pre += r"""rw AS (
+ SELECT r.*, r.w * o.n_c / d.w_c AS w2 FROM reps r
+ JOIN (SELECT replicate, y_true, sum(w) AS w_c FROM reps GROUP BY 1, 2) d USING (replicate, y_true)
+ JOIN (SELECT y_true, count(*) AS n_c FROM src GROUP BY 1) o USING (y_true)),
+"""
+    rsrc = "SELECT * FROM rw" if stratified else "SELECT * FROM reps"
+    pre += rf"""pa AS ({auc_sql(f'SELECT *, {ONE} FROM src', [])}),
+pc AS ({conf_sql(f'SELECT *, {ONE} FROM src', [])}),
+ra AS ({auc_sql(rsrc, ['replicate'], w)}),
+rc AS ({conf_sql(rsrc, ['replicate'], w)})
+"""
+    parts = []
+    for m in metrics:
+        pt, rv = ("pa", "ra") if m in ("auroc", "ap") else ("pc", "rc")
+        parts.append(f"SELECT '{m}' AS metric, round(p.{m}, 9) AS point, round(c.lo, 9) AS lo, round(c.hi, 9) AS hi, "
+                     f"c.n_valid FROM {pt} p CROSS JOIN ({ci_sql(f'SELECT * FROM {rv}', [], m)}) c")
+    return pre, "\nUNION ALL ".join(parts)
+
+
+_p, _b = _boot_overall(["auroc", "ap", "f1"])
+ORACLE["bootstrap_ci_overall"] = with_scores(_p + _b)
+ORACLE["metric_ci_table"] = with_scores(
+    _p + ", ci AS (" + _b + ")\nSELECT metric, point, lo, hi, round(point - lo, 9) AS err_low, round(hi - point, 9) AS err_high FROM ci")
+_p, _b = _boot_overall(["auroc", "f1"], stratified=True)
+ORACLE["bootstrap_ci_stratified"] = with_scores(_p + _b)
+
+ORACLE["subgroup_report"] = with_scores(rf"""
+, b0 AS (SELECT *, coalesce(CASE WHEN CAST(race AS VARCHAR) <> '' THEN CAST(race AS VARCHAR) END, 'Unknown') AS cat FROM ({SCORED_PRED}) s),
+base AS (SELECT b0.* EXCLUDE (race, cat), CASE WHEN c.cnt < 50 THEN 'Other' ELSE b0.cat END AS race
+ FROM b0 JOIN (SELECT cat, count(*) AS cnt FROM b0 GROUP BY 1) c USING (cat)),
+sizes AS (SELECT race, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS positives FROM base GROUP BY 1),
+data AS (SELECT * FROM base WHERE race IN (SELECT race FROM sizes WHERE n >= 50)),
+pa AS ({auc_sql(f'SELECT *, {ONE} FROM data', ['race'])}),
+pc AS ({conf_sql(f'SELECT *, {ONE} FROM data', ['race'])}),
+reps AS ({reps_sql('SELECT * FROM data', 60)}),
+ra AS ({auc_sql('SELECT * FROM reps', ['race', 'replicate'])}),
+rc AS ({conf_sql('SELECT * FROM reps', ['race', 'replicate'])}),
+bo AS (SELECT ra.race, ra.replicate, ra.auroc, rc.f1 FROM ra JOIN rc USING (race, replicate) WHERE ra.auroc IS NOT NULL),
+ca AS ({ci_sql('SELECT * FROM bo', ['race'], 'auroc', 50)}),
+cf AS ({ci_sql('SELECT * FROM bo', ['race'], 'f1', 50)})
+SELECT s.race, s.n, s.positives, round(s.positives / s.n, 9) AS prevalence,
+ round(CASE WHEN s.positives >= 10 AND s.n - s.positives >= 1 THEN pa.auroc END, 9) AS auroc,
+ round(CASE WHEN s.positives >= 10 AND s.n - s.positives >= 1 THEN pa.ap END, 9) AS auprc,
+ round(pc.precision, 9) AS precision, round(pc.recall, 9) AS recall, round(pc.f1, 9) AS f1,
+ round(CASE WHEN s.positives >= 10 AND s.n - s.positives >= 1 THEN ca.lo END, 9) AS auroc_lo,
+ round(CASE WHEN s.positives >= 10 AND s.n - s.positives >= 1 THEN ca.hi END, 9) AS auroc_hi,
+ round(CASE WHEN s.positives >= 10 AND s.n - s.positives >= 1 THEN cf.lo END, 9) AS f1_lo,
+ round(CASE WHEN s.positives >= 10 AND s.n - s.positives >= 1 THEN cf.hi END, 9) AS f1_hi
+FROM sizes s JOIN pa USING (race) JOIN pc USING (race) LEFT JOIN ca USING (race) LEFT JOIN cf USING (race) WHERE s.n >= 50""")
+
+ORACLE["subgroup_metrics_nomin"] = with_scores(rf"""
+, src AS (SELECT *, {ONE} FROM ({SCORED_PRED}) s),
+pa AS ({auc_sql('SELECT * FROM src', ['race'])}),
+pc AS ({conf_sql('SELECT * FROM src', ['race'])})
+SELECT race, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS pos, round(any_value(pa.auroc), 9) AS auroc,
+ round(any_value(pa.ap), 9) AS auprc, round(any_value(pc.precision), 9) AS precision, round(any_value(pc.recall), 9) AS recall,
+ round(any_value(pc.f1), 9) AS f1
+FROM src JOIN pa USING (race) JOIN pc USING (race) GROUP BY race""")
+
+_BT = ["auroc", "ap", "f1", "los_macro_f1", "los_auroc"]
+_BT_NAMES = {"auroc": "mort_auc", "ap": "mort_ap", "f1": "mort_f1", "los_macro_f1": "los_f1", "los_auroc": "los_auc"}
+
+
+def _rep_metric(src: str, g, m: str, w: str = "w") -> str:
+    if m in ("auroc", "ap"):
+        return f"SELECT {', '.join(g)}, {m} AS value FROM ({auc_sql(src, g, w)}) a"
+    if m in ("f1", "precision", "recall", "tpr", "fpr"):
+        return f"SELECT {', '.join(g)}, {m} AS value FROM ({conf_sql(src, g, w)}) a"
+    if m == "los_macro_f1":
+        return f"SELECT {', '.join(g)}, los_macro_f1 AS value FROM ({macro_f1_sql(src, g, w)}) a"
+    return f"SELECT {', '.join(g)}, los_auroc AS value FROM ({ovr_sql(src, g, w)}) a"
+
+
+def _both_tasks_sql() -> str:
+    ctes = [f"src AS ({BOTH_SQL})", f"reps AS ({reps_sql('SELECT * FROM src', 30)})",
+            f"pa AS ({auc_sql(f'SELECT *, {ONE} FROM src', ['race'])})",
+            f"pc AS ({conf_sql(f'SELECT *, {ONE} FROM src', ['race'])})",
+            f"pf AS ({macro_f1_sql(f'SELECT *, {ONE} FROM src', ['race'])})",
+            f"po AS ({ovr_sql(f'SELECT *, {ONE} FROM src', ['race'])})",
+            "sz AS (SELECT race, count(*) AS n, avg(CAST(y_true AS DOUBLE)) AS mort_rate FROM src GROUP BY 1)"]
+    sel = []
+    for m in _BT:
+        ctes.append(f"ci_{m} AS ({ci_sql(_rep_metric('SELECT * FROM reps', ['race', 'replicate'], m), ['race'], 'value')})")
+        nm = _BT_NAMES[m]
+        sel += [f"round(CASE WHEN n >= 50 THEN ci_{m}.lo END, 9) AS {nm}_lo", f"round(CASE WHEN n >= 50 THEN ci_{m}.hi END, 9) AS {nm}_hi"]
+    joins = " ".join(f"LEFT JOIN ci_{m} USING (race)" for m in _BT)
+    return (", " + ",\n".join(ctes) + "\nSELECT race, n, round(mort_rate, 9) AS mort_rate, round(pa.auroc, 9) AS mort_auc, "
+            "round(pa.ap, 9) AS mort_ap, round(pc.f1, 9) AS mort_f1, round(pc.precision, 9) AS mort_precision, "
+            "round(pc.recall, 9) AS mort_recall, round(pc.tpr, 9) AS mort_tpr, round(pc.fpr, 9) AS mort_fpr, "
+            "round(pf.los_macro_f1, 9) AS los_macro_f1, round(po.los_auroc, 9) AS los_auc, " + ", ".join(sel) +
+            " FROM sz JOIN pa USING (race) JOIN pc USING (race) JOIN pf USING (race) JOIN po USING (race) " + joins)
+
+
+ORACLE["subgroup_both_tasks"] = with_scores(_both_tasks_sql())
+
+REG_SRC = ("SELECT hadm_id, race, CAST(y_cls AS DOUBLE) AS y, 0.0 * p0 + 1.0 * p1 + 2.0 * p2 + 3.0 * p3 AS yhat "
+           "FROM ehr_los_scores")
+
+
+def _reg_sql(src: str, g, w: str = "w") -> str:
+    sel, _, gb = gl(g)
+    return (f"SELECT {sel}sum({w} * abs(yhat - y)) / sum({w}) AS mae, sqrt(sum({w} * (yhat - y) * (yhat - y)) / sum({w})) AS rmse "
+            f"FROM ({src}) q GROUP BY {gb}")
+
+
+ORACLE["subgroup_regression"] = with_scores(rf"""
+, base AS ({REG_SRC}),
+sz AS (SELECT race, count(*) AS n FROM base GROUP BY 1),
+data AS (SELECT * FROM base WHERE race IN (SELECT race FROM sz WHERE n >= 50)),
+mu AS (SELECT race, avg(y) AS ybar FROM data GROUP BY 1),
+pe AS (SELECT d.race, avg(abs(yhat - y)) AS mae, sqrt(avg((yhat - y) * (yhat - y))) AS rmse, sum((yhat - y) * (yhat - y)) AS sse,
+       sum((y - ybar) * (y - ybar)) AS sst FROM data d JOIN mu USING (race) GROUP BY 1),
+reps AS ({reps_sql('SELECT * FROM data', 30)}),
+rr AS ({_reg_sql('SELECT * FROM reps', ['race', 'replicate'])}),
+cm AS ({ci_sql('SELECT * FROM rr', ['race'], 'mae')}),
+cr AS ({ci_sql('SELECT * FROM rr', ['race'], 'rmse')})
+SELECT race, n, round(pe.mae, 9) AS mae, round(pe.rmse, 9) AS rmse, round(CASE WHEN sst > 0 THEN 1 - sse / sst END, 9) AS r2,
+ round(cm.lo, 9) AS mae_lo, round(cm.hi, 9) AS mae_hi, round(cr.lo, 9) AS rmse_lo, round(cr.hi, 9) AS rmse_hi
+FROM sz JOIN pe USING (race) LEFT JOIN cm USING (race) LEFT JOIN cr USING (race) WHERE n >= 50""")
+
+
+def _gaps_sql(metrics) -> str:
+    ctes = [f"src AS ({BOTH_SQL})",
+            "el AS (SELECT * FROM src WHERE race IN (SELECT race FROM src GROUP BY race HAVING count(*) >= 25))",
+            f"reps AS ({reps_sql('SELECT * FROM el', 30)})"]
+    outs = []
+    for m in metrics:
+        pv = _rep_metric(f"SELECT *, {ONE} FROM el", ["race"], m)
+        rv = _rep_metric("SELECT * FROM reps", ["race", "replicate"], m)
+        ctes.append(f"pg_{m} AS (SELECT CASE WHEN count(value) FILTER (WHERE NOT isnan(value)) >= 2 THEN max(value) - min(value) END AS point "
+                    f"FROM ({pv}) p WHERE value IS NOT NULL AND NOT isnan(value))")
+        ctes.append(f"rg_{m} AS (SELECT replicate, CASE WHEN count(value) >= 2 THEN max(value) - min(value) END AS value "
+                    f"FROM ({rv}) r WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY replicate)")
+        ctes.append(f"cg_{m} AS ({ci_sql(f'SELECT * FROM rg_{m}', [], 'value')})")
+        outs.append(f"SELECT '{m}' AS metric, round(pg_{m}.point, 9) AS point, round(cg_{m}.lo, 9) AS lo, "
+                    f"round(cg_{m}.hi, 9) AS hi, cg_{m}.n_valid FROM pg_{m} LEFT JOIN cg_{m} ON TRUE")
+    return ", " + ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(outs)
+
+
+ORACLE["disparity_gaps"] = with_scores(_gaps_sql(["auroc", "ap", "f1", "los_macro_f1", "los_auroc", "tpr", "fpr"]))
+
+ORACLE["roc_by_race_supported"] = with_scores(r"""
+, ok AS (SELECT race FROM ehr_scores GROUP BY race HAVING count(*) >= 50 AND sum(y_true) >= 10 AND count(*) - sum(y_true) >= 1),
+d AS (SELECT * FROM ehr_scores WHERE race IN (SELECT race FROM ok)),
+st AS (SELECT race, y_prob AS s, sum(y_true) AS pos, count(*) - sum(y_true) AS neg FROM d GROUP BY 1, 2),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY race ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY race ORDER BY s DESC) AS fp,
+        sum(pos) OVER (PARTITION BY race) AS P, sum(neg) OVER (PARTITION BY race) AS N FROM st)
+SELECT race, s AS threshold, round(CASE WHEN N > 0 THEN fp / N END, 9) AS fpr, round(CASE WHEN P > 0 THEN tp / P END, 9) AS tpr FROM cum
+UNION ALL SELECT DISTINCT race, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM d""")
+
+TWO_MODELS = (f"SELECT *, CAST(y_prob >= 0.5 AS INTEGER) AS y_pred FROM (SELECT 'score' AS model, hadm_id, y_true, y_prob FROM ehr_scores "
+              f"UNION ALL SELECT 'coarse', hadm_id, y_true, floor(y_prob * 10) / 10 FROM ehr_scores) u")
+
+ORACLE["model_compare_roc"] = with_scores(rf"""
+, d AS ({TWO_MODELS}),
+st AS (SELECT model, y_prob AS s, sum(y_true) AS pos, count(*) - sum(y_true) AS neg FROM d GROUP BY 1, 2),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY model ORDER BY s DESC) AS tp, sum(neg) OVER (PARTITION BY model ORDER BY s DESC) AS fp,
+        sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N FROM st)
+SELECT model, round(s, 9) AS threshold, round(CASE WHEN N > 0 THEN fp / N END, 9) AS fpr, round(CASE WHEN P > 0 THEN tp / P END, 9) AS tpr FROM cum
+UNION ALL SELECT DISTINCT model, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM d""")
+
+ORACLE["metric_bundle"] = with_scores(rf"""
+, d AS (SELECT m.*, l.y_cls, l.p0, l.p1, l.p2, l.p3, l.pred_cls, {ONE} FROM ({TWO_MODELS}) m JOIN ({LOS_TOP_SQL}) l USING (hadm_id)),
+pa AS ({auc_sql('SELECT * FROM d', ['model'])}),
+pc AS ({conf_sql('SELECT * FROM d', ['model'])}),
+pf AS ({macro_f1_sql('SELECT * FROM d', ['model'])}),
+po AS ({ovr_sql('SELECT * FROM d', ['model'])}),
+ex AS (SELECT model, avg(pow(p0 - CASE WHEN y_cls = 0 THEN 1 ELSE 0 END, 2) + pow(p1 - CASE WHEN y_cls = 1 THEN 1 ELSE 0 END, 2)
+   + pow(p2 - CASE WHEN y_cls = 2 THEN 1 ELSE 0 END, 2) + pow(p3 - CASE WHEN y_cls = 3 THEN 1 ELSE 0 END, 2)) AS brier_multiclass,
+  avg(abs(p1 + 2.0 * p2 + 3.0 * p3 - y_cls)) AS mae, sqrt(avg(pow(p1 + 2.0 * p2 + 3.0 * p3 - y_cls, 2))) AS rmse,
+  (sum(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END)) / count(*) AS accuracy FROM d GROUP BY 1)
+SELECT model, round(pa.auroc, 9) AS auroc, round(pa.ap, 9) AS ap, round(pc.precision, 9) AS precision, round(pc.recall, 9) AS recall,
+ round(pc.f1, 9) AS f1, round(ex.accuracy, 9) AS accuracy, round(pf.los_macro_f1, 9) AS los_macro_f1, round(po.los_auroc, 9) AS los_auc,
+ round(ex.brier_multiclass, 9) AS brier_multiclass, round(ex.mae, 9) AS mae, round(ex.rmse, 9) AS rmse
+FROM pa JOIN pc USING (model) JOIN pf USING (model) JOIN po USING (model) JOIN ex USING (model)""")
+
+ORACLE["balanced_resample_counts"] = with_scores(rf"""
+, c AS (SELECT y_true, count(*) AS n_c FROM ehr_scores GROUP BY 1),
+k AS (SELECT count(*) AS k, sum(n_c) AS n FROM c),
+x AS (SELECT s.y_true, k.n / (k.k * c.n_c) AS lam, {rep_unit(42, "'0'", 's.hadm_id')} AS u FROM ehr_scores s JOIN c USING (y_true) CROSS JOIN k)
+SELECT y_true, CAST(sum(floor(lam) + CASE WHEN u < lam - floor(lam) THEN 1 ELSE 0 END) AS BIGINT) AS rows FROM x GROUP BY 1""")
