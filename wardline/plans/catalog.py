@@ -491,3 +491,107 @@ def q_metric_bundle(spark, sf_dir):
 def q_balanced(spark, sf_dir):
     r = BS.balanced_resample(_scores(spark, sf_dir), "y_true", "hadm_id", seed=42)
     return r.groupBy("y_true").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# ---- models ------------------------------------------------------------------------
+from ..operators import models as MD  # noqa: E402
+
+
+def _adm_split(spark, sf_dir):
+    return S.grouped_split(Cohort(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
+
+
+@register("median_impute_params")
+def q_medians(spark, sf_dir):
+    adm, cols = MD.numeric_block(_adm_split(spark, sf_dir))
+    return comparable(MD.fit_medians(adm.filter(F.col("split") != "test"), cols))
+
+
+@register("scale_params")
+def q_scale(spark, sf_dir):
+    adm, cols = MD.numeric_block(_adm_split(spark, sf_dir))
+    dev = adm.filter(F.col("split") != "test")
+    return comparable(MD.fit_scale(MD.impute_medians(dev, MD.fit_medians(dev, cols), cols), cols), digits=6)
+
+
+@register("multi_hot_counts")
+def q_multi_hot(spark, sf_dir):
+    return X.token_frequency(Cohort(spark, sf_dir).admissions, "ccsr_union", "ccsr_category")
+
+
+def _leaderboard(scored):
+    auc = M.auroc_ap(M.score_steps(scored, ["model"]), ["model"])
+    conf = M.confusion(scored, ["model"]).select("model", "precision", "recall", "f1", "accuracy")
+    return auc.join(conf, "model").orderBy(F.desc_nulls_last("auroc"), "model")
+
+
+@register("mortality_leaderboard")
+def q_mort_leaderboard(spark, sf_dir):
+    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    scored = MD.fit_and_score(prepared, MD.classifiers(num_trees=50, gbt_iter=50))
+    return _leaderboard(scored)
+
+
+@register("los_regression_leaderboard")
+def q_los_leaderboard(spark, sf_dir):
+    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    pred = MD.fit_and_predict_regression(prepared, MD.regressors(num_trees=50, gbt_iter=50))
+    return M.regression_errors(pred, ["model"]).orderBy("mae")
+
+
+@register("gbt_iteration_curve")
+def q_gbt_curve(spark, sf_dir):
+    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    return MD.gbt_curve(prepared, 30)
+
+
+@register("text_mortality_model")
+def q_text_model(spark, sf_dir):
+    rec = TX.token_records(Cohort(spark, sf_dir).features)
+    sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
+    pred = MD.text_classifier(sp, "y_mort").withColumn("y_prob", F.col("probs")[1])
+    return M.auroc_ap(M.score_steps(pred)).crossJoin(M.confusion(pred).select("f1"))
+
+
+@register("text_los_model")
+def q_text_los(spark, sf_dir):
+    rec = TX.token_records(Cohort(spark, sf_dir).features)
+    sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
+    pred = MD.text_classifier(sp, "y_los_cls", family="multinomial")
+    pred = pred.select("race", F.col("y_true").alias("y_cls"), F.col("y_pred").alias("pred_cls"),
+                       *[F.col("probs")[k].alias(f"p{k}") for k in range(4)])
+    f1 = M.multiclass_report(pred, [], "y_cls", "pred_cls").filter(F.col("label") == "macro avg").select("f1")
+    return f1.crossJoin(M.ovr_macro_auroc(pred, [], "y_cls"))
+
+
+@register("trajectory_model")
+def q_trajectory_model(spark, sf_dir):
+    feats = S.grouped_split(MD.trajectory_features(_seq(spark, sf_dir)), "subject_id", 0.2, 0.2, seed=42, val_seed=43)
+    cols = [c for c in feats.columns if c not in ("subject_id", "y", "race", "split")]
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml import Pipeline
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="raw", handleInvalid="keep"),
+                            StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+                            LogisticRegression(featuresCol="features", labelCol="y", maxIter=100)])
+    data = feats.withColumn("y", F.col("y").cast("double"))
+    pred = pipe.fit(data.filter(F.col("split") == "train")).transform(data.filter(F.col("split") == "test"))
+    pred = MD.positive_probability(pred, "lr").withColumn("y_true", F.col("y").cast("int"))
+    return M.auroc_ap(M.score_steps(pred, ["split"]), ["split"])
+
+
+@register("learning_curve_auroc")
+def q_learning_curve(spark, sf_dir):
+    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    from pyspark.ml.classification import LogisticRegression
+    train = S.learning_curve_subsets(prepared.filter(F.col("split") == "train"), "subject_id", 6, 0.1, 1.0, seed=11)
+    val = prepared.filter(F.col("split") == "val")
+    out = None
+    for j in range(6):
+        m = LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=50).fit(
+            train.filter(F.col("subset") == j))
+        pred = MD.positive_probability(m.transform(val), "lr").withColumn("y_true", F.col("y")).withColumn(
+            "subset", F.lit(j))
+        one = M.auroc_ap(M.score_steps(pred, ["subset"]), ["subset"])
+        out = one if out is None else out.unionByName(one)
+    return out

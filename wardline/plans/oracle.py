@@ -1009,3 +1009,25 @@ ORACLE["balanced_resample_counts"] = with_scores(rf"""
 k AS (SELECT count(*) AS k, sum(n_c) AS n FROM c),
 x AS (SELECT s.y_true, k.n / (k.k * c.n_c) AS lam, {rep_unit(42, "'0'", 's.hadm_id')} AS u FROM ehr_scores s JOIN c USING (y_true) CROSS JOIN k)
 SELECT y_true, CAST(sum(floor(lam) + CASE WHEN u < lam - floor(lam) THEN 1 ELSE 0 END) AS BIGINT) AS rows FROM x GROUP BY 1""")
+
+# ---- model inputs -----------------------------------------------------------------
+MATRIX_COLS = ("adm_day", "adm_hour", "adm_month", "adm_weekday", "adm_weekend", "adm_year", "admission_type_code",
+               "age_at_admit", "anchor_age", "anchor_year", "gender_code", "icd_version", "n_ccsr", "n_ccsr_unique",
+               "n_dx_rows", "race_code", "seq_num")
+_FIRST = [c for c in MATRIX_COLS if c not in ("n_ccsr_unique", "n_dx_rows", "seq_num")]
+DEV_MATRIX = (", mat AS (SELECT hadm_id, arg_min(subject_id, seq_num) AS subject_id, " +
+              ", ".join(f"CAST(arg_min({c}, seq_num) FILTER (WHERE {c} IS NOT NULL) AS DOUBLE) AS {c}" for c in _FIRST) +
+              ", CAST(min(seq_num) AS DOUBLE) AS seq_num, CAST(count(*) AS DOUBLE) AS n_dx_rows FROM feat GROUP BY hadm_id),\n"
+              "un AS (SELECT hadm_id, CAST(count(DISTINCT ccsr_category) AS DOUBLE) AS k FROM row_cats GROUP BY 1),\n"
+              "dev AS (SELECT m.*, coalesce(un.k, 0) AS n_ccsr_unique FROM mat m LEFT JOIN un USING (hadm_id) "
+              f"WHERE NOT ({md5_unit(42, 'm.subject_id')} < 0.2))\n")
+ORACLE["median_impute_params"] = with_cohort(
+    DEV_MATRIX + "SELECT " + ", ".join(f"round(quantile_cont({c}, 0.5), 9) AS {c}__median" for c in MATRIX_COLS) + " FROM dev",
+    *HCF)
+ORACLE["scale_params"] = with_cohort(
+    DEV_MATRIX + ", med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in MATRIX_COLS) + " FROM dev)\n"
+    "SELECT " + ", ".join(f"round(stddev_pop(coalesce({c}, m_{c}, 0.0)), 6) AS {c}__std" for c in MATRIX_COLS) +
+    " FROM dev CROSS JOIN med", *HCF)
+ORACLE["multi_hot_counts"] = with_cohort(
+    ", un AS (SELECT DISTINCT hadm_id, ccsr_category FROM row_cats)\n"
+    "SELECT ccsr_category, count(*) AS count FROM un GROUP BY 1", *HCF)
