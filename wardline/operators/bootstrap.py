@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from ..plans.sizing import checked_broadcast
+from ..plans.sizing import checked_broadcast, materialise
 
 # Poisson(1) cumulative probabilities P(K <= k), k = 0..11 (rule, not a table).
 POISSON1_CDF = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
@@ -48,8 +48,11 @@ def replicate(df: DataFrame, key: str, n_boot: int, seed: int = 42, method: str
     resample does.
     """
     rep = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    rep = rep.withColumn("w", poisson1(unit_from_hash(seed, F.col("replicate"), F.col(key), method)).cast("double"))
-    rep = rep.filter(F.col("w") > 0)
+    rep = rep.withColumn("_u", unit_from_hash(seed, F.col("replicate"), F.col(key), method))
+    # weight > 0  <=>  u >= P(K = 0); filtering on u keeps the hash out of the
+    # Poisson expression when the optimizer pushes the filter down
+    rep = rep.filter(F.col("_u") >= F.lit(POISSON1_CDF[0]))
+    rep = rep.withColumn("w", poisson1(F.col("_u")).cast("double")).drop("_u")
     if stratify:
         g = list(group)
         orig = df.groupBy(*g, stratify).agg(F.count(F.lit(1)).alias("_n_c"))
@@ -85,6 +88,28 @@ METRICS: dict[str, MetricFn] = {
 }
 
 
+# Columns each metric reads; replicate rows are reduced to these (weights summed).
+METRIC_INPUTS = {
+    "auroc": ("y_true", "y_prob"), "ap": ("y_true", "y_prob"),
+    "f1": ("y_true", "y_pred"), "precision": ("y_true", "y_pred"), "recall": ("y_true", "y_pred"),
+    "tpr": ("y_true", "y_pred"), "fpr": ("y_true", "y_pred"),
+    "los_macro_f1": ("y_cls", "pred_cls"), "los_auroc": ("y_cls", "p0", "p1", "p2", "p3"),
+    "mae": ("y", "yhat"), "rmse": ("y", "yhat"),
+}
+
+
+def reduced_replicates(df: DataFrame, metrics: Sequence[str], key: str, n_boot: int, seed: int = 42,
+                       method: str = "md5", stratify: str | None = None, group: Sequence[str] = ()) -> DataFrame:
+    """The replicate plan shared by all metrics: rows x replicates with Poisson
+    weights, reduced to one weighted row per (group, replicate, distinct metric
+    inputs) with map-side partial aggregation, and materialised once. Its size is
+    bounded by distinct inputs per replicate, not by rows x replicates."""
+    cols = sorted({c for m in metrics for c in METRIC_INPUTS[m]})
+    rep = replicate(df, key, n_boot, seed, method, stratify, group)
+    red = rep.groupBy(*group, "replicate", *cols).agg(F.sum("w").alias("w"))
+    return materialise(red)
+
+
 def percentile_ci(values: DataFrame, group: Sequence[str], alpha: float = 0.05,
                   min_valid: int = 1) -> DataFrame:
     """Exact percentile interval over the finite replicate values, NULL when fewer
@@ -107,7 +132,7 @@ def bootstrap_ci(scored: DataFrame, metrics: Sequence[str], group: Sequence[str]
     skipped; CIs need ``min_valid`` valid replicates. One row per (group, metric).
     """
     g = list(group)
-    rep = replicate(scored, key, n_boot, seed, method, stratify, g)
+    rep = reduced_replicates(scored, metrics, key, n_boot, seed, method, stratify, g)
     out = None
     for name in metrics:
         fn = METRICS[name]
@@ -137,7 +162,7 @@ def gap_ci(scored: DataFrame, metric: str, group: str = "race", key: str = "hadm
 
     point = gap(fn(eligible, [group], None), [])
     point = point.withColumnRenamed("value", "point")
-    rep = replicate(eligible, key, n_boot, seed, method)
+    rep = reduced_replicates(eligible, [metric], key, n_boot, seed, method, None, [group])
     reps = gap(fn(rep, [group, "replicate"], "w"), ["replicate"])
     ci = percentile_ci(reps, [], alpha, 1)
     return point.withColumn("_k", F.lit(1)).join(ci.withColumn("_k", F.lit(1)), "_k", "left").drop("_k") \

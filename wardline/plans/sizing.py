@@ -9,6 +9,8 @@ shipped to every executor.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,15 @@ DEFAULT_MAX_ROWS = 500_000
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint into ``spark.checkpoint.dir``."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a Parquet table under the shared ``spark.checkpoint.dir``
+    and read it back: lineage is cut (a lost executor re-reads files instead of
+    recomputing the plan), the plan runs exactly once (an eager ``checkpoint()``
+    runs it twice unless cached), and later scans prune columns and push filters."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/wardline-tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
