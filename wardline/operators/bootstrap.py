@@ -145,13 +145,19 @@ def bootstrap_ci(scored: DataFrame, metrics: Sequence[str], group: Sequence[str]
     return out
 
 
+def eligible_groups(scored: DataFrame, group: str, min_n: int) -> DataFrame:
+    """Rows of the groups with at least ``min_n`` rows (a partial count + semi join)."""
+    sizes = scored.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    return scored.join(sizes.filter(F.col("_n") >= min_n).select(group), group, "left_semi")
+
+
 def gap_ci(scored: DataFrame, metric: str, group: str = "race", key: str = "hadm_id", n_boot: int = 2000,
-           alpha: float = 0.05, seed: int = 42, min_n: int = 25, method: str = "md5") -> DataFrame:
+           alpha: float = 0.05, seed: int = 42, min_n: int = 25, method: str = "md5",
+           reps: DataFrame | None = None) -> DataFrame:
     """Disparity gap max(metric_g) - min(metric_g) over groups with at least
     ``min_n`` rows and a defined metric (NULL with fewer than 2 such groups), with a
     within-group bootstrap CI."""
-    sizes = scored.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    eligible = scored.join(sizes.filter(F.col("_n") >= min_n).select(group), group, "left_semi")
+    eligible = eligible_groups(scored, group, min_n)
     fn = METRICS[metric]
 
     def gap(vals: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -162,7 +168,7 @@ def gap_ci(scored: DataFrame, metric: str, group: str = "race", key: str = "hadm
 
     point = gap(fn(eligible, [group], None), [])
     point = point.withColumnRenamed("value", "point")
-    rep = reduced_replicates(eligible, [metric], key, n_boot, seed, method, None, [group])
+    rep = reps if reps is not None else reduced_replicates(eligible, [metric], key, n_boot, seed, method, None, [group])
     reps = gap(fn(rep, [group, "replicate"], "w"), ["replicate"])
     ci = percentile_ci(reps, [], alpha, 1)
     return point.withColumn("_k", F.lit(1)).join(ci.withColumn("_k", F.lit(1)), "_k", "left").drop("_k") \

@@ -50,7 +50,9 @@ class Cohort:
 
     @cached_property
     def code_table(self) -> DataFrame:
-        return FE.code_table(FE.clean_demographics(self.with_ccsr))
+        # the category join keeps every row and leaves the demographics untouched, so
+        # the codes are fitted on the (materialised) harmonised rows directly
+        return FE.code_table(FE.clean_demographics(self.harmonised))
 
     @cached_property
     def features(self) -> DataFrame:
