@@ -595,3 +595,52 @@ def q_learning_curve(spark, sf_dir):
         one = M.auroc_ap(M.score_steps(pred, ["subset"]), ["subset"])
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ---- sources and sinks -----------------------------------------------------------
+from ..sources import io as IO  # noqa: E402
+from .session import ensure_checkpoint_dir  # noqa: E402
+
+
+def _scratch(spark, name):
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardline-io/{name}-{uuid.uuid4().hex}"
+
+
+@register("csv_roundtrip_admissions")
+def q_csv_admissions(spark, sf_dir):
+    """A3 -> A1 + A7: admissions written as CSV with a pandas-style index column, read
+    back with the declared schema; absent columns come back NULL."""
+    adm = Cohort(spark, sf_dir).inputs.ehr_admissions
+    path = _scratch(spark, "admissions")
+    IO.write_table(adm.select(F.col("hadm_id").cast("string").alias("Unnamed: 0"), *adm.columns), path, "csv")
+    back = IO.read_csv_typed(spark, path, IO.ADMISSIONS_SCHEMA)
+    return back.select("subject_id", "hadm_id", "admittime", "dischtime", "deathtime", "admission_type",
+                       "insurance", "race", "hospital_expire_flag")
+
+
+@register("csv_strings_patients")
+def q_csv_patients(spark, sf_dir):
+    """A3 -> A2 + C8: all-text read keeps blank and padded values; blanks -> NULL after."""
+    pat = Cohort(spark, sf_dir).inputs.ehr_patients
+    path = _scratch(spark, "patients")
+    IO.write_table(pat, path, "csv")
+    s = IO.read_csv_strings(spark, path)
+    return s.select("subject_id", F.col("gender").alias("gender_raw"), C.blank_to_null(F.col("gender")).alias("gender"),
+                    "anchor_age", "anchor_year")
+
+
+@register("parquet_dx_lists_roundtrip")
+def q_parquet_lists(spark, sf_dir):
+    """A3 (Parquet keeps arrays) + A4 (code table as JSON) read back."""
+    c = Cohort(spark, sf_dir)
+    path, cpath = _scratch(spark, "dx"), _scratch(spark, "codes")
+    IO.write_table(c.with_ccsr.select("subject_id", "hadm_id", "seq_num", "ccsr_list_sorted"), path)
+    IO.write_code_table(c.code_table, cpath)
+    back = spark.read.parquet(path)
+    codes = spark.read.schema("feature string, value string, code int").json(cpath)
+    n_codes = codes.agg(F.count(F.lit(1)).alias("n_codes"))
+    return comparable(X.attach_scalars(back, n_codes))
+
+
+from ..functions import codes as C  # noqa: E402

@@ -1031,3 +1031,16 @@ ORACLE["scale_params"] = with_cohort(
 ORACLE["multi_hot_counts"] = with_cohort(
     ", un AS (SELECT DISTINCT hadm_id, ccsr_category FROM row_cats)\n"
     "SELECT ccsr_category, count(*) AS count FROM un GROUP BY 1", *HCF)
+
+# ---- sources and sinks -------------------------------------------------------------
+ORACLE["csv_roundtrip_admissions"] = with_cohort(
+    "SELECT subject_id, hadm_id, admittime, dischtime, deathtime, admission_type, insurance, race, hospital_expire_flag "
+    "FROM ehr_admissions", views=("ehr_admissions",))
+ORACLE["csv_strings_patients"] = with_cohort(
+    f"SELECT CAST(subject_id AS VARCHAR) AS subject_id, gender AS gender_raw, {blank_null('gender')} AS gender, "
+    "CAST(anchor_age AS VARCHAR) AS anchor_age, CAST(anchor_year AS VARCHAR) AS anchor_year FROM ehr_patients",
+    views=("ehr_patients",))
+ORACLE["parquet_dx_lists_roundtrip"] = with_cohort(
+    ", nc AS (SELECT count(*) AS n_codes FROM codes)\n"
+    "SELECT h.subject_id, h.hadm_id, h.seq_num, rl.ccsr_list_sorted, nc.n_codes FROM harm h "
+    "LEFT JOIN row_lists rl USING (subject_id, hadm_id, seq_num) CROSS JOIN nc", *HCF)
