@@ -644,3 +644,90 @@ def q_parquet_lists(spark, sf_dir):
 
 
 from ..functions import codes as C  # noqa: E402
+
+
+# ---- remaining operators: sinks, inference, previews, text, streaming --------------
+@register("trajectory_sink_roundtrip")
+def q_traj_sink(spark, sf_dir):
+    """A5: padded trajectories written partitioned by split and read back."""
+    seq = _seq_split(spark, sf_dir)
+    pad = TR.padded_patients(TR.token_ids(seq, _seq_vocab(spark, sf_dir, seq)))
+    pad = pad.join(seq.select("subject_id", "split").distinct(), "subject_id")
+    path = _scratch(spark, "trajectories")
+    IO.write_trajectories(pad, path)
+    back = spark.read.parquet(path)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("patients"),
+                                     F.sum(F.aggregate("adm_mask", F.lit(0), lambda a, x: a + x)).alias("admissions"))
+
+
+@register("dx_version_inferred")
+def q_version_inferred(spark, sf_dir):
+    """Mapping when the version column is absent (code shape decides)."""
+    c = Cohort(spark, sf_dir, persist=False)
+    m = H.map_codes(c.merged.drop("icd_version"), c.inputs.ehr_icd9_map, version_col="icd_version")
+    return comparable(m.select("subject_id", "hadm_id", "seq_num", "dx_norm", "icd10_full", "icd10_3char"))
+
+
+@register("calibration_top_groups")
+def q_calibration_top(spark, sf_dir):
+    """Calibration of the six largest groups."""
+    s = _scores(spark, sf_dir)
+    sizes = s.groupBy("race").agg(F.count(F.lit(1)).alias("n"))
+    top = X.top_k(sizes, 6, "n", "race")
+    data = s.join(top.select("race"), "race", "left_semi")
+    e = M.ece(M.reliability(data, ["race"]), ["race"])
+    return comparable(top.join(M.brier(data, ["race"]), "race").join(e, "race"))
+
+
+@register("feature_preview")
+def q_preview(spark, sf_dir):
+    """First five feature rows in key order."""
+    f = Cohort(spark, sf_dir).features.select("subject_id", "hadm_id", "seq_num", "icd10_full", "los_days")
+    return comparable(X.preview(f, 5, ["subject_id", "hadm_id", "seq_num"]))
+
+
+@register("csv_list_column_roundtrip")
+def q_csv_lists(spark, sf_dir):
+    """J9 + J10: category lists through CSV (as list literals) parsed back."""
+    c = Cohort(spark, sf_dir)
+    d = c.with_ccsr.select("subject_id", "hadm_id", "seq_num", "ccsr_list_sorted")
+    path = _scratch(spark, "lists")
+    IO.write_table(d, path, "csv")
+    s = IO.read_csv_strings(spark, path)
+    return comparable(s.select(F.col("subject_id").cast("bigint").alias("subject_id"),
+                               F.col("hadm_id").cast("bigint").alias("hadm_id"),
+                               F.col("seq_num").cast("int").alias("seq_num"),
+                               C.parse_list(F.col("ccsr_list_sorted")).alias("ccsr_list_sorted"),
+                               C.list_length(F.col("ccsr_list_sorted")).alias("n_ccsr")))
+
+
+@register("ci_report_text")
+def q_ci_text(spark, sf_dir):
+    """J19 + J20: percent-scaled 'p (lo, hi)' text and file-safe metric names."""
+    ci = BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "f1"], [], "hadm_id", 50, seed=42)
+    return ci.select(C.safe_name(F.concat(F.lit("Mortality "), F.col("metric"), F.lit(" (95% CI)"))).alias("name"),
+                     C.fmt_ci(C.pct(F.col("point")), C.pct(F.col("lo")), C.pct(F.col("hi")), 2).alias("text"))
+
+
+@register("los_softmax_argmax")
+def q_softmax(spark, sf_dir):
+    """K9: softmax of log-probabilities and its argmax."""
+    s = Cohort(spark, sf_dir).inputs.ehr_los_scores
+    logits = F.array(*[F.log(F.col(c)) for c in PROBS])
+    out = s.select("hadm_id", TC.softmax(logits).alias("sm"), TC.argmax(logits).alias("pred_cls"),
+                   TC.sigmoid(F.log(F.col("p0") / (F.lit(1.0) - F.col("p0")))).alias("p0_back"))
+    return comparable(out.select("hadm_id", "pred_cls", F.array_max("sm").alias("p_max"), "p0_back"))
+
+
+@register("streaming_dx_harmonised")
+def q_stream(spark, sf_dir):
+    """Structured Streaming: diagnosis files harmonised by stream-static joins."""
+    from ..streaming.incremental import run_once
+    c = Cohort(spark, sf_dir)
+    src, sink, ck = _scratch(spark, "dx-src"), _scratch(spark, "dx-sink"), _scratch(spark, "dx-ckpt")
+    dx = c.inputs.ehr_diagnoses
+    dx.write.parquet(src)
+    run_once(spark, src, dx.schema, c.inputs.ehr_icd9_map, sink, ck, c.ccsr_long)
+    out = spark.read.parquet(sink)
+    return comparable(out.select("subject_id", "hadm_id", "seq_num", "dx_norm", "icd10_full", "icd10_3char",
+                                 "ccsr_list_sorted", "n_ccsr"))

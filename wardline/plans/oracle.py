@@ -1044,3 +1044,40 @@ ORACLE["parquet_dx_lists_roundtrip"] = with_cohort(
     ", nc AS (SELECT count(*) AS n_codes FROM codes)\n"
     "SELECT h.subject_id, h.hadm_id, h.seq_num, rl.ccsr_list_sorted, nc.n_codes FROM harm h "
     "LEFT JOIN row_lists rl USING (subject_id, hadm_id, seq_num) CROSS JOIN nc", *HCF)
+
+ORACLE["trajectory_sink_roundtrip"] = with_seq(
+    "SELECT split, count(*) AS patients, CAST(sum(least(n, 20)) AS BIGINT) AS admissions FROM ("
+    "SELECT subject_id, any_value(split) AS split, count(*) AS n FROM seq_split GROUP BY 1) p GROUP BY 1")
+
+ORACLE["dx_version_inferred"] = with_cohort(rf"""
+, v AS (SELECT *, CASE WHEN regexp_matches(coalesce(dx_norm, ''), '^[A-Z]') THEN 10
+                       WHEN regexp_matches(coalesce(dx_norm, ''), '^[0-9]') THEN 9 END AS ver FROM normed),
+m AS (SELECT v.*, CASE WHEN ver = 10 THEN dx_norm WHEN ver = 9 THEN xw.dst END AS icd10_full
+      FROM v LEFT JOIN xw ON v.ver = 9 AND v.dx_norm = xw.src)
+SELECT subject_id, hadm_id, seq_num, dx_norm, icd10_full,
+ nullif(regexp_extract(upper(replace({strip('icd10_full')}, '.', '')), '^([A-Z][0-9]{{2}})', 1), '') AS icd10_3char FROM m""",
+    HARMONISED)
+
+ORACLE["calibration_top_groups"] = with_scores(RELIABILITY + r"""
+, sz AS (SELECT race, count(*) AS n FROM ehr_scores GROUP BY 1 ORDER BY n DESC, race LIMIT 6),
+e AS (SELECT race, sum(CASE WHEN count > 0 THEN abs(frac_pos - mean_pred) * count END) / sum(count) AS ece FROM rel GROUP BY 1),
+br AS (SELECT race, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM ehr_scores GROUP BY 1)
+SELECT race, n, round(brier, 9) AS brier, round(ece, 9) AS ece FROM sz JOIN br USING (race) JOIN e USING (race)""")
+
+ORACLE["feature_preview"] = with_cohort(
+    "SELECT subject_id, hadm_id, seq_num, icd10_full, round(los_days, 9) AS los_days FROM feat "
+    "ORDER BY subject_id, hadm_id, seq_num LIMIT 5", *HCF)
+
+ORACLE["csv_list_column_roundtrip"] = with_cohort(
+    "SELECT h.subject_id, h.hadm_id, h.seq_num, coalesce(rl.ccsr_list_sorted, '') AS ccsr_list_sorted, "
+    "coalesce(rl.n_ccsr, 0) AS n_ccsr FROM harm h LEFT JOIN row_lists rl USING (subject_id, hadm_id, seq_num)", *HC)
+
+ORACLE["los_softmax_argmax"] = with_scores(
+    "SELECT hadm_id, CAST(CASE WHEN p0 = greatest(p0, p1, p2, p3) THEN 0 WHEN p1 = greatest(p0, p1, p2, p3) THEN 1 "
+    "WHEN p2 = greatest(p0, p1, p2, p3) THEN 2 ELSE 3 END AS INTEGER) AS pred_cls, "
+    "round(greatest(p0, p1, p2, p3), 9) AS p_max, round(p0, 9) AS p0_back FROM ehr_los_scores")
+
+ORACLE["streaming_dx_harmonised"] = with_cohort(
+    ", d AS (SELECT subject_id, hadm_id, seq_num, dx_norm, icd10_full, icd10_3char FROM mapped3)\n"
+    "SELECT d.*, rl.ccsr_list_sorted, coalesce(rl.n_ccsr, 0) AS n_ccsr FROM d "
+    "LEFT JOIN row_lists rl USING (subject_id, hadm_id, seq_num)", *HC)
