@@ -37,7 +37,7 @@ def test_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_model():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= SLOW | {"model_matrix"}
+    assert missing <= SLOW
 
 
 def test_entry_runs(spark):

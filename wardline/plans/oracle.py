@@ -1081,3 +1081,14 @@ ORACLE["streaming_dx_harmonised"] = with_cohort(
     ", d AS (SELECT subject_id, hadm_id, seq_num, dx_norm, icd10_full, icd10_3char FROM mapped3)\n"
     "SELECT d.*, rl.ccsr_list_sorted, coalesce(rl.n_ccsr, 0) AS n_ccsr FROM d "
     "LEFT JOIN row_lists rl USING (subject_id, hadm_id, seq_num)", *HC)
+
+ORACLE["model_matrix"] = with_cohort(
+    DEV_MATRIX.replace(f"WHERE NOT ({md5_unit(42, 'm.subject_id')} < 0.2)", "").replace(
+        ", mat AS (SELECT hadm_id, arg_min(subject_id, seq_num) AS subject_id, ",
+        ", mat AS (SELECT hadm_id, arg_min(subject_id, seq_num) AS subject_id, "
+        "CAST(arg_min(hospital_expire_flag, seq_num) FILTER (WHERE hospital_expire_flag IS NOT NULL) AS INTEGER) AS y_cls, "
+        "arg_min(los_days, seq_num) FILTER (WHERE los_days IS NOT NULL) AS y_reg, ")
+    + "SELECT hadm_id, subject_id, y_cls, round(y_reg, 9) AS y_reg, "
+    + ", ".join(f"round({c}, 9) AS {c}" for c in MATRIX_COLS)
+    + ", coalesce(y_reg IS NOT NULL AND NOT isnan(y_reg) AND abs(y_reg) < CAST('inf' AS DOUBLE), false) AS reg_ok FROM dev",
+    *HCF)
