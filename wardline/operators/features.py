@@ -28,21 +28,16 @@ def clean_demographics(df: DataFrame) -> DataFrame:
 def code_table(df: DataFrame, columns: Sequence[str] = CODED_COLUMNS) -> DataFrame:
     """J14 (+A4 payload): (feature, value, code) with codes 0.. in sorted value order.
 
-    Values are the stripped, non-blank distinct values of each column; the window
-    runs over distinct values only (a categorical domain), not over rows.
+    Values are the stripped, non-blank distinct values of each column, taken in one
+    scan; the window runs over distinct values only (a categorical domain), not rows.
     """
-    parts = []
-    for c in columns:
-        if c not in df.columns:
-            continue
-        v = C.strip_ws(F.col(c).cast("string"))
-        parts.append(df.select(F.lit(c).alias("feature"), F.when(~v.isin(*C.BLANKS), v).alias("value")))
-    if not parts:
+    present = [c for c in columns if c in df.columns]
+    if not present:
         raise ValueError("none of the columns to encode is present")
-    vals = parts[0]
-    for p in parts[1:]:
-        vals = vals.unionByName(p)
-    vals = vals.filter(F.col("value").isNotNull()).distinct()
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), C.strip_ws(F.col(c).cast("string")).alias("value"))
+                      for c in present])
+    vals = df.select(F.inline(pairs)).filter(F.col("value").isNotNull() & ~F.col("value").isin(*C.BLANKS))
+    vals = vals.distinct()
     w = Window.partitionBy("feature").orderBy("value")
     return vals.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
 

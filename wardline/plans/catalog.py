@@ -20,7 +20,7 @@ def register(name: str):
 
 @register("category_outcomes")
 def q_category_outcomes(spark, sf_dir):
-    return comparable(category_outcomes(Cohort(spark, sf_dir).features))
+    return comparable(category_outcomes(Cohort.of(spark, sf_dir).features))
 
 
 # ---- harmonisation ------------------------------------------------------------
@@ -50,24 +50,24 @@ def q_unmapped(spark, sf_dir):
 
 @register("ccsr_long")
 def q_ccsr_long(spark, sf_dir):
-    return comparable(Cohort(spark, sf_dir).ccsr_long)
+    return comparable(Cohort.of(spark, sf_dir).ccsr_long)
 
 
 @register("ccsr_category_codes")
 def q_ccsr_codes(spark, sf_dir):
-    return comparable(H.ccsr_category_codes(Cohort(spark, sf_dir).inputs.ccsr_dimension()))
+    return comparable(H.ccsr_category_codes(Cohort.of(spark, sf_dir).inputs.ccsr_dimension()))
 
 
 @register("dx_categories")
 def q_dx_categories(spark, sf_dir):
-    d = FE.count_categories(Cohort(spark, sf_dir).with_ccsr)
+    d = FE.count_categories(Cohort.of(spark, sf_dir).with_ccsr)
     return comparable(d.select("subject_id", "hadm_id", "seq_num", "icd10_full", "ccsr_list_sorted",
                                "ccsr_description", "n_ccsr"))
 
 
 @register("multi_category_rows")
 def q_multi(spark, sf_dir):
-    d = H.multi_category_rows(Cohort(spark, sf_dir).with_ccsr)
+    d = H.multi_category_rows(Cohort.of(spark, sf_dir).with_ccsr)
     return comparable(d.select("subject_id", "hadm_id", "seq_num", "ccsr_list_sorted"))
 
 
@@ -81,54 +81,54 @@ FEATURE_COLS = ["subject_id", "hadm_id", "seq_num", "gender", "race", "admission
 
 @register("feature_table")
 def q_feature_table(spark, sf_dir):
-    return comparable(Cohort(spark, sf_dir).features.select(*FEATURE_COLS))
+    return comparable(Cohort.of(spark, sf_dir).features.select(*FEATURE_COLS))
 
 
 @register("label_codes")
 def q_label_codes(spark, sf_dir):
-    return comparable(Cohort(spark, sf_dir).code_table)
+    return comparable(Cohort.of(spark, sf_dir).code_table)
 
 
 @register("minors")
 def q_minors(spark, sf_dir):
-    f = FE.minors(Cohort(spark, sf_dir).features)
+    f = FE.minors(Cohort.of(spark, sf_dir).features)
     return comparable(f.select("subject_id", "hadm_id", "seq_num", "age_at_admit"))
 
 
 @register("patient_mortality")
 def q_patient_mortality(spark, sf_dir):
-    return comparable(X.patient_mortality(Cohort(spark, sf_dir).features))
+    return comparable(X.patient_mortality(Cohort.of(spark, sf_dir).features))
 
 
 @register("race_share")
 def q_race_share(spark, sf_dir):
-    return comparable(X.share_of_total(X.frequency(Cohort(spark, sf_dir).features, "race")))
+    return comparable(X.share_of_total(X.frequency(Cohort.of(spark, sf_dir).features, "race")))
 
 
 @register("top_categories")
 def q_top_categories(spark, sf_dir):
-    counts = X.token_frequency(Cohort(spark, sf_dir).features, "ccsr_list_sorted", "ccsr_category")
+    counts = X.token_frequency(Cohort.of(spark, sf_dir).features, "ccsr_list_sorted", "ccsr_category")
     return comparable(X.top_k(counts, 10, "count", "ccsr_category"))
 
 
 @register("age_histogram")
 def q_age_hist(spark, sf_dir):
-    return comparable(X.histogram(Cohort(spark, sf_dir).features, "age_at_admit", 20))
+    return comparable(X.histogram(Cohort.of(spark, sf_dir).features, "age_at_admit", 20))
 
 
 @register("los_histogram")
 def q_los_hist(spark, sf_dir):
-    return comparable(X.histogram(Cohort(spark, sf_dir).features, "los_days", 30))
+    return comparable(X.histogram(Cohort.of(spark, sf_dir).features, "los_days", 30))
 
 
 @register("los_modal_bin")
 def q_los_modal(spark, sf_dir):
-    return comparable(X.modal_bin(X.histogram(Cohort(spark, sf_dir).features, "los_days", 30)))
+    return comparable(X.modal_bin(X.histogram(Cohort.of(spark, sf_dir).features, "los_days", 30)))
 
 
 @register("los_kde")
 def q_los_kde(spark, sf_dir):
-    return comparable(X.kde_grid(Cohort(spark, sf_dir).features, "los_days", 200))
+    return comparable(X.kde_grid(Cohort.of(spark, sf_dir).features, "los_days", 200))
 
 
 ROLLUP_COLS = ["hadm_id", "subject_id", "gender", "race", "admission_type", "hospital_expire_flag",
@@ -138,12 +138,12 @@ ROLLUP_COLS = ["hadm_id", "subject_id", "gender", "race", "admission_type", "hos
 
 @register("admission_rollup")
 def q_rollup(spark, sf_dir):
-    return comparable(Cohort(spark, sf_dir).admissions.select(*ROLLUP_COLS))
+    return comparable(Cohort.of(spark, sf_dir).admissions.select(*ROLLUP_COLS))
 
 
 @register("model_matrix")
 def q_model_matrix(spark, sf_dir):
-    adm = Cohort(spark, sf_dir).admissions
+    adm = Cohort.of(spark, sf_dir).admissions
     cols = feature_columns(adm)
     from ..functions.timecols import finite, to_number
     out = adm.select("hadm_id", "subject_id",
@@ -160,8 +160,7 @@ from ..operators import trajectory as TR  # noqa: E402
 
 
 def _seq(spark, sf_dir):
-    i = Cohort(spark, sf_dir).inputs
-    return TR.sequence_table(i.ehr_patients, i.ehr_admissions, i.ehr_diagnoses, i.ehr_icd9_map)
+    return Cohort.of(spark, sf_dir).sequence
 
 
 SEQ_COLS = ["subject_id", "hadm_id", "dx_tokens", "n_dx", "n_dx_unique", "delta_prev_adm_hours", "los_hours",
@@ -192,7 +191,7 @@ def q_seq_split_labels(spark, sf_dir):
 
 
 def _seq_vocab(spark, sf_dir, seq):
-    i = Cohort(spark, sf_dir).inputs
+    i = Cohort.of(spark, sf_dir).inputs
     toks = TR.dx_tokens(i.ehr_diagnoses, i.ehr_icd9_map)
     return TR.vocabulary(TR.training_tokens(toks, seq.filter(F.col("split") == "train")))
 
@@ -225,17 +224,17 @@ def q_seq_scaler(spark, sf_dir):
 # ---- text records and splits ------------------------------------------------------
 @register("admission_text_prose")
 def q_prose(spark, sf_dir):
-    return comparable(TX.prose_records(Cohort(spark, sf_dir).features))
+    return comparable(TX.prose_records(Cohort.of(spark, sf_dir).features))
 
 
 @register("admission_text_tokens")
 def q_tokens(spark, sf_dir):
-    return comparable(TX.token_records(Cohort(spark, sf_dir).features))
+    return comparable(TX.token_records(Cohort.of(spark, sf_dir).features))
 
 
 @register("text_split_counts")
 def q_text_split(spark, sf_dir):
-    rec = TX.token_records(Cohort(spark, sf_dir).features)
+    rec = TX.token_records(Cohort.of(spark, sf_dir).features)
     sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
     return sp.groupBy("race_subj", "split").agg(F.countDistinct("subject_id").alias("patients"),
                                                 F.count(F.lit(1)).alias("admissions"))
@@ -243,7 +242,7 @@ def q_text_split(spark, sf_dir):
 
 @register("text_token_top")
 def q_text_token_top(spark, sf_dir):
-    rec = TX.token_records(Cohort(spark, sf_dir).features)
+    rec = TX.token_records(Cohort.of(spark, sf_dir).features)
     sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
     counts = X.text_token_frequency(sp.filter(F.col("split") == "train"), "text")
     return X.top_k(counts, 3000, "count", "token")
@@ -251,7 +250,7 @@ def q_text_token_top(spark, sf_dir):
 
 @register("grouped_split_counts")
 def q_grouped_split(spark, sf_dir):
-    adm = S.grouped_split(Cohort(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
+    adm = S.grouped_split(Cohort.of(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
     return adm.groupBy("split").agg(F.countDistinct("subject_id").alias("patients"),
                                     F.count(F.lit(1)).alias("admissions"),
                                     F.sum("hospital_expire_flag").cast("bigint").alias("deaths"))
@@ -259,14 +258,14 @@ def q_grouped_split(spark, sf_dir):
 
 @register("group_kfold_counts")
 def q_kfold(spark, sf_dir):
-    adm = S.group_kfold(Cohort(spark, sf_dir).admissions, "subject_id", 5, seed=42)
+    adm = S.group_kfold(Cohort.of(spark, sf_dir).admissions, "subject_id", 5, seed=42)
     return adm.groupBy("fold").agg(F.countDistinct("subject_id").alias("patients"),
                                    F.count(F.lit(1)).alias("admissions"))
 
 
 @register("learning_curve_sizes")
 def q_lc(spark, sf_dir):
-    adm = S.grouped_split(Cohort(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
+    adm = S.grouped_split(Cohort.of(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
     sub = S.learning_curve_subsets(adm.filter(F.col("split") != "test"), "subject_id", 6, 0.1, 1.0, seed=11)
     return comparable(sub.groupBy("subset", "fraction").agg(F.count(F.lit(1)).alias("admissions")))
 
@@ -279,11 +278,11 @@ PROBS = ("p0", "p1", "p2", "p3")
 
 
 def _scores(spark, sf_dir):
-    return Cohort(spark, sf_dir).inputs.ehr_scores
+    return Cohort.of(spark, sf_dir).inputs.ehr_scores
 
 
 def _los_scores(spark, sf_dir):
-    s = Cohort(spark, sf_dir).inputs.ehr_los_scores
+    s = Cohort.of(spark, sf_dir).inputs.ehr_los_scores
     return M.top_label(s, "y_cls", PROBS)
 
 
@@ -498,7 +497,7 @@ from ..operators import models as MD  # noqa: E402
 
 
 def _adm_split(spark, sf_dir):
-    return S.grouped_split(Cohort(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
+    return S.grouped_split(Cohort.of(spark, sf_dir).admissions, "subject_id", 0.2, 0.2, seed=42, val_seed=7)
 
 
 @register("median_impute_params")
@@ -516,7 +515,7 @@ def q_scale(spark, sf_dir):
 
 @register("multi_hot_counts")
 def q_multi_hot(spark, sf_dir):
-    return X.token_frequency(Cohort(spark, sf_dir).admissions, "ccsr_union", "ccsr_category")
+    return X.token_frequency(Cohort.of(spark, sf_dir).admissions, "ccsr_union", "ccsr_category")
 
 
 def _leaderboard(scored):
@@ -547,7 +546,7 @@ def q_gbt_curve(spark, sf_dir):
 
 @register("text_mortality_model")
 def q_text_model(spark, sf_dir):
-    rec = TX.token_records(Cohort(spark, sf_dir).features)
+    rec = TX.token_records(Cohort.of(spark, sf_dir).features)
     sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
     pred = MD.text_classifier(sp, "y_mort").withColumn("y_prob", F.col("probs")[1])
     return M.auroc_ap(M.score_steps(pred)).crossJoin(M.confusion(pred).select("f1"))
@@ -555,7 +554,7 @@ def q_text_model(spark, sf_dir):
 
 @register("text_los_model")
 def q_text_los(spark, sf_dir):
-    rec = TX.token_records(Cohort(spark, sf_dir).features)
+    rec = TX.token_records(Cohort.of(spark, sf_dir).features)
     sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
     pred = MD.text_classifier(sp, "y_los_cls", family="multinomial")
     pred = pred.select("race", F.col("y_true").alias("y_cls"), F.col("y_pred").alias("pred_cls"),
@@ -611,7 +610,7 @@ def _scratch(spark, name):
 def q_csv_admissions(spark, sf_dir):
     """A3 -> A1 + A7: admissions written as CSV with a pandas-style index column, read
     back with the declared schema; absent columns come back NULL."""
-    adm = Cohort(spark, sf_dir).inputs.ehr_admissions
+    adm = Cohort.of(spark, sf_dir).inputs.ehr_admissions
     path = _scratch(spark, "admissions")
     IO.write_table(adm.select(F.col("hadm_id").cast("string").alias("Unnamed: 0"), *adm.columns), path, "csv")
     back = IO.read_csv_typed(spark, path, IO.ADMISSIONS_SCHEMA)
@@ -622,7 +621,7 @@ def q_csv_admissions(spark, sf_dir):
 @register("csv_strings_patients")
 def q_csv_patients(spark, sf_dir):
     """A3 -> A2 + C8: all-text read keeps blank and padded values; blanks -> NULL after."""
-    pat = Cohort(spark, sf_dir).inputs.ehr_patients
+    pat = Cohort.of(spark, sf_dir).inputs.ehr_patients
     path = _scratch(spark, "patients")
     IO.write_table(pat, path, "csv")
     s = IO.read_csv_strings(spark, path)
@@ -633,7 +632,7 @@ def q_csv_patients(spark, sf_dir):
 @register("parquet_dx_lists_roundtrip")
 def q_parquet_lists(spark, sf_dir):
     """A3 (Parquet keeps arrays) + A4 (code table as JSON) read back."""
-    c = Cohort(spark, sf_dir)
+    c = Cohort.of(spark, sf_dir)
     path, cpath = _scratch(spark, "dx"), _scratch(spark, "codes")
     IO.write_table(c.with_ccsr.select("subject_id", "hadm_id", "seq_num", "ccsr_list_sorted"), path)
     IO.write_code_table(c.code_table, cpath)
@@ -682,14 +681,14 @@ def q_calibration_top(spark, sf_dir):
 @register("feature_preview")
 def q_preview(spark, sf_dir):
     """First five feature rows in key order."""
-    f = Cohort(spark, sf_dir).features.select("subject_id", "hadm_id", "seq_num", "icd10_full", "los_days")
+    f = Cohort.of(spark, sf_dir).features.select("subject_id", "hadm_id", "seq_num", "icd10_full", "los_days")
     return comparable(X.preview(f, 5, ["subject_id", "hadm_id", "seq_num"]))
 
 
 @register("csv_list_column_roundtrip")
 def q_csv_lists(spark, sf_dir):
     """J9 + J10: category lists through CSV (as list literals) parsed back."""
-    c = Cohort(spark, sf_dir)
+    c = Cohort.of(spark, sf_dir)
     d = c.with_ccsr.select("subject_id", "hadm_id", "seq_num", "ccsr_list_sorted")
     path = _scratch(spark, "lists")
     IO.write_table(d, path, "csv")
@@ -712,7 +711,7 @@ def q_ci_text(spark, sf_dir):
 @register("los_softmax_argmax")
 def q_softmax(spark, sf_dir):
     """K9: softmax of log-probabilities and its argmax."""
-    s = Cohort(spark, sf_dir).inputs.ehr_los_scores
+    s = Cohort.of(spark, sf_dir).inputs.ehr_los_scores
     logits = F.array(*[F.log(F.col(c)) for c in PROBS])
     out = s.select("hadm_id", TC.softmax(logits).alias("sm"), TC.argmax(logits).alias("pred_cls"),
                    TC.sigmoid(F.log(F.col("p0") / (F.lit(1.0) - F.col("p0")))).alias("p0_back"))
@@ -723,7 +722,7 @@ def q_softmax(spark, sf_dir):
 def q_stream(spark, sf_dir):
     """Structured Streaming: diagnosis files harmonised by stream-static joins."""
     from ..streaming.incremental import run_once
-    c = Cohort(spark, sf_dir)
+    c = Cohort.of(spark, sf_dir)
     src, sink, ck = _scratch(spark, "dx-src"), _scratch(spark, "dx-sink"), _scratch(spark, "dx-ckpt")
     dx = c.inputs.ehr_diagnoses
     dx.write.parquet(src)

@@ -19,11 +19,24 @@ from .sizing import materialise
 
 
 class Cohort:
+    """Lazy cohort plan over one input folder. Materialised hand-offs are written
+    once per session and folder and re-read by every later report (``Cohort.of``),
+    as the reference's later scripts re-read the files its first script wrote."""
+
+    _shared: dict = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = True):
         self.spark = spark
         self.inputs = EhrInputs(spark, sf_dir)
         self.persist = persist
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Cohort":
+        key = (spark.sparkContext.applicationId, spark.sparkContext.getCheckpointDir(), sf_dir)
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, sf_dir, persist=True)
+        return cls._shared[key]
+
     @cached_property
     def merged(self) -> DataFrame:
         i = self.inputs
@@ -62,6 +75,14 @@ class Cohort:
     def admissions(self) -> DataFrame:
         return FE.admission_rollup(self.features)
 
+    @cached_property
+    def sequence(self) -> DataFrame:
+        """Admission sequence table of the trajectory models (materialised hand-off)."""
+        from ..operators import trajectory as TR
+        i = self.inputs
+        seq = TR.sequence_table(i.ehr_patients, i.ehr_admissions, i.ehr_diagnoses, i.ehr_icd9_map)
+        return materialise(seq) if self.persist else seq
+
 
 def category_outcomes(features: DataFrame) -> DataFrame:
     """Flagship: per CCSR category, its frequency over diagnosis rows (E11), the
