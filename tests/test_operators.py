@@ -82,3 +82,19 @@ def test_missing_column_guard(spark):
     from wardline.operators.schema import require_columns
     with pytest.raises(ValueError):
         require_columns(spark.range(1), ["hadm_id"])
+
+
+def test_score_foreign_model_in_arrow_batches(spark):
+    from wardline.operators.models import score_foreign
+    df = spark.range(0, 100).select(F.col("id").cast("double").alias("x"))
+    out = score_foreign(df, lambda pdf: (pdf["x"] / 100.0).tolist(), ["x"]).collect()
+    assert all(abs(r.y_prob - r.x / 100.0) < 1e-12 for r in out)
+
+
+def test_smooth_l1_and_focal(spark):
+    from wardline.operators import metrics as M
+    df = spark.createDataFrame([(1, 0.9, 1.0, 1.2), (0, 0.2, 2.0, 3.0)], "y_true int, y_prob double, y double, yhat double")
+    r = M.losses(df, [], y_reg="y", yhat_reg="yhat", beta=0.5).collect()[0]
+    assert r.smooth_l1 == pytest.approx(((0.5 * 0.04 / 0.5) + (1.0 - 0.25)) / 2)
+    import math
+    assert r.log_loss == pytest.approx((-math.log(0.9) - math.log(0.8)) / 2)

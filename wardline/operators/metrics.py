@@ -354,17 +354,19 @@ def best_f1_observed(steps: DataFrame, group: Sequence[str] = (), min_pos: int =
                       F.when(F.col("_b").isNotNull(), "min_pos").otherwise("fallback").alias("source"))
 
 
-def losses(scored: DataFrame, group: Sequence[str] = (), label: str = "y_true", score: str = "y_prob",
+def losses(scored: DataFrame, group: Sequence[str] = (), label: str = "y_true", score: str | None = "y_prob",
            gamma: float = 2.0, alpha: float = 0.25, y_reg: str | None = None, yhat_reg: str | None = None,
            beta: float = 0.5) -> DataFrame:
     """Mean log-loss and focal loss of probabilities (clipped to [1e-7, 1-1e-7]),
     and smooth-L1 (Huber, ``beta``) of a regression pair when given."""
-    p = F.least(F.greatest(F.col(score).cast("double"), F.lit(1e-7)), F.lit(1 - 1e-7))
-    y = F.col(label).cast("double")
-    pt = y * p + (F.lit(1.0) - y) * (F.lit(1.0) - p)
-    at = y * F.lit(alpha) + (F.lit(1.0) - y) * F.lit(1 - alpha)
-    aggs = [F.avg(-F.log(pt)).alias("log_loss"),
-            F.avg(-at * F.pow(F.lit(1.0) - pt, F.lit(gamma)) * F.log(pt)).alias("focal_loss")]
+    aggs = []
+    if score is not None:
+        p = F.least(F.greatest(F.col(score).cast("double"), F.lit(1e-7)), F.lit(1 - 1e-7))
+        y = F.col(label).cast("double")
+        pt = y * p + (F.lit(1.0) - y) * (F.lit(1.0) - p)
+        at = y * F.lit(alpha) + (F.lit(1.0) - y) * F.lit(1 - alpha)
+        aggs += [F.avg(-F.log(pt)).alias("log_loss"),
+                 F.avg(-at * F.pow(F.lit(1.0) - pt, F.lit(gamma)) * F.log(pt)).alias("focal_loss")]
     if y_reg and yhat_reg:
         d = F.abs(F.col(yhat_reg).cast("double") - F.col(y_reg).cast("double"))
         aggs.append(F.avg(F.when(d < F.lit(beta), F.lit(0.5) * d * d / F.lit(beta))

@@ -4,7 +4,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
+
+from ..functions import codes as C
+from ..functions import timecols as TC
+from ..operators import bootstrap as BS
+from ..operators import explore as X
+from ..operators import fairness as FA
+from ..operators import features as FE
+from ..operators import harmonise as H
+from ..operators import metrics as M
+from ..operators import models as MD
+from ..operators import split as S
+from ..operators import text as TX
+from ..operators import trajectory as TR
+from ..operators.schema import feature_columns
+from ..sources import io as IO
+from .session import ensure_checkpoint_dir
 from .cohort import Cohort, category_outcomes
 from .report import comparable
 
@@ -24,11 +40,6 @@ def q_category_outcomes(spark, sf_dir):
 
 
 # ---- harmonisation ------------------------------------------------------------
-from ..operators import explore as X  # noqa: E402
-from ..operators import features as FE  # noqa: E402
-from ..operators import harmonise as H  # noqa: E402
-from ..operators.schema import feature_columns  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 DX_COLS = ["subject_id", "hadm_id", "seq_num", "icd_version", "icd_code", "dx_norm", "icd10_full", "icd10_3char"]
 
@@ -154,9 +165,6 @@ def q_model_matrix(spark, sf_dir):
 
 
 # ---- trajectories -------------------------------------------------------------
-from ..operators import split as S  # noqa: E402
-from ..operators import text as TX  # noqa: E402
-from ..operators import trajectory as TR  # noqa: E402
 
 
 def _seq(spark, sf_dir):
@@ -271,8 +279,6 @@ def q_lc(spark, sf_dir):
 
 
 # ---- evaluation metrics -----------------------------------------------------------
-from ..functions import timecols as TC  # noqa: E402
-from ..operators import metrics as M  # noqa: E402
 
 PROBS = ("p0", "p1", "p2", "p3")
 
@@ -402,8 +408,6 @@ def q_class_balance(spark, sf_dir):
 
 
 # ---- bootstrap and fairness ------------------------------------------------------
-from ..operators import bootstrap as BS  # noqa: E402
-from ..operators import fairness as FA  # noqa: E402
 
 
 def _scored_pred(spark, sf_dir):
@@ -493,7 +497,6 @@ def q_balanced(spark, sf_dir):
 
 
 # ---- models ------------------------------------------------------------------------
-from ..operators import models as MD  # noqa: E402
 
 
 def _adm_split(spark, sf_dir):
@@ -597,8 +600,6 @@ def q_learning_curve(spark, sf_dir):
 
 
 # ---- sources and sinks -----------------------------------------------------------
-from ..sources import io as IO  # noqa: E402
-from .session import ensure_checkpoint_dir  # noqa: E402
 
 
 def _scratch(spark, name):
@@ -642,9 +643,6 @@ def q_parquet_lists(spark, sf_dir):
     return comparable(X.attach_scalars(back, n_codes))
 
 
-from ..functions import codes as C  # noqa: E402
-
-
 # ---- remaining operators: sinks, inference, previews, text, streaming --------------
 @register("trajectory_sink_roundtrip")
 def q_traj_sink(spark, sf_dir):
@@ -730,3 +728,16 @@ def q_stream(spark, sf_dir):
     out = spark.read.parquet(sink)
     return comparable(out.select("subject_id", "hadm_id", "seq_num", "dx_norm", "icd10_full", "icd10_3char",
                                  "ccsr_list_sorted", "n_ccsr"))
+
+
+@register("los_regression_losses")
+def q_los_losses(spark, sf_dir):
+    """K15 (smooth-L1, beta 0.5) and N11 on the expected LOS class."""
+    e = _expected_class(_los_scores(spark, sf_dir))
+    return comparable(M.losses(e, ["race"], score=None, y_reg="y", yhat_reg="yhat", beta=0.5))
+
+
+@register("grouped_cv_logreg")
+def q_grouped_cv(spark, sf_dir):
+    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    return MD.grouped_cross_validation(prepared)

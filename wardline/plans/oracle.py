@@ -1092,3 +1092,7 @@ ORACLE["model_matrix"] = with_cohort(
     + ", ".join(f"round({c}, 9) AS {c}" for c in MATRIX_COLS)
     + ", coalesce(y_reg IS NOT NULL AND NOT isnan(y_reg) AND abs(y_reg) < CAST('inf' AS DOUBLE), false) AS reg_ok FROM dev",
     *HCF)
+
+ORACLE["los_regression_losses"] = with_scores(
+    f", e AS ({REG_SRC})\nSELECT race, round(avg(CASE WHEN abs(yhat - y) < 0.5 THEN 0.5 * (yhat - y) * (yhat - y) / 0.5 "
+    "ELSE abs(yhat - y) - 0.25 END), 9) AS smooth_l1 FROM e GROUP BY 1")

@@ -114,6 +114,9 @@ class EhrInputs:
     """Lazily built stand-in tables for one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # the views (and the reference's naive timestamps) are UTC wall-clock times;
+        # pinning the zone keeps hour/weekday/LOS free of daylight-saving shifts
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
 
