@@ -98,3 +98,33 @@ def test_smooth_l1_and_focal(spark):
     assert r.smooth_l1 == pytest.approx(((0.5 * 0.04 / 0.5) + (1.0 - 0.25)) / 2)
     import math
     assert r.log_loss == pytest.approx((-math.log(0.9) - math.log(0.8)) / 2)
+
+
+def test_previous_time_cells_match_sorted_shift(spark):
+    """F1/F2 with G4 ordering: the (patient, month)-cell lag equals a plain shift over
+    the fully sorted history, including NULL times (first), tied times (hadm_id order)
+    and gaps spanning many months."""
+    import random
+    from wardline.operators.trajectory import previous_time
+    rnd = random.Random(7)
+    rows = []
+    hadm = 0
+    for subj in range(3):
+        n = 400 if subj == 0 else 5          # one hot patient
+        for _ in range(n):
+            hadm += 1
+            if rnd.random() < 0.05:
+                ts = None
+            else:
+                ts = f"{rnd.randint(1990, 1999)}-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d} {rnd.choice([0, 12]):02d}:00:00"
+            rows.append((subj, hadm, ts))
+    df = spark.createDataFrame(rows, "subject_id long, hadm_id long, t string").withColumn(
+        "t", F.to_timestamp("t"))
+    got = {r.hadm_id: r.prev for r in previous_time(df, "subject_id", "t", "hadm_id", "prev").collect()}
+    pdf = df.toPandas()
+    pdf["_k"] = pdf["t"].isna().map(lambda b: 0 if b else 1)
+    pdf = pdf.sort_values(["subject_id", "_k", "t", "hadm_id"])
+    pdf["want"] = pdf.groupby("subject_id")["t"].shift(1)
+    for h, w in zip(pdf["hadm_id"], pdf["want"]):
+        g = got[h]
+        assert (g is None and (w is None or w != w)) or (g is not None and w == w and g == w.to_pydatetime())
