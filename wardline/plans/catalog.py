@@ -351,17 +351,12 @@ def q_calibration_bins(spark, sf_dir):
 
 @register("calibration_summary_by_race")
 def q_calibration_summary(spark, sf_dir):
-    s = _scores(spark, sf_dir)
-    e = M.ece(M.reliability(s, ["race"]), ["race"])
-    return comparable(M.brier(s, ["race"]).join(e, "race"))
+    return comparable(FA.calibration_by_group(_scores(spark, sf_dir), "race"))
 
 
 @register("multiclass_calibration_by_race")
 def q_mc_calibration(spark, sf_dir):
-    s = _los_scores(spark, sf_dir)
-    bins = M.reliability(s, ["race"], "correct", "conf")
-    e = M.ece(bins, ["race"]).withColumnRenamed("ece", "toplabel_ece")
-    return comparable(M.multiclass_brier(s, ["race"], "y_cls", PROBS).join(e, "race"))
+    return comparable(FA.multiclass_calibration_by_group(Cohort.of(spark, sf_dir).inputs.ehr_los_scores, "race"))
 
 
 @register("threshold_best_f1")
@@ -552,7 +547,7 @@ def q_text_model(spark, sf_dir):
     rec = TX.token_records(Cohort.of(spark, sf_dir).features)
     sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
     pred = MD.text_classifier(sp, "y_mort").withColumn("y_prob", F.col("probs")[1])
-    return M.auroc_ap(M.score_steps(pred)).crossJoin(M.confusion(pred).select("f1"))
+    return X.attach_scalars(M.auroc_ap(M.score_steps(pred)), M.confusion(pred).select("f1"))
 
 
 @register("text_los_model")
@@ -563,7 +558,7 @@ def q_text_los(spark, sf_dir):
     pred = pred.select("race", F.col("y_true").alias("y_cls"), F.col("y_pred").alias("pred_cls"),
                        *[F.col("probs")[k].alias(f"p{k}") for k in range(4)])
     f1 = M.multiclass_report(pred, [], "y_cls", "pred_cls").filter(F.col("label") == "macro avg").select("f1")
-    return f1.crossJoin(M.ovr_macro_auroc(pred, [], "y_cls"))
+    return X.attach_scalars(f1, M.ovr_macro_auroc(pred, [], "y_cls"))
 
 
 @register("trajectory_model")

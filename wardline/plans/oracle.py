@@ -643,18 +643,18 @@ ORACLE["calibration_bins_by_race"] = with_scores(
     RELIABILITY + "SELECT race, bin, count, round(mean_pred, 9) AS mean_pred, round(frac_pos, 9) AS frac_pos FROM rel")
 ORACLE["calibration_summary_by_race"] = with_scores(RELIABILITY + r"""
 , e AS (SELECT race, sum(CASE WHEN count > 0 THEN abs(frac_pos - mean_pred) * count END) / sum(count) AS ece FROM rel GROUP BY 1),
-br AS (SELECT race, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM ehr_scores GROUP BY 1)
-SELECT race, round(brier, 9) AS brier, round(ece, 9) AS ece FROM br JOIN e USING (race)""")
+br AS (SELECT race, count(*) AS n, avg((y_prob - y_true) * (y_prob - y_true)) AS brier FROM ehr_scores GROUP BY 1)
+SELECT race, n, round(brier, 9) AS brier, round(ece, 9) AS ece FROM br JOIN e USING (race)""")
 
 ORACLE["multiclass_calibration_by_race"] = with_scores(rf"""
 , t AS (SELECT *, CAST(pred_cls = y_cls AS INTEGER) AS correct FROM ({LOS_TOP}) x),
 b AS (SELECT race, {_bin('conf')} AS bin, conf, correct FROM t),
 agg AS (SELECT race, bin, count(*) AS count, avg(conf) AS mp, avg(correct) AS fp FROM b GROUP BY 1, 2),
-e AS (SELECT race, sum(abs(fp - mp) * count) / sum(count) AS toplabel_ece FROM agg GROUP BY 1),
-br AS (SELECT race, avg(pow(p0 - CASE WHEN y_cls = 0 THEN 1 ELSE 0 END, 2) + pow(p1 - CASE WHEN y_cls = 1 THEN 1 ELSE 0 END, 2)
-   + pow(p2 - CASE WHEN y_cls = 2 THEN 1 ELSE 0 END, 2) + pow(p3 - CASE WHEN y_cls = 3 THEN 1 ELSE 0 END, 2)) AS brier_multiclass
+e AS (SELECT race, sum(abs(fp - mp) * count) / sum(count) AS ece_toplabel FROM agg GROUP BY 1),
+br AS (SELECT race, count(*) AS n, avg(pow(p0 - CASE WHEN y_cls = 0 THEN 1 ELSE 0 END, 2) + pow(p1 - CASE WHEN y_cls = 1 THEN 1 ELSE 0 END, 2)
+   + pow(p2 - CASE WHEN y_cls = 2 THEN 1 ELSE 0 END, 2) + pow(p3 - CASE WHEN y_cls = 3 THEN 1 ELSE 0 END, 2)) AS brier_mc
   FROM ehr_los_scores GROUP BY 1)
-SELECT race, round(brier_multiclass, 9) AS brier_multiclass, round(toplabel_ece, 9) AS toplabel_ece FROM br JOIN e USING (race)""")
+SELECT race, n, round(brier_mc, 9) AS brier_mc, round(ece_toplabel, 9) AS ece_toplabel FROM br JOIN e USING (race)""")
 
 
 def _grid_sql(start: float, stop: float, num: int) -> str:
