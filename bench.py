@@ -35,7 +35,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or HEADLINE
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, cpus * 2), app="wardline-bench")
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=cpus, app="wardline-bench")
     times = {}
     for name in names:
         t0 = time.time()
