@@ -94,3 +94,36 @@ def test_confusion_zero_division(spark):
     df = _df(spark, [0, 0], [0.1, 0.2]).withColumn("y_pred", F.lit(0))
     r = M.confusion(df).collect()[0]
     assert r.precision == 0.0 and r.recall == 0.0 and r.f1 == 0.0 and r.tpr is None
+
+
+def test_weighted_metrics_equal_replicated_rows(spark):
+    """Integer weights must act exactly like repeating rows (the bootstrap relies on it)."""
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 200)
+    p = np.round(rng.random(200), 2)
+    w = rng.integers(0, 4, 200)
+    rows = [(int(a), float(b), int(c), "g", float(c)) for a, b, c in zip(y, p, w)]
+    df = spark.createDataFrame(rows, "y_true int, y_prob double, y_pred_src int, race string, w double")
+    df = df.withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int"))
+    weighted = M.auroc_ap(M.score_steps(df, weight="w")).collect()[0]
+    yr, pr = np.repeat(y, w), np.repeat(p, w)
+    assert weighted.auroc == pytest.approx(_auc_pairs(yr, pr), abs=1e-12)
+    assert weighted.ap == pytest.approx(_ap(yr, pr), abs=1e-12)
+    conf = M.confusion(df, weight="w").collect()[0]
+    tp = ((pr >= 0.5) & (yr == 1)).sum()
+    fp = ((pr >= 0.5) & (yr == 0)).sum()
+    fn = ((pr < 0.5) & (yr == 1)).sum()
+    assert conf.f1 == pytest.approx(2 * tp / (2 * tp + fp + fn))
+
+
+def test_stratified_replicates_keep_class_totals(spark):
+    from wardline.operators import bootstrap as B
+    rng = np.random.default_rng(11)
+    rows = [(i, int(v)) for i, v in enumerate(rng.integers(0, 2, 300))]
+    df = spark.createDataFrame(rows, "hadm_id long, y_true int")
+    rep = B.replicate(df, "hadm_id", 20, 3, "md5", stratify="y_true")
+    tot = rep.groupBy("replicate", "y_true").agg(F.sum("w").alias("s")).collect()
+    orig = {r.y_true: r.n for r in df.groupBy("y_true").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(tot) == 40
+    for r in tot:
+        assert r.s == pytest.approx(orig[r.y_true])

@@ -5,7 +5,8 @@ Covers D1-D7, D9, C1, C2, C9, C10, H1, H3, H4, E2-E4, E12, J1, J3, J6, J7, B10.
 Plan shape: the two dimensions (crosswalk, categories) are reduced to one row per
 code on their own small side, size-checked and broadcast, so the diagnosis fact is
 never shuffled for a lookup. Only the duplicate-key merge of category lists needs a
-shuffle, and it moves just the narrow key columns with map-side combining.
+shuffle: it moves the key columns and each row's per-code category array, de-duplicated
+map-side (``collect_set``), and its (usually empty) result is joined back by broadcast.
 """
 from __future__ import annotations
 
