@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
+from .explore import attach_scalars
 from ..plans.sizing import checked_broadcast, materialise
 
 # Poisson(1) cumulative probabilities P(K <= k), k = 0..11 (rule, not a table).
@@ -110,6 +111,31 @@ def reduced_replicates(df: DataFrame, metrics: Sequence[str], key: str, n_boot:
     return materialise(red)
 
 
+# Metric families: every metric of a family comes from one computation.
+FAMILIES = {
+    "ranking": (("auroc", "ap"), lambda d, g, w: M.auroc_ap(M.score_steps(d, g, weight=w), g)),
+    "confusion": (("f1", "precision", "recall", "tpr", "fpr"), lambda d, g, w: M.confusion(d, g, weight=w)),
+    "los_macro_f1": (("los_macro_f1",), lambda d, g, w: METRICS["los_macro_f1"](d, g, w)
+                     .withColumnRenamed("value", "los_macro_f1")),
+    "los_auroc": (("los_auroc",), lambda d, g, w: METRICS["los_auroc"](d, g, w).withColumnRenamed("value", "los_auroc")),
+    "regression": (("mae", "rmse"), lambda d, g, w: M.regression_errors(d, g, weight=w)),
+}
+
+
+def metric_frame(df: DataFrame, group: Sequence[str], weight: str | None, metrics: Sequence[str]) -> DataFrame:
+    """All requested metrics as columns, one row per group; each family is computed
+    once however many of its metrics are requested."""
+    g = list(group)
+    out = None
+    for fam, (names, fn) in FAMILIES.items():
+        want = [m for m in metrics if m in names]
+        if not want:
+            continue
+        part = fn(df, g, weight).select(*g, *want)
+        out = part if out is None else (out.join(part, g, "full") if g else attach_scalars(out, part))
+    return out
+
+
 def percentile_ci(values: DataFrame, group: Sequence[str], alpha: float = 0.05,
                   min_valid: int = 1) -> DataFrame:
     """Exact percentile interval over the finite replicate values, NULL when fewer
@@ -133,11 +159,13 @@ def bootstrap_ci(scored: DataFrame, metrics: Sequence[str], group: Sequence[str]
     """
     g = list(group)
     rep = reduced_replicates(scored, metrics, key, n_boot, seed, method, stratify, g)
+    points = metric_frame(scored, g, None, metrics)
+    # groups x replicates rows, read once per metric below
+    reps = materialise(metric_frame(rep, [*g, "replicate"], "w", metrics))
     out = None
     for name in metrics:
-        fn = METRICS[name]
-        point = fn(scored, g, None).withColumnRenamed("value", "point")
-        ci = percentile_ci(fn(rep, [*g, "replicate"], "w"), g, alpha, min_valid)
+        point = points.select(*g, F.col(name).alias("point"))
+        ci = percentile_ci(reps.select(*g, "replicate", F.col(name).alias("value")), g, alpha, min_valid)
         one = point.join(ci, g, "left") if g else point.withColumn("_k", F.lit(1)).join(
             ci.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
         one = one.withColumn("metric", F.lit(name))
@@ -153,12 +181,11 @@ def eligible_groups(scored: DataFrame, group: str, min_n: int) -> DataFrame:
 
 def gap_ci(scored: DataFrame, metric: str, group: str = "race", key: str = "hadm_id", n_boot: int = 2000,
            alpha: float = 0.05, seed: int = 42, min_n: int = 25, method: str = "md5",
-           reps: DataFrame | None = None) -> DataFrame:
+           reps: DataFrame | None = None, frames: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Disparity gap max(metric_g) - min(metric_g) over groups with at least
     ``min_n`` rows and a defined metric (NULL with fewer than 2 such groups), with a
     within-group bootstrap CI."""
     eligible = eligible_groups(scored, group, min_n)
-    fn = METRICS[metric]
 
     def gap(vals: DataFrame, by: Sequence[str]) -> DataFrame:
         v = vals.filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -166,10 +193,15 @@ def gap_ci(scored: DataFrame, metric: str, group: str = "race", key: str = "hadm
                                  F.count(F.lit(1)).alias("_k"))
         return agg.select(*by, F.when(F.col("_k") >= 2, F.col("_mx") - F.col("_mn")).alias("value"))
 
-    point = gap(fn(eligible, [group], None), [])
+    if frames is None:
+        rep = reps if reps is not None else reduced_replicates(eligible, [metric], key, n_boot, seed, method, None,
+                                                               [group])
+        frames = (metric_frame(eligible, [group], None, [metric]),
+                  metric_frame(rep, [group, "replicate"], "w", [metric]))
+    point_vals, rep_vals = frames
+    point = gap(point_vals.select(group, F.col(metric).alias("value")), [])
     point = point.withColumnRenamed("value", "point")
-    rep = reps if reps is not None else reduced_replicates(eligible, [metric], key, n_boot, seed, method, None, [group])
-    reps = gap(fn(rep, [group, "replicate"], "w"), ["replicate"])
+    reps = gap(rep_vals.select(group, "replicate", F.col(metric).alias("value")), ["replicate"])
     ci = percentile_ci(reps, [], alpha, 1)
     return point.withColumn("_k", F.lit(1)).join(ci.withColumn("_k", F.lit(1)), "_k", "left").drop("_k") \
         .withColumn("metric", F.lit(metric))
