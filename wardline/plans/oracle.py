@@ -1096,3 +1096,16 @@ ORACLE["model_matrix"] = with_cohort(
 ORACLE["los_regression_losses"] = with_scores(
     f", e AS ({REG_SRC})\nSELECT race, round(avg(CASE WHEN abs(yhat - y) < 0.5 THEN 0.5 * (yhat - y) * (yhat - y) / 0.5 "
     "ELSE abs(yhat - y) - 0.25 END), 9) AS smooth_l1 FROM e GROUP BY 1")
+
+ORACLE["ci_report_text"] = with_scores(rf"""
+, src AS ({SCORED_PRED}),
+reps AS ({reps_sql('SELECT * FROM src', 50)}),
+pa AS ({auc_sql(f'SELECT *, {ONE} FROM src', [])}),
+pc AS ({conf_sql(f'SELECT *, {ONE} FROM src', [])}),
+ra AS ({auc_sql('SELECT * FROM reps', ['replicate'])}),
+rc AS ({conf_sql('SELECT * FROM reps', ['replicate'])}),
+ci AS (
+ SELECT 'auroc' AS metric, p.auroc AS point, c.lo, c.hi FROM pa p CROSS JOIN ({ci_sql('SELECT * FROM ra', [], 'auroc')}) c
+ UNION ALL SELECT 'f1', p.f1, c.lo, c.hi FROM pc p CROSS JOIN ({ci_sql('SELECT * FROM rc', [], 'f1')}) c)
+SELECT trim(regexp_replace(lower('Mortality ' || metric || ' (95% CI)'), '[^a-z0-9_-]+', '_', 'g'), '_') AS name,
+ printf('%.2f (%.2f, %.2f)', point * 100.0, lo * 100.0, hi * 100.0) AS text FROM ci""")
