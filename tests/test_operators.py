@@ -128,3 +128,18 @@ def test_previous_time_cells_match_sorted_shift(spark):
     for h, w in zip(pdf["hadm_id"], pdf["want"]):
         g = got[h]
         assert (g is None and (w is None or w != w)) or (g is not None and w == w and g == w.to_pydatetime())
+
+
+def test_duplicate_keys_share_merged_category_lists(spark):
+    from wardline.operators import harmonise as H
+    dx = spark.createDataFrame([(1, 10, 1, "A011"), (1, 10, 1, "B022"), (1, 10, 2, "A011"), (1, 10, 3, "Z999")],
+                               "subject_id long, hadm_id long, seq_num int, icd10_full string")
+    long = spark.createDataFrame([("A011", "CAT1", "one"), ("A011", "CAT2", " "), ("B022", "CAT3", "three")],
+                                 "icd10 string, ccsr_category string, ccsr_description string")
+    out = H.attach_ccsr(dx, long).orderBy("seq_num", "icd10_full").collect()
+    lists = [(r.seq_num, r.ccsr_list_sorted, r.ccsr_description) for r in out]
+    # key (1, 10, 1) appears twice: both rows get the union; CAT2 has no description
+    assert lists[0] == (1, ["CAT1", "CAT3"], ["one", "three"])
+    assert lists[1] == (1, ["CAT1", "CAT3"], ["one", "three"])
+    assert lists[2] == (2, ["CAT1"], ["one"])
+    assert lists[3] == (3, None, [])

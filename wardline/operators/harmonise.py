@@ -4,9 +4,9 @@ Covers D1-D7, D9, C1, C2, C9, C10, H1, H3, H4, E2-E4, E12, J1, J3, J6, J7, B10.
 
 Plan shape: the two dimensions (crosswalk, categories) are reduced to one row per
 code on their own small side, size-checked and broadcast, so the diagnosis fact is
-never shuffled for a lookup. Only the duplicate-key merge of category lists needs a
-shuffle: it moves the key columns and each row's per-code category array, de-duplicated
-map-side (``collect_set``), and its (usually empty) result is joined back by broadcast.
+never shuffled for a lookup. Only the duplicate-key check needs a shuffle, and it moves
+just the three key columns with map-side partial counts; category lists are merged only
+for the (usually absent) duplicated keys and joined back by broadcast.
 """
 from __future__ import annotations
 
@@ -139,16 +139,18 @@ def attach_ccsr(dx: DataFrame, long: DataFrame) -> DataFrame:
     the aligned ``ccsr_description`` ([] when none).
 
     Rows sharing a (subject_id, hadm_id, seq_num) key share the merged lists, as in a
-    group-by on that key joined back. The merge is computed on narrow columns only
-    and joined back for the (rare) duplicated keys.
+    group-by on that key joined back. Duplicates are found from the key columns
+    alone; lists are merged only for the duplicated keys.
     """
     by_code = checked_broadcast(ccsr_by_code(long))
     keyed = dx.withColumn("_icd10", C.icd10_key(F.col("icd10_full")))
     keyed = keyed.join(by_code, keyed["_icd10"] == by_code["icd10"], "left").drop("icd10", "_icd10")
-    dups = (keyed.select(*DX_KEY, "pairs").groupBy(*DX_KEY)
-            .agg(F.count(F.lit(1)).alias("_n"), F.collect_set("pairs").alias("_all"))
-            .filter(F.col("_n") > 1)
-            .select(*DX_KEY, F.array_sort(F.array_distinct(F.flatten("_all"))).alias("_merged")))
+    # duplicated keys: counted on the three key columns only (map-side partial counts)
+    dup_keys = checked_broadcast(
+        dx.groupBy(*DX_KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(*DX_KEY))
+    # merged lists only for rows of those keys (a broadcast semi join), then joined back
+    dups = (keyed.join(dup_keys, DX_KEY, "left_semi").groupBy(*DX_KEY)
+            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pairs")))).alias("_merged")))
     dups = checked_broadcast(dups)
     keyed = keyed.join(dups, DX_KEY, "left")
     pairs = F.coalesce(F.col("_merged"), F.col("pairs"))
