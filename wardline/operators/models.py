@@ -122,17 +122,17 @@ def prepare_admissions(adm: DataFrame, split_col: str = "split", label: str = "h
     """Admission matrix for training: numeric block imputed with train medians,
     labels, validation flag, class weights, multi-hot + assembled + scaled vectors."""
     df, num = numeric_block(adm, cols)
-    train = df.filter(F.col(split_col) != "test")
-    df = impute_medians(df, fit_medians(train, num), num)
+    # the roll-up behind ``adm`` runs once; medians, weights and the vector stages
+    # then read the written table
+    df = materialise(df)
+    dev = df.filter(F.col(split_col) != "test")
+    df = impute_medians(df, fit_medians(dev, num), num)
     df = df.withColumn("y", F.col(label).cast("int")).withColumn("is_val", F.col(split_col) == "val")
     df = df.withColumn("y_reg", to_number(F.col("los_days"), None))
     df = df.withColumn("y_log", F.log1p(F.greatest(F.col("y_reg"), F.lit(0.0))))
     df = with_weights(df, class_weights(df.filter(F.col(split_col) != "test")))
     pipe = Pipeline(stages=[multi_hot(), assembler(num),
                             StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True)])
-    # the model matrix is the hand-off every estimator iterates over: written once to
-    # the shared checkpoint folder instead of re-running the feature lineage per pass
-    df = materialise(df)
     model = pipe.fit(df.filter(F.col(split_col) != "test"))
     return materialise(model.transform(df)), num
 

@@ -73,7 +73,9 @@ class Cohort:
 
     @cached_property
     def admissions(self) -> DataFrame:
-        return FE.admission_rollup(self.features)
+        """Admission-level roll-up (the model script's starting table, materialised)."""
+        adm = FE.admission_rollup(self.features)
+        return materialise(adm) if self.persist else adm
 
     @cached_property
     def sequence(self) -> DataFrame:
