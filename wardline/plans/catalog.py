@@ -199,8 +199,7 @@ def q_seq_split_labels(spark, sf_dir):
 
 
 def _seq_vocab(spark, sf_dir, seq):
-    i = Cohort.of(spark, sf_dir).inputs
-    toks = TR.dx_tokens(i.ehr_diagnoses, i.ehr_icd9_map)
+    toks = Cohort.of(spark, sf_dir).dx_tokens
     return TR.vocabulary(TR.training_tokens(toks, seq.filter(F.col("split") == "train")))
 
 

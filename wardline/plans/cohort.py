@@ -77,12 +77,20 @@ class Cohort:
         adm = FE.admission_rollup(self.features)
         return materialise(adm) if self.persist else adm
 
+    @cached_property
+    def dx_tokens(self) -> DataFrame:
+        """One ICD-10 3-character token per diagnosis row (materialised hand-off)."""
+        from ..operators import trajectory as TR
+        toks = TR.dx_tokens(self.inputs.ehr_diagnoses, self.inputs.ehr_icd9_map)
+        return materialise(toks) if self.persist else toks
+
     @cached_property
     def sequence(self) -> DataFrame:
         """Admission sequence table of the trajectory models (materialised hand-off)."""
         from ..operators import trajectory as TR
         i = self.inputs
-        seq = TR.sequence_table(i.ehr_patients, i.ehr_admissions, i.ehr_diagnoses, i.ehr_icd9_map)
+        seq = TR.sequence_table(i.ehr_patients, i.ehr_admissions, i.ehr_diagnoses, i.ehr_icd9_map,
+                                tokens=self.dx_tokens)
         return materialise(seq) if self.persist else seq
 
 
