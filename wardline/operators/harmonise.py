@@ -148,12 +148,14 @@ def attach_ccsr(dx: DataFrame, long: DataFrame) -> DataFrame:
     # duplicated keys: counted on the three key columns only (map-side partial counts)
     dup_keys = checked_broadcast(
         dx.groupBy(*DX_KEY).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(*DX_KEY))
-    # merged lists only for rows of those keys (a broadcast semi join), then joined back
-    dups = (keyed.join(dup_keys, DX_KEY, "left_semi").groupBy(*DX_KEY)
-            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pairs")))).alias("_merged")))
-    dups = checked_broadcast(dups)
-    keyed = keyed.join(dups, DX_KEY, "left")
-    pairs = F.coalesce(F.col("_merged"), F.col("pairs"))
+    if dup_keys.isEmpty():
+        pairs = F.col("pairs")
+    else:
+        # merged lists only for rows of those keys (a broadcast semi join), joined back
+        dups = (keyed.join(dup_keys, DX_KEY, "left_semi").groupBy(*DX_KEY)
+                .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pairs")))).alias("_merged")))
+        keyed = keyed.join(checked_broadcast(dups), DX_KEY, "left")
+        pairs = F.coalesce(F.col("_merged"), F.col("pairs"))
     pairs = F.when(F.size(pairs) > 0, pairs)
     return (keyed.withColumn("ccsr_list_sorted", F.transform(pairs, lambda p: p["ccsr_category"]))
             .withColumn("ccsr_description",
