@@ -340,8 +340,8 @@ labels AS (
   SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY admittime_dt DESC NULLS LAST, hadm_id DESC) AS rd
   FROM seq_split) x WHERE rd = 1),
 vocab AS (
- SELECT '<PAD>' AS token, CAST(NULL AS BIGINT) AS count, 0 AS id UNION ALL
- SELECT '<UNK>', CAST(NULL AS BIGINT), 1 UNION ALL
+ SELECT '<PAD>' AS token, CAST(0 AS BIGINT) AS count, 0 AS id UNION ALL
+ SELECT '<UNK>', CAST(0 AS BIGINT), 1 UNION ALL
  SELECT token, count, CAST(row_number() OVER (ORDER BY count DESC, token) + 1 AS INTEGER) FROM (
   SELECT dx_token AS token, count(*) AS count FROM dxr
   WHERE (subject_id, hadm_id) IN (SELECT (subject_id, hadm_id) FROM seq_split WHERE split = 'train')
