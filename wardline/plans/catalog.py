@@ -743,3 +743,18 @@ def q_boot_2000(spark, sf_dir):
     and overall metrics from one shared replicate table."""
     return comparable(BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "ap", "f1"], ["race"], "hadm_id", 2000,
                                       seed=42, method="xxhash64"))
+
+
+@register("seq_scaled_static")
+def q_seq_scaled(spark, sf_dir):
+    """K12 transform: the last-20 admissions of every patient standardised with the
+    parameters fitted on training patients (train means come out 0, spreads 1)."""
+    seq = _seq_split(spark, sf_dir)
+    rows = TR.last_n_admissions(seq)
+    params = TR.fit_scaler(rows.filter(F.col("split") == "train"))
+    scaled = TR.apply_scaler(rows, params)
+    cols = ["age_at_admit", "adm_year", "n_dx", "delta_prev_adm_hours", "race_code"]
+    aggs = []
+    for c in cols:
+        aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
+    return comparable(scaled.groupBy("split").agg(*aggs), digits=6)

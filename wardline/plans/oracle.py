@@ -1109,3 +1109,14 @@ ci AS (
  UNION ALL SELECT 'f1', p.f1, c.lo, c.hi FROM pc p CROSS JOIN ({ci_sql('SELECT * FROM rc', [], 'f1')}) c)
 SELECT trim(regexp_replace(lower('Mortality ' || metric || ' (95% CI)'), '[^a-z0-9_-]+', '_', 'g'), '_') AS name,
  printf('%.2f (%.2f, %.2f)', point * 100.0, lo * 100.0, hi * 100.0) AS text FROM ci""")
+
+_SC = ("age_at_admit", "adm_year", "n_dx", "delta_prev_adm_hours", "race_code")
+ORACLE["seq_scaled_static"] = with_seq(
+    ", kept AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY admittime_dt DESC NULLS LAST, hadm_id DESC) AS rd "
+    "FROM seq_split), last20 AS (SELECT * FROM kept WHERE rd <= 20),\n"
+    "par AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}"
+                                  for c in _SC) + " FROM last20 WHERE split = 'train'),\n"
+    "z AS (SELECT split, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in _SC) + " FROM last20 CROSS JOIN par)\n"
+    # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's decimal rounding does
+    "SELECT split, " + ", ".join(f"round(avg({c}), 6) + 0.0 AS {c}__mean, round(stddev_pop({c}), 6) AS {c}__std"
+                                 for c in _SC) + " FROM z GROUP BY split")
