@@ -2,7 +2,10 @@
 
 Resampling n rows with replacement is replaced by independent Poisson(1) weights per
 (replicate, row), drawn from a hash of (seed, replicate, row key): deterministic,
-reproducible in SQL, and needing no shuffle to draw. Replicates are generated with
+reproducible in SQL, and needing no shuffle to draw. The default hash ("mix") is
+integer arithmetic in the style of SplitMix: a per-row key hash computed once before
+the replicate expansion, then one 31-bit finaliser per (row, replicate). It is ~8x
+cheaper than md5 over strings and DuckDB evaluates it bit for bit. Replicates are generated with
 ``explode(sequence(1, B))`` (a map-side expansion, never a cross join); every metric
 is then an ordinary weighted aggregation grouped by (group, replicate), and the CI
 is the exact linear-interpolated percentile over replicates.
@@ -23,8 +26,64 @@ from ..plans.sizing import checked_broadcast, materialise
 POISSON1_CDF = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
-def unit_from_hash(seed: int, replicate: Column, key: Column, method: str = "md5") -> Column:
-    """Uniform [0, 1) from (seed, replicate, key): md5 (SQL-reproducible) or xxhash64 (fast)."""
+# Fixed values of the "mix" hash: the 31-bit mask, the two odd multipliers of the
+# finaliser and the odd step between replicates. A 31-bit word times any of them stays
+# below 2^62, so no 64-bit product overflows (Spark runs with ANSI overflow checks).
+MIX_MASK = 0x7FFFFFFF
+MIX_MUL1 = 0x045D9F3B
+MIX_MUL2 = 0x2C1B3C6D
+MIX_STEP = 0x2545F491
+# finaliser stages: ("xor", s) is h ^ (h >> s); ("mul", m) is (h * m) & MIX_MASK
+FMIX_STAGES = (("xor", 16), ("mul", MIX_MUL1), ("xor", 13), ("mul", MIX_MUL2), ("xor", 16))
+
+
+def fmix31(h: int) -> int:
+    """The finaliser on a Python int (seed constants are folded on the driver)."""
+    for op, v in FMIX_STAGES:
+        h = h ^ (h >> v) if op == "xor" else (h * v) & MIX_MASK
+    return h
+
+
+def _fmix_stage(h: Column, op: str, v: int) -> Column:
+    return h.bitwiseXOR(F.shiftright(h, v)) if op == "xor" else (h * F.lit(v)).bitwiseAND(F.lit(MIX_MASK))
+
+
+def with_fmix(df: DataFrame, col: str) -> DataFrame:
+    """Apply the finaliser to ``col`` as one projection per stage: each stage reads the
+    previous one twice, so staging keeps every (row, replicate) at one evaluation
+    (the optimizer does not merge projections that would duplicate such work)."""
+    for op, v in FMIX_STAGES:
+        df = df.withColumn(col, _fmix_stage(F.col(col), op, v))
+    return df
+
+
+def _fmix_col(h: Column) -> Column:
+    for op, v in FMIX_STAGES:
+        h = _fmix_stage(h, op, v)
+    return h
+
+
+def _key_words(key: Column) -> tuple[Column, Column]:
+    k = key.cast("bigint")
+    return k.bitwiseAND(F.lit(MIX_MASK)), F.shiftright(k, 31).bitwiseAND(F.lit(MIX_MASK))
+
+
+def with_key_hash(df: DataFrame, seed: int, key: str, out: str = "_k1") -> DataFrame:
+    """Per-row part of the "mix" hash: fmix(fmix(fmix(seed) ^ key_lo) ^ key_hi)."""
+    lo, hi = _key_words(F.col(key))
+    df = with_fmix(df.withColumn(out, F.lit(fmix31(seed & MIX_MASK)).cast("bigint").bitwiseXOR(lo)), out)
+    return with_fmix(df.withColumn(out, F.col(out).bitwiseXOR(hi)), out)
+
+
+def unit_from_hash(seed: int, replicate: Column, key: Column, method: str = "mix") -> Column:
+    """Uniform [0, 1) from (seed, replicate, key): "mix" (integer, SQL-reproducible,
+    the default), md5 (SQL-reproducible) or xxhash64. As one expression; the replicate
+    plan stages "mix" with ``with_key_hash`` / ``with_fmix`` instead."""
+    if method == "mix":
+        lo, hi = _key_words(key)
+        k1 = _fmix_col(_fmix_col(F.lit(fmix31(seed & MIX_MASK)).cast("bigint").bitwiseXOR(lo)).bitwiseXOR(hi))
+        h = _fmix_col((k1 + replicate.cast("bigint") * F.lit(MIX_STEP)).bitwiseAND(F.lit(MIX_MASK)))
+        return h.cast("double") / F.lit(float(1 << 31))
     if method == "md5":
         h = F.md5(F.concat(F.lit(f"{seed}:"), replicate.cast("string"), F.lit(":"), key.cast("string")))
         return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") / F.lit(float(2 ** 32))
@@ -40,19 +99,28 @@ def poisson1(u: Column) -> Column:
     return k
 
 
-def replicate(df: DataFrame, key: str, n_boot: int, seed: int = 42, method: str = "md5",
-              stratify: str | None = None, group: Sequence[str] = ()) -> DataFrame:
-    """Rows x replicates with weight ``w`` > 0 (rows drawn 0 times are dropped).
+def replicate(df: DataFrame, key: str, n_boot: int, seed: int = 42, method: str = "mix",
+              stratify: str | None = None, group: Sequence[str] = (), keep_zero: bool = False) -> DataFrame:
+    """Rows x replicates with weight ``w`` > 0 (rows drawn 0 times are dropped;
+    ``keep_zero`` keeps them with ``w`` = 0 for callers that only sum weights).
 
     With ``stratify`` (L6) the weights are rescaled inside each (group, replicate,
     class) so that every class keeps its original total, as a class-stratified
     resample does.
     """
-    rep = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    rep = rep.withColumn("_u", unit_from_hash(seed, F.col("replicate"), F.col(key), method))
-    # weight > 0  <=>  u >= P(K = 0); filtering on u keeps the hash out of the
-    # Poisson expression when the optimizer pushes the filter down
-    rep = rep.filter(F.col("_u") >= F.lit(POISSON1_CDF[0]))
+    if method == "mix":
+        # the key hash once per row, then one finaliser per (row, replicate)
+        rep = with_key_hash(df, seed, key).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+        step = F.col("replicate").cast("bigint") * F.lit(MIX_STEP)
+        rep = with_fmix(rep.withColumn("_h", (F.col("_k1") + step).bitwiseAND(F.lit(MIX_MASK))), "_h")
+        rep = rep.withColumn("_u", F.col("_h").cast("double") / F.lit(float(1 << 31))).drop("_k1", "_h")
+    else:
+        rep = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+        rep = rep.withColumn("_u", unit_from_hash(seed, F.col("replicate"), F.col(key), method))
+    if not keep_zero or stratify:
+        # weight > 0  <=>  u >= P(K = 0); filtering on u keeps the hash out of the
+        # Poisson expression when the optimizer pushes the filter down
+        rep = rep.filter(F.col("_u") >= F.lit(POISSON1_CDF[0]))
     rep = rep.withColumn("w", poisson1(F.col("_u")).cast("double")).drop("_u")
     if stratify:
         g = list(group)
@@ -100,14 +168,17 @@ METRIC_INPUTS = {
 
 
 def reduced_replicates(df: DataFrame, metrics: Sequence[str], key: str, n_boot: int, seed: int = 42,
-                       method: str = "md5", stratify: str | None = None, group: Sequence[str] = ()) -> DataFrame:
+                       method: str = "mix", stratify: str | None = None, group: Sequence[str] = ()) -> DataFrame:
     """The replicate plan shared by all metrics: rows x replicates with Poisson
     weights, reduced to one weighted row per (group, replicate, distinct metric
     inputs) with map-side partial aggregation, and materialised once. Its size is
     bounded by distinct inputs per replicate, not by rows x replicates."""
     cols = sorted({c for m in metrics for c in METRIC_INPUTS[m]})
-    rep = replicate(df, key, n_boot, seed, method, stratify, group)
-    red = rep.groupBy(*group, "replicate", *cols).agg(F.sum("w").alias("w"))
+    # Zero weights add nothing to the sums, so they ride through the map-side partial
+    # aggregation and empty cells are dropped after it. A filter before it would be
+    # pushed below the staged hash projections and evaluate the hash a second time.
+    rep = replicate(df, key, n_boot, seed, method, stratify, group, keep_zero=True)
+    red = rep.groupBy(*group, "replicate", *cols).agg(F.sum("w").alias("w")).filter(F.col("w") > 0)
     return materialise(red)
 
 
@@ -150,7 +221,7 @@ def percentile_ci(values: DataFrame, group: Sequence[str], alpha: float = 0.05,
 
 
 def bootstrap_ci(scored: DataFrame, metrics: Sequence[str], group: Sequence[str] = (), key: str = "hadm_id",
-                 n_boot: int = 2000, alpha: float = 0.05, seed: int = 42, method: str = "md5",
+                 n_boot: int = 2000, alpha: float = 0.05, seed: int = 42, method: str = "mix",
                  stratify: str | None = None, min_valid: int = 1) -> DataFrame:
     """Point estimate and percentile CI of each metric, per group.
 
@@ -180,7 +251,7 @@ def eligible_groups(scored: DataFrame, group: str, min_n: int) -> DataFrame:
 
 
 def gap_ci(scored: DataFrame, metric: str, group: str = "race", key: str = "hadm_id", n_boot: int = 2000,
-           alpha: float = 0.05, seed: int = 42, min_n: int = 25, method: str = "md5",
+           alpha: float = 0.05, seed: int = 42, min_n: int = 25, method: str = "mix",
            reps: DataFrame | None = None, frames: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Disparity gap max(metric_g) - min(metric_g) over groups with at least
     ``min_n`` rows and a defined metric (NULL with fewer than 2 such groups), with a

@@ -736,7 +736,7 @@ SELECT race, n, pos, n - pos AS neg, round(pos / n, 9) AS prevalence, round((n -
 FROM c""")
 
 # ---- weighted metric SQL builders (bootstrap / fairness oracles) ----------------------
-from ..operators.bootstrap import POISSON1_CDF  # noqa: E402
+from ..operators.bootstrap import FMIX_STAGES, MIX_MASK, MIX_STEP, POISSON1_CDF, fmix31  # noqa: E402
 
 
 def poisson_sql(u: str) -> str:
@@ -748,11 +748,26 @@ def rep_unit(seed: int, b: str, key: str) -> str:
             f"AS BIGINT) / 4294967296.0)")
 
 
+def fmix_sql(src: str, col: str) -> str:
+    """The 31-bit finaliser on ``col`` of ``src``, one subquery per stage."""
+    for op, v in FMIX_STAGES:
+        e = f"xor({col}, {col} >> {v})" if op == "xor" else f"(({col} * {v}) & {MIX_MASK})"
+        src = f"SELECT * REPLACE ({e} AS {col}) FROM ({src}) f"
+    return src
+
+
 def reps_sql(src: str, n_boot: int, seed: int = 42, key: str = "hadm_id") -> str:
-    """Rows x replicates with Poisson(1) weight > 0."""
-    return (f"SELECT * FROM (SELECT s.*, CAST(b.range AS INTEGER) AS replicate, "
-            f"CAST({poisson_sql(rep_unit(seed, 'b.range', 's.' + key))} AS DOUBLE) AS w "
-            f"FROM ({src}) s CROSS JOIN range(1, {n_boot + 1}) b) x WHERE w > 0")
+    """Rows x replicates with Poisson(1) weight > 0 (the "mix" hash)."""
+    k = (f"SELECT *, xor(CAST({fmix31(seed & MIX_MASK)} AS BIGINT), CAST({key} AS BIGINT) & {MIX_MASK}) AS _k1 "
+         f"FROM ({src}) s")
+    k = fmix_sql(k, "_k1")
+    k = f"SELECT * REPLACE (xor(_k1, (CAST({key} AS BIGINT) >> 31) & {MIX_MASK}) AS _k1) FROM ({k}) s"
+    k = fmix_sql(k, "_k1")
+    h = (f"SELECT s.*, CAST(b.range AS INTEGER) AS replicate, (s._k1 + b.range * {MIX_STEP}) & {MIX_MASK} AS _h "
+         f"FROM ({k}) s CROSS JOIN range(1, {n_boot + 1}) b")
+    h = fmix_sql(h, "_h")
+    return (f"SELECT * EXCLUDE (_k1, _h) FROM (SELECT *, CAST({poisson_sql('(_h / 2147483648.0)')} AS DOUBLE) AS w "
+            f"FROM ({h}) x) y WHERE w > 0")
 
 
 def gl(g) -> tuple[str, str, str]:
@@ -854,6 +869,29 @@ ORACLE["metric_ci_table"] = with_scores(
 _p, _b = _boot_overall(["auroc", "f1"], stratified=True)
 ORACLE["bootstrap_ci_stratified"] = with_scores(_p + _b)
 
+
+def _boot_grouped(metrics, g: str, n_boot: int) -> str:
+    """Per-group points and percentile CIs from one replicate table (left join: a
+    group without a valid replicate keeps its point with NULL bounds)."""
+    pre = rf"""
+, src AS ({SCORED_PRED}),
+reps AS ({reps_sql('SELECT * FROM src', n_boot)}),
+pa AS ({auc_sql(f'SELECT *, {ONE} FROM src', [g])}),
+pc AS ({conf_sql(f'SELECT *, {ONE} FROM src', [g])}),
+ra AS ({auc_sql('SELECT * FROM reps', [g, 'replicate'])}),
+rc AS ({conf_sql('SELECT * FROM reps', [g, 'replicate'])})
+"""
+    parts = []
+    for m in metrics:
+        pt, rv = ("pa", "ra") if m in ("auroc", "ap") else ("pc", "rc")
+        parts.append(f"SELECT p.{g}, '{m}' AS metric, round(p.{m}, 9) AS point, round(c.lo, 9) AS lo, "
+                     f"round(c.hi, 9) AS hi, c.n_valid FROM {pt} p LEFT JOIN "
+                     f"({ci_sql(f'SELECT * FROM {rv}', [g], m)}) c ON p.{g} = c.{g}")
+    return pre + "\nUNION ALL ".join(parts)
+
+
+ORACLE["bootstrap_ci_b2000"] = with_scores(_boot_grouped(["auroc", "ap", "f1"], "race", 2000))
+
 ORACLE["subgroup_report"] = with_scores(rf"""
 , b0 AS (SELECT *, coalesce(CASE WHEN CAST(race AS VARCHAR) <> '' THEN CAST(race AS VARCHAR) END, 'Unknown') AS cat FROM ({SCORED_PRED}) s),
 base AS (SELECT b0.* EXCLUDE (race, cat), CASE WHEN c.cnt < 50 THEN 'Other' ELSE b0.cat END AS race
