@@ -143,3 +143,22 @@ def test_duplicate_keys_share_merged_category_lists(spark):
     assert lists[1] == (1, ["CAT1", "CAT3"], ["one", "three"])
     assert lists[2] == (2, ["CAT1"], ["one"])
     assert lists[3] == (3, None, [])
+
+
+def test_mix_hash_matches_duckdb_and_replicates_are_independent(spark):
+    import duckdb
+    import numpy as np
+    from wardline.plans.oracle import reps_sql
+    keys = [0, 1, 2, 12345, 2**31 - 1, 2**31, 2**40 + 17, -5, -(2**35)]
+    df = spark.createDataFrame([(k, 1) for k in keys], "hadm_id long, y int")
+    got = sorted((r.hadm_id, r.replicate, r.w) for r in B.replicate(df, "hadm_id", 9, 42).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT * FROM (VALUES " + ",".join(f"({k}::BIGINT, 1)" for k in keys)
+                + ") v(hadm_id, y)")
+    want = sorted((r[0], r[2], r[3]) for r in con.execute(reps_sql("SELECT * FROM t", 9, 42)).fetchall())
+    assert got == want
+    # weights of two replicates over all rows (zeros included): Poisson(1), uncorrelated
+    u = [B.poisson1(B.unit_from_hash(42, F.lit(b), F.col("id"))).alias(f"w{b}") for b in (1, 2)]
+    w = np.array(spark.range(0, 50000).select(*u).collect(), dtype=float)
+    assert w.mean(axis=0) == pytest.approx([1.0, 1.0], abs=0.02)
+    assert abs(np.corrcoef(w.T)[0, 1]) < 0.02
