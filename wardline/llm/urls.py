@@ -96,21 +96,22 @@ def listed_by_bloom(rows: DataFrame, listed: DataFrame, column: str) -> DataFram
             .withColumn("listed", F.coalesce(F.col("_in"), F.lit(False))).drop("_in", "_listed"))
 
 
-def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
-    """Judge every row of ``pages``: adds host, path, canonical, bloom_hit, listed, rule, verdict.
+def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
+    """Judge every row of ``pages``: page_id, url, host, path, canonical, bloom_hit, listed, rule, verdict.
 
     ``listed`` has a column ``canonical``. A fitting rule decides; else a listed canonical
     URL is blocked and any other allowed. NULL urls and urls without ``://`` have empty
-    host and path and are allowed. Rows, repeats included, are neither lost nor added."""
-    rows = (pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-            .withColumn("canonical", F.when(F.col("host") != "", canonical_url(F.col(url)))))
+    host and path and are allowed. Rows, repeats included, are neither lost nor added, and
+    other columns are not read."""
+    rows = (pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+            .withColumn("canonical", F.when(F.col("host") != "", canonical_url(F.col("url")))))
     rows = listed_by_bloom(rows, listed, "canonical")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     return (rows.withColumn("rule", rule)
             .withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))))
 
 
-def repeated_urls(pages: DataFrame, url: str = "url") -> DataFrame:
+def repeated_urls(pages: DataFrame) -> DataFrame:
     """The list of the registered query: canonical URLs that two or more rows share (crawl duplicates)."""
-    c = pages.select(canonical_url(F.col(url)).alias("canonical"), host_of(F.col(url)).alias("_h")).where("_h <> ''")
+    c = pages.select(canonical_url(F.col("url")).alias("canonical"), host_of(F.col("url")).alias("_h")).where("_h <> ''")
     return c.groupBy("canonical").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("canonical")
