@@ -52,5 +52,5 @@ def running_offset(cells: DataFrame, key: str, order: str, value: str, out: str,
                        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
     inner = W.partitionBy(key, "_super").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     c = c.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return (c.join(tops, c[key].eqNullSafe(F.col("_k")) & (F.col("_super") == F.col("_s")))
+    return (c.join(tops.hint("merge"), c[key].eqNullSafe(F.col("_k")) & (F.col("_super") == F.col("_s")))
             .withColumn(out, F.col("_off") + F.col("_in")).drop("_super", "_in", "_k", "_s", "_off"))

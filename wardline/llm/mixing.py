@@ -75,7 +75,7 @@ def schedule(plan: DataFrame) -> DataFrame:
     cells = running_offset(points.groupBy("sid", "cell").agg(F.count(F.lit(1)).alias("n")), "sid", "cell", "n", "off")
     inside = F.row_number().over(W.partitionBy("sid", "cell").orderBy("slot")) - 1
     ranked = (points.withColumn("_in", inside)
-              .join(cells.select("sid", "cell", "off"), ["sid", "cell"])
+              .join(cells.select("sid", "cell", "off").hint("merge"), ["sid", "cell"])
               .withColumn("rank", F.col("off") + F.col("_in")))
     return ranked.select("sid", "slot", "rank", F.expr("rank % n_blocks").alias("block_no"),
                          F.expr("rank div n_blocks").alias("epoch"))
@@ -108,13 +108,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     cells = running_offset(rows.groupBy("sid", "cell").agg(F.sum("size").alias("n")), "sid", "cell", "n", "off")
     before = F.coalesce(F.sum("size").over(W.partitionBy("sid", "cell").orderBy("h", "doc_id", "size")
                                            .rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = (rows.withColumn("_in", before).join(cells.select("sid", "cell", "off"), ["sid", "cell"])
+    placed = (rows.withColumn("_in", before).join(cells.select("sid", "cell", "off").hint("merge"), ["sid", "cell"])
               .withColumn("lo", F.col("off") + F.col("_in")).withColumn("hi", F.col("lo") + F.col("size")))
     numbers = F.when(F.col("size") > 0, F.sequence(F.expr("lo div block"), F.expr("(hi - 1) div block")))
     pieces = placed.withColumn("rid", F.monotonically_increasing_id()).select(
         "rid", "doc_id", "size", "source_size", "target", "sid", "lo", "hi", "block", F.explode_outer(numbers).alias("block_no"))
     words = (F.least("hi", (F.col("block_no") + 1) * F.col("block")) - F.greatest("lo", F.col("block_no") * F.col("block")))
-    got = pieces.withColumn("words", words).join(taken_blocks, ["sid", "block_no"], "left")
+    got = pieces.withColumn("words", words).join(taken_blocks.hint("merge"), ["sid", "block_no"], "left")
     return got.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"),
         F.first("target").alias("target"),
