@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..plans.session import ensure_checkpoint_dir
 from ..sources.tables import table
-from . import mixing, rules, secrets, urls
+from . import brown, decontaminate, langid, mixing, quality, rules, secrets, urls
+from .common import id_crc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,14 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(3).alias("n_markov"))
 
 
+def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", (id_crc(F.col("doc_id")) % 4 == 2).alias("held_out"),
+                         quality.score(docs, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.ACCEPT).cast("int"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -35,8 +44,28 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
+def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(docs), F.col("text"))
+    return docs.select("doc_id", (id_crc(F.col("doc_id")) % 4 == 2).alias("held_out"), found.alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "_found.*")
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", "common")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_rules, op3_secret_scan, op5_url_filter, op8_source_mix)}
+def op10_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return brown.score(docs, brown.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_line_rules, op3_secret_scan, op4_neighbour_quality, op5_url_filter, op6_ppm_language,
+    op7_latent_decontamination, op8_source_mix, op10_class_bigrams)}
