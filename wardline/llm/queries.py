@@ -1,12 +1,15 @@
 """Registered queries of the subpackage: each reads whole tables and gives its operator's full result."""
 from __future__ import annotations
 
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import ensure_checkpoint_dir
 from ..sources.tables import table
-from . import brown, decontaminate, langid, mixing, quality, rules, secrets, urls
+from . import brown, decontaminate, langid, mixing, ngrams, quality, rules, secrets, tokens, urls
 from .common import id_crc
 
 
@@ -15,6 +18,23 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def token_output(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Write the token files of ``docs`` to the shared folder and read them back, as op1's contract asks.
+
+    ``tokenizer``: path of a tokenizer file on the driver, by default the public byte-level one."""
+    if tokenizer is None:
+        import public_tokenizers
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    spark = docs.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wardline-tokens/{uuid.uuid4().hex}"
+    tokens.write_tokens(docs, path, Path(tokenizer).read_text())
+    return tokens.read_tokens(spark, path)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(_documents(spark, sf_dir))
+
+
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.line_rules(_documents(spark, sf_dir))
 
@@ -61,11 +81,15 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir).select("doc_id", "text", "source"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_components(_documents(spark, sf_dir), n=4, percent=85)
+
+
 def op10_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return brown.score(docs, brown.fit(docs))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_line_rules, op3_secret_scan, op4_neighbour_quality, op5_url_filter, op6_ppm_language,
-    op7_latent_decontamination, op8_source_mix, op10_class_bigrams)}
+    op1_token_files, op2_line_rules, op3_secret_scan, op4_neighbour_quality, op5_url_filter, op6_ppm_language,
+    op7_latent_decontamination, op8_source_mix, op9_ngram_jaccard, op10_class_bigrams)}
