@@ -45,13 +45,22 @@ def score_steps(scored: DataFrame, group: Sequence[str] = (), label: str = "y_tr
                          F.coalesce(F.sum("_cp").over(above), F.lit(0.0)).alias("_otp"),
                          F.coalesce(F.sum("_cn").over(above), F.lit(0.0)).alias("_ofp"),
                          F.sum("_cp").over(whole).alias("P"), F.sum("_cn").over(whole).alias("N"))
-    steps = per_score.join(cells, [*g, "_b"], "inner")
+    steps = null_safe_join(per_score, cells, [*g, "_b"])
     run = Window.partitionBy(*g, "_b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     return steps.select(*g, "s", "pos", "neg",
                         (F.col("_otp") + F.sum("pos").over(run)).alias("tp"),
                         (F.col("_ofp") + F.sum("neg").over(run)).alias("fp"), "P", "N")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which NULL equals NULL, so the rows of a NULL group stay."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def auroc_ap(steps: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """N1 + N2: tie-aware AUROC and step-wise average precision; NULL for one class."""
     auc = F.sum(F.col("pos") * (F.col("N") - F.col("fp") + F.lit(0.5) * F.col("neg")))
@@ -190,7 +199,7 @@ def reliability(scored: DataFrame, group: Sequence[str] = (), label: str = "y_tr
     agg = b.groupBy(*g, "bin").agg(F.count(F.lit(1)).alias("count"), F.avg("_p").alias("mean_pred"),
                                    F.avg("_y").alias("frac_pos"))
     grid = scored.select(*g).distinct().select(*g, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    out = grid.join(agg, [*g, "bin"], "left")
+    out = null_safe_join(grid, agg, [*g, "bin"], "left")
     return out.select(*g, "bin", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "mean_pred", "frac_pos")
 
 
@@ -261,7 +270,7 @@ def grid_counts(scored: DataFrame, group: Sequence[str], start: float, stop: flo
     cells = base.withColumn("c", cnt).groupBy(*g, "c").agg(
         F.sum("_y").alias("cp"), F.sum(F.lit(1.0) - F.col("_y")).alias("cn"))
     dense = src.select(*g).distinct().select(*g, F.explode(F.sequence(F.lit(0), F.lit(num))).alias("c"))
-    dense = dense.join(cells, [*g, "c"], "left").fillna(0.0, ["cp", "cn"])
+    dense = null_safe_join(dense, cells, [*g, "c"], "left").fillna(0.0, ["cp", "cn"])
     suffix = Window.partitionBy(*g).orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*g)
     dense = dense.select(*g, "c", F.sum("cp").over(suffix).alias("tp"), F.sum("cn").over(suffix).alias("fp"),
@@ -328,7 +337,7 @@ def threshold_policy(scored: DataFrame, group: Sequence[str] = (), mode: str = "
         pol = precision_target_threshold(grid_counts(scored, group, *PRECISION_GRID, label=label, score=score),
                                          group, target_precision)
     else:
-        raise ValueError("threshold_mode must be f1 | recall | precision")
+        raise ValueError(f"unknown threshold policy {mode!r}: use f1, recall or precision")
     j = f1.select(*group, F.col("threshold").alias("_f1t"))
     pol = pol.select(*group, "threshold")
     both = pol.join(j, list(group), "full") if group else pol.withColumn("_k", F.lit(1)).join(

@@ -20,10 +20,10 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timecols import to_number
+from ..functions.timecols import finite, to_number
 from ..plans.sizing import materialise
 from .explore import attach_scalars
 from .schema import feature_columns
@@ -125,15 +125,15 @@ def prepare_admissions(adm: DataFrame, split_col: str = "split", label: str = "h
     # the roll-up behind ``adm`` runs once; medians, weights and the vector stages
     # then read the written table
     df = materialise(df)
-    dev = df.filter(F.col(split_col) != "test")
+    dev = df.filter(F.col(split_col) == "train")
     df = impute_medians(df, fit_medians(dev, num), num)
     df = df.withColumn("y", F.col(label).cast("int")).withColumn("is_val", F.col(split_col) == "val")
     df = df.withColumn("y_reg", to_number(F.col("los_days"), None))
     df = df.withColumn("y_log", F.log1p(F.greatest(F.col("y_reg"), F.lit(0.0))))
-    df = with_weights(df, class_weights(df.filter(F.col(split_col) != "test")))
+    df = with_weights(df, class_weights(df.filter(F.col(split_col) == "train")))
     pipe = Pipeline(stages=[multi_hot(), assembler(num),
                             StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True)])
-    model = pipe.fit(df.filter(F.col(split_col) != "test"))
+    model = pipe.fit(df.filter(F.col(split_col) == "train"))
     return materialise(model.transform(df)), num
 
 
@@ -144,23 +144,27 @@ def positive_probability(pred: DataFrame, name: str) -> DataFrame:
     return pred.withColumn("y_prob", vector_to_array("rawPrediction")[1])
 
 
-def _fit_all(estimators: dict, rows: DataFrame, parallelism: int) -> dict:
-    """Fit several estimators concurrently: each fit submits its own Spark jobs from a
-    driver thread, so short fits overlap with long (sequential-iteration) ones."""
+def _fit_all(estimators: dict, rows: DataFrame, parallelism: int, split_col: str = "split") -> dict:
+    """Fit several estimators concurrently on the train rows; only an estimator with a
+    validation column also sees the val rows, as that column marks them. Each fit submits
+    its own Spark jobs from a driver thread, so short fits overlap with long ones."""
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futures = {name: pool.submit(est.fit, rows) for name, est in estimators.items()}
+        train = rows.filter(F.col(split_col) == "train")
+        stops = {name: est.hasParam("validationIndicatorCol") and est.isSet("validationIndicatorCol")
+                 for name, est in estimators.items()}
+        futures = {name: pool.submit(est.fit, rows if stops[name] else train) for name, est in estimators.items()}
         return {name: f.result() for name, f in futures.items()}
 
 
 def fit_and_score(prepared: DataFrame, estimators: dict, split_col: str = "split",
                   keys: Sequence[str] = ("hadm_id", "subject_id", "race"), parallelism: int = 4) -> DataFrame:
-    """M9 + M10: fit each estimator on the development rows (train + val; boosters use
-    val only as their early-stopping column) and stack the test scores of all models
+    """M9 + M10: fit each estimator on the train rows (boosters use the val rows only
+    through their early-stopping column) and stack the test scores of all models
     into one scored table."""
     fit_rows = prepared.filter(F.col(split_col) != "test")
     test = prepared.filter(F.col(split_col) == "test")
-    models = _fit_all(estimators, fit_rows, parallelism)
+    models = _fit_all(estimators, fit_rows, parallelism, split_col)
     out = None
     for name, est in estimators.items():
         pred = positive_probability(models[name].transform(test), name)
@@ -176,10 +180,10 @@ def fit_and_predict_regression(prepared: DataFrame, estimators: dict, split_col:
                                parallelism: int = 4) -> DataFrame:
     """M7: fit on log1p(LOS), predict, invert with expm1 and clip at 0; rows with a
     finite target only (C5)."""
-    ok = prepared.filter(F.col("y_reg").isNotNull() & ~F.isnan("y_reg"))
+    ok = prepared.filter(finite(F.col("y_reg")))
     fit_rows = ok.filter(F.col(split_col) != "test")
     test = ok.filter(F.col(split_col) == "test")
-    models = _fit_all(estimators, fit_rows, parallelism)
+    models = _fit_all(estimators, fit_rows, parallelism, split_col)
     out = None
     for name, est in estimators.items():
         pred = models[name].transform(test)
@@ -238,19 +242,20 @@ def text_classifier(records: DataFrame, label: str = "y_mort", split_col: str =
                        F.col("prediction").cast("int").alias("y_pred"))
 
 
-def trajectory_features(seq: DataFrame) -> DataFrame:
-    """M12 input: one row per patient from its admission sequence (last admission's
-    label and static features, means, counts and gaps)."""
+def trajectory_features(seq: DataFrame, last_n: int = 20) -> DataFrame:
+    """M12 input: one row per patient from its last ``last_n`` admissions (the last one's
+    label and static features, mean diagnosis counts, gaps). Lengths of stay are targets
+    and stay out of the features."""
     from .trajectory import STATIC_COLS, order_key
-    last = F.max_by(F.struct("mortality", "los_log", "race", *STATIC_COLS), order_key())
-    agg = seq.groupBy("subject_id").agg(
+    rank = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc(order_key()), F.desc("hadm_id")))
+    recent = seq.withColumn("_rank", rank).filter(F.col("_rank") <= last_n)
+    last = F.max_by(F.struct("mortality", "race", *STATIC_COLS), order_key())
+    agg = recent.groupBy("subject_id").agg(
         last.alias("l"), F.count(F.lit(1)).alias("n_adm"), F.avg("n_dx").alias("mean_n_dx"),
-        F.avg("los_hours").alias("mean_los_hours"), F.max("delta_prev_adm_hours").alias("max_gap_hours"),
-        F.avg("delta_prev_adm_hours").alias("mean_gap_hours"), F.sum("mortality").alias("prior_deaths"))
+        F.max("delta_prev_adm_hours").alias("max_gap_hours"), F.avg("delta_prev_adm_hours").alias("mean_gap_hours"))
     cols = [F.col(f"l.{c}").alias(f"last_{c}") for c in STATIC_COLS]
     return agg.select("subject_id", F.col("l.mortality").alias("y"), F.col("l.race").alias("race"), *cols,
-                      F.col("n_adm").cast("double").alias("n_adm"), "mean_n_dx", "mean_los_hours", "max_gap_hours",
-                      "mean_gap_hours")
+                      F.col("n_adm").cast("double").alias("n_adm"), "mean_n_dx", "max_gap_hours", "mean_gap_hours")
 
 
 def score_foreign(df: DataFrame, predict, input_cols: Sequence[str], out: str = "y_prob") -> DataFrame:

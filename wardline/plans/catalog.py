@@ -500,13 +500,13 @@ def _adm_split(spark, sf_dir):
 @register("median_impute_params")
 def q_medians(spark, sf_dir):
     adm, cols = MD.numeric_block(_adm_split(spark, sf_dir))
-    return comparable(MD.fit_medians(adm.filter(F.col("split") != "test"), cols))
+    return comparable(MD.fit_medians(adm.filter(F.col("split") == "train"), cols))
 
 
 @register("scale_params")
 def q_scale(spark, sf_dir):
     adm, cols = MD.numeric_block(_adm_split(spark, sf_dir))
-    dev = adm.filter(F.col("split") != "test")
+    dev = adm.filter(F.col("split") == "train")
     return comparable(MD.fit_scale(MD.impute_medians(dev, MD.fit_medians(dev, cols), cols), cols), digits=6)
 
 

@@ -1058,7 +1058,7 @@ DEV_MATRIX = (", mat AS (SELECT hadm_id, arg_min(subject_id, seq_num) AS subject
               ", CAST(min(seq_num) AS DOUBLE) AS seq_num, CAST(count(*) AS DOUBLE) AS n_dx_rows FROM feat GROUP BY hadm_id),\n"
               "un AS (SELECT hadm_id, CAST(count(DISTINCT ccsr_category) AS DOUBLE) AS k FROM row_cats GROUP BY 1),\n"
               "dev AS (SELECT m.*, coalesce(un.k, 0) AS n_ccsr_unique FROM mat m LEFT JOIN un USING (hadm_id) "
-              f"WHERE NOT ({md5_unit(42, 'm.subject_id')} < 0.2))\n")
+              f"WHERE NOT ({md5_unit(42, 'm.subject_id')} < 0.2) AND NOT ({md5_unit(7, 'm.subject_id')} < 0.2))\n")
 ORACLE["median_impute_params"] = with_cohort(
     DEV_MATRIX + "SELECT " + ", ".join(f"round(quantile_cont({c}, 0.5), 9) AS {c}__median" for c in MATRIX_COLS) + " FROM dev",
     *HCF)
