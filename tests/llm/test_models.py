@@ -1,0 +1,209 @@
+"""Operators with learned models, joins and files against brute force, held-out rows and round trips."""
+import math
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from wardline.llm import brown, codec, decontaminate, langid, ngrams, quality, queries, tokens
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, label double, rid int, n int"
+EDGE = [(1, None, None, None, None, 1.0, 1, 1), (2, "", "en", "s", 0, 1.0, 1, 1), (None, "a b c", "en", "s", 5, 1.0, 1, 1),
+        (3, "x y " * 30_000, "en", "s", 1, 1.0, 1, 1), (4, "one two\tthree four five", None, None, 1, 1.0, 1, 1),
+        (4, "one two\tthree four five", None, None, 1, 1.0, 1, 1), (5, "ONE two three  four five", None, None, 1, 1.0, 1, 1)]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def held(doc_id, mod):
+    return zlib.crc32(str(doc_id).encode()) % mod == 2
+
+
+def test_codec_round_trip_and_damage():
+    rng = np.random.default_rng(1)
+    for ids in ([], [5], [0] * 5000, rng.integers(0, 50257, 9000), np.arange(50257), [1, 2, 3] * 4000):
+        ids = np.array(ids, np.uint16)
+        assert (codec.decode(codec.encode(ids)) == ids).all()
+    chunk = bytearray(codec.encode(np.arange(3000, dtype=np.uint16) % 7))
+    chunk[-3] ^= 1
+    with pytest.raises(ValueError):
+        codec.decode(bytes(chunk))
+    assert len(codec.encode(np.array([1, 2, 3] * 4000, np.uint16))) < 3000
+
+
+def test_token_files(spark, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["a\t\n\nb  c \r\n d  ", "  x", "a\x1c!b <|endoftext|> z", " \n", "'s 't\n\n\n  a", "x\xa0 y", "  q"]
+    e = tokens.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
+    for x, got in zip(odd, e.ids(odd), strict=True):
+        assert list(got) == [*t.encode(x, add_special_tokens=False).ids, 0]
+    got, pos = {r.doc_id: r for r in queries.op1_token_files(spark, SF).collect()}, 0
+    assert len(got) == len(texts)
+    for d in sorted(texts):
+        ids = np.array([*t.encode(texts[d] or "", add_special_tokens=False).ids, 0], "<u4")
+        assert tuple(got[d])[:4] == (d, pos, len(ids), zlib.crc32(ids.tobytes()))
+        pos += len(ids)
+
+
+def test_quality_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op4_neighbour_quality(spark, sf).collect() if r.held_out and r.doc_id in label]
+    assert rows and all(0 <= r.score <= 1 and held(r.doc_id, 4) for r in rows)
+    assert np.mean([r.predicted == label[r.doc_id] for r in rows]) >= 0.95
+
+
+def test_vote_is_exact():
+    rng = np.random.default_rng(0)
+    v, known = rng.random((20, 5)), rng.random((60, 5))
+    y = rng.integers(0, 2, 60).astype(float)
+    for a, got in zip(v, quality.vote(v, known, y), strict=True):
+        s = sorted(zip(known @ a, y, strict=True), reverse=True)[:quality.NEIGHBOURS]
+        w = [min(max(c, 0), 1) ** quality.SHARPNESS for c, _ in s]
+        assert abs(got - sum(p * q for p, (_, q) in zip(w, s, strict=True)) / sum(w)) < 1e-9
+
+
+def test_language_held_out_and_code_lengths(spark, texts):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = [r for r in queries.op6_ppm_language(spark, SF).collect() if r.held_out]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in rows]) >= 0.9
+    import pandas as pd
+    g, n = np.unique(langid.grams("abracadabra"), return_counts=True)
+    model = langid.build(pd.DataFrame({"lang": "x", "gram": g.astype(np.int64), "n": n}))
+    hist = "\n\n\nabracadabra"
+    count = defaultdict(Counter)
+    for i in range(3, len(hist)):
+        for k in range(4):
+            count[hist[i - k:i]][hist[i]] += 1
+    bits = 0.0
+    for i, c in enumerate("abrxc", 3):
+        ctx = ("\n\n\n" + "abrxc")[:i]
+        for k in (3, 2, 1, 0):
+            seen = count.get(ctx[len(ctx) - k:] if k else "")
+            if seen:
+                total = sum(seen.values()) + len(seen)
+                if c in seen:
+                    bits -= math.log2(seen[c] / total)
+                    break
+                bits -= math.log2(len(seen) / total)
+        else:
+            bits += 8
+    assert abs(langid.text_bits("abrxc", model)[0] - bits) < 1e-9
+
+
+def test_decontamination_finds_planted_passages(spark, texts):
+    items = {r.item_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    truth = {d: {i for i, x in items.items() if x in " ".join((t or "").lower().split())} for d, t in texts.items()}
+    for r in queries.op7_latent_decontamination(spark, SF).collect():
+        assert set(r.item_ids) == truth[r.doc_id] and r.contaminated == bool(truth[r.doc_id])
+
+
+def test_common_subsequence():
+    def plain(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = rng.integers(0, 6, 12).tolist(), rng.integers(0, 6, 20).tolist()
+        assert decontaminate.common_subsequence(a, b) == plain(a, b)
+
+
+def brute_components(texts, n, percent):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    sets, root = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and both * 100 >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in texts}
+
+
+@pytest.mark.parametrize("often", [4, 1])
+def test_jaccard_join_brute_force(spark, texts, often, monkeypatch):
+    """With ``often`` 1 every sampled token counts as frequent, so pairs of tokens carry the join."""
+    monkeypatch.setattr(ngrams, "FREQUENT", often)
+    monkeypatch.setattr(ngrams, "SAMPLE_EVERY", 1)
+    base = " ".join(f"w{i}" for i in range(120))
+    chain = {9000 + i: base.replace(f"w{7 * i} ", f"v{i} ").replace("w3 ", f"z{i} " if i % 2 else "w3 ") for i in range(1, 14)}
+    every = texts | chain | {9100: "one", 9101: "One", 9102: "one two three four five six seven", 9103: "one two three four five six seven eight"}
+    docs = spark.createDataFrame(list(every.items()), "doc_id long, text string")
+    want = brute_components(every, 4, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.jaccard_components(docs, 4, 85).collect()}
+    assert got == want
+
+
+def test_class_bigrams(spark, texts):
+    rows = queries.op10_class_bigrams(spark, SF).collect()
+    count = Counter(w for d, t in texts.items() if not held(d, 7) for w in [*(t or "").encode().lower().split(), b""])
+    n, v = sum(count.values()), len(count)
+    for r in rows:
+        ws = [*(texts[r.doc_id] or "").encode().lower().split(), b""]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(count[w] > 0 for w in ws), n)
+        assert abs(r.base_score - sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)) < 1e-6 * len(ws)
+    out = [r for r in rows if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_exchange_finds_alternating_classes(spark):
+    pairs = [(i, j, 10) for i in range(4) for j in range(4, 8)] + [(j, i, 10) for i in range(4) for j in range(4, 8)]
+    cls, table = brown.exchange(spark.createDataFrame(pairs, "i int, j int, n long"), 8, n_free=2, rounds=6)
+    assert len(set(cls[:4])) == 1 and len(set(cls[4:8])) == 1 and cls[0] != cls[4]
+    assert table.sum() == 320
+
+
+def test_edges(spark):
+    edge, none = spark.createDataFrame(EDGE, DOCS), spark.createDataFrame([], DOCS)
+    labels = spark.createDataFrame([(2, 0, 0), (None, 1, 0), (3, 1, 0), (3, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five"), (None, "x"), (2, None), (3, "")], "item_id long, text string")
+    for docs, n in ((edge, len(EDGE)), (none, 0)):
+        got = ngrams.jaccard_components(docs.select("doc_id", "text", "n", "label"), 4, 85).collect()
+        assert len(got) == n
+        if n:
+            of = {r.doc_id: r for r in got}
+            assert of[5].component_id == 4 and of[1].n_shingles == 0 and of[2].component_id == 2 and of[None].component_id is None
+        s = docs.withColumn("score", quality.score(docs, quality.fit(docs, labels), F.col("text"))).collect()
+        assert len(s) == n and all(r.score == 0 for r in s if not r.text)
+        p = docs.select("doc_id", langid.predict(docs, langid.fit(docs), F.col("text")).alias("p")).collect()
+        assert len(p) == n and all(r.p.lang_pred == "und" for r in p if r.doc_id in (1, 2))
+        f = decontaminate.contaminated(docs, bench).collect()
+        assert len(f) == n and {r.doc_id for r in f if r._found.item_ids} == ({4, 5} if n else set())
+        b = brown.score(docs, brown.fit(docs)).collect()
+        assert len(b) == n and {r.n_tokens for r in b if r.doc_id in (1, 2)} <= {1}
+        t = queries.token_output(docs).collect()
+        assert len(t) == n and sorted(r.n_tokens for r in t)[:2] == ([1, 1] if n else [])
+    assert decontaminate.contaminated(edge, bench.limit(0)).count() == len(EDGE)
+
+
+def test_pipeline_stages(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality_classifier" and len(corpus_pipeline.STAGES) == 5
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    want = {d for d, (_, c) in brute_components(texts, 5, 80).items() if d == c}
+    assert near.columns == docs.columns and {r.doc_id for r in near.collect()} == want
+    clean = corpus_pipeline.decontamination_stage(spark, docs, SF)
+    found = {r.doc_id for r in queries.op7_latent_decontamination(spark, SF).collect() if r.contaminated}
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == set(texts) - found
+    mixed = corpus_pipeline.mixing_stage(spark, docs, SF)
+    copies = Counter(r.doc_id for r in mixed.collect())
+    taken = {r.doc_id: r.taken / r["size"] for r in queries.op8_source_mix(spark, SF).collect() if r["size"]}
+    assert mixed.columns == docs.columns and all(abs(copies[d] - taken[d]) <= 0.5 for d in taken)
