@@ -6,7 +6,9 @@ payloads of u16 words. Every block but the last codes BLOCK ids and resets all a
 
 An id is coded as the order-2 prediction, the order-1 prediction, or by order 0. The shares of
 the three are mixed from adaptive probabilities, chosen by how often the two predictions held
-and whether they agree. All blocks of a chunk advance together, one id a step, as numpy lanes.
+and whether they agree. An id takes one step of the coder: the share, then within it the
+order-0 interval (the whole of it after a prediction that held). All blocks of a chunk advance
+together, one id a step, as numpy lanes.
 """
 from __future__ import annotations
 
@@ -14,53 +16,52 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"ACM1"
+MAGIC = b"ACM2"
 BLOCK = 1024
-SLOTS = 2048       # entries of a block's order-1 and order-2 tables
+SLOTS = 1024       # entries of a block's order-1 and order-2 tables
 BITS = 12          # precision of a share
-RATE = 5           # adaptation: a share moves by 1/32 of its error
-LEAST = 32
+RATE = 5           # adaptation: a share moves by 1/32 of its error, and stays within 31..4,064
 U16, U64 = np.uint16, np.uint64
 FULL, LOW32 = U64(0xFFFFFFFFFFFFFFFF), U64(0xFFFFFFFF)
+S12, S16, S32, S48 = U64(BITS), U64(16), U64(32), U64(48)
+WHOLE = 65536      # in place of an id: a prediction held, so order 0 has nothing to say
 
 
 class _Model:
-    """Predictions and shares of L blocks, advanced by the ids that were coded."""
+    """Predictions and shares of L blocks, advanced by the ids that were coded.
+
+    A table entry is 4 * id + trust, trust 0 to 3."""
 
     def __init__(self, lanes: int):
         self.at = np.arange(lanes) * SLOTS
-        self.row = np.arange(lanes) * 64
-        self.ids = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
-        self.share = [np.full(lanes * 64, 512, np.int32) for _ in range(2)]
+        self.row = np.arange(lanes) * 32
+        self.table = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
+        self.share = [np.full(lanes * 32, 512, np.int32) for _ in range(2)]
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
 
     def predict(self):
         """(order-2 id, order-1 id, share of order 2, share of order 1)."""
-        h1 = ((self.last * 40503) >> 4) & (SLOTS - 1)
-        h2 = ((self.last * 40503 ^ self.before * 60493) >> 5) & (SLOTS - 1)
-        self.cell = (self.at + h2, self.at + h1)
-        p2, p1 = self.ids[0][self.cell[0]], self.ids[1][self.cell[1]]
-        t2, t1 = self.trust[0][self.cell[0]], self.trust[1][self.cell[1]]
-        self.seen = (p2, p1, t2, t1)
-        self.ctx = self.row + (t2.astype(np.int64) * 4 + t1) * 2 + (p2 == p1)
-        s2 = self.share[0][self.ctx]
-        s1 = np.maximum(((1 << BITS) - s2) * self.share[1][self.ctx] >> BITS, 1)
-        return p2, p1, s2, s1
-
-    def update(self, ids: np.ndarray) -> None:
-        hits = (self.seen[0] == ids, self.seen[1] == ids)
-        for k in (0, 1):
-            hit, trust = hits[k], self.seen[2 + k]
-            self.trust[k][self.cell[k]] = np.where(hit, np.minimum(trust + 1, 3), trust >> 1)
-            self.ids[k][self.cell[k]] = np.where(hit | (trust > 1), self.seen[k], ids)
-            p = self.share[k][self.ctx]
-            p = np.clip(p + ((np.where(hit, 1 << BITS, 0) - p) >> RATE), LEAST, (1 << BITS) - LEAST)
-            if k:  # order 1 is asked only where order 2 failed
-                p = np.where(hits[0], self.share[1][self.ctx], p)
-            self.share[k][self.ctx] = p
-        self.before, self.last = self.last, ids.astype(np.int64)
+        h = self.last * 40503
+        self.cell = (self.at + (((h ^ self.before) >> 5) & (SLOTS - 1)), self.at + ((h >> 4) & (SLOTS - 1)))
+        e2, e1 = self.seen = (self.table[0].take(self.cell[0]), self.table[1].take(self.cell[1]))
+        p2, p1 = e2 >> 2, e1 >> 2
+        self.ctx = self.row + (((e2 & 3) << 3) + ((e1 & 3) << 1) + (p2 == p1))
+        s2, q1 = self.odds = (self.share[0].take(self.ctx), self.share[1].take(self.ctx))
+        return p2, p1, s2, np.maximum(((1 << BITS) - s2) * q1 >> BITS, 1)
+
+    def update(self, ids: np.ndarray, two: np.ndarray, first: np.ndarray) -> None:
+        """``two``, ``first``: where the order-2 and the order-1 prediction held."""
+        fresh = ids << 2
+        for k, hit in enumerate((two, first)):
+            e = self.seen[k]
+            trust = e & 3
+            self.table[k][self.cell[k]] = np.where(hit, e + (trust < 3), np.where(trust > 1, e - trust + 1, fresh))
+            p = self.odds[k]
+            moved = p - (p >> RATE) + hit * np.int32((1 << BITS - RATE) - 1)
+            # Order 1 is asked only where order 2 failed.
+            self.share[k][self.ctx] = np.where(two, p, moved) if k else moved
+        self.before, self.last = self.last * 60493, ids.astype(np.int64)
 
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,34 +72,29 @@ def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kinds, f
 
 
-class _Writer:
-    def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, U64), np.full(lanes, FULL, U64)
-        self.out, self.n = np.zeros((lanes, room), U16), np.zeros(lanes, np.int64)
-
-    def put(self, which, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        low, r = self.low[which], self.range[which] >> U64(bits)
-        low, r = low + r * start.astype(U64), r * size.astype(U64)
-        which = np.arange(len(self.low)) if isinstance(which, slice) else which
-        self.low[which], self.range[which] = low, r
-        while True:
-            settled = (low ^ (low + r)) >> U64(48) == 0
-            short = ~settled & (r <= LOW32)
-            go = np.flatnonzero(settled | short)
-            if not len(go):
-                return
-            which, low, r, short = which[go], low[go], r[go], short[go]
-            r = np.where(short, (U64(0) - low) & LOW32, r)
-            self.out[which, self.n[which]] = (low >> U64(48)).astype(U16)
-            self.n[which] += 1
-            low, r = low << U64(16), r << U64(16)
-            self.low[which], self.range[which] = low, r
-
-    def finish(self) -> None:
-        lanes = np.arange(len(self.low))
-        for k in (48, 32, 16, 0):
-            self.out[lanes, self.n] = (self.low >> U64(k)).astype(U16)
-            self.n += 1
+def _tables(kinds: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of every id's order-0 interval, and of WHOLE."""
+    start, size = np.zeros(WHOLE + 1, U64), np.zeros(WHOLE + 1, U64)
+    start[kinds], size[kinds] = np.cumsum(freq) - freq, freq
+    size[WHOLE] = WHOLE
+    return start, size
+
+
+def _shift(low: np.ndarray, rng: np.ndarray):
+    """Yield (lanes, whose top word is settled, low of them) until every range is wide again; both arrays change in place."""
+    some = None
+    lo, r = low, rng
+    while True:
+        settled = (lo ^ (lo + r)) >> S48 == 0
+        go = np.flatnonzero(settled | (r <= LOW32))
+        if not len(go):
+            return
+        some, lo, r, settled = (go if some is None else some[go]), lo[go], r[go], settled[go]
+        # A short range that straddles a word is cut at the next boundary.
+        r = np.where(settled, r, (U64(0) - lo) & LOW32)
+        yield some, lo
+        lo, r = lo << S16, r << S16
+        low[some], rng[some] = lo, r
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -109,27 +105,32 @@ def encode(ids: np.ndarray) -> bytes:
         [kinds, freq - 1], 1).astype("<u2").tobytes()
     if not n_blocks:
         return head
-    start = np.zeros(65536, np.int64)
-    size = np.zeros(65536, np.int64)
-    start[kinds], size[kinds] = np.cumsum(freq) - freq, freq
+    start, size = _tables(kinds, freq)
     padded = np.full(n_blocks * BLOCK, kinds[0], np.int32)
     padded[:len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(n_blocks, BLOCK).T)
-    model, out = _Model(n_blocks), _Writer(n_blocks, 4 * BLOCK + 8)
-    everyone = slice(None)
+    model = _Model(n_blocks)
+    low, rng = np.zeros(n_blocks, U64), np.full(n_blocks, FULL, U64)
+    words, n = np.zeros((n_blocks, 4 * BLOCK + 8), U16), np.zeros(n_blocks, np.int64)
     for now in steps:
         p2, p1, s2, s1 = model.predict()
-        two = p2 == now
-        one = ~two & (p1 == now)
-        out.put(everyone, np.where(two, 0, np.where(one, s2, s2 + s1)),
-                np.where(two, s2, np.where(one, s1, (1 << BITS) - s2 - s1)), BITS)
-        rest = np.flatnonzero(~two & ~one)
-        if len(rest):
-            x = now[rest]
-            out.put(rest, start[x], size[x], 16)
-        model.update(now)
-    out.finish()
-    parts = [out.out[i, :n].astype("<u2").tobytes() for i, n in enumerate(out.n)]
+        two, first = p2 == now, p1 == now
+        s12 = s2 + s1
+        unit = rng >> S12
+        low += unit * np.where(two, 0, np.where(first, s2, s12)).astype(U64)
+        unit = (unit * np.where(two, s2, np.where(first, s1, (1 << BITS) - s12)).astype(U64)) >> S16
+        x = np.where(two | first, WHOLE, now)
+        low += unit * start.take(x)
+        rng = unit * size.take(x)
+        for lanes, lo in _shift(low, rng):
+            words[lanes, n[lanes]] = lo >> S48
+            n[lanes] += 1
+        model.update(now, two, first)
+    lanes = np.arange(n_blocks)
+    for k in (S48, S32, S16, U64(0)):
+        words[lanes, n] = (low >> k).astype(U16)
+        n += 1
+    parts = [words[i, :m].astype("<u2").tobytes() for i, m in enumerate(n)]
     index = np.array([(len(p) // 2, zlib.crc32(p)) for p in parts], "<u4")
     return head + index.tobytes() + b"".join(parts)
 
@@ -143,51 +144,37 @@ def decode(chunk: bytes) -> np.ndarray:
     if not n_blocks:
         return np.zeros(0, np.int32)
     kinds, freq = table[:, 0], table[:, 1] + 1
-    begin = np.cumsum(freq) - freq
-    find = np.repeat(np.arange(n_kinds), freq)
+    start, size = _tables(kinds, freq)
+    find = np.repeat(kinds, freq).astype(np.int32)
     index = np.frombuffer(chunk, "<u4", 2 * n_blocks, 16 + 4 * n_kinds).reshape(-1, 2).astype(np.int64)
     at = 16 + 4 * n_kinds + 8 * n_blocks + 2 * (np.cumsum(index[:, 0]) - index[:, 0])
-    words = np.zeros((n_blocks, int(index[:, 0].max()) + 8), U64)
+    words = np.zeros((n_blocks, int(index[:, 0].max()) + 8), U16)
     for i, (length, crc) in enumerate(index):
         payload = chunk[at[i]:at[i] + 2 * length]
         if zlib.crc32(payload) != crc:
             raise ValueError(f"block {i} is damaged")
         words[i, :length] = np.frombuffer(payload, "<u2")
-    lanes = np.arange(n_blocks)
     low, rng, pos = np.zeros(n_blocks, U64), np.full(n_blocks, FULL, U64), np.full(n_blocks, 4)
-    code = (words[:, 0] << U64(48)) | (words[:, 1] << U64(32)) | (words[:, 2] << U64(16)) | words[:, 3]
-
-    def take(which, start, size, unit) -> None:
-        lo, r, c = low[which] + unit * start.astype(U64), unit * size.astype(U64), code[which]
-        low[which], rng[which] = lo, r
-        while True:
-            settled = (lo ^ (lo + r)) >> U64(48) == 0
-            short = ~settled & (r <= LOW32)
-            go = np.flatnonzero(settled | short)
-            if not len(go):
-                return
-            which, lo, r, c, short = which[go], lo[go], r[go], c[go], short[go]
-            r = np.where(short, (U64(0) - lo) & LOW32, r) << U64(16)
-            lo, c = lo << U64(16), (c << U64(16)) | words[which, pos[which]]
-            pos[which] += 1
-            low[which], rng[which], code[which] = lo, r, c
-
+    code = np.zeros(n_blocks, U64)
+    for k in range(4):
+        code = (code << S16) | words[:, k]
     model, out = _Model(n_blocks), np.zeros((BLOCK, n_blocks), np.int32)
     for step in range(BLOCK):
         p2, p1, s2, s1 = model.predict()
-        unit = rng >> U64(BITS)
+        s12 = s2 + s1
+        unit = rng >> S12
         v = np.minimum((code - low) // unit, U64((1 << BITS) - 1)).astype(np.int32)
-        two = v < s2
-        one = ~two & (v < s2 + s1)
-        now = np.where(two, p2, p1)
-        take(lanes, np.where(two, 0, np.where(one, s2, s2 + s1)),
-             np.where(two, s2, np.where(one, s1, (1 << BITS) - s2 - s1)), unit)
-        rest = np.flatnonzero(~two & ~one)
-        if len(rest):
-            unit = rng[rest] >> U64(16)
-            k = find[np.minimum((code[rest] - low[rest]) // unit, U64(65535)).astype(np.int64)]
-            now[rest] = kinds[k]
-            take(rest, begin[k], freq[k], unit)
-        model.update(now)
+        two, held = v < s2, v < s12
+        low += unit * np.where(two, 0, np.where(held, s2, s12)).astype(U64)
+        unit = (unit * np.where(two, s2, np.where(held, s1, (1 << BITS) - s12)).astype(U64)) >> S16
+        other = find.take(np.minimum((code - low) // unit, U64(65535)).astype(np.int64))
+        now = np.where(two, p2, np.where(held, p1, other))
+        x = np.where(held, WHOLE, now)
+        low += unit * start.take(x)
+        rng = unit * size.take(x)
+        for lanes, _ in _shift(low, rng):
+            code[lanes] = (code[lanes] << S16) | words[lanes, pos[lanes]]
+            pos[lanes] += 1
+        model.update(now, p2 == now, p1 == now)
         out[step] = now
     return out.T.reshape(-1)[:n]

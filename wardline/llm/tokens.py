@@ -1,8 +1,10 @@
 """Token-id output: texts to ids by a public tokenizer, coded chunks on shared storage, and back."""
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from . import codec
 
 END = 0            # id after every document
+LAST = array("H", [END]).tobytes()
 CHUNK = 1 << 21    # ids of a chunk: a chunk ends with the document that fills it
 CACHED = 400_000   # pieces whose ids a worker holds before it starts anew
 PIECES = 20_000    # new pieces encoded by one call
@@ -32,9 +35,10 @@ class Encoder:
     text can be cut before each run of blanks, and each distinct piece encoded once."""
 
     def __init__(self, definition: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task keeps to its own core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
-        self.held: dict[str, list[int]] = {}
+        self.held: dict[str, bytes] = {}
 
     def ids(self, texts) -> list[np.ndarray]:
         """uint16 ids of each text and the end id (NULL or empty: the end id alone)."""
@@ -44,12 +48,16 @@ class Encoder:
         new = list(set(chain.from_iterable(c for c in cut if c)).difference(self.held))
         for at in range(0, len(new), PIECES):
             part = new[at:at + PIECES]
-            self.held.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.held.update(zip(part, (array("H", e.ids).tobytes() for e in coded), strict=True))
         get = self.held.__getitem__
         out = []
         for t, c in zip(texts, cut, strict=True):
-            got = map(get, c) if c else ((self.tokenizer.encode(t, add_special_tokens=False).ids,) if t else ())
-            out.append(np.fromiter(chain(chain.from_iterable(got), (END,)), np.uint16))
+            if c:
+                out.append(np.frombuffer(b"".join(chain(map(get, c), (LAST,))), np.uint16))
+            else:
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids if t else []
+                out.append(np.array([*ids, END], np.uint16))
         return out
 
 
