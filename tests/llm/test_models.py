@@ -152,6 +152,28 @@ def test_jaccard_join_brute_force(spark, texts, often, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("levels", [0, 1, 2])
+def test_jaccard_large_buckets(spark, levels, monkeypatch):
+    """One family of copies with 0 to 9 changed words, in subfamilies that share changes: buckets of 3 sets count as large."""
+    monkeypatch.setattr(ngrams, "SMALL", 2)
+    monkeypatch.setattr(ngrams, "LEVELS", levels)
+    monkeypatch.setattr(ngrams, "FREQUENT", 2)
+    monkeypatch.setattr(ngrams, "SAMPLE_EVERY", 1)
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(110)], {}
+    for i in range(160):
+        ws = list(base) if i % 8 else [f"u{j}" for j in range(40 + i)] + base[:20]
+        if i % 8:
+            for j in range(2 * (i % 4)):
+                ws[9 + 11 * j] = f"family{i % 4}"
+        for j in rng.choice(len(ws), int(rng.integers(0, 5)), replace=False):
+            ws[j] = f"x{rng.integers(0, 3)}"
+        texts[i] = " ".join(ws)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.jaccard_components(docs, 4, 85).collect()}
+    assert got == brute_components(texts, 4, 85) and len({c for _, c in got.values()}) > 10
+
+
 def test_class_bigrams(spark, texts):
     rows = queries.op10_class_bigrams(spark, SF).collect()
     count = Counter(w for d, t in texts.items() if not held(d, 7) for w in [*(t or "").encode().lower().split(), b""])
