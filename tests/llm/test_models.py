@@ -107,6 +107,37 @@ def test_decontamination_finds_planted_passages(spark, texts):
         assert set(r.item_ids) == truth[r.doc_id] and r.contaminated == bool(truth[r.doc_id])
 
 
+@pytest.mark.parametrize("n_docs", [1_000, 10_000_000])
+def test_decontamination_is_that_of_all_windows_at_any_corpus_size(spark, texts, n_docs):
+    """Passages among words outside the benchmark, whole, with every fifth word changed, or half with the answer."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    block = decontaminate.read_items(spark.read.parquet(f"{SF}/benchmark.parquet"))[0]
+    plain = [dict(x) for x in block]
+    model = decontaminate.fit(docs, block)
+    model["mass"][-1] = np.log(2.0 + n_docs) ** 2
+    rng, every = np.random.default_rng(3), list(texts.values())[:40]
+    for j, x in enumerate(plain):
+        ws = [w.decode() for w in x["words"]]
+        if j % 3 == 1:
+            ws = [w if i % 5 else "zzchanged" for i, w in enumerate(ws)]
+        elif j % 3 == 2:
+            cut = len(ws) - len(x["answer"])
+            ws = [w for i, w in enumerate(ws) if i >= cut or i % 2]
+        every.append(" ".join([f"zzq{i}" for i in rng.integers(0, 99, 300)] + ws + [f"zzq{i}" for i in rng.integers(0, 99, 300)]))
+    for t in every:
+        idx = [model["vocab"].get(w, -1) for w in decontaminate.words(t)]
+        want = {}
+        for g in model["scales"].values():
+            for x in g["items"]:
+                hop = decontaminate.scale_of(len(x["idx"])) // 2
+                for at in range(0, len(idx), hop):
+                    ws = idx[at:at + 3 * hop]
+                    share = decontaminate.common_subsequence(x["idx"], ws) / len(x["idx"])
+                    if share >= decontaminate.MIN_COMMON or share >= decontaminate.PARAPHRASE and decontaminate.has_run(x["answer_idx"], ws):
+                        want[x["id"]] = max(want.get(x["id"], 0.0), share)
+        assert decontaminate.search(t, model) == want
+
+
 def test_common_subsequence():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
