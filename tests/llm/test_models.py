@@ -62,6 +62,23 @@ def test_quality_held_out(spark):
     assert np.mean([r.predicted == label[r.doc_id] for r in rows]) >= 0.95
 
 
+def test_quality_sees_words_behind_one_shape(spark):
+    """Texts of one typographic shape, told apart by their words or by the order of the same words."""
+    rng = np.random.default_rng(4)
+    good, spam = ([f"{a}{b}{c}" for a in x for b in "aeiou" for c in x] for x in ("bdgklm", "nprstv"))
+
+    def said(i):
+        if i % 3 == 0:
+            return " ".join(good[k] for j in rng.integers(0, 90, 60) for k in (2 * j, 2 * j + 1)) + "."
+        return " ".join((spam if i % 3 == 1 else good)[k] for k in rng.integers(0, 180, 120)) + "."
+    rows = [(i, said(i), int(i % 3 == 0)) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.s for r in docs.select("doc_id", quality.score(docs, quality.fit(docs, labels), F.col("text")).alias("s")).collect()}
+    out = [(got[i] >= 0.5) == q for i, _, q in rows if held(i, 4)]
+    assert len(out) > 50 and np.mean(out) >= 0.9
+
+
 def test_vote_is_exact():
     rng = np.random.default_rng(0)
     v, known = rng.random((20, 5)), rng.random((60, 5))

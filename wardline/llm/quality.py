@@ -1,8 +1,10 @@
 """Quality classifier: nearest-neighbour voting over broadcast latent-semantic vectors."""
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,9 @@ ACCEPT = 0.7
 BLOCK = 512        # documents scored by one matrix product
 GRAM = 4           # characters of a shape term; 8 classes make 4,096 terms
 EXTRA = 3          # terms for words equal to the last one, repeated words, repeated lines
-N_TERMS = 8 ** GRAM + EXTRA
+SHAPES = 8 ** GRAM + EXTRA
+BUCKETS = 1 << 13  # hashed words and pairs of neighbouring words, after the shape terms
+N_TERMS = SHAPES + BUCKETS
 
 
 def _classes() -> bytes:
@@ -39,7 +43,7 @@ CLASSES = _classes()
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, counts) of a whole text: four-grams of character classes and counts of repetition."""
+    """(terms, counts) of a whole text: four-grams of character classes, counts of repetition, words and word pairs."""
     raw = (text or "").encode()
     c = np.frombuffer(raw.translate(CLASSES), np.uint8).astype(np.int32)
     n = np.zeros(N_TERMS)
@@ -50,15 +54,24 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         n[int(c[0]) * 8 + int(c[-1])] = 1
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    n[-3:] = sum(map(eq, words, words[1:])), len(words) - len(set(words)), len(lines) - len(set(lines))
+    n[8 ** GRAM:SHAPES] = sum(map(eq, words, words[1:])), len(words) - len(set(words)), len(lines) - len(set(lines))
+    low = raw.lower().split()
+    found = Counter(low)
+    found.update(map(b" ".join, zip(low, low[1:], strict=False)))
+    if found:
+        at = np.array([crc32(w) & BUCKETS - 1 for w in found])
+        n[SHAPES:] = np.bincount(at, list(found.values()), minlength=BUCKETS)
     idx = np.flatnonzero(n)
     return idx, n[idx]
 
 
 def weights(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """TF-IDF row of length 1 with logarithmic counts (empty text: no terms)."""
+    """TF-IDF row of length 1 with logarithmic counts, shape and words of equal weight (empty text: no terms)."""
     idx, n = term_counts(text)
     val = np.log1p(n) * idf[idx]
+    cut = np.searchsorted(idx, SHAPES)
+    for part in (val[:cut], val[cut:]):
+        part /= np.linalg.norm(part) or 1.0
     norm = np.linalg.norm(val)
     return (idx, val / norm) if norm else (idx[:0], val[:0])
 
