@@ -1,5 +1,6 @@
 """The native operators against brute force, and on edge rows."""
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -53,6 +54,34 @@ def test_secret_query_digest(spark):
         assert all(x in r.spans.split(",") for x in want.split(",") if x)
 
 
+def test_markov_stretches_equal_brute_force(spark):
+    """Random strings of 12 characters, glued to words before, behind and between."""
+    rng = random.Random(6)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    names = ("configuration", "parameter_value", "authentication", "documentation", "config/local/data")
+    samples = [(True, made(24)) for _ in range(3000)] + [(False, w) for w in names for _ in range(80)]
+    ratios = secrets.markov_ratios(spark.createDataFrame(samples, "random boolean, token string"))
+    runs = [made(n) for n in (12, 13, 14, 15) for _ in range(3)]
+    runs += [f"authentication/configuration/documentation/{made(20)}" for _ in range(4)]
+    runs += [f"{made(20)}/authentication/configuration/documentation/{made(20)}/parameter_value" for _ in range(4)]
+    runs += ["authentication/configuration/documentation", "parameter_value", "documentation"]
+    docs = spark.createDataFrame([(i, f"x {w} y") for i, w in enumerate(runs)], "doc_id long, text string")
+    got = {r.doc_id: [(s.start - 2, s.end - 2) for s in r.spans if s.kind == 3] for r in secrets.secret_spans(docs, ratios).collect()}
+
+    def best(w, least=12):
+        r = [round(ratios[ord(a) * 128 + ord(b)], 4) for a, b in zip(w, w[1:], strict=False)]
+        return max((round(sum(r[a:b - 1]), 6), -a, b) for a in range(len(w)) for b in range(a + least, len(w) + 1))
+    for i, w in enumerate(runs):
+        top, a, b = best(w)
+        assert bool(got[i]) == (top >= secrets.MIN_RATIO)
+        if len(got[i]) == 1:
+            assert got[i] == [(-a, b)]
+    # This small model has little to say on characters that its ordinary words lack.
+    assert any(got[i] for i in range(12)) and all(got[i] for i in range(12, 20))
+    assert not any(got[i] for i in range(20, 23)) and any(len(got[i]) == 2 for i in range(16, 20))
+
+
 def test_markov_separates_random_from_words(spark):
     samples = [(True, hashlib.sha256(str(i).encode()).hexdigest()) for i in range(300)]
     samples += [(False, w) for w in ("configuration", "parameter_value", "authentication", "documentation") for _ in range(50)]

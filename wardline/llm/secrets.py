@@ -17,7 +17,8 @@ ASSIGN_LEN = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
-CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{12,}"
+LEAST = 12         # characters of a stretch
 ORDINARY = r"[A-Za-z0-9+/_-]{6,}"
 ALPHABET = 128     # the models' characters are ASCII codes
 SMOOTH = 0.5
@@ -80,16 +81,68 @@ def log_ratio(token: Column, ratios: list[float]) -> Column:
         lambda acc, i: acc + F.get(table, F.get(c, i) * ALPHABET + F.get(c, i + 1))))
 
 
-def _matches(text: Column, kind: int, pattern: str, keep) -> Column:
-    """Array of (kind, pos, gap, len, keep): a match, and the characters between it and the one before.
+def random_stretches(token: Column, ratios: list[float], min_ratio: float) -> Column:
+    """Array of (lead, size): stretches of an ASCII token of ``LEAST`` characters or more.
+
+    The stretch with the largest sum of pair ratios is taken where that reaches ``min_ratio``.
+    It is closed, and the search starts anew, once the characters after it speak as much for
+    ordinary text; so text glued before, behind or between secrets does not outweigh them."""
+    table = F.split(F.lit(",".join(f"{x:.4f}" for x in ratios)), ",").cast("array<double>")
+    codes = F.transform(F.split(token, ""), lambda x: F.ascii(x))
+    span = lambda s: F.struct(s["at"].cast("long").alias("lead"), (s["end"] - s["at"]).cast("long").alias("size"))
+    none = F.array().cast("array<struct<lead:bigint,size:bigint>>")
+
+    def found(s):
+        return F.when(s["best"] >= min_ratio, F.concat(s["out"], F.array(span(s)))).otherwise(s["out"])
+
+    def state(upto, lag, low, low_at, since, best, at, end, top, out):
+        return F.struct(upto.alias("upto"), lag.alias("lag"), low.alias("low"), low_at.alias("low_at"), since.alias("since"),
+                        best.alias("best"), at.alias("at"), end.alias("end"), top.alias("top"), out.alias("out"))
+
+    def step(c):
+        ratio = lambda i: F.get(table, F.get(c, i) * ALPHABET + F.get(c, i + 1))
+        far, least = F.lit(float("inf")), F.lit(float("-inf"))
+
+        def one(s, i):
+            # ``lag`` is the sum before the latest start that leaves LEAST characters.
+            upto, start = s["upto"] + ratio(i), i - (LEAST - 2)
+            lag = s["lag"] + F.when(start > 0, ratio(start - 1)).otherwise(0.0)
+            lower = (start >= s["since"]) & (lag < s["low"])
+            low, low_at = F.when(lower, lag).otherwise(s["low"]), F.when(lower, start).otherwise(s["low_at"])
+
+            def placed(x):
+                more = x["upto"] - x["low"] > s["best"]
+                pick = lambda a, b: F.when(more, a).otherwise(b)
+                return state(x["upto"], x["lag"], x["low"], x["low_at"], s["since"], pick(x["upto"] - x["low"], s["best"]),
+                             pick(x["low_at"], s["at"]), pick(i + 2, s["end"]), pick(x["upto"], s["top"]), s["out"])
+
+            def closed(x):
+                over = (x["best"] >= min_ratio) & (x["top"] - x["upto"] >= min_ratio)
+                pick = lambda a, b: F.when(over, a).otherwise(b)
+                return state(x["upto"], x["lag"], pick(far, x["low"]), x["low_at"], pick(i + 1, x["since"]),
+                             pick(least, x["best"]), x["at"], x["end"], x["top"], pick(found(x), x["out"]))
+
+            now = F.struct(upto.alias("upto"), lag.alias("lag"), low.alias("low"), low_at.alias("low_at"))
+            return let(let(now, placed), closed)
+
+        zero, none_yet = F.lit(0.0), F.lit(0)
+        return F.aggregate(F.sequence(F.lit(0), F.length(token) - 2),
+                           state(zero, zero, far, none_yet, none_yet, least, none_yet, none_yet, zero, none), one, found)
+
+    return let(codes, step)
+
+
+def _matches(text: Column, kind: int, pattern: str, parts) -> Column:
+    """Array of (kind, pos, gap, len, parts): a match, the characters between it and the one
+    before, and the (lead, size) of the spans in it.
 
     ``split`` and ``regexp_extract_all`` walk the same leftmost matches, so piece i is the gap
     before match i, and positions follow by a running sum."""
-    empty = F.array().cast("array<struct<kind:int,pos:int,gap:bigint,len:bigint,keep:boolean>>")
+    empty = F.array().cast("array<struct<kind:int,pos:int,gap:bigint,len:bigint,parts:array<struct<lead:bigint,size:bigint>>>>")
     found = let(F.split(text, pattern, -1), lambda gaps: F.transform(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("pos"), F.length(F.get(gaps, i)).cast("long").alias("gap"),
-            F.length(m).cast("long").alias("len"), keep(m).alias("keep"))))
+            F.length(m).cast("long").alias("len"), parts(m).alias("parts"))))
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
@@ -102,17 +155,18 @@ def secret_spans(docs: DataFrame, ratios: list[float], min_ratio: float = MIN_RA
     in one window per text, so a text with many matches stays linear."""
     d = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     t = F.col("text")
-    second = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEN
-    always = lambda m: F.lit(True)
-    found = F.concat(_matches(t, 0, ASSIGN, second), _matches(t, 1, ACCESS, always), _matches(t, 2, HEX, always),
-                     _matches(t, 3, CANDIDATE, lambda m: log_ratio(m, ratios) >= min_ratio))
+    whole = lambda m: F.array(F.struct(F.lit(0).cast("long").alias("lead"), F.length(m).cast("long").alias("size")))
+    second = lambda m: F.filter(whole(m), lambda _: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEN)
+    found = F.concat(_matches(t, 0, ASSIGN, second), _matches(t, 1, ACCESS, whole), _matches(t, 2, HEX, whole),
+                     _matches(t, 3, CANDIDATE, lambda m: random_stretches(m, ratios, min_ratio)))
     each = d.select("rid", "doc_id", F.explode_outer(found).alias("m")).select(
         "rid", "doc_id", "m.*").repartition("rid")
     upto = F.sum(F.col("gap") + F.col("len")).over(W.partitionBy("rid", "kind").orderBy("pos"))
     placed = each.withColumn("end", upto).withColumn("start", F.col("end") - F.col("len"))
-    span = F.when(F.col("keep"), F.struct("start", "kind", "end"))
+    spans = F.transform("parts", lambda p: F.struct(
+        (F.col("start") + p["lead"]).alias("start"), F.col("kind").alias("kind"), (F.col("start") + p["lead"] + p["size"]).alias("end")))
     return placed.groupBy("rid").agg(F.first("doc_id").alias("doc_id"),
-                                     F.sort_array(F.collect_list(span)).alias("spans")).drop("rid")
+                                     F.sort_array(F.flatten(F.collect_list(spans))).alias("spans")).drop("rid")
 
 
 def spans_text(spans: Column) -> Column:
