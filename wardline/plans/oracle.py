@@ -1053,12 +1053,17 @@ MATRIX_COLS = ("adm_day", "adm_hour", "adm_month", "adm_weekday", "adm_weekend",
                "age_at_admit", "anchor_age", "anchor_year", "gender_code", "icd_version", "n_ccsr", "n_ccsr_unique",
                "n_dx_rows", "race_code", "seq_num")
 _FIRST = [c for c in MATRIX_COLS if c not in ("n_ccsr_unique", "n_dx_rows", "seq_num")]
-DEV_MATRIX = (", mat AS (SELECT hadm_id, arg_min(subject_id, seq_num) AS subject_id, " +
+# one row per admission: numeric columns, both targets and the split
+ALL_MATRIX = (", mat AS (SELECT hadm_id, arg_min(subject_id, seq_num) AS subject_id, "
+              "CAST(arg_min(hospital_expire_flag, seq_num) FILTER (WHERE hospital_expire_flag IS NOT NULL) AS INTEGER) AS y_cls, "
+              "arg_min(los_days, seq_num) FILTER (WHERE los_days IS NOT NULL) AS y_reg, " +
               ", ".join(f"CAST(arg_min({c}, seq_num) FILTER (WHERE {c} IS NOT NULL) AS DOUBLE) AS {c}" for c in _FIRST) +
               ", CAST(min(seq_num) AS DOUBLE) AS seq_num, CAST(count(*) AS DOUBLE) AS n_dx_rows FROM feat GROUP BY hadm_id),\n"
               "un AS (SELECT hadm_id, CAST(count(DISTINCT ccsr_category) AS DOUBLE) AS k FROM row_cats GROUP BY 1),\n"
-              "dev AS (SELECT m.*, coalesce(un.k, 0) AS n_ccsr_unique FROM mat m LEFT JOIN un USING (hadm_id) "
-              f"WHERE NOT ({md5_unit(42, 'm.subject_id')} < 0.2) AND NOT ({md5_unit(7, 'm.subject_id')} < 0.2))\n")
+              "matrix AS (SELECT m.*, coalesce(un.k, 0) AS n_ccsr_unique, "
+              f"CASE WHEN {md5_unit(42, 'm.subject_id')} < 0.2 THEN 'test' WHEN {md5_unit(7, 'm.subject_id')} < 0.2 THEN 'val' "
+              "ELSE 'train' END AS split FROM mat m LEFT JOIN un USING (hadm_id))\n")
+DEV_MATRIX = ALL_MATRIX + ", dev AS (SELECT * FROM matrix WHERE split = 'train')\n"
 ORACLE["median_impute_params"] = with_cohort(
     DEV_MATRIX + "SELECT " + ", ".join(f"round(quantile_cont({c}, 0.5), 9) AS {c}__median" for c in MATRIX_COLS) + " FROM dev",
     *HCF)
@@ -1121,14 +1126,9 @@ ORACLE["streaming_dx_harmonised"] = with_cohort(
     "LEFT JOIN row_lists rl USING (subject_id, hadm_id, seq_num)", *HC)
 
 ORACLE["model_matrix"] = with_cohort(
-    DEV_MATRIX.replace(f"WHERE NOT ({md5_unit(42, 'm.subject_id')} < 0.2)", "").replace(
-        ", mat AS (SELECT hadm_id, arg_min(subject_id, seq_num) AS subject_id, ",
-        ", mat AS (SELECT hadm_id, arg_min(subject_id, seq_num) AS subject_id, "
-        "CAST(arg_min(hospital_expire_flag, seq_num) FILTER (WHERE hospital_expire_flag IS NOT NULL) AS INTEGER) AS y_cls, "
-        "arg_min(los_days, seq_num) FILTER (WHERE los_days IS NOT NULL) AS y_reg, ")
-    + "SELECT hadm_id, subject_id, y_cls, round(y_reg, 9) AS y_reg, "
+    ALL_MATRIX + "SELECT hadm_id, subject_id, y_cls, round(y_reg, 9) AS y_reg, "
     + ", ".join(f"round({c}, 9) AS {c}" for c in MATRIX_COLS)
-    + ", coalesce(y_reg IS NOT NULL AND NOT isnan(y_reg) AND abs(y_reg) < CAST('inf' AS DOUBLE), false) AS reg_ok FROM dev",
+    + ", coalesce(y_reg IS NOT NULL AND NOT isnan(y_reg) AND abs(y_reg) < CAST('inf' AS DOUBLE), false) AS reg_ok FROM matrix",
     *HCF)
 
 ORACLE["los_regression_losses"] = with_scores(
