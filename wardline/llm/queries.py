@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.session import ensure_checkpoint_dir
 from ..sources.tables import table
-from . import brown, decontaminate, langid, mixing, ngrams, quality, rules, secrets, tokens, urls
+from . import brown, decontaminate, langid, merkle, mixing, ngrams, quality, rules, secrets, spelling, tokens, urls, vectors
 from .common import id_crc
 
 
@@ -90,6 +90,25 @@ def op10_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(docs, brown.fit(docs))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and its check against texts that lost their line breaks where the id's crc32 is even (never without an id)."""
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
+    seen = F.when(odd == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = merkle.merkle_manifest(_documents(spark, sf_dir), seen)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+                        "folded_root", "verified")
+
+
+def op13_vector_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_line_rules, op3_secret_scan, op4_neighbour_quality, op5_url_filter, op6_ppm_language,
-    op7_latent_decontamination, op8_source_mix, op9_ngram_jaccard, op10_class_bigrams)}
+    op7_latent_decontamination, op8_source_mix, op9_ngram_jaccard, op10_class_bigrams,
+    op11_spelling_variants, op12_merkle_manifest, op13_vector_near_duplicates)}
