@@ -47,8 +47,8 @@ def leaf_digest(fields: list[Column]) -> Column:
 class Sweep:
     """One block of a tree: consecutive nodes from index ``first`` of a level with ``size`` nodes."""
 
-    def __init__(self, first: int, digests: list[bytes], size: int):
-        self.first, self.size, self.top = first, size, min(BAND, height(size))
+    def __init__(self, first: int, digests: list[bytes], size: int, band: int = BAND):
+        self.first, self.size, self.top = first, size, min(band, height(size))
         self.done: list[tuple[int, int, list[tuple[int, bytes]]]] = []  # end, level, children (index, digest)
         self.root = (first, digests[0])
         queue: list[tuple[int, int, int, bytes]] = []
@@ -121,7 +121,7 @@ def numbered(rows: DataFrame, tree: str, order: list[Column]) -> DataFrame:
         "idx", F.col("_at") + F.col("_off")).drop("_at", "_part", "_tree", "_p", "_off")
 
 
-def swept(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, dict | None, Sweep]]:
+def swept(batches: Iterator[pd.DataFrame], band: int) -> Iterator[tuple[pd.DataFrame, dict | None, Sweep]]:
     """(rows, message, sweep) of each block from rows sorted by (tree, block, idx); the row with idx -1 is the message."""
     held: list[pd.DataFrame] = []
     now = None
@@ -130,7 +130,7 @@ def swept(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, dict
         rows = pd.concat(held, ignore_index=True)
         message = rows.iloc[0].to_dict() if rows["idx"].iat[0] < 0 else None
         rows = rows[rows["idx"] >= 0]
-        return rows, message, Sweep(int(rows["idx"].iat[0]), [d.encode() for d in rows["digest"]], int(rows["size"].iat[0]))
+        return rows, message, Sweep(int(rows["idx"].iat[0]), [d.encode() for d in rows["digest"]], int(rows["size"].iat[0]), band)
 
     for b in batches:
         tree, block = b["tree"].to_numpy(object), b["block"].to_numpy()
@@ -154,41 +154,42 @@ def in_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition("tree", "block").sortWithinPartitions(F.asc_nulls_first("tree"), "block", "idx")
 
 
-BLOCK_OF = f"idx div {FAN ** BAND}"
+def block_of(band: int) -> Column:
+    return F.expr(f"idx div {FAN ** band}").alias("block")
 
 
-def lifted(nodes: DataFrame) -> DataFrame:
+def lifted(nodes: DataFrame, band: int) -> DataFrame:
     """(tree, idx, size, digest) one band higher: every block becomes its root."""
     def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for rows, _, s in swept(batches):
-            out.append((rows["tree"].iat[0], rows["block"].iat[0], -(-s.size // FAN ** BAND), s.root[1].decode()))
+        for rows, _, s in swept(batches, band):
+            out.append((rows["tree"].iat[0], rows["block"].iat[0], -(-s.size // FAN ** band), s.root[1].decode()))
             if len(out) >= 10_000:
                 yield pd.DataFrame(out, columns=["tree", "idx", "size", "digest"])
                 out = []
         yield pd.DataFrame(out, columns=["tree", "idx", "size", "digest"])
 
-    rows = nodes.select("tree", F.expr(BLOCK_OF).alias("block"), "idx", "size", "digest")
+    rows = nodes.select("tree", block_of(band), "idx", "size", "digest")
     return materialise(in_blocks(rows).mapInPandas(up, "tree string, idx long, size long, digest string"))
 
 
-def bands(nodes: DataFrame) -> list[DataFrame]:
+def bands(nodes: DataFrame, band: int) -> list[DataFrame]:
     """The nodes and all levels above them that sweeps end at; the last has one node a tree."""
     out = [nodes]
     while (out[-1].agg(F.max("size")).first()[0] or 1) > 1:
-        out.append(lifted(out[-1]))
+        out.append(lifted(out[-1], band))
     return out
 
 
-def lowered(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+def lowered(nodes: DataFrame, paths: DataFrame, band: int) -> DataFrame:
     """(tree, idx, turns, body) of the nodes of a band, from ``paths`` of the same columns one band higher."""
     def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, m, s in swept(batches):
+        for rows, m, s in swept(batches, band):
             got = list(s.proofs(m["turns"], m["body"]))
             yield pd.DataFrame({"tree": [rows["tree"].iat[0]] * len(got), "idx": [g[0] for g in got],
                                 "turns": [g[1] for g in got], "body": [g[2] for g in got]})
 
-    rows = nodes.select("tree", F.expr(BLOCK_OF).alias("block"), "idx", "size", "digest", F.lit(None).cast("binary").alias("turns"),
+    rows = nodes.select("tree", block_of(band), "idx", "size", "digest", F.lit(None).cast("binary").alias("turns"),
                         F.lit(None).cast("binary").alias("body"))
     return materialise(in_blocks(rows.unionByName(messages(paths), allowMissingColumns=True)).mapInPandas(
         down, "tree string, idx long, turns binary, body binary"))
@@ -198,12 +199,12 @@ def messages(paths: DataFrame) -> DataFrame:
     return paths.select("tree", F.col("idx").alias("block"), F.lit(-1).cast("long").alias("idx"), *[c for c in paths.columns if c not in ("tree", "idx")])
 
 
-def leaf_proofs(leaves: DataFrame, paths: DataFrame) -> DataFrame:
+def leaf_proofs(leaves: DataFrame, paths: DataFrame, band: int) -> DataFrame:
     """(leaf columns, subroot, proof, turns, folded_root) of every leaf; ``paths`` also carry the tree's subroot."""
     kind = dict(leaves.dtypes)["doc_id"]
 
     def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, m, s in swept(batches):
+        for rows, m, s in swept(batches, band):
             got = sorted(s.proofs(m["turns"], m["body"]))
             seen = [x.encode() for x in rows["seen"]]
             yield pd.DataFrame({
@@ -211,14 +212,14 @@ def leaf_proofs(leaves: DataFrame, paths: DataFrame) -> DataFrame:
                 "subroot": [m["subroot"]] * len(rows), "proof": [g[2].decode() for g in got], "turns": [g[1] for g in got],
                 "folded_root": [fold(x, g[1], g[2]).decode() for x, g in zip(seen, got, strict=True)]})
 
-    rows = leaves.select("tree", F.expr(BLOCK_OF).alias("block"), "idx", "size", "digest", F.col("doc_id").cast("string").alias("id"), "seen",
+    rows = leaves.select("tree", block_of(band), "idx", "size", "digest", F.col("doc_id").cast("string").alias("id"), "seen",
                          F.lit(None).cast("binary").alias("turns"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("subroot"))
     return in_blocks(rows.unionByName(messages(paths), allowMissingColumns=True)).mapInPandas(
         down, "id string, source string, leaf string, subroot string, proof string, turns binary, folded_root string").withColumn(
         "doc_id", F.col("id").cast(kind))
 
 
-def merkle_manifest(docs: DataFrame, seen_text: Column | None = None) -> DataFrame:
+def merkle_manifest(docs: DataFrame, seen_text: Column | None = None, band: int = BAND) -> DataFrame:
     """One row per row of ``docs`` (``FIELDS``): doc_id, source, leaf, subroot, root, proof, turns, folded_root, verified.
 
     Leaves of a source ascend by doc_id (NULL first, equal ids by leaf) and are hashed by runs
@@ -226,7 +227,8 @@ def merkle_manifest(docs: DataFrame, seen_text: Column | None = None) -> DataFra
     the root. ``proof`` holds the sibling digests, level by level to the root; ``folded_root``
     is what they give from the leaf of the row with ``seen_text`` in place of its text, and
     ``verified`` whether that is the root. Repeated rows are leaves of their own; NULL sources
-    are a source; an empty table gives no rows. Other columns are ignored."""
+    are a source; an empty table gives no rows. Other columns are ignored.
+    ``band``: levels that a task sweeps at once."""
     fields = [F.col(c) for c in FIELDS]
     text = F.col("text") if seen_text is None else seen_text
     leaf = leaf_digest(fields)
@@ -235,24 +237,24 @@ def merkle_manifest(docs: DataFrame, seen_text: Column | None = None) -> DataFra
     digests = materialise(docs.select("doc_id", F.col("source").cast("string").alias("tree"), leaf.alias("digest"), seen.alias("seen")))
     digests = digests.withColumn("seen", F.coalesce("seen", "digest"))
     leaves = materialise(numbered(digests, "tree", [F.asc_nulls_first("doc_id"), F.asc("digest")]))
-    levels = bands(leaves.select("tree", "idx", "size", "digest"))
+    levels = bands(leaves.select("tree", "idx", "size", "digest"), band)
     subroots = levels[-1].select(F.col("tree").alias("source"), F.col("digest"), F.lit("").alias("tree"))
     tops = materialise(numbered(subroots, "tree", [F.asc_nulls_first("source")]))
-    above = bands(tops.select("tree", "idx", "size", "digest"))
+    above = bands(tops.select("tree", "idx", "size", "digest"), band)
     top = above[-1].select("digest").first()
     root = F.lit(top[0] if top else None).cast("string")
     paths = above[-1].select("tree", "idx", F.lit(b"").alias("turns"), F.lit(b"").alias("body"))
     for level in reversed(above[:-1]):
-        paths = lowered(level, paths)
+        paths = lowered(level, paths, band)
     paths = (tops.select("source", F.col("idx").alias("_i"), F.col("digest").alias("subroot")).join(paths.drop("tree").hint("merge"), F.col("_i") == F.col("idx"))
              .select(F.col("source").alias("tree"), F.lit(0).cast("long").alias("idx"), "turns", "body", "subroot"))
     start = paths = materialise(paths)
     for level in reversed(levels[1:-1]):
-        paths = lowered(level, paths.drop("subroot"))
+        paths = lowered(level, paths.drop("subroot"), band)
     if len(levels) > 1:
         named = start.select(F.col("tree").alias("_t"), F.col("subroot").alias("_s"))
         paths = paths.drop("subroot").join(named.hint("merge"), F.col("tree").eqNullSafe(F.col("_t"))).select(
             "tree", "idx", "turns", "body", F.col("_s").alias("subroot"))
-    return leaf_proofs(leaves, paths).select(
+    return leaf_proofs(leaves, paths, band).select(
         "doc_id", "source", "leaf", "subroot", root.alias("root"), "proof", "turns", "folded_root",
         (F.col("folded_root") == root).alias("verified"))
