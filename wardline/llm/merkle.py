@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..plans.sizing import checked_broadcast, materialise
 
 FAN = 3            # children of a node
-BAND = 9           # levels that a task sweeps at once: at most FAN ** BAND nodes of a tree are in a block
+BAND = 7           # levels that a task sweeps at once: at most FAN ** BAND nodes of a tree are in a block
 DIGEST = 64        # characters of a hexadecimal digest
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
