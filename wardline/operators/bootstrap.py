@@ -1,49 +1,26 @@
-"""Bootstrap confidence intervals as one distributed replicate plan.
+"""Bootstrap confidence intervals.
 
 Resampling n rows with replacement is replaced by independent Poisson(1) weights per
 (replicate, row), drawn from a hash of (seed, replicate, row key): deterministic,
-reproducible in SQL, and needing no shuffle to draw. The default hash ("mix") is
-integer arithmetic in the style of SplitMix: a per-row key hash computed once before
-the replicate expansion, then one 31-bit finaliser per (row, replicate). It is ~8x
-cheaper than md5 over strings and DuckDB evaluates it bit for bit. Replicates are generated with
-``explode(sequence(1, B))`` (a map-side expansion, never a cross join); every metric
-is then an ordinary weighted aggregation grouped by (group, replicate), and the CI
-is the exact linear-interpolated percentile over replicates.
+reproducible in SQL, and needing no shuffle to draw. The hash ("mix") is integer
+arithmetic in the style of SplitMix, which DuckDB evaluates bit for bit. Every metric is
+computed for all replicates at once by ``replicates``; the CI is the exact
+linear-interpolated percentile over replicates. ``replicate`` gives the rows x replicates
+table itself, for a caller's own metric.
 """
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
 from .explore import attach_scalars
+from .poisson import FMIX_STAGES, MIX_MASK, MIX_STEP, POISSON1_CDF, fmix31
+from .replicates import replicate_ranking, replicate_sums
 from ..plans.sizing import checked_broadcast, materialise
 
-# Poisson(1) cumulative probabilities P(K <= k), k = 0..11 (rule, not a table).
-POISSON1_CDF = [sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
-
-
-# Fixed values of the "mix" hash: the 31-bit mask, the two odd multipliers of the
-# finaliser and the odd step between replicates. A 31-bit word times any of them stays
-# below 2^62, so no 64-bit product overflows (Spark runs with ANSI overflow checks).
-MIX_MASK = 0x7FFFFFFF
-MIX_MUL1 = 0x045D9F3B
-MIX_MUL2 = 0x2C1B3C6D
-MIX_STEP = 0x2545F491
-# finaliser stages: ("xor", s) is h ^ (h >> s); ("mul", m) is (h * m) & MIX_MASK
-FMIX_STAGES = (("xor", 16), ("mul", MIX_MUL1), ("xor", 13), ("mul", MIX_MUL2), ("xor", 16))
-
-
-def fmix31(h: int) -> int:
-    """The finaliser on a Python int (seed constants are folded on the driver)."""
-    for op, v in FMIX_STAGES:
-        h = h ^ (h >> v) if op == "xor" else (h * v) & MIX_MASK
-    return h
-
-
 def _fmix_stage(h: Column, op: str, v: int) -> Column:
     return h.bitwiseXOR(F.shiftright(h, v)) if op == "xor" else (h * F.lit(v)).bitwiseAND(F.lit(MIX_MASK))
 
@@ -131,82 +108,105 @@ def replicate(df: DataFrame, key: str, n_boot: int, seed: int = 42, method: str
     return rep
 
 
-# ---- metric registry (O3): (df, group, weight) -> group + value ----------------------
-MetricFn = Callable[[DataFrame, Sequence[str], "str | None"], DataFrame]
+# ---- metric registry (O3): a family gives its metrics for rows, and for every replicate ----
 
 
-def _from(frame_fn, col: str) -> MetricFn:
-    def fn(df, group, weight):
-        return frame_fn(df, group, weight).select(*group, F.col(col).alias("value"))
-    return fn
+def _confusion_replicates(df, by, key, n_boot, seed, stratify):
+    cells = replicate_sums(df, [*by, "y_true", "y_pred"], key, n_boot, seed)
+    return M.confusion(class_totals_kept(cells, df, by, stratify, "y_true", ("w",)), [*by, "replicate"], weight="w")
 
 
-METRICS: dict[str, MetricFn] = {
-    "auroc": _from(lambda d, g, w: M.auroc_ap(M.score_steps(d, g, weight=w), g), "auroc"),
-    "ap": _from(lambda d, g, w: M.auroc_ap(M.score_steps(d, g, weight=w), g), "ap"),
-    "f1": _from(lambda d, g, w: M.confusion(d, g, weight=w), "f1"),
-    "precision": _from(lambda d, g, w: M.confusion(d, g, weight=w), "precision"),
-    "recall": _from(lambda d, g, w: M.confusion(d, g, weight=w), "recall"),
-    "tpr": _from(lambda d, g, w: M.confusion(d, g, weight=w), "tpr"),
-    "fpr": _from(lambda d, g, w: M.confusion(d, g, weight=w), "fpr"),
-    "los_macro_f1": _from(lambda d, g, w: M.multiclass_report(d, g, "y_cls", "pred_cls", w)
-                          .filter(F.col("label") == "macro avg"), "f1"),
-    "los_auroc": _from(lambda d, g, w: M.ovr_macro_auroc(d, g, "y_cls", weight=w), "auroc_ovr_macro"),
-    "mae": _from(lambda d, g, w: M.regression_errors(d, g, weight=w), "mae"),
-    "rmse": _from(lambda d, g, w: M.regression_errors(d, g, weight=w), "rmse"),
-}
+def _macro_f1_replicates(df, by, key, n_boot, seed, stratify):
+    # a class that a replicate never drew is not among its classes
+    cells = replicate_sums(df, [*by, "y_cls", "pred_cls"], key, n_boot, seed).where("w > 0")
+    return _macro_f1(class_totals_kept(cells, df, by, stratify, "y_cls", ("w",)), [*by, "replicate"], "w")
 
 
-# Columns each metric reads; replicate rows are reduced to these (weights summed).
-METRIC_INPUTS = {
-    "auroc": ("y_true", "y_prob"), "ap": ("y_true", "y_prob"),
-    "f1": ("y_true", "y_pred"), "precision": ("y_true", "y_pred"), "recall": ("y_true", "y_pred"),
-    "tpr": ("y_true", "y_pred"), "fpr": ("y_true", "y_pred"),
-    "los_macro_f1": ("y_cls", "pred_cls"), "los_auroc": ("y_cls", "p0", "p1", "p2", "p3"),
-    "mae": ("y", "yhat"), "rmse": ("y", "yhat"),
-}
+def _regression_replicates(df, by, key, n_boot, seed, stratify):
+    e = F.col("yhat").cast("double") - F.col("y").cast("double")
+    cells = replicate_sums(df, [*by, *([stratify] if stratify else [])], key, n_boot, seed, {"sae": F.abs(e), "sse": e * e})
+    cells = class_totals_kept(cells, df, by, stratify, stratify, ("sae", "sse", "w"))
+    out = cells.groupBy(*by, "replicate").agg(*[F.sum(c).alias(c) for c in ("w", "sae", "sse")])
+    return out.select(*by, "replicate", F.try_divide("sae", "w").alias("mae"), F.sqrt(F.try_divide("sse", "w")).alias("rmse"))
+
+
+def _ranking_replicates(df, by, key, n_boot, seed, stratify, metrics=("auroc", "ap")):
+    if stratify not in (None, "y_true"):
+        raise ValueError("ranking metrics keep the totals of their own classes: stratify by y_true")
+    return replicate_ranking(df, by, "y_true", "y_prob", key, n_boot, seed, stratify is not None, "ap" in metrics)
+
+
+def _ovr_replicates(df, by, key, n_boot, seed, stratify):
+    if stratify:
+        raise ValueError("one-vs-rest AUROC is not offered with class strata")
+    per = replicate_ranking(M.one_vs_rest(df, by, key=key), [*by, "k"], "_t", "p", key, n_boot, seed, ap=False)
+    return M.mean_of_classes(per, [*by, "replicate"], "los_auroc", len(M.CLASS_PROBS))
 
 
-def reduced_replicates(df: DataFrame, metrics: Sequence[str], key: str, n_boot: int, seed: int = 42,
-                       method: str = "mix", stratify: str | None = None, group: Sequence[str] = ()) -> DataFrame:
-    """The replicate plan shared by all metrics: rows x replicates with Poisson
-    weights, reduced to one weighted row per (group, replicate, distinct metric
-    inputs) with map-side partial aggregation, and materialised once. Its size is
-    bounded by distinct inputs per replicate, not by rows x replicates."""
-    cols = sorted({c for m in metrics for c in METRIC_INPUTS[m]})
-    # Zero weights add nothing to the sums, so they ride through the map-side partial
-    # aggregation and empty cells are dropped after it. A filter before it would be
-    # pushed below the staged hash projections and evaluate the hash a second time.
-    rep = replicate(df, key, n_boot, seed, method, stratify, group, keep_zero=True)
-    red = rep.groupBy(*group, "replicate", *cols).agg(F.sum("w").alias("w")).filter(F.col("w") > 0)
-    return materialise(red)
+def _macro_f1(df, by, weight):
+    rep = M.multiclass_report(df, by, "y_cls", "pred_cls", weight).filter(F.col("label") == "macro avg")
+    return rep.select(*by, F.col("f1").alias("los_macro_f1"))
 
 
-# Metric families: every metric of a family comes from one computation.
+def class_totals_kept(cells: DataFrame, df: DataFrame, by: Sequence[str], stratify: str | None, has: str | None,
+                      sums: Sequence[str]) -> DataFrame:
+    """Cells of a replicate scaled so that every class keeps its number of rows, from the reduced cells alone."""
+    if not stratify:
+        return cells
+    if stratify != has:
+        raise ValueError(f"these metrics keep class totals of {has}, not of {stratify}")
+    drawn = cells.groupBy(*by, "replicate", stratify).agg(F.sum("w").alias("_w_c"))
+    rows = df.groupBy(*by, stratify).agg(F.count(F.lit(1)).alias("_n_c"))
+    both = M.null_safe_join(M.null_safe_join(cells, drawn, [*by, "replicate", stratify]), rows, [*by, stratify])
+    factor = F.try_divide(F.col("_n_c"), F.col("_w_c"))
+    return both.select(*[F.coalesce(F.col(c) * factor, F.lit(0.0)).alias(c) if c in sums else F.col(c) for c in cells.columns])
+
+
+# name: (metrics, of rows by group, of every replicate)
 FAMILIES = {
-    "ranking": (("auroc", "ap"), lambda d, g, w: M.auroc_ap(M.score_steps(d, g, weight=w), g)),
-    "confusion": (("f1", "precision", "recall", "tpr", "fpr"), lambda d, g, w: M.confusion(d, g, weight=w)),
-    "los_macro_f1": (("los_macro_f1",), lambda d, g, w: METRICS["los_macro_f1"](d, g, w)
-                     .withColumnRenamed("value", "los_macro_f1")),
-    "los_auroc": (("los_auroc",), lambda d, g, w: METRICS["los_auroc"](d, g, w).withColumnRenamed("value", "los_auroc")),
-    "regression": (("mae", "rmse"), lambda d, g, w: M.regression_errors(d, g, weight=w)),
+    "ranking": (("auroc", "ap"), lambda d, g: M.auroc_ap(M.score_steps(d, g), g), _ranking_replicates),
+    "confusion": (("f1", "precision", "recall", "tpr", "fpr"), M.confusion, _confusion_replicates),
+    "los_macro_f1": (("los_macro_f1",), lambda d, g: _macro_f1(d, g, None), _macro_f1_replicates),
+    "los_auroc": (("los_auroc",), lambda d, g: M.ovr_macro_auroc(d, g, "y_cls").withColumnRenamed("auroc_ovr_macro", "los_auroc"), _ovr_replicates),
+    "regression": (("mae", "rmse"), M.regression_errors, _regression_replicates),
 }
 
 
-def metric_frame(df: DataFrame, group: Sequence[str], weight: str | None, metrics: Sequence[str]) -> DataFrame:
-    """All requested metrics as columns, one row per group; each family is computed
-    once however many of its metrics are requested."""
-    g = list(group)
+def _long(parts: list[DataFrame], by: Sequence[str], metrics: Sequence[str], value: str) -> DataFrame:
     out = None
-    for fam, (names, fn) in FAMILIES.items():
-        want = [m for m in metrics if m in names]
-        if not want:
-            continue
-        part = fn(df, g, weight).select(*g, *want)
-        out = part if out is None else (out.join(part, g, "full") if g else attach_scalars(out, part))
+    for part in parts:
+        names = [m for m in metrics if m in part.columns]
+        pairs = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias(value)) for m in names]))
+        one = part.select(*by, pairs)
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+def _wanted(metrics: Sequence[str]):
+    known = {m for names, _, _ in FAMILIES.values() for m in names}
+    if not set(metrics) <= known:
+        raise ValueError(f"unknown metrics {sorted(set(metrics) - known)}")
+    return [(name, fam) for name, fam in FAMILIES.items() if set(fam[0]) & set(metrics)]
+
+
+def metric_points(df: DataFrame, group: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """(group..., metric, point): every requested metric, each family computed once."""
+    return _long([rows(df, list(group)) for _, (_, rows, _) in _wanted(metrics)], group, metrics, "point")
+
+
+def replicate_metrics(df: DataFrame, group: Sequence[str], metrics: Sequence[str], key: str, n_boot: int, seed: int = 42,
+                      stratify: str | None = None) -> DataFrame:
+    """(group..., replicate, metric, value) of every replicate, written once.
+
+    Count families send a few cells per group out of each task; ranking families shuffle
+    the rows once. No table of rows x replicates exists anywhere."""
+    parts = []
+    for name, (_, _, reps) in _wanted(metrics):
+        more = {"metrics": metrics} if name == "ranking" else {}
+        parts.append(reps(df, list(group), key, n_boot, seed, stratify, **more))
+    return materialise(_long(parts, [*group, "replicate"], metrics, "value"))
+
+
 def percentile_ci(values: DataFrame, group: Sequence[str], alpha: float = 0.05,
                   min_valid: int = 1) -> DataFrame:
     """Exact percentile interval over the finite replicate values, NULL when fewer
@@ -221,27 +221,18 @@ def percentile_ci(values: DataFrame, group: Sequence[str], alpha: float = 0.05,
 
 
 def bootstrap_ci(scored: DataFrame, metrics: Sequence[str], group: Sequence[str] = (), key: str = "hadm_id",
-                 n_boot: int = 2000, alpha: float = 0.05, seed: int = 42, method: str = "mix",
-                 stratify: str | None = None, min_valid: int = 1) -> DataFrame:
+                 n_boot: int = 2000, alpha: float = 0.05, seed: int = 42, stratify: str | None = None,
+                 min_valid: int = 1) -> DataFrame:
     """Point estimate and percentile CI of each metric, per group.
 
     Replicates where a metric is undefined (e.g. a one-class draw for AUROC) are
-    skipped; CIs need ``min_valid`` valid replicates. One row per (group, metric).
-    """
-    g = list(group)
-    rep = reduced_replicates(scored, metrics, key, n_boot, seed, method, stratify, g)
-    points = metric_frame(scored, g, None, metrics)
-    # groups x replicates rows, read once per metric below
-    reps = materialise(metric_frame(rep, [*g, "replicate"], "w", metrics))
-    out = None
-    for name in metrics:
-        point = points.select(*g, F.col(name).alias("point"))
-        ci = percentile_ci(reps.select(*g, "replicate", F.col(name).alias("value")), g, alpha, min_valid)
-        one = point.join(ci, g, "left") if g else point.withColumn("_k", F.lit(1)).join(
-            ci.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
-        one = one.withColumn("metric", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    skipped; CIs need ``min_valid`` valid replicates. One row per (group, metric); a NULL
+    group is one like the others."""
+    g = [*group, "metric"]
+    points = metric_points(scored, group, metrics)
+    ci = percentile_ci(replicate_metrics(scored, group, metrics, key, n_boot, seed, stratify), g, alpha, min_valid)
+    both = points.unionByName(ci, allowMissingColumns=True)
+    return both.groupBy(*g).agg(*[F.max(c).alias(c) for c in ("point", "lo", "hi", "n_valid")])
 
 
 def eligible_groups(scored: DataFrame, group: str, min_n: int) -> DataFrame:
@@ -251,32 +242,20 @@ def eligible_groups(scored: DataFrame, group: str, min_n: int) -> DataFrame:
     return scored.join(sizes.filter(F.col("_n") >= min_n).select(group), group, "left_semi")
 
 
-def gap_ci(scored: DataFrame, metric: str, group: str = "race", key: str = "hadm_id", n_boot: int = 2000,
-           alpha: float = 0.05, seed: int = 42, min_n: int = 25, method: str = "mix",
-           reps: DataFrame | None = None, frames: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Disparity gap max(metric_g) - min(metric_g) over groups with at least
-    ``min_n`` rows and a defined metric (NULL with fewer than 2 such groups), with a
-    within-group bootstrap CI."""
+def gap_ci(scored: DataFrame, metrics: Sequence[str], group: str = "race", key: str = "hadm_id", n_boot: int = 2000,
+           alpha: float = 0.05, seed: int = 42, min_n: int = 25) -> DataFrame:
+    """Per metric the disparity gap, max - min over groups with at least ``min_n``
+    rows and a defined metric (NULL with fewer than 2 such groups), with a within-group
+    bootstrap CI. All metrics share the replicates."""
     eligible = eligible_groups(scored, group, min_n)
 
-    def gap(vals: DataFrame, by: Sequence[str]) -> DataFrame:
-        v = vals.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        agg = v.groupBy(*by).agg(F.max("value").alias("_mx"), F.min("value").alias("_mn"),
-                                 F.count(F.lit(1)).alias("_k"))
-        return agg.select(*by, F.when(F.col("_k") >= 2, F.col("_mx") - F.col("_mn")).alias("value"))
-
-    if frames is None:
-        rep = reps if reps is not None else reduced_replicates(eligible, [metric], key, n_boot, seed, method, None,
-                                                               [group])
-        frames = (metric_frame(eligible, [group], None, [metric]),
-                  metric_frame(rep, [group, "replicate"], "w", [metric]))
-    point_vals, rep_vals = frames
-    point = gap(point_vals.select(group, F.col(metric).alias("value")), [])
-    point = point.withColumnRenamed("value", "point")
-    reps = gap(rep_vals.select(group, "replicate", F.col(metric).alias("value")), ["replicate"])
-    ci = percentile_ci(reps, [], alpha, 1)
-    return point.withColumn("_k", F.lit(1)).join(ci.withColumn("_k", F.lit(1)), "_k", "left").drop("_k") \
-        .withColumn("metric", F.lit(metric))
+    def gap(vals: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+        agg = vals.groupBy(*by).agg(F.max(value).alias("_mx"), F.min(value).alias("_mn"), F.count(value).alias("_k"))
+        return agg.select(*by, F.when(F.col("_k") >= 2, F.col("_mx") - F.col("_mn")).alias(value))
+
+    points = gap(metric_points(eligible, [group], metrics), "point", ["metric"])
+    reps = gap(replicate_metrics(eligible, [group], metrics, key, n_boot, seed), "value", ["metric", "replicate"])
+    return points.join(percentile_ci(reps, ["metric"], alpha, 1), "metric", "left")
 
 
 def balanced_resample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:

@@ -152,20 +152,31 @@ def multiclass_report(scored: DataFrame, group: Sequence[str] = (), label: str =
     return per.unionByName(macro).unionByName(wavg)
 
 
+# Probability columns of the four length-of-stay classes.
+CLASS_PROBS = ("p0", "p1", "p2", "p3")
+
+
+def one_vs_rest(scored: DataFrame, group: Sequence[str] = (), label: str = "y_cls", probs: Sequence[str] = CLASS_PROBS,
+                key: str | None = None, weight: str | None = None) -> DataFrame:
+    """One row per row and class ``k``: its probability ``p`` and whether it is the true class, ``_t``."""
+    arr = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("p")) for k, c in enumerate(probs)])
+    more = [F.col(c) for c in (key,) if c] + ([F.col(weight).alias("_wt")] if weight else [])
+    long = scored.select(*group, F.col(label).cast("int").alias("_y"), *more, F.inline(arr))
+    return long.withColumn("_t", (F.col("_y") == F.col("k")).cast("int"))
+
+
+def mean_of_classes(per: DataFrame, by: Sequence[str], name: str, classes: int) -> DataFrame:
+    """Mean AUROC over the classes; NULL when any class lacks positives or negatives."""
+    return per.groupBy(*by).agg(F.when(F.count("auroc") == classes, F.avg("auroc")).alias(name))
+
+
 def ovr_macro_auroc(scored: DataFrame, group: Sequence[str] = (), label: str = "y_cls",
-                    probs: Sequence[str] = ("p0", "p1", "p2", "p3"), weight: str | None = None) -> DataFrame:
+                    probs: Sequence[str] = CLASS_PROBS, weight: str | None = None) -> DataFrame:
     """Mean over classes of one-vs-rest AUROC; NULL when any class lacks positives
     or negatives."""
-    g = list(group)
-    arr = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("p")) for k, c in enumerate(probs)])
-    cols = [*g, F.col(label).cast("int").alias("_y")] + ([F.col(weight).alias("_wt")] if weight else [])
-    long = scored.select(*cols, F.inline(arr))
-    long = long.withColumn("_t", (F.col("_y") == F.col("k")).cast("int"))
-    steps = score_steps(long, [*g, "k"], "_t", "p", "_wt" if weight else None)
-    per = auroc_ap(steps, [*g, "k"])
-    out = per.groupBy(*g).agg(F.avg("auroc").alias("_m"), F.count_if(F.col("auroc").isNull()).alias("_bad"),
-                              F.count(F.lit(1)).alias("_k"))
-    return out.select(*g, F.when((F.col("_bad") == 0) & (F.col("_k") == len(probs)), F.col("_m")).alias("auroc_ovr_macro"))
+    long = one_vs_rest(scored, group, label, probs, weight=weight)
+    per = auroc_ap(score_steps(long, [*group, "k"], "_t", "p", "_wt" if weight else None), [*group, "k"])
+    return mean_of_classes(per, group, "auroc_ovr_macro", len(probs))
 
 
 def regression_errors(scored: DataFrame, group: Sequence[str] = (), y: str = "y", yhat: str = "yhat",

@@ -418,19 +418,19 @@ def _both(spark, sf_dir):
 
 @register("bootstrap_ci_overall")
 def q_boot_overall(spark, sf_dir):
-    return comparable(BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "ap", "f1"], [], "hadm_id", 50, seed=42))
+    return comparable(BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "ap", "f1"], [], "hadm_id", 2000, seed=42))
 
 
 @register("bootstrap_ci_stratified")
 def q_boot_strat(spark, sf_dir):
-    return comparable(BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "f1"], [], "hadm_id", 50, seed=42,
+    return comparable(BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "f1"], [], "hadm_id", 2000, seed=42,
                                       stratify="y_true"))
 
 
 @register("subgroup_report")
 def q_subgroup_report(spark, sf_dir):
     s = FA.collapse_rare(_scored_pred(spark, sf_dir), "race", 50)
-    return comparable(FA.subgroup_report(s, "race", 50, 10, n_boot=60, seed=42, min_valid=50))
+    return comparable(FA.subgroup_report(s, "race", 50, 10, n_boot=2000, seed=42, min_valid=50))
 
 
 @register("subgroup_metrics_nomin")
@@ -440,17 +440,17 @@ def q_subgroup_nomin(spark, sf_dir):
 
 @register("subgroup_both_tasks")
 def q_subgroup_both(spark, sf_dir):
-    return comparable(FA.both_tasks_table(_scored_pred(spark, sf_dir), _los_top(spark, sf_dir), "race", n_boot=30))
+    return comparable(FA.both_tasks_table(_scored_pred(spark, sf_dir), _los_top(spark, sf_dir), "race", n_boot=2000))
 
 
 @register("subgroup_regression")
 def q_subgroup_regression(spark, sf_dir):
-    return comparable(FA.regression_report(_expected_class(_los_scores(spark, sf_dir)), "race", 50, n_boot=30))
+    return comparable(FA.regression_report(_expected_class(_los_scores(spark, sf_dir)), "race", 50, n_boot=2000))
 
 
 @register("disparity_gaps")
 def q_gaps(spark, sf_dir):
-    return comparable(FA.disparity_gaps(_both(spark, sf_dir), n_boot=30))
+    return comparable(FA.disparity_gaps(_both(spark, sf_dir), n_boot=2000))
 
 
 @register("roc_by_race_supported")
@@ -473,7 +473,7 @@ def q_model_roc(spark, sf_dir):
 
 @register("metric_ci_table")
 def q_metric_ci(spark, sf_dir):
-    ci = BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "ap", "f1"], [], "hadm_id", 50, seed=42)
+    ci = BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "ap", "f1"], [], "hadm_id", 2000, seed=42)
     return comparable(FA.metric_ci_table(ci))
 
 
@@ -695,7 +695,7 @@ def q_csv_lists(spark, sf_dir):
 @register("ci_report_text")
 def q_ci_text(spark, sf_dir):
     """J19 + J20: percent-scaled 'p (lo, hi)' text and file-safe metric names."""
-    ci = BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "f1"], [], "hadm_id", 50, seed=42)
+    ci = BS.bootstrap_ci(_scored_pred(spark, sf_dir), ["auroc", "f1"], [], "hadm_id", 2000, seed=42)
     return ci.select(C.safe_name(F.concat(F.lit("Mortality "), F.col("metric"), F.lit(" (95% CI)"))).alias("name"),
                      C.fmt_ci(C.pct(F.col("point")), C.pct(F.col("lo")), C.pct(F.col("hi")), 2).alias("text"))
 

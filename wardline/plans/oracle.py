@@ -840,7 +840,7 @@ def _boot_overall(metrics, stratified: bool = False) -> str:
     w = "w2" if stratified else "w"
     pre = rf"""
 , src AS ({SCORED_PRED}),
-reps AS ({reps_sql('SELECT * FROM src', 50)}),
+reps AS ({reps_sql('SELECT * FROM src', 2000)}),
 """
     if stratified:
         pre += r"""rw AS (
@@ -900,7 +900,7 @@ sizes AS (SELECT race, count(*) AS n, CAST(sum(y_true) AS BIGINT) AS positives F
 data AS (SELECT * FROM base WHERE race IN (SELECT race FROM sizes WHERE n >= 50)),
 pa AS ({auc_sql(f'SELECT *, {ONE} FROM data', ['race'])}),
 pc AS ({conf_sql(f'SELECT *, {ONE} FROM data', ['race'])}),
-reps AS ({reps_sql('SELECT * FROM data', 60)}),
+reps AS ({reps_sql('SELECT * FROM data', 2000)}),
 ra AS ({auc_sql('SELECT * FROM reps', ['race', 'replicate'])}),
 rc AS ({conf_sql('SELECT * FROM reps', ['race', 'replicate'])}),
 bo AS (SELECT ra.race, ra.replicate, ra.auroc, rc.f1 FROM ra JOIN rc USING (race, replicate) WHERE ra.auroc IS NOT NULL),
@@ -940,7 +940,7 @@ def _rep_metric(src: str, g, m: str, w: str = "w") -> str:
 
 
 def _both_tasks_sql() -> str:
-    ctes = [f"src AS ({BOTH_SQL})", f"reps AS ({reps_sql('SELECT * FROM src', 30)})",
+    ctes = [f"src AS ({BOTH_SQL})", f"reps AS ({reps_sql('SELECT * FROM src', 2000)})",
             f"pa AS ({auc_sql(f'SELECT *, {ONE} FROM src', ['race'])})",
             f"pc AS ({conf_sql(f'SELECT *, {ONE} FROM src', ['race'])})",
             f"pf AS ({macro_f1_sql(f'SELECT *, {ONE} FROM src', ['race'])})",
@@ -978,7 +978,7 @@ data AS (SELECT * FROM base WHERE race IN (SELECT race FROM sz WHERE n >= 50)),
 mu AS (SELECT race, avg(y) AS ybar FROM data GROUP BY 1),
 pe AS (SELECT d.race, avg(abs(yhat - y)) AS mae, sqrt(avg((yhat - y) * (yhat - y))) AS rmse, sum((yhat - y) * (yhat - y)) AS sse,
        sum((y - ybar) * (y - ybar)) AS sst FROM data d JOIN mu USING (race) GROUP BY 1),
-reps AS ({reps_sql('SELECT * FROM data', 30)}),
+reps AS ({reps_sql('SELECT * FROM data', 2000)}),
 rr AS ({_reg_sql('SELECT * FROM reps', ['race', 'replicate'])}),
 cm AS ({ci_sql('SELECT * FROM rr', ['race'], 'mae')}),
 cr AS ({ci_sql('SELECT * FROM rr', ['race'], 'rmse')})
@@ -990,7 +990,7 @@ FROM sz JOIN pe USING (race) LEFT JOIN cm USING (race) LEFT JOIN cr USING (race)
 def _gaps_sql(metrics) -> str:
     ctes = [f"src AS ({BOTH_SQL})",
             "el AS (SELECT * FROM src WHERE race IN (SELECT race FROM src GROUP BY race HAVING count(*) >= 25))",
-            f"reps AS ({reps_sql('SELECT * FROM el', 30)})"]
+            f"reps AS ({reps_sql('SELECT * FROM el', 2000)})"]
     outs = []
     for m in metrics:
         pv = _rep_metric(f"SELECT *, {ONE} FROM el", ["race"], m)
@@ -1137,7 +1137,7 @@ ORACLE["los_regression_losses"] = with_scores(
 
 ORACLE["ci_report_text"] = with_scores(rf"""
 , src AS ({SCORED_PRED}),
-reps AS ({reps_sql('SELECT * FROM src', 50)}),
+reps AS ({reps_sql('SELECT * FROM src', 2000)}),
 pa AS ({auc_sql(f'SELECT *, {ONE} FROM src', [])}),
 pc AS ({conf_sql(f'SELECT *, {ONE} FROM src', [])}),
 ra AS ({auc_sql('SELECT * FROM reps', ['replicate'])}),
