@@ -48,12 +48,21 @@ class Weights:
         high = ((keys >> 31) & MIX_MASK).astype(np.uint32)
         k = self._mixed(self._mixed(self.start ^ low) ^ high)
         h = self._mixed((k[:, None] + self.steps) & np.uint32(MIX_MASK))
-        w = np.zeros(h.shape, np.uint8)
-        for b in self.bounds:
-            w += h >= b
+        w = (h >= self.bounds[0]).view(np.uint8)
+        for b in self.bounds[1:]:
+            more = h >= b
+            if not more.any():
+                break
+            w += more.view(np.uint8)
         return w
 
 
+def tasks(df: DataFrame) -> int:
+    """Partitions of the replicate work, which is ``n_boot`` times what the bytes of the rows suggest:
+    a number given outright is not merged into fewer by adaptive execution."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def group_key(by: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in by])) if by else F.lit("{}")
 
@@ -86,7 +95,7 @@ def added(df: DataFrame) -> DataFrame:
         if now is not None:
             yield pd.DataFrame({"_g": [now], "data": [total.tobytes()]})
 
-    return df.repartition("_g").sortWithinPartitions("_g").mapInPandas(add, "_g string, data binary")
+    return df.repartition(tasks(df), "_g").sortWithinPartitions("_g").mapInPandas(add, "_g string, data binary")
 
 
 def unpacked(df: DataFrame, n_boot: int, names: Sequence[str]) -> DataFrame:
@@ -104,8 +113,8 @@ def replicate_sums(df: DataFrame, by: Sequence[str], key: str, n_boot: int, seed
                    values: dict[str, Column] | None = None) -> DataFrame:
     """(by..., replicate, w, values...): total weight, and weighted totals of ``values``, per cell and replicate.
 
-    Rows are not shuffled: a task adds up its own and sends one array per cell. A row whose
-    key is NULL takes key 0."""
+    Rows are dealt out by key, since each stands for ``n_boot``; a task adds up its own and
+    sends one array per cell. A row whose key is NULL takes key 0."""
     values = values or {}
     cols = [c.cast("double").alias(f"_v{i}") for i, c in enumerate(values.values())]
     rows = df.select(group_key(by).alias("_g"), F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("_key"), *cols)
@@ -121,8 +130,8 @@ def replicate_sums(df: DataFrame, by: Sequence[str], key: str, n_boot: int, seed
             for s in range(0, len(b), CHUNK):
                 c = code[s:s + CHUNK]
                 starts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-                w = weights.of(keys[s:s + CHUNK])
-                sums = [np.add.reduceat(w, starts, axis=0, dtype=float)]
+                w = weights.of(keys[s:s + CHUNK]).astype(float)
+                sums = [np.add.reduceat(w, starts, axis=0)]
                 sums += [np.add.reduceat(w * v[s:s + CHUNK, i:i + 1], starts, axis=0) for i in range(n_val)]
                 for k, at in enumerate(starts):
                     total = held.setdefault(names[c[at]], np.zeros((1 + n_val, n_boot)))
@@ -134,7 +143,7 @@ def replicate_sums(df: DataFrame, by: Sequence[str], key: str, n_boot: int, seed
         if held:
             yield pd.DataFrame({"_g": list(held), "data": [x.tobytes() for x in held.values()]})
 
-    sums = materialise(added(rows.mapInPandas(add, "_g string, data binary")))
+    sums = materialise(added(rows.repartition(tasks(df), "_key").mapInPandas(add, "_g string, data binary")))
     return with_groups(unpacked(sums, n_boot, ["w", *values]), by, df)
 
 
@@ -146,10 +155,12 @@ class Runs:
 
     def of(self, score: np.ndarray, label: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
-        w = self.weights.of(keys)
-        all_ = np.add.reduceat(w, starts, axis=0, dtype=float)
-        pos = np.add.reduceat(w * label[:, None].astype(np.uint8), starts, axis=0, dtype=float)
-        return score[starts], pos, all_ - pos
+        all_ = self.weights.of(keys).astype(float)
+        pos = all_ * label[:, None]
+        neg = all_ - pos
+        if len(starts) < len(score):
+            pos, neg = np.add.reduceat(pos, starts, axis=0), np.add.reduceat(neg, starts, axis=0)
+        return score[starts], pos, neg
 
 
 def segments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[int, str], pd.DataFrame, bool]]:
@@ -225,7 +236,7 @@ def ranked(cells: DataFrame, n_boot: int, classes: DataFrame | None) -> DataFram
     total = added(cells.select("_g", "data")).select("_g", F.lit(float("inf")).alias("s"), F.lit(0).alias("role"), "data")
     total = total.join(classes, "_g") if classes is not None else total.withColumns({"n_pos": F.lit(None).cast("double"), "n_neg": F.lit(None).cast("double")})
     rows = (cells.unionByName(total, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True)
-            .repartition("_g").sortWithinPartitions("_g", F.desc("s"), "role")
+            .repartition(tasks(cells), "_g").sortWithinPartitions("_g", F.desc("s"), "role")
             .select("_g", "part", "s", "role", "data", "last", "n_pos", "n_neg"))
 
     def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -298,6 +309,8 @@ class Climb:
 
 def precision_sum(pos: np.ndarray, tp: np.ndarray, fp: np.ndarray) -> np.ndarray:
     """Sum over runs of positives times the precision down to the run (nothing for runs without weight)."""
+    some = pos.any(axis=1)  # most runs are of negatives alone
+    pos, tp, fp = pos[some], tp[some], fp[some]
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.where(pos > 0, pos * tp / (tp + fp), 0.0).sum(0)
 
@@ -306,7 +319,7 @@ def inner_precision(ranged: DataFrame, climbed: DataFrame, n_boot: int, seed: in
     """(_g, data): the average-precision sum over the runs between the first and last of each part."""
     starts = climbed.where("part >= 0 AND last < s").withColumn("role", F.lit(0))
     rows = (ranged.withColumn("role", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-            .repartition("part").sortWithinPartitions("part", "_g", "role", F.desc("s")).select("part", "_g", "role", "s", "y", "_key", "last", "data"))
+            .repartition(tasks(ranged), "part").sortWithinPartitions("part", "_g", "role", F.desc("s")).select("part", "_g", "role", "s", "y", "_key", "last", "data"))
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs = Runs(Weights(seed, n_boot))
@@ -362,7 +375,7 @@ def replicate_ranking(df: DataFrame, by: Sequence[str], label: str, score: str,
     rows = df.select(group_key(by).alias("_g"), s.alias("s"), F.col(label).cast("int").alias("y"),
                      F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("_key")).where("s IS NOT NULL AND NOT isnan(s) AND y IS NOT NULL")
     order = (F.asc("_g"), F.desc("s"), F.asc("_key"))
-    ranged = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    ranged = materialise(rows.repartitionByRange(tasks(df), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     classes = None
     if keep_classes:
         classes = ranged.groupBy("_g").agg(F.sum("y").cast("double").alias("n_pos"), F.sum(1 - F.col("y")).cast("double").alias("n_neg"))
