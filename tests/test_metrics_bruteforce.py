@@ -52,7 +52,7 @@ def test_one_class_group_is_null(spark):
 def test_extreme_scores_and_many_buckets(spark):
     y = np.array([1, 0, 1, 0, 1, 0])
     p = np.array([0.0, 0.0, 1.0, 1.0, 50.0, -50.0])
-    out = M.auroc_ap(M.score_steps(_df(spark, y, p), buckets=4)).collect()[0]
+    out = M.auroc_ap(M.score_steps(_df(spark, y, p), cells=4)).collect()[0]
     assert out.auroc == pytest.approx(_auc_pairs(y, p))
 
 
@@ -127,3 +127,21 @@ def test_stratified_replicates_keep_class_totals(spark):
     assert len(tot) == 40
     for r in tot:
         assert r.s == pytest.approx(orig[r.y_true])
+
+
+def test_score_cells_are_balanced(spark):
+    """Rare-event scores: nearly all below a thousandth, which a fixed-width cut leaves in one cell."""
+    rng = np.random.default_rng(4)
+    p = np.append(rng.beta(0.4, 900, 8000), rng.random(80))
+    y = (rng.random(len(p)) < p).astype(int)
+    df = _df(spark, y.tolist(), p.tolist())
+    plan = M.score_steps(df, cells=16)
+    cells = plan.withColumn("cell", F.spark_partition_id())
+    assert cells.count() == len(np.unique(p))
+    cut = df.select(F.col("y_prob").alias("s")).distinct().repartitionByRange(16, F.desc("s")).groupBy(F.spark_partition_id()).count()
+    depth = [r["count"] for r in cut.collect()]
+    assert len(depth) == 16 and max(depth) < 3 * np.mean(depth)
+    order = np.argsort(-p, kind="stable")
+    tp = dict(zip(p[order], np.cumsum(y[order]), strict=True))
+    got = {r.s: r.tp for r in plan.collect()}
+    assert all(got[s] == tp[s] for s in got)

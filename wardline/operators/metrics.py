@@ -5,9 +5,9 @@ score and optionally a hard prediction and a row weight. Every metric is compute
 per group with one aggregation; metrics that are undefined come back NULL.
 
 Cumulative counts by descending score (F9) are built from distinct scores only. To
-keep one large group off a single task, distinct scores are cut into score buckets:
-the running sum restarts in each (group, bucket) cell and a small per-bucket table
-supplies the offset of everything above the cell. Grid-based threshold searches
+keep one large group off a single task, distinct scores are ranged into cells of like
+depth: the running sum restarts in each (group, cell) and a small table of cells
+supplies the offset of everything above. Grid-based threshold searches
 reduce the data to per-grid-cell counts first, so they cost one pass, not one pass
 per threshold.
 """
@@ -19,33 +19,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 14
-
+from ..plans.sizing import checked_broadcast, materialise
 
 def _w(weight: str | None) -> Column:
     return F.col(weight).cast("double") if weight else F.lit(1.0)
 
 
 def score_steps(scored: DataFrame, group: Sequence[str] = (), label: str = "y_true", score: str = "y_prob",
-                weight: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+                weight: str | None = None, cells: int | None = None) -> DataFrame:
     """one row per (group, distinct score) with ``pos``/``neg`` at that score and the
-    cumulative ``tp``/``fp`` over all scores >= it, plus group totals ``P``/``N``."""
+    cumulative ``tp``/``fp`` over all scores >= it, plus group totals ``P``/``N``.
+
+    Distinct scores are ranged by (group, score) into ``cells`` partitions of like depth, by
+    default the session's shuffle partitions, so crowded scores are cut as finely as others."""
     g = list(group)
     y = F.col(label).cast("double")
     per_score = scored.groupBy(*g, F.col(score).cast("double").alias("s")).agg(
         F.sum(_w(weight) * y).alias("pos"), F.sum(_w(weight) * (F.lit(1.0) - y)).alias("neg"))
-    # bucket 0 holds the highest scores; the logistic map is monotone for any real score
-    u = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("s")))
-    per_score = per_score.withColumn("_b", F.least(F.floor((F.lit(1.0) - u) * F.lit(buckets)),
-                                                   F.lit(buckets - 1)).cast("int"))
-    cells = per_score.groupBy(*g, "_b").agg(F.sum("pos").alias("_cp"), F.sum("neg").alias("_cn"))
+    cells = cells or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once: the cut points are sampled, so a second evaluation could cut elsewhere
+    per_score = materialise(per_score.repartitionByRange(cells, *[F.asc(c) for c in g], F.desc("s"))
+                            .withColumn("_b", F.spark_partition_id()))
+    sums = per_score.groupBy(*g, "_b").agg(F.sum("pos").alias("_cp"), F.sum("neg").alias("_cn"))
     above = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)
-    cells = cells.select(*g, "_b",
-                         F.coalesce(F.sum("_cp").over(above), F.lit(0.0)).alias("_otp"),
-                         F.coalesce(F.sum("_cn").over(above), F.lit(0.0)).alias("_ofp"),
-                         F.sum("_cp").over(whole).alias("P"), F.sum("_cn").over(whole).alias("N"))
-    steps = null_safe_join(per_score, cells, [*g, "_b"])
+    sums = sums.select(*g, "_b",
+                       F.coalesce(F.sum("_cp").over(above), F.lit(0.0)).alias("_otp"),
+                       F.coalesce(F.sum("_cn").over(above), F.lit(0.0)).alias("_ofp"),
+                       F.sum("_cp").over(whole).alias("P"), F.sum("_cn").over(whole).alias("N"))
+    steps = null_safe_join(per_score, checked_broadcast(sums), [*g, "_b"])
     run = Window.partitionBy(*g, "_b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     return steps.select(*g, "s", "pos", "neg",
                         (F.col("_otp") + F.sum("pos").over(run)).alias("tp"),
