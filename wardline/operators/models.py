@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.timecols import finite, to_number
 from ..plans.sizing import materialise
 from .explore import attach_scalars
+from .quantiles import exact_quantiles
 from .schema import feature_columns
 
 
@@ -40,8 +41,11 @@ def numeric_block(adm: DataFrame, cols: Sequence[str] | None = None) -> tuple[Da
 
 
 def fit_medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """K14 fit: exact medians (linear interpolation, as NumPy) in one aggregation."""
-    return train.agg(*[F.percentile(F.col(c), 0.5).alias(f"{c}__median") for c in cols])
+    """K14 fit: exact medians of all columns (linear interpolation, as NumPy) as one row; found
+    by counting bit prefixes, so no column is sorted or gathered anywhere."""
+    found = exact_quantiles(train, cols, [0.5])
+    schema = ", ".join(f"`{c}__median` double" for c in cols)
+    return train.sparkSession.createDataFrame([tuple(found[c][0] for c in cols)], schema)
 
 
 def impute_medians(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> DataFrame:
