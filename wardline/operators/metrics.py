@@ -351,14 +351,35 @@ def threshold_policy(scored: DataFrame, group: Sequence[str] = (), mode: str = "
                                          group, target_precision)
     else:
         raise ValueError(f"unknown threshold policy {mode!r}: use f1, recall or precision")
-    j = f1.select(*group, F.col("threshold").alias("_f1t"))
-    pol = pol.select(*group, "threshold")
-    both = pol.join(j, list(group), "full") if group else pol.withColumn("_k", F.lit(1)).join(
-        j.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    both = null_safe_join(f1.select(*group, F.col("threshold").alias("_f1t")), pol.select(*group, "threshold"), list(group), "left")
     return both.select(*group, F.coalesce("threshold", "_f1t").alias("threshold"),
                        F.when(F.col("threshold").isNotNull(), F.lit(mode)).otherwise(F.lit("f1")).alias("source"))
 
 
+def fit_policy(scored: DataFrame, group: str, mode: str = "f1", target_recall: float = 0.70, target_precision: float = 0.50,
+               min_n: int = 50, min_pos: int = 10, label: str = "y_true", score: str = "y_prob") -> DataFrame:
+    """N21 fit: (group, overall, threshold, source), one row for each group with at least ``min_n`` rows
+    and ``min_pos`` positives, and one with ``overall`` true, for all other groups."""
+    args = (mode, target_recall, target_precision, label, score)
+    n = scored.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("int")).alias("_p"))
+    enough = n.filter((F.col("_n") >= min_n) & (F.col("_p") >= min_pos)).select(group)
+    own = null_safe_join(threshold_policy(scored, [group], *args), enough, [group])
+    kind = dict(scored.dtypes)[group]
+    every = threshold_policy(scored, [], *args).select(F.lit(None).cast(kind).alias(group), F.lit(True).alias("overall"), "threshold", "source")
+    return materialise(own.select(group, F.lit(False).alias("overall"), "threshold", "source").unionByName(every))
+
+
+def apply_policy(scored: DataFrame, policy: DataFrame, group: str, score: str = "y_prob", pred: str = "y_pred") -> DataFrame:
+    """N21 applied to another split: every row by its group's threshold, or by the overall one where
+    the group has none. Adds ``threshold``, ``source`` ('overall' where it is that one) and ``pred``."""
+    own = policy.filter(~F.col("overall")).select(group, F.col("threshold").alias("_own"), F.col("source").alias("_src"))
+    every = policy.filter("overall").agg(F.max("threshold").alias("_all")).withColumn("_one", F.lit(1))
+    out = null_safe_join(scored, checked_broadcast(own), [group], "left")
+    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").drop("_one")
+    out = out.withColumn("threshold", F.coalesce("_own", "_all")).withColumn("source", F.coalesce("_src", F.lit("overall")))
+    return out.withColumn(pred, (F.col(score) >= F.col("threshold")).cast("int")).drop("_own", "_src", "_all")
+
+
 def best_f1_observed(steps: DataFrame, group: Sequence[str] = (), min_pos: int = 10) -> DataFrame:
     """Over the observed scores, the threshold with the best F1 among those that
     predict at least ``min_pos`` positives (lowest on ties); otherwise the best

@@ -6,7 +6,7 @@ broadcast so that plans stay lazy; every model writes the same scored-table shap
 (model, keys, group, y_true, y_prob, y_pred), which all evaluation operators consume.
 
 Re-aims (see README): RBF SVC -> LinearSVC, kernel SVR -> Huber LinearRegression,
-XGBoost/LightGBM/CatBoost -> GBT with a validation column, recurrent / attention
+XGBoost/LightGBM/CatBoost -> staged GBT cut at its best validation AUROC, recurrent / attention
 networks -> classifiers over per-patient trajectory aggregates, language-model
 fine-tuning -> hashed TF-IDF + logistic regression.
 """
@@ -15,8 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
@@ -25,6 +24,8 @@ from pyspark.sql import functions as F
 
 from ..functions.timecols import finite, to_number
 from ..plans.sizing import materialise
+from . import metrics as M
+from .boosting import COLUMN_SHARE, DEPTH, PATIENCE, RATE, ROUNDS, ROW_SHARE, StagedGBT
 from .explore import attach_scalars
 from .quantiles import exact_quantiles
 from .schema import feature_columns
@@ -94,29 +95,34 @@ def assembler(num_cols: Sequence[str], extra: Sequence[str] = ("ccsr_vec",)) ->
 
 
 # ---- estimators --------------------------------------------------------------------
-def classifiers(num_trees: int = 500, gbt_iter: int = 2000, seed: int = 42) -> dict:
-    """M1-M5 with the reference's settings (tree count and boosting rounds are
-    parameters; GBT stops early on the validation column)."""
+# Tree counts and depth of the reference's forests; no depth limit becomes MLlib's largest.
+FOREST_TREES, FULL_DEPTH = 500, 30
+
+
+def classifiers(num_trees: int = FOREST_TREES, gbt_iter: int = ROUNDS, seed: int = 42, patience: int = PATIENCE,
+                forest_depth: int = FULL_DEPTH) -> dict:
+    """M1-M5 with the reference's settings (tree count, boosting rounds and patience are
+    parameters; the booster is cut at its best validation AUROC)."""
     return {
         "LogReg": LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=100),
         "LinearSVM": LinearSVC(featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=100),
         "DecisionTree": DecisionTreeClassifier(featuresCol="features", labelCol="y", weightCol="weight",
-                                               minInstancesPerNode=10, maxDepth=30, seed=seed),
+                                               minInstancesPerNode=10, maxDepth=FULL_DEPTH, seed=seed),
         "RandomForest": RandomForestClassifier(featuresCol="features", labelCol="y", weightCol="weight",
-                                               numTrees=num_trees, seed=seed),
-        "GBT": GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=gbt_iter,
-                             stepSize=0.03, validationIndicatorCol="is_val", validationTol=0.0, seed=seed),
+                                               numTrees=num_trees, maxDepth=forest_depth, seed=seed),
+        "GBT": StagedGBT(gbt_iter, patience, seed),
     }
 
 
-def regressors(num_trees: int = 500, gbt_iter: int = 2000, seed: int = 42) -> dict:
+def regressors(num_trees: int = FOREST_TREES, gbt_iter: int = ROUNDS, seed: int = 42, forest_depth: int = FULL_DEPTH) -> dict:
     """M3-M6 regressors on the log1p target (M7)."""
     return {
         "HuberLinear": LinearRegression(featuresCol="scaled", labelCol="y_log", loss="huber", maxIter=100),
         "DecisionTree": DecisionTreeRegressor(featuresCol="features", labelCol="y_log", minInstancesPerNode=10,
                                               maxDepth=30, seed=seed),
-        "RandomForest": RandomForestRegressor(featuresCol="features", labelCol="y_log", numTrees=num_trees, seed=seed),
-        "GBT": GBTRegressor(featuresCol="features", labelCol="y_log", maxIter=gbt_iter, stepSize=0.03,
+        "RandomForest": RandomForestRegressor(featuresCol="features", labelCol="y_log", numTrees=num_trees, maxDepth=forest_depth, seed=seed),
+        "GBT": GBTRegressor(featuresCol="features", labelCol="y_log", maxIter=gbt_iter, stepSize=RATE, maxDepth=DEPTH,
+                            subsamplingRate=ROW_SHARE, featureSubsetStrategy=str(COLUMN_SHARE),
                             validationIndicatorCol="is_val", validationTol=0.0, seed=seed),
     }
 
@@ -143,6 +149,8 @@ def prepare_admissions(adm: DataFrame, split_col: str = "split", label: str = "h
 
 def positive_probability(pred: DataFrame, name: str) -> DataFrame:
     """Score for ranking: P(class 1) from ``probability``; LinearSVC has only a margin."""
+    if "y_prob" in pred.columns:
+        return pred
     if "probability" in pred.columns:
         return pred.withColumn("y_prob", vector_to_array("probability")[1])
     return pred.withColumn("y_prob", vector_to_array("rawPrediction")[1])
@@ -155,7 +163,7 @@ def _fit_all(estimators: dict, rows: DataFrame, parallelism: int, split_col: str
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         train = rows.filter(F.col(split_col) == "train")
-        stops = {name: est.hasParam("validationIndicatorCol") and est.isSet("validationIndicatorCol")
+        stops = {name: isinstance(est, StagedGBT) or est.hasParam("validationIndicatorCol") and est.isSet("validationIndicatorCol")
                  for name, est in estimators.items()}
         futures = {name: pool.submit(est.fit, rows if stops[name] else train) for name, est in estimators.items()}
         return {name: f.result() for name, f in futures.items()}
@@ -217,15 +225,62 @@ def grouped_cross_validation(prepared: DataFrame, reg_params: Sequence[float] =
     return spark.createDataFrame(data, "reg_param double, mean_cv_auroc double")
 
 
-def gbt_curve(prepared: DataFrame, max_iter: int = 50, split_col: str = "split", seed: int = 42) -> DataFrame:
-    """M8: train and validation log-loss after each boosting iteration."""
-    est = GBTClassifier(featuresCol="features", labelCol="y", maxIter=max_iter, stepSize=0.03, seed=seed)
-    model = est.fit(prepared.filter(F.col(split_col) == "train"))
-    train_loss = model.evaluateEachIteration(prepared.filter(F.col(split_col) == "train"))
-    val_loss = model.evaluateEachIteration(prepared.filter(F.col(split_col) == "val"))
-    spark = prepared.sparkSession
-    rows = [(i + 1, float(a), float(b)) for i, (a, b) in enumerate(zip(train_loss, val_loss))]
-    return spark.createDataFrame(rows, "iteration int, train_loss double, val_loss double")
+def learning_curve(prepared: DataFrame, estimators: dict, fractions: Sequence[float], k: int = 5, split_col: str = "split",
+                   seed: int = 5, size_seed: int = 11, parallelism: int = 4) -> DataFrame:
+    """L4: (model, size, fraction, n_train, train_auroc, train_std, val_auroc, val_std, folds) by grouped k-fold
+    cross-validation over the rows outside the test split.
+
+    Every model is fitted on every (fold, size); the scores of all fits, on their training
+    rows and on the fold, stand in one table, and one grouped metric gives all AUROCs."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from .split import fold_entry
+    rows = materialise(fold_entry(prepared.filter(F.col(split_col) != "test"), fractions, "subject_id", k, seed, size_seed))
+
+    def scored(name: str, f: int, j: int) -> DataFrame:
+        train = rows.filter(F.col("entry")[f] <= j)
+        model = estimators[name].fit(train)
+        both = train.withColumn("part", F.lit("train")).unionByName(rows.filter(F.col("fold") == f).withColumn("part", F.lit("val")))
+        out = positive_probability(model.transform(both), name)
+        return materialise(out.select(F.lit(name).alias("model"), F.lit(f).alias("fold"), F.lit(j).alias("size"), "part", "y", "y_prob"))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fits = [pool.submit(scored, n, f, j) for n in estimators for f in range(k) for j in range(len(fractions))]
+        frames = [x.result() for x in fits]
+    table = frames[0]
+    for x in frames[1:]:
+        table = table.unionByName(x)
+    by = ["model", "size", "fold", "part"]
+    table = materialise(table)
+    per = M.auroc_ap(M.score_steps(table, by, "y", "y_prob"), by)
+    n = table.filter("part = 'train'").groupBy("model", "size").agg((F.count(F.lit(1)) / k).alias("n_train"))
+    of = lambda part, how: how(F.when(F.col("part") == part, F.col("auroc")))
+    curve = per.groupBy("model", "size").agg(
+        of("train", F.avg).alias("train_auroc"), of("train", F.stddev_pop).alias("train_std"),
+        of("val", F.avg).alias("val_auroc"), of("val", F.stddev_pop).alias("val_std"), of("val", F.count).alias("folds"))
+    fr = F.element_at(F.array(*[F.lit(float(x)) for x in fractions]), F.col("size") + 1)
+    return curve.join(n, ["model", "size"]).withColumn("fraction", fr)
+
+
+def gbt_curve(prepared: DataFrame, max_iter: int = ROUNDS, patience: int = PATIENCE, seed: int = 42) -> DataFrame:
+    """M8: train and validation AUROC after each boosting round, and whether the model is cut there."""
+    model = StagedGBT(max_iter, patience, seed).fit(prepared)
+    wide = model.curve.groupBy("round").pivot("split", ["train", "val"]).agg(F.first("auroc"))
+    return wide.select("round", F.col("train").alias("train_auroc"), F.col("val").alias("val_auroc"), (F.col("round") == model.best).alias("is_best"))
+
+
+def gbt_facts(prepared: DataFrame, max_iter: int, patience: int, seed: int = 42) -> DataFrame:
+    """What holds of any booster's curve: rounds, rows and positives of each split, that the cut
+    is the best round of those before patience ran out, and that the cut model scores as that round."""
+    model = StagedGBT(max_iter, patience, seed).fit(prepared)
+    val = prepared.filter(F.col("split") == "val")
+    cut = M.auroc_ap(M.score_steps(model.transform(val), [], "y", "y_prob")).select(F.col("auroc").alias("cut_auroc"))
+    seen = model.curve.filter((F.col("split") == "val") & (F.col("round") <= model.best + patience)).agg(
+        F.max("auroc").alias("top"), F.max(F.when(F.col("round") == model.best, F.col("auroc"))).alias("at_best"))
+    per = model.curve.groupBy("split").agg(F.count(F.lit(1)).alias("rounds"), F.min("n").alias("n_min"), F.max("n").alias("n_rows"), F.max("n_pos").alias("n_pos"))
+    both = attach_scalars(attach_scalars(per, cut), seen)
+    return both.select("split", "rounds", "n_rows", "n_pos", (F.col("n_min") == F.col("n_rows")).alias("same_rows"),
+                       (F.col("top") == F.col("at_best")).alias("best_is_top"), (F.abs(F.col("cut_auroc") - F.col("at_best")) < 1e-9).alias("cut_as_curve"))
 
 
 def text_classifier(records: DataFrame, label: str = "y_mort", split_col: str = "split", num_features: int = 1 << 18,

@@ -44,6 +44,25 @@ def learning_curve_subsets(df: DataFrame, group: str = "subject_id", steps: int
     return out.filter((F.col("_u") < F.col("fraction")) | (F.col("fraction") >= F.lit(1.0))).drop("_u")
 
 
+def fold_entry(df: DataFrame, fractions, group: str = "subject_id", k: int = 5, seed: int = 42, size_seed: int = 11) -> DataFrame:
+    """L4 in L3: ``fold`` and ``entry``, an array that says for each of the ``k`` folds from which
+    training size on a row belongs to the fold's training part (NULL: its validation part).
+
+    Size j of a fold holds the first ceil(fraction_j * n) of the n groups outside the fold, in
+    the order of a hash; sizes are nested, and a group moves as one. The ranks are taken over
+    the distinct groups, in hash cells rather than one task per fold."""
+    fr = [float(f) for f in fractions]
+    who = df.select(group).distinct()
+    who = group_kfold(who, group, k, seed).withColumn("_u", unit_hash(size_seed, group))
+    other = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("fold"))
+    ranked = rank_in_strata(who.withColumn("_of", F.explode(other)), "_of", "_u", group)
+    first = F.least(*[F.when(F.col("_rank") <= F.ceil(F.lit(f) * F.col("_n_stratum")), j).otherwise(len(fr)) for j, f in enumerate(fr)], F.lit(len(fr)))
+    pairs = F.map_from_entries(F.collect_list(F.struct("_of", first.alias("_j"))))
+    entry = ranked.groupBy(F.col(group).alias("_who"), "fold").agg(pairs.alias("_m"))
+    entry = entry.select("_who", "fold", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.col("_m")[f]).alias("entry"))
+    return df.join(entry, F.col(group).eqNullSafe(F.col("_who"))).drop("_who")
+
+
 def modal_value(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Most frequent ``value`` per ``key`` (ties: smallest value). Counts are a
     partial aggregation; the pick is ``min_by`` over the per-(key, value) counts."""

@@ -385,6 +385,24 @@ def q_thr_policy(spark, sf_dir):
     return comparable(M.threshold_policy(_scores(spark, sf_dir), ["race"], "precision", target_precision=0.50))
 
 
+def _val_test(spark, sf_dir):
+    s = S.grouped_split(_scores(spark, sf_dir), "subject_id", 0.3, 0.4, seed=42, val_seed=7)
+    # every seventh group is a missing one
+    s = s.withColumn("race", F.when(F.col("race").isin("NATION_7", "NATION_14", "NATION_21"), F.lit(None)).otherwise(F.col("race")))
+    return s.filter(F.col("split") == "val"), s.filter(F.col("split") == "test")
+
+
+@register("threshold_val_to_test")
+def q_policy_carried(spark, sf_dir):
+    """Thresholds for a target precision tuned per group on val, applied to test; groups
+    with few rows or deaths take the overall threshold, missing groups are one of their own."""
+    val, test = _val_test(spark, sf_dir)
+    policy = M.fit_policy(val, "race", "precision", target_precision=0.50, min_n=40, min_pos=8)
+    scored = M.apply_policy(test, policy, "race")
+    used = scored.groupBy("race").agg(F.first("threshold").alias("threshold"), F.first("source").alias("source"))
+    return comparable(M.null_safe_join(M.confusion(scored, ["race"]), used, ["race"]))
+
+
 @register("threshold_observed_min_pos")
 def q_thr_observed(spark, sf_dir):
     s = _scores(spark, sf_dir)
@@ -524,21 +542,28 @@ def _leaderboard(scored):
 @register("mortality_leaderboard")
 def q_mort_leaderboard(spark, sf_dir):
     prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
-    scored = MD.fit_and_score(prepared, MD.classifiers(num_trees=50, gbt_iter=50))
+    scored = MD.fit_and_score(prepared, MD.classifiers(num_trees=50, gbt_iter=50, patience=10, forest_depth=12))
     return _leaderboard(scored)
 
 
 @register("los_regression_leaderboard")
 def q_los_leaderboard(spark, sf_dir):
     prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
-    pred = MD.fit_and_predict_regression(prepared, MD.regressors(num_trees=50, gbt_iter=50))
+    pred = MD.fit_and_predict_regression(prepared, MD.regressors(num_trees=50, gbt_iter=50, forest_depth=12))
     return M.regression_errors(pred, ["model"]).orderBy("mae")
 
 
 @register("gbt_iteration_curve")
 def q_gbt_curve(spark, sf_dir):
     prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
-    return MD.gbt_curve(prepared, 30)
+    return MD.gbt_curve(prepared, 40, 10)
+
+
+@register("gbt_curve_facts")
+def q_gbt_facts(spark, sf_dir):
+    """M5 + M8: the booster's curve and cut, in the facts that hold whatever the draw."""
+    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    return MD.gbt_facts(prepared, 20, 5)
 
 
 @register("text_mortality_model")
@@ -576,21 +601,32 @@ def q_trajectory_model(spark, sf_dir):
     return M.auroc_ap(M.score_steps(pred, ["split"]), ["split"])
 
 
+SIZES = [0.1 + 0.9 * j / 5 for j in range(6)]
+
+
+def _curve_models():
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+    return {"LogReg": LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=30),
+            "DecisionTree": DecisionTreeClassifier(featuresCol="features", labelCol="y", weightCol="weight", minInstancesPerNode=10, maxDepth=8)}
+
+
 @register("learning_curve_auroc")
 def q_learning_curve(spark, sf_dir):
+    """L4: train and validation AUROC per size over grouped folds, for two models."""
     prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
-    from pyspark.ml.classification import LogisticRegression
-    train = S.learning_curve_subsets(prepared.filter(F.col("split") == "train"), "subject_id", 6, 0.1, 1.0, seed=11)
-    val = prepared.filter(F.col("split") == "val")
-    out = None
-    for j in range(6):
-        m = LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", maxIter=50).fit(
-            train.filter(F.col("subset") == j))
-        pred = MD.positive_probability(m.transform(val), "lr").withColumn("y_true", F.col("y")).withColumn(
-            "subset", F.lit(j))
-        one = M.auroc_ap(M.score_steps(pred, ["subset"]), ["subset"])
-        out = one if out is None else out.unionByName(one)
-    return out
+    return MD.learning_curve(prepared, _curve_models(), SIZES)
+
+
+@register("learning_curve_folds")
+def q_curve_folds(spark, sf_dir):
+    """L3 + L4: patients and admissions of every (fold, size) training part and of the fold."""
+    rows = S.fold_entry(_adm_split(spark, sf_dir).filter(F.col("split") != "test"), SIZES, "subject_id", 5, 5, 11)
+    part = F.inline(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda f: F.struct(f.alias("of_fold"), F.col("entry")[f].alias("entry"))))
+    long = rows.select("subject_id", "hadm_id", part)
+    count = [F.countDistinct("subject_id").alias("patients"), F.count(F.lit(1)).alias("admissions")]
+    train = long.withColumn("size", F.explode(F.sequence(F.lit(0), F.lit(5)))).filter(F.col("entry") <= F.col("size"))
+    val = long.filter(F.col("entry").isNull()).groupBy("of_fold").agg(*count).withColumn("size", F.lit(-1))
+    return train.groupBy("of_fold", "size").agg(*count).unionByName(val)
 
 
 # ---- sources and sinks -----------------------------------------------------------

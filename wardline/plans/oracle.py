@@ -508,6 +508,16 @@ ORACLE["learning_curve_sizes"] = with_cohort(
     f"FROM asp JOIN fr ON {md5_unit(11, 'asp.subject_id')} < fr.fraction OR fr.fraction >= 1.0 "
     "WHERE split <> 'test' GROUP BY 1, 2", *HCF)
 
+ORACLE["learning_curve_folds"] = with_cohort(
+    ADM_SPLIT + ", fr AS (SELECT * FROM (VALUES " + ", ".join(f"({j}, CAST({f!r} AS DOUBLE))" for j, f in enumerate(_FR)) + rf""") v(size, fraction)),
+dev AS (SELECT subject_id, hadm_id FROM asp WHERE split <> 'test'),
+who AS (SELECT subject_id, CAST(floor({md5_unit(5, 'subject_id')} * 5) AS INTEGER) AS fold FROM (SELECT DISTINCT subject_id FROM dev) d),
+placed AS (SELECT subject_id, f.of_fold, row_number() OVER (PARTITION BY f.of_fold ORDER BY {md5_unit(11, 'subject_id')}, subject_id) AS r,
+ count(*) OVER (PARTITION BY f.of_fold) AS n FROM who JOIN (SELECT CAST(range AS INTEGER) AS of_fold FROM range(0, 5)) f ON f.of_fold <> who.fold)
+SELECT of_fold, CAST(size AS INTEGER) AS size, count(DISTINCT subject_id) AS patients, count(*) AS admissions
+ FROM placed JOIN fr ON r <= ceil(fraction * n) JOIN dev USING (subject_id) GROUP BY 1, 2
+UNION ALL SELECT fold, -1, count(DISTINCT subject_id), count(*) FROM who JOIN dev USING (subject_id) GROUP BY 1""", *HCF)
+
 # ---- evaluation metrics ---------------------------------------------------------------
 SCORE_VIEWS = ("ehr_admissions", "ehr_scores", "ehr_los_scores")
 
@@ -711,6 +721,37 @@ pb AS (SELECT race, min(t) FILTER (WHERE precision >= 0.5) AS pt FROM prates GRO
 SELECT f1b.race, round(coalesce(pt, ft), 9) AS threshold, CASE WHEN pt IS NOT NULL THEN 'precision' ELSE 'f1' END AS source
 FROM f1b LEFT JOIN pb USING (race)""")
 
+def _policy_rates(name: str, start: float, stop: float, num: int) -> str:
+    """Rates of the tuned rows ``tuned`` (g, y_true, y_prob) at every threshold of a grid."""
+    return rf"""
+{name} AS (SELECT g, t, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+  CASE WHEN 2 * tp + fp + (P - tp) > 0 THEN 2 * tp / (2 * tp + fp + (P - tp)) ELSE 0 END AS f1
+ FROM (SELECT gr.g, gr.t, CAST(count(*) FILTER (WHERE s.y_true = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE s.y_true = 0) AS DOUBLE) AS fp
+  FROM (SELECT g, t FROM (SELECT DISTINCT g FROM tuned) x CROSS JOIN ({_grid_sql(start, stop, num)}) y) gr
+  LEFT JOIN tuned s ON s.g = gr.g AND s.y_prob >= gr.t GROUP BY 1, 2) c
+ JOIN (SELECT g, CAST(sum(y_true) AS DOUBLE) AS P FROM tuned GROUP BY 1) tot USING (g))"""
+
+
+ORACLE["threshold_val_to_test"] = with_scores(rf"""
+, sp AS (SELECT *, CASE WHEN race IN ('NATION_7', 'NATION_14', 'NATION_21') THEN '?' ELSE race END AS g,
+ CASE WHEN {md5_unit(42, 'subject_id')} < 0.3 THEN 'test' WHEN {md5_unit(7, 'subject_id')} < 0.4 THEN 'val' ELSE 'train' END AS split FROM ehr_scores),
+tuned AS (SELECT g, y_true, y_prob FROM sp WHERE split = 'val' UNION ALL SELECT '*', y_true, y_prob FROM sp WHERE split = 'val'),
+{_policy_rates('fr', 0.001, 0.99, 1200)},
+{_policy_rates('pr', 0.001, 0.999, 2000)},
+thr AS (SELECT g, coalesce(pt, ft) AS threshold, CASE WHEN pt IS NOT NULL THEN 'precision' ELSE 'f1' END AS source
+ FROM (SELECT g, arg_max(t, (f1, -t)) AS ft FROM fr GROUP BY 1) a JOIN (SELECT g, min(t) FILTER (WHERE precision >= 0.5) AS pt FROM pr GROUP BY 1) b USING (g)),
+own AS (SELECT * FROM thr WHERE g IN (SELECT g FROM tuned GROUP BY g HAVING count(*) >= 40 AND sum(y_true) >= 8) AND g <> '*'),
+used AS (SELECT s.g, s.y_true, coalesce(o.threshold, a.threshold) AS threshold, coalesce(o.source, 'overall') AS source,
+ s.y_prob >= coalesce(o.threshold, a.threshold) AS hit FROM sp s LEFT JOIN own o USING (g) CROSS JOIN (SELECT threshold FROM thr WHERE g = '*') a WHERE split = 'test'),
+c AS (SELECT g, any_value(threshold) AS threshold, any_value(source) AS source, CAST(count(*) FILTER (WHERE y_true = 0 AND NOT hit) AS DOUBLE) AS tn,
+ CAST(count(*) FILTER (WHERE y_true = 0 AND hit) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE y_true = 1 AND NOT hit) AS DOUBLE) AS fn,
+ CAST(count(*) FILTER (WHERE y_true = 1 AND hit) AS DOUBLE) AS tp FROM used GROUP BY 1)
+SELECT nullif(g, '?') AS race, round(threshold, 9) AS threshold, source, tn, fp, fn, tp,
+ round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall,
+ round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1,
+ round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 9) AS tpr, round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) END, 9) AS fpr,
+ round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy FROM c""")
+
 ORACLE["threshold_observed_min_pos"] = with_scores(r"""
 , st AS (SELECT race, y_prob AS s, sum(y_true) AS pos, count(*) - sum(y_true) AS neg FROM ehr_scores GROUP BY 1, 2),
 cum AS (SELECT *, CAST(sum(pos) OVER (PARTITION BY race ORDER BY s DESC) AS DOUBLE) AS tp,
@@ -1131,6 +1172,10 @@ ORACLE["model_matrix"] = with_cohort(
     + ", coalesce(y_reg IS NOT NULL AND NOT isnan(y_reg) AND abs(y_reg) < CAST('inf' AS DOUBLE), false) AS reg_ok FROM matrix",
     *HCF)
 
+ORACLE["gbt_curve_facts"] = with_cohort(
+    ALL_MATRIX + "SELECT split, CAST(20 AS BIGINT) AS rounds, count(*) AS n_rows, CAST(sum(y_cls) AS BIGINT) AS n_pos, true AS same_rows, "
+    "true AS best_is_top, true AS cut_as_curve FROM matrix WHERE split <> 'test' GROUP BY split", *HCF)
+
 ORACLE["los_regression_losses"] = with_scores(
     f", e AS ({REG_SRC})\nSELECT race, round(avg(CASE WHEN abs(yhat - y) < 0.5 THEN 0.5 * (yhat - y) * (yhat - y) / 0.5 "
     "ELSE abs(yhat - y) - 0.25 END), 9) AS smooth_l1 FROM e GROUP BY 1")
