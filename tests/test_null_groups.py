@@ -27,6 +27,6 @@ def test_policy_of_a_null_group(spark):
     scored = M.apply_policy(new, policy, "race")
     assert scored.count() == 305
     used = {(r.race, r.source) for r in scored.select("race", "source").distinct().collect()}
-    assert used == {("A", "f1"), ("B", "f1"), (None, "f1"), ("new", "overall")}
+    assert used == {("A", "overall"), ("B", "f1"), (None, "f1"), ("new", "overall")}  # A has no positive
     few = M.apply_policy(df, M.fit_policy(df, "race", "f1", min_n=500), "race")
     assert {r.source for r in few.select("source").distinct().collect()} == {"overall"} and few.count() == 300

@@ -17,9 +17,9 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import CountVectorizer, HashingTF, IDF, RegexTokenizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecols import finite, to_number
@@ -85,8 +85,8 @@ def with_weights(df: DataFrame, weights: DataFrame, label: str = "y") -> DataFra
 
 
 def multi_hot(list_col: str = "ccsr_union", out: str = "ccsr_vec") -> CountVectorizer:
-    """H6: binary multi-hot encoding of a list column (vocabulary of categories)."""
-    return CountVectorizer(inputCol=list_col, outputCol=out, binary=True, minDF=1.0)
+    """H6: binary multi-hot encoding of a list column (vocabulary of categories, at most ``MAX_TERMS``)."""
+    return CountVectorizer(inputCol=list_col, outputCol=out, binary=True, minDF=1.0, vocabSize=MAX_TERMS)
 
 
 def assembler(num_cols: Sequence[str], extra: Sequence[str] = ("ccsr_vec",)) -> VectorAssembler:
@@ -301,20 +301,38 @@ def text_classifier(records: DataFrame, label: str = "y_mort", split_col: str =
                        F.col("prediction").cast("int").alias("y_pred"))
 
 
-def trajectory_features(seq: DataFrame, last_n: int = 20) -> DataFrame:
-    """M12 input: one row per patient from its last ``last_n`` admissions (the last one's
-    label and static features, mean diagnosis counts, gaps). Lengths of stay are targets
-    and stay out of the features."""
-    from .trajectory import STATIC_COLS, order_key
-    rank = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc(order_key()), F.desc("hadm_id")))
-    recent = seq.withColumn("_rank", rank).filter(F.col("_rank") <= last_n)
-    last = F.max_by(F.struct("mortality", "race", *STATIC_COLS), order_key())
-    agg = recent.groupBy("subject_id").agg(
-        last.alias("l"), F.count(F.lit(1)).alias("n_adm"), F.avg("n_dx").alias("mean_n_dx"),
-        F.max("delta_prev_adm_hours").alias("max_gap_hours"), F.avg("delta_prev_adm_hours").alias("mean_gap_hours"))
-    cols = [F.col(f"l.{c}").alias(f"last_{c}") for c in STATIC_COLS]
-    return agg.select("subject_id", F.col("l.mortality").alias("y"), F.col("l.race").alias("race"), *cols,
-                      F.col("n_adm").cast("double").alias("n_adm"), "mean_n_dx", "max_gap_hours", "mean_gap_hours")
+# Bound of a fitted vocabulary: categories of a multi-hot block, (step, token) pairs of a trajectory.
+MAX_TERMS = 1 << 20
+
+
+def trajectory_table(seq: DataFrame, vocab: DataFrame) -> DataFrame:
+    """M12 input: one row per patient with split, both targets, the scaled padded static block
+    [20 x 15] as one vector and the (step, token) pairs of the last 20 admissions. The scaler
+    is fitted on the training patients; lengths of stay are targets alone."""
+    from . import trajectory as TR
+    scaler = TR.fit_scaler(TR.last_n_admissions(seq.filter(F.col("split") == "train")))
+    padded = TR.position_tokens(TR.padded_patients(TR.token_ids(seq, vocab), scaler=scaler))
+    labels = TR.last_admission(seq).join(seq.select("subject_id", "split").distinct(), "subject_id")
+    static = array_to_vector(F.flatten("adm_static"))
+    return materialise(padded.select("subject_id", "step_tokens", static.alias("static")).join(labels, "subject_id"))
+
+
+def trajectory_heads(table: DataFrame, max_iter: int = 50) -> DataFrame:
+    """Mortality and length-of-stay heads over sparse (step x token) and static features, scored on
+    the test patients: subject_id, race, y_true, y_prob, y (hours), yhat (hours)."""
+    pipe = Pipeline(stages=[CountVectorizer(inputCol="step_tokens", outputCol="tokens", binary=True, vocabSize=MAX_TERMS),
+                            VectorAssembler(inputCols=["static", "tokens"], outputCol="features")])
+    data = table.select("subject_id", "split", "step_tokens", "static", F.col("race_last").alias("race"),
+                        F.col("y_mort").cast("double").alias("y"), "y_los_log")
+    data = materialise(pipe.fit(data.filter(F.col("split") == "train")).transform(data))
+    train, test = data.filter(F.col("split") == "train"), data.filter(F.col("split") == "test")
+    train = with_weights(train, class_weights(train))
+    mort = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=max_iter, regParam=0.01).fit(train)
+    los = LinearRegression(featuresCol="features", labelCol="y_los_log", maxIter=max_iter, regParam=0.1, solver="l-bfgs").fit(train)
+    scored = positive_probability(mort.transform(test), "mort").drop("prediction", "rawPrediction", "probability")
+    yhat = F.greatest(F.expm1("prediction"), F.lit(0.0))
+    return los.transform(scored).select("subject_id", "split", "race", F.col("y").cast("int").alias("y_true"), "y_prob",
+                                        F.expm1("y_los_log").alias("y"), yhat.alias("yhat"))
 
 
 def score_foreign(df: DataFrame, predict, input_cols: Sequence[str], out: str = "y_prob") -> DataFrame:

@@ -47,21 +47,11 @@ def columns_matching(df: DataFrame, pattern: str) -> list[str]:
     return [c for c in df.columns if rx.fullmatch(c)]
 
 
-def first_existing(df: DataFrame, candidates: Sequence[str], default: str | None = None) -> str | None:
-    """The present name that stands earliest among ``candidates``, else ``default``."""
-    present = set(candidates).intersection(df.columns)
-    return min(present, key=list(candidates).index) if present else default
-
-
 def resolve_aliases(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
-    """Rename the first present alias of each canonical column to the canonical name."""
-    for canonical, cands in aliases.items():
-        if canonical in df.columns:
-            continue
-        found = first_existing(df, cands)
-        if found is not None:
-            df = df.withColumnRenamed(found, canonical)
-    return df
+    """Each canonical column that ``df`` lacks is taken from the earliest of its declared names that ``df`` has."""
+    have = set(df.columns)
+    return df.withColumnsRenamed({next(n for n in names if n in have): canonical for canonical, names in aliases.items()
+                                  if canonical not in have and have.intersection(names)})
 
 
 def with_default(df: DataFrame, col: str, default, dtype: str | None = None) -> DataFrame:

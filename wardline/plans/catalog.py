@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,6 +222,19 @@ def q_seq_padded(spark, sf_dir):
                       F.size("adm_static").alias("n_steps"))
 
 
+@register("seq_padded_static")
+def q_seq_padded_static(spark, sf_dir):
+    """H8 + K12: all values of all 20 steps of every patient, standardised by the training
+    patients' parameters; padded steps are 0."""
+    seq = _seq_split(spark, sf_dir)
+    scaler = TR.fit_scaler(TR.last_n_admissions(seq.filter(F.col("split") == "train")))
+    none = F.array().cast("array<int>")
+    pad = TR.padded_patients(seq.withColumn("dx_ids", none), scaler=scaler)
+    steps = pad.select("subject_id", "adm_mask", F.posexplode("adm_static").alias("t", "x"))
+    return comparable(steps.select("subject_id", "t", F.col("adm_mask")[F.col("t")].alias("real"),
+                                   *[F.col("x")[i].alias(c) for i, c in enumerate(TR.STATIC_COLS)]), digits=6)
+
+
 @register("seq_scaler")
 def q_seq_scaler(spark, sf_dir):
     seq = _seq_split(spark, sf_dir)
@@ -585,20 +599,27 @@ def q_text_los(spark, sf_dir):
     return X.attach_scalars(f1, M.ovr_macro_auroc(pred, [], "y_cls"))
 
 
+def _trajectories(spark, sf_dir):
+    seq = _seq_split(spark, sf_dir)
+    return MD.trajectory_table(seq, _seq_vocab(spark, sf_dir, seq))
+
+
 @register("trajectory_model")
 def q_trajectory_model(spark, sf_dir):
-    feats = S.grouped_split(MD.trajectory_features(_seq(spark, sf_dir)), "subject_id", 0.2, 0.2, seed=42, val_seed=43)
-    cols = [c for c in feats.columns if c not in ("subject_id", "y", "race", "split")]
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml import Pipeline
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="raw", handleInvalid="keep"),
-                            StandardScaler(inputCol="raw", outputCol="features", withMean=True),
-                            LogisticRegression(featuresCol="features", labelCol="y", maxIter=100)])
-    data = feats.withColumn("y", F.col("y").cast("double"))
-    pred = pipe.fit(data.filter(F.col("split") == "train")).transform(data.filter(F.col("split") == "test"))
-    pred = MD.positive_probability(pred, "lr").withColumn("y_true", F.col("y").cast("int"))
-    return M.auroc_ap(M.score_steps(pred, ["split"]), ["split"])
+    """Both heads on the test patients."""
+    pred = MD.trajectory_heads(_trajectories(spark, sf_dir))
+    los = M.regression_errors(pred, ["split"]).select("split", "mae", "rmse")
+    return M.auroc_ap(M.score_steps(pred, ["split"]), ["split"]).join(los, "split")
+
+
+@register("trajectory_model_inputs")
+def q_trajectory_inputs(spark, sf_dir):
+    """M12 input: patients, deaths, distinct (step, token) pairs and the scaled static block per split."""
+    t = _trajectories(spark, sf_dir)
+    static = F.aggregate(vector_to_array("static"), F.lit(0.0), lambda a, x: a + F.abs(x))
+    return comparable(t.groupBy("split").agg(
+        F.count(F.lit(1)).alias("patients"), F.sum("y_mort").cast("bigint").alias("deaths"), F.avg("y_los_log").alias("los_log"),
+        F.sum(F.size("step_tokens")).cast("bigint").alias("pairs"), F.avg(static).alias("static_abs")), digits=6)
 
 
 SIZES = [0.1 + 0.9 * j / 5 for j in range(6)]
@@ -683,8 +704,8 @@ def q_traj_sink(spark, sf_dir):
     path = _scratch(spark, "trajectories")
     IO.write_trajectories(pad, path)
     back = spark.read.parquet(path)
-    return back.groupBy("split").agg(F.count(F.lit(1)).alias("patients"),
-                                     F.sum(F.aggregate("adm_mask", F.lit(0), lambda a, x: a + x)).alias("admissions"))
+    return back.select("subject_id", "split", _nested("dx_ids").alias("dx_ids"), _nested("dx_mask").alias("dx_mask"),
+                       F.array_join("adm_mask", ",").alias("adm_mask"))
 
 
 @register("dx_version_inferred")

@@ -372,7 +372,7 @@ ORACLE["seq_split_labels"] = with_seq(
 ORACLE["seq_vocab"] = with_seq("SELECT token, count, id FROM vocab")
 
 ZERO40 = ",".join(["0"] * 40)
-ORACLE["seq_padded"] = with_seq(rf"""
+SEQ_PADDED = rf"""
 , kept AS (
  SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY admittime_dt DESC NULLS LAST, hadm_id DESC) AS rd,
   count(*) OVER (PARTITION BY subject_id) AS n_all FROM seq_split),
@@ -387,12 +387,27 @@ per AS (
  SELECT subject_id, count(*) AS n,
   string_agg(array_to_string(list_resize(ids, 40, 0), ','), ';' ORDER BY t) AS dx_ids,
   string_agg(array_to_string(list_resize(list_transform(ids, lambda x: 1), 40, 0), ','), ';' ORDER BY t) AS dx_mask
- FROM steps GROUP BY 1)
-SELECT subject_id, dx_ids || repeat(';{ZERO40}', CAST(20 - n AS INTEGER)) AS dx_ids,
+ FROM steps GROUP BY 1)"""
+_PADDED_COLS = rf"""dx_ids || repeat(';{ZERO40}', CAST(20 - n AS INTEGER)) AS dx_ids,
  dx_mask || repeat(';{ZERO40}', CAST(20 - n AS INTEGER)) AS dx_mask,
- rtrim(repeat('1,', CAST(n AS INTEGER)) || repeat('0,', CAST(20 - n AS INTEGER)), ',') AS adm_mask,
- 20 AS n_steps
-FROM per""")
+ rtrim(repeat('1,', CAST(n AS INTEGER)) || repeat('0,', CAST(20 - n AS INTEGER)), ',') AS adm_mask"""
+ORACLE["seq_padded"] = with_seq(SEQ_PADDED + f"\nSELECT subject_id, {_PADDED_COLS}, 20 AS n_steps FROM per")
+
+# last 20 admissions standardised by the training patients' parameters, one row per real step
+SCALED_STEPS = (
+    SEQ_PADDED + ",\npar AS (SELECT " + ", ".join(
+        f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}" for c in SEQ_STATIC)
+    + " FROM last20 WHERE split = 'train'),\nz AS (SELECT subject_id, split, t, "
+    + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in SEQ_STATIC) + " FROM last20 CROSS JOIN par)")
+ORACLE["seq_padded_static"] = with_seq(
+    SCALED_STEPS + "\nSELECT p.subject_id, CAST(g.range AS INTEGER) AS t, CASE WHEN z.t IS NULL THEN 0 ELSE 1 END AS real, "
+    + ", ".join(f"round(coalesce(z.{c}, 0.0), 6) + 0.0 AS {c}" for c in SEQ_STATIC)
+    + " FROM per p CROSS JOIN range(0, 20) g LEFT JOIN z ON z.subject_id = p.subject_id AND z.t = g.range")
+ORACLE["trajectory_model_inputs"] = with_seq(
+    SCALED_STEPS + ", ab AS (SELECT subject_id, sum(" + " + ".join(f"abs({c})" for c in SEQ_STATIC) + ") AS a FROM z GROUP BY 1),\n"
+    "pr AS (SELECT subject_id, sum(len(list_distinct(ids))) AS k FROM steps GROUP BY 1)\n"
+    "SELECT l.split, count(*) AS patients, CAST(sum(y_mort) AS BIGINT) AS deaths, round(avg(y_los_log), 6) AS los_log, "
+    "CAST(sum(k) AS BIGINT) AS pairs, round(avg(a), 6) AS static_abs FROM labels l JOIN ab USING (subject_id) JOIN pr USING (subject_id) GROUP BY 1")
 
 ORACLE["seq_scaler"] = with_seq(
     ", kept AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY admittime_dt DESC NULLS LAST, hadm_id DESC) AS rd "
@@ -1130,8 +1145,7 @@ ORACLE["parquet_dx_lists_roundtrip"] = with_cohort(
     "LEFT JOIN row_lists rl USING (subject_id, hadm_id, seq_num) CROSS JOIN nc", *HCF)
 
 ORACLE["trajectory_sink_roundtrip"] = with_seq(
-    "SELECT split, count(*) AS patients, CAST(sum(least(n, 20)) AS BIGINT) AS admissions FROM ("
-    "SELECT subject_id, any_value(split) AS split, count(*) AS n FROM seq_split GROUP BY 1) p GROUP BY 1")
+    SEQ_PADDED + f"\nSELECT subject_id, split, {_PADDED_COLS} FROM per JOIN (SELECT DISTINCT subject_id, split FROM seq_split) s USING (subject_id)")
 
 ORACLE["dx_version_inferred"] = with_cohort(rf"""
 , v AS (SELECT *, CASE WHEN regexp_matches(coalesce(dx_norm, ''), '^[A-Z]') THEN 10
