@@ -92,3 +92,15 @@ def test_class_totals(spark):
     assert all(r.w == pytest.approx(n[r.y_true]) for r in kept.collect())
     with pytest.raises(ValueError):
         B.replicate_metrics(df, [], ["auroc"], "hadm_id", 5, stratify="race")
+
+
+def test_balanced_draw_is_with_replacement(spark):
+    """Every class has n / K rows in expectation; rare rows come many times, frequent ones also more than once."""
+    df = spark.createDataFrame([(i, None if i % 500 == 0 else int(i % 3 == 0)) for i in range(6000)], "hadm_id long, y_true int")
+    got = B.balanced_resample(df, "y_true", "hadm_id").groupBy("y_true", "hadm_id").count().collect()
+    rows = {c: [r["count"] for r in got if r.y_true == c] for c in (None, 0, 1)}
+    assert all(abs(sum(n) - 2000) < 5 * 2000 ** 0.5 for n in rows.values())
+    assert len(rows[None]) == 12 and min(rows[None]) > 100 and max(rows[0]) > 1
+    assert B.balanced_resample(df.where("false"), "y_true", "hadm_id").count() == 0
+    p = B.poisson_bounds(64.0)
+    assert abs(p[-1] - 1) < 1e-12 and abs((1 - p).sum() - 64) < 1e-9

@@ -10,16 +10,18 @@ table itself, for a caller's own metric.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .explore import attach_scalars
 from .poisson import FMIX_STAGES, MIX_MASK, MIX_STEP, POISSON1_CDF, fmix31
-from .replicates import replicate_ranking, replicate_sums
-from ..plans.sizing import checked_broadcast, materialise
+from .replicates import Weights, replicate_ranking, replicate_sums
+from ..plans.sizing import materialise
 
 def _fmix_stage(h: Column, op: str, v: int) -> Column:
     return h.bitwiseXOR(F.shiftright(h, v)) if op == "xor" else (h * F.lit(v)).bitwiseAND(F.lit(MIX_MASK))
@@ -258,18 +260,50 @@ def gap_ci(scored: DataFrame, metrics: Sequence[str], group: str = "race", key:
     return points.join(percentile_ci(reps, ["metric"], alpha, 1), "metric", "left")
 
 
+# A row's rate is dealt out in parts of at most this rate, each drawn from so many terms of its
+# distribution: beyond them lies less than a 2^-53rd.
+PART_RATE = 64.0
+PART_TERMS = 192
+MAX_CLASSES = 10_000
+
+
+def poisson_bounds(rate: float) -> np.ndarray:
+    """P(K <= k) for k = 0..PART_TERMS - 1 at ``rate`` (at most ``PART_RATE``)."""
+    return np.cumsum(np.cumprod([math.exp(-rate), *(rate / k for k in range(1, PART_TERMS))]))
+
+
 def balanced_resample(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
-    """Class-balanced resampling. Each row of class c is drawn with rate
-    lam_c = n / (K * n_c), so every class contributes n / K rows in expectation: the
-    row is repeated floor(lam_c) times plus once more with probability frac(lam_c),
-    decided by its hash, and expanded with ``explode`` (no driver loop, no cap)."""
-    from .explore import attach_scalars
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n_c"))
-    k = counts.agg(F.count(F.lit(1)).alias("_k"), F.sum("_n_c").alias("_n"))
-    x = attach_scalars(df.join(checked_broadcast(counts), label), k)
-    lam = F.col("_n") / (F.col("_k") * F.col("_n_c"))
-    u = unit_from_hash(seed, F.lit(0), F.col(key), "md5")
-    reps = F.floor(lam).cast("int") + F.when(u < lam - F.floor(lam), 1).otherwise(0)
-    x = x.withColumn("_reps", reps)
-    return (x.filter(F.col("_reps") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_reps"))))
-            .drop("_n_c", "_k", "_n", "_reps"))
+    """Class-balanced resampling with replacement. A draw of n rows with class-balanced
+    weights takes each row of class c a Poisson number of times, with rate n / (K * n_c).
+
+    The number is the inverse Poisson distribution at the row's hash, so the draw is
+    reproducible. A rate above ``PART_RATE`` is the sum of equal parts, each drawn by a hash of
+    its own; rows are expanded with ``explode`` (no cap on copies). Only the class sizes, at
+    most ``MAX_CLASSES``, are seen by the driver. Adds ``copy``."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    total = sum(r["n"] for r in sizes)
+    plan = []
+    for i, r in enumerate(sizes):
+        rate = total / (len(sizes) * r["n"])
+        plan.append((r[label], i, math.ceil(rate / PART_RATE), rate / math.ceil(rate / PART_RATE)))
+    if not plan:
+        return df.withColumn("copy", F.lit(1))
+    bounds = [poisson_bounds(p[3]) for p in plan]
+
+    @F.pandas_udf("int")
+    def drawn(keys: pd.Series, part: pd.Series, cls: pd.Series) -> pd.Series:
+        u = Weights(seed, 1).unit(keys.to_numpy(np.int64), part.to_numpy())
+        c, out = cls.to_numpy(), np.zeros(len(u), np.int32)
+        for i in np.unique(c):
+            out[c == i] = np.searchsorted(bounds[i], u[c == i], side="right")
+        return pd.Series(out)
+
+    kind = df.schema[label].dataType.simpleString()
+    classes = df.sparkSession.createDataFrame([p[:3] for p in plan], f"_label {kind}, _cls int, _parts int")
+    x = df.join(F.broadcast(classes), F.col(label).eqNullSafe(F.col("_label"))).withColumn("_part", F.explode(F.sequence(F.lit(1), "_parts")))
+    x = x.withColumn("_copies", drawn(F.coalesce(F.col(key).cast("bigint"), F.lit(0)), "_part", "_cls"))
+    # no filter on the draw: a filter would be pushed below and draw a second time
+    copies = F.posexplode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_at", "_zero")
+    return x.select(*df.columns, copies).select(*df.columns, (F.col("_at") + 1).alias("copy"))

@@ -91,30 +91,44 @@ def modal_bin(hist: DataFrame) -> DataFrame:
     return hist.agg(best.alias("m")).select("m.bin", "m.center", "m.count")
 
 
+# Terms of the expansion and width of its cells in bandwidths: a value lies within a quarter of
+# a bandwidth of its centre, so term k is at most 1.09 * 0.25^k / sqrt(k!), and all terms
+# left out are below 1e-16 of the kernel's peak.
+KDE_TERMS = 16
+KDE_CELL = 0.5
+
+
 def kde_grid(df: DataFrame, col: str, grid_size: int = 200) -> DataFrame:
     """Gaussian kernel density on an even grid over [min, max], Scott bandwidth
-    ``n^(-1/5) * stddev_samp``.
+    ``n^(-1/5) * stddev_samp``, by a fast Gauss transform.
 
-    Data are pre-aggregated to distinct values with multiplicities; each distinct
-    value then contributes to every grid point through a generated array that is
-    summed with map-side partial aggregation, never by pairing rows.
-    """
+    Rows are reduced, map-side, to the first ``KDE_TERMS`` moments of each half-bandwidth cell;
+    only the cells meet the grid points, through Hermite polynomials. The error is below
+    ``1e-16 / (bandwidth * sqrt(2 pi))``, before rounding. NULL density where the bandwidth is
+    0 or undefined."""
     x = df.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
     stats = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
                   F.stddev_samp("x").alias("sd"))
     stats = stats.withColumn("bw", F.pow(F.col("n").cast("double"), F.lit(-0.2)) * F.col("sd"))
-    distinct = x.groupBy("x").agg(F.count(F.lit(1)).alias("m"))
+    at = F.try_divide(F.col("x") - F.col("lo"), F.col("bw"))
+    placed = attach_scalars(x, stats).select(at.alias("u")).withColumn("cell", F.floor(F.col("u") / KDE_CELL))
+    delta = F.col("u") - (F.col("cell") + 0.5) * KDE_CELL
+    moments = placed.withColumn("d", delta).groupBy("cell").agg(
+        *[F.sum(F.pow("d", F.lit(float(k)))).alias(f"m{k}") for k in range(KDE_TERMS)])
     step = (F.col("hi") - F.col("lo")) / F.lit(grid_size - 1)
-    joined = attach_scalars(distinct, stats)
-    contrib = joined.select(
-        F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.lit(grid_size - 1)),
-            lambda i: F.col("m") * F.exp(F.lit(-0.5) * F.pow((F.col("lo") + i * step - F.col("x")) / F.col("bw"), 2))
-        )).alias("point", "k"))
-    sums = contrib.groupBy("point").agg(F.sum("k").alias("ksum"))
+    point = F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("point")
+    t = F.try_divide(F.col("point") * step, F.col("bw")) - (F.col("cell") + 0.5) * KDE_CELL
+    met = attach_scalars(moments.select("*", point), stats).withColumn("t", t)
+    # He(k + 1) = t He(k) - k He(k - 1); each term carries 1 / k!
+    start = F.struct(F.lit(0.0).alias("before"), F.lit(1.0).alias("now"), F.lit(1.0).alias("share"), F.lit(0.0).alias("sum"))
+    terms = F.array(*[F.struct(F.lit(float(k)).alias("k"), F.col(f"m{k}").alias("m")) for k in range(KDE_TERMS)])
+    total = F.aggregate(terms, start, lambda a, m: F.struct(
+        a["now"].alias("before"), (F.col("t") * a["now"] - m["k"] * a["before"]).alias("now"),
+        (a["share"] / (m["k"] + 1.0)).alias("share"), (a["sum"] + m["m"] * a["share"] * a["now"]).alias("sum")))
+    sums = met.withColumn("k", total["sum"] * F.exp(F.lit(-0.5) * F.col("t") * F.col("t"))).groupBy("point").agg(F.sum("k").alias("ksum"))
     norm = F.col("n") * F.col("bw") * F.lit(math.sqrt(2 * math.pi))
     return attach_scalars(sums, stats).select(
-        "point", (F.col("lo") + F.col("point") * step).alias("x"), (F.col("ksum") / norm).alias("density"))
+        "point", (F.col("lo") + F.col("point") * step).alias("x"), F.try_divide("ksum", norm).alias("density"))
 
 
 def class_balance(df: DataFrame, label: str = "y_true", by: list[str] | None = None) -> DataFrame:

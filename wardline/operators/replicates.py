@@ -43,11 +43,18 @@ class Weights:
                 h &= np.uint32(MIX_MASK)
         return h
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
+    def key_hash(self, keys: np.ndarray) -> np.ndarray:
         low = (keys & MIX_MASK).astype(np.uint32)
         high = ((keys >> 31) & MIX_MASK).astype(np.uint32)
-        k = self._mixed(self._mixed(self.start ^ low) ^ high)
-        h = self._mixed((k[:, None] + self.steps) & np.uint32(MIX_MASK))
+        return self._mixed(self._mixed(self.start ^ low) ^ high)
+
+    def unit(self, keys: np.ndarray, replicate: np.ndarray) -> np.ndarray:
+        """The hash in [0, 1) of each key in its own replicate."""
+        step = (replicate.astype(np.uint64) * np.uint64(MIX_STEP) & np.uint64(MIX_MASK)).astype(np.uint32)
+        return self._mixed((self.key_hash(keys) + step) & np.uint32(MIX_MASK)) / 2.0 ** 31
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        h = self._mixed((self.key_hash(keys)[:, None] + self.steps) & np.uint32(MIX_MASK))
         w = (h >= self.bounds[0]).view(np.uint8)
         for b in self.bounds[1:]:
             more = h >= b

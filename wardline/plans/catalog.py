@@ -107,6 +107,21 @@ def q_minors(spark, sf_dir):
     return comparable(f.select("subject_id", "hadm_id", "seq_num", "age_at_admit"))
 
 
+@register("minors_reached")
+def q_minors_reached(spark, sf_dir):
+    """C4 on rows it keeps: every age taken 40 years lower."""
+    f = Cohort.of(spark, sf_dir).features.withColumn("age_at_admit", F.col("age_at_admit") - 40)
+    return comparable(FE.minors(f).select("subject_id", "hadm_id", "seq_num", "age_at_admit"))
+
+
+@register("dx_categories_merged")
+def q_dx_merged(spark, sf_dir):
+    """Rows that share a key share the merged lists of them all."""
+    c = Cohort.of(spark, sf_dir)
+    paired = c.harmonised.withColumn("seq_num", F.ceil(F.col("seq_num") / 2).cast("int"))
+    return comparable(H.attach_ccsr(paired, c.ccsr_long).select("subject_id", "hadm_id", "seq_num", "icd10_full", "ccsr_list_sorted"))
+
+
 @register("patient_mortality")
 def q_patient_mortality(spark, sf_dir):
     return comparable(X.patient_mortality(Cohort.of(spark, sf_dir).features))
@@ -519,7 +534,8 @@ def q_metric_bundle(spark, sf_dir):
 @register("balanced_resample_counts")
 def q_balanced(spark, sf_dir):
     r = BS.balanced_resample(_scores(spark, sf_dir), "y_true", "hadm_id", seed=42)
-    return r.groupBy("y_true").agg(F.count(F.lit(1)).alias("rows"))
+    return r.groupBy("y_true").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("hadm_id").alias("drawn"),
+                                   F.max("copy").alias("most"), F.sum("hadm_id").alias("ids"))
 
 
 # ---- models ------------------------------------------------------------------------

@@ -184,6 +184,15 @@ ORACLE["minors"] = with_cohort(
     "SELECT subject_id, hadm_id, seq_num, round(age_at_admit, 9) AS age_at_admit FROM feat WHERE age_at_admit < 18",
     *HCF)
 
+ORACLE["minors_reached"] = with_cohort(
+    "SELECT subject_id, hadm_id, seq_num, round(age_at_admit - 40, 9) AS age_at_admit FROM feat WHERE age_at_admit - 40 < 18", *HCF)
+
+ORACLE["dx_categories_merged"] = with_cohort(r"""
+, paired AS (SELECT * REPLACE (CAST(ceil(seq_num / 2) AS INTEGER) AS seq_num) FROM harm_key),
+cats AS (SELECT DISTINCT p.subject_id, p.hadm_id, p.seq_num, c.ccsr_category, c.ccsr_desc FROM paired p JOIN cat_desc c ON c.icd10 = p.icd10_key),
+lists AS (SELECT subject_id, hadm_id, seq_num, string_agg(ccsr_category, '|' ORDER BY ccsr_category) AS ccsr_list_sorted FROM cats GROUP BY 1, 2, 3)
+SELECT subject_id, hadm_id, seq_num, icd10_full, ccsr_list_sorted FROM paired LEFT JOIN lists USING (subject_id, hadm_id, seq_num)""", *HC)
+
 ORACLE["patient_mortality"] = with_cohort(r"""
 , pm AS (SELECT subject_id, max(hospital_expire_flag) AS flag FROM feat GROUP BY 1),
 cnt AS (SELECT flag, count(*) AS count FROM pm GROUP BY 1)
@@ -826,6 +835,13 @@ def reps_sql(src: str, n_boot: int, seed: int = 42, key: str = "hadm_id") -> str
             f"FROM ({h}) x) y WHERE w > 0")
 
 
+def reps_hash_sql(src: str, n: int = 64, seed: int = 42, key: str = "hadm_id") -> str:
+    """Rows x (1..n) with the "mix" hash as ``_u`` in [0, 1)."""
+    rows = reps_sql(src, n, seed, key)
+    inner = rows[rows.index("FROM (SELECT *, CAST(") + 6:rows.rindex(") y WHERE")]
+    return f"SELECT * EXCLUDE (_k1, _h, w), _h / 2147483648.0 AS _u FROM ({inner}) y"
+
+
 def gl(g) -> tuple[str, str, str]:
     """(select prefix, partition list, group-by list) for group columns ``g``."""
     if not g:
@@ -1100,9 +1116,15 @@ FROM pa JOIN pc USING (model) JOIN pf USING (model) JOIN po USING (model) JOIN e
 
 ORACLE["balanced_resample_counts"] = with_scores(rf"""
 , c AS (SELECT y_true, count(*) AS n_c FROM ehr_scores GROUP BY 1),
-k AS (SELECT count(*) AS k, sum(n_c) AS n FROM c),
-x AS (SELECT s.y_true, k.n / (k.k * c.n_c) AS lam, {rep_unit(42, "'0'", 's.hadm_id')} AS u FROM ehr_scores s JOIN c USING (y_true) CROSS JOIN k)
-SELECT y_true, CAST(sum(floor(lam) + CASE WHEN u < lam - floor(lam) THEN 1 ELSE 0 END) AS BIGINT) AS rows FROM x GROUP BY 1""")
+r AS (SELECT c.y_true, k.n / (k.k * c.n_c) AS rate FROM c CROSS JOIN (SELECT count(*) AS k, sum(n_c) AS n FROM c) k),
+p AS (SELECT y_true, CAST(ceil(rate / 64.0) AS INTEGER) AS parts, rate / ceil(rate / 64.0) AS rate FROM r),
+b AS (SELECT y_true, parts, list(upto ORDER BY k) AS bounds FROM (
+ SELECT y_true, parts, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY y_true ORDER BY k) AS upto FROM p CROSS JOIN (SELECT range AS k FROM range(0, 192)) t) x
+ GROUP BY 1, 2),
+u AS ({reps_hash_sql('SELECT hadm_id, y_true FROM ehr_scores')}),
+d AS (SELECT u.y_true, u.hadm_id, len(list_filter(b.bounds, lambda c: u._u >= c)) AS copies FROM u JOIN b ON b.y_true = u.y_true AND u.replicate <= b.parts)
+SELECT y_true, CAST(sum(copies) AS BIGINT) AS rows, count(DISTINCT hadm_id) FILTER (WHERE copies > 0) AS drawn, CAST(max(copies) AS INTEGER) AS most,
+ CAST(sum(hadm_id * copies) AS BIGINT) AS ids FROM d GROUP BY 1""")
 
 # ---- model inputs -----------------------------------------------------------------
 MATRIX_COLS = ("adm_day", "adm_hour", "adm_month", "adm_weekday", "adm_weekend", "adm_year", "admission_type_code",
