@@ -19,11 +19,12 @@ from ..operators import models as MD
 from ..operators import split as S
 from ..operators import text as TX
 from ..operators import trajectory as TR
-from ..operators.schema import feature_columns
+from ..operators.schema import feature_columns, require_columns
 from ..sources import io as IO
 from .session import ensure_checkpoint_dir
 from .cohort import Cohort, category_outcomes
 from .report import comparable
+from .sizing import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -563,52 +564,154 @@ def q_multi_hot(spark, sf_dir):
     return X.token_frequency(Cohort.of(spark, sf_dir).admissions, "ccsr_union", "ccsr_category")
 
 
-def _leaderboard(scored):
-    auc = M.auroc_ap(M.score_steps(scored, ["model"]), ["model"])
-    conf = M.confusion(scored, ["model"]).select("model", "precision", "recall", "f1", "accuracy")
-    return auc.join(conf, "model").orderBy(F.desc_nulls_last("auroc"), "model")
+def _once(spark, sf_dir, name, make):
+    """A scored table written once per session and folder, as the reference's reports re-read written predictions."""
+    c = Cohort.of(spark, sf_dir)
+    held = c.__dict__.setdefault("_scored_tables", {})
+    if name not in held:
+        held[name] = materialise(make())
+    return held[name]
+
+
+def _prepared(spark, sf_dir):
+    return _once(spark, sf_dir, "prepared", lambda: MD.prepare_admissions(_adm_split(spark, sf_dir))[0])
+
+
+def _mort_scores(spark, sf_dir):
+    return _once(spark, sf_dir, "mortality", lambda: MD.fit_and_score(
+        _prepared(spark, sf_dir), MD.classifiers(num_trees=50, gbt_iter=50, patience=10, forest_depth=10)))
+
+
+def _los_pred(spark, sf_dir):
+    return _once(spark, sf_dir, "los", lambda: MD.fit_and_predict_regression(
+        _prepared(spark, sf_dir), MD.regressors(num_trees=50, gbt_iter=50, forest_depth=10)))
+
+
+def _wide_ci(scored, metrics, n_boot=2000):
+    ci = BS.bootstrap_ci(scored, metrics, ["model"], "hadm_id", n_boot)
+    wide = ci.groupBy("model").pivot("metric", metrics).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    return wide, ci
 
 
 @register("mortality_leaderboard")
 def q_mort_leaderboard(spark, sf_dir):
-    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
-    scored = MD.fit_and_score(prepared, MD.classifiers(num_trees=50, gbt_iter=50, patience=10, forest_depth=12))
-    return _leaderboard(scored)
+    """Ranking and thresholded metrics of every model with 2,000-replicate intervals of AUROC and F1."""
+    scored = _mort_scores(spark, sf_dir)
+    auc = M.auroc_ap(M.score_steps(scored, ["model"]), ["model"])
+    conf = M.confusion(scored, ["model"]).select("model", "precision", "recall", "f1", "accuracy")
+    wide, _ = _wide_ci(scored, ["auroc", "f1"])
+    return auc.join(conf, "model").join(wide, "model").orderBy(F.desc_nulls_last("auroc"), "model")
 
 
 @register("los_regression_leaderboard")
 def q_los_leaderboard(spark, sf_dir):
-    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
-    pred = MD.fit_and_predict_regression(prepared, MD.regressors(num_trees=50, gbt_iter=50, forest_depth=12))
-    return M.regression_errors(pred, ["model"]).orderBy("mae")
+    """M10 for lengths of stay, with intervals of MAE and RMSE."""
+    pred = _los_pred(spark, sf_dir)
+    wide, _ = _wide_ci(pred, ["mae", "rmse"])
+    return M.regression_errors(pred, ["model"]).join(wide, "model").orderBy("mae")
+
+
+def _in_ci(ci):
+    ok = (F.col("lo") <= F.col("point")) & (F.col("point") <= F.col("hi"))
+    return ci.groupBy("model").agg(F.every(F.coalesce(ok, F.lit(False))).alias("points_in_ci"))
+
+
+@register("mortality_model_facts")
+def q_mort_facts(spark, sf_dir):
+    """Every model scores every test admission once, finitely, and its intervals hold its points."""
+    scored = _mort_scores(spark, sf_dir)
+    _, ci = _wide_ci(scored, ["auroc", "f1"])
+    facts = scored.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("y_true").cast("bigint").alias("deaths"), F.sum("hadm_id").alias("ids"),
+                                        F.every(TC.finite(F.col("y_prob"))).alias("all_finite"))
+    return facts.join(_in_ci(ci), "model")
+
+
+@register("los_model_facts")
+def q_los_facts(spark, sf_dir):
+    """M6, M7 and the regression trees: every test admission with a finite target once, predictions not negative."""
+    pred = _los_pred(spark, sf_dir)
+    _, ci = _wide_ci(pred, ["mae", "rmse"])
+    facts = pred.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("days"), F.sum("hadm_id").alias("ids"),
+                                      F.every(TC.finite(F.col("yhat")) & (F.col("yhat") >= 0)).alias("all_valid"))
+    return comparable(facts.join(_in_ci(ci), "model"), digits=6)
+
+
+@register("model_reports")
+def q_model_reports(spark, sf_dir):
+    """Subgroup metrics, calibration and disparity gaps of every model's own test scores."""
+    scored = FA.collapse_rare(_mort_scores(spark, sf_dir), "race", 50)
+    cell = scored.withColumn("cell", F.concat_ws("|", "model", "race"))
+    sub = FA.subgroup_report(cell, "cell", 50, 10).drop("n", "positives")
+    cal = FA.calibration_by_group(cell.withColumn("y_prob", F.least(F.greatest("y_prob", F.lit(0.0)), F.lit(1.0))), "cell")
+    both = cal.join(sub, "cell", "left").withColumn("model", F.substring_index("cell", "|", 1))
+    per = M.auroc_ap(M.score_steps(scored, ["model", "race"]), ["model", "race"])
+    gaps = per.groupBy("model").agg((F.max("auroc") - F.min("auroc")).alias("auroc_gap"), (F.max("ap") - F.min("ap")).alias("ap_gap"))
+    return both.join(gaps, "model").withColumn("race", F.substring_index("cell", "|", -1)).drop("cell")
+
+
+@register("model_subgroup_support")
+def q_model_support(spark, sf_dir):
+    """N22 on model scores: rows and deaths of every reported group, and that each has what its size allows."""
+    scored = FA.collapse_rare(_mort_scores(spark, sf_dir).filter(F.col("model") == "LogReg"), "race", 50)
+    rep = FA.subgroup_report(scored, "race", 50, 10, n_boot=200)
+    return rep.select("race", "n", "positives", F.col("auroc").isNotNull().alias("has_auroc"),
+                      (F.col("auroc_lo") <= F.col("auroc_hi")).alias("ordered"))
+
+
+@register("model_vectors")
+def q_model_vectors(spark, sf_dir):
+    """H6 + H7: the assembled vector of every admission, by its sum, with label and class weight."""
+    total = F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x)
+    return comparable(_prepared(spark, sf_dir).select("hadm_id", "split", "y", "weight", total.alias("total")), digits=6)
+
+
+@register("foreign_scores")
+def q_foreign(spark, sf_dir):
+    """O4 + A6: a caller's model over Arrow batches, behind the required-column guard."""
+    adm = require_columns(Cohort.of(spark, sf_dir).admissions, ["hadm_id", "n_dx_rows", "age_at_admit"])
+    rows = adm.select("hadm_id", F.col("n_dx_rows").cast("double"), F.coalesce(F.col("age_at_admit").cast("double"), F.lit(0.0)).alias("age_at_admit"))
+    return comparable(MD.score_foreign(rows, lambda x: (x["n_dx_rows"] * 0.03125 + x["age_at_admit"] * 0.0078125).clip(0, 1), ["n_dx_rows", "age_at_admit"]))
 
 
 @register("gbt_iteration_curve")
 def q_gbt_curve(spark, sf_dir):
-    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    prepared = _prepared(spark, sf_dir)
     return MD.gbt_curve(prepared, 40, 10)
 
 
 @register("gbt_curve_facts")
 def q_gbt_facts(spark, sf_dir):
     """M5 + M8: the booster's curve and cut, in the facts that hold whatever the draw."""
-    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    prepared = _prepared(spark, sf_dir)
     return MD.gbt_facts(prepared, 20, 5)
 
 
+def _text_split(spark, sf_dir):
+    rec = TX.token_records(Cohort.of(spark, sf_dir).features)
+    return S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
+
+
+def _text_pred(spark, sf_dir):
+    return _once(spark, sf_dir, "text", lambda: MD.text_classifier(_text_split(spark, sf_dir), "y_mort").withColumn("y_prob", F.col("probs")[1]))
+
+
 @register("text_mortality_model")
 def q_text_model(spark, sf_dir):
-    rec = TX.token_records(Cohort.of(spark, sf_dir).features)
-    sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
-    pred = MD.text_classifier(sp, "y_mort").withColumn("y_prob", F.col("probs")[1])
+    pred = _text_pred(spark, sf_dir)
     return X.attach_scalars(M.auroc_ap(M.score_steps(pred)), M.confusion(pred).select("f1"))
 
 
+@register("text_model_facts")
+def q_text_facts(spark, sf_dir):
+    """Every test record scored once with a probability."""
+    return _text_pred(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y_true").cast("bigint").alias("deaths"), F.sum("hadm_id").alias("ids"),
+        F.every(F.col("y_prob").between(0, 1)).alias("all_probabilities"))
+
+
 @register("text_los_model")
 def q_text_los(spark, sf_dir):
-    rec = TX.token_records(Cohort.of(spark, sf_dir).features)
-    sp = S.stratified_group_split(rec, "subject_id", "race", 0.15, 0.15, seed=42)
-    pred = MD.text_classifier(sp, "y_los_cls", family="multinomial")
+    pred = MD.text_classifier(_text_split(spark, sf_dir), "y_los_cls", family="multinomial")
     pred = pred.select("race", F.col("y_true").alias("y_cls"), F.col("y_pred").alias("pred_cls"),
                        *[F.col("probs")[k].alias(f"p{k}") for k in range(4)])
     f1 = M.multiclass_report(pred, [], "y_cls", "pred_cls").filter(F.col("label") == "macro avg").select("f1")
@@ -650,7 +753,7 @@ def _curve_models():
 @register("learning_curve_auroc")
 def q_learning_curve(spark, sf_dir):
     """L4: train and validation AUROC per size over grouped folds, for two models."""
-    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    prepared = _prepared(spark, sf_dir)
     return MD.learning_curve(prepared, _curve_models(), SIZES)
 
 
@@ -806,7 +909,7 @@ def q_los_losses(spark, sf_dir):
 
 @register("grouped_cv_logreg")
 def q_grouped_cv(spark, sf_dir):
-    prepared, _ = MD.prepare_admissions(_adm_split(spark, sf_dir))
+    prepared = _prepared(spark, sf_dir)
     return MD.grouped_cross_validation(prepared)
 
 

@@ -1208,6 +1208,39 @@ ORACLE["model_matrix"] = with_cohort(
     + ", coalesce(y_reg IS NOT NULL AND NOT isnan(y_reg) AND abs(y_reg) < CAST('inf' AS DOUBLE), false) AS reg_ok FROM matrix",
     *HCF)
 
+def _names(*names: str) -> str:
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ") AS models(model)"
+
+
+ORACLE["mortality_model_facts"] = with_cohort(
+    ALL_MATRIX + "SELECT model, count(*) AS n, CAST(sum(y_cls) AS BIGINT) AS deaths, CAST(sum(hadm_id) AS BIGINT) AS ids, true AS all_finite, "
+    f"true AS points_in_ci FROM matrix CROSS JOIN {_names('LogReg', 'LinearSVM', 'DecisionTree', 'RandomForest', 'GBT')} "
+    "WHERE split = 'test' GROUP BY model", *HCF)
+ORACLE["los_model_facts"] = with_cohort(
+    ALL_MATRIX + "SELECT model, count(*) AS n, round(sum(y_reg), 6) AS days, CAST(sum(hadm_id) AS BIGINT) AS ids, true AS all_valid, "
+    f"true AS points_in_ci FROM matrix CROSS JOIN {_names('HuberLinear', 'DecisionTree', 'RandomForest', 'GBT')} "
+    "WHERE split = 'test' AND y_reg IS NOT NULL AND NOT isnan(y_reg) AND NOT isinf(y_reg) GROUP BY model", *HCF)
+ORACLE["model_subgroup_support"] = with_cohort(ALL_MATRIX + r"""
+, ra AS (SELECT hadm_id, arg_min(race, seq_num) FILTER (WHERE race IS NOT NULL) AS race FROM feat GROUP BY 1),
+t AS (SELECT m.y_cls, coalesce(nullif(race, ''), 'Unknown') AS race FROM matrix m JOIN ra USING (hadm_id) WHERE split = 'test'),
+c AS (SELECT race, count(*) AS k FROM t GROUP BY 1),
+g AS (SELECT CASE WHEN k < 50 THEN 'Other' ELSE race END AS race, count(*) AS n, CAST(sum(y_cls) AS BIGINT) AS positives FROM t JOIN c USING (race) GROUP BY 1)
+SELECT race, n, positives, positives >= 10 AND n > positives AS has_auroc, CASE WHEN positives >= 10 AND n > positives THEN true END AS ordered FROM g WHERE n >= 50""", *HCF)
+ORACLE["model_vectors"] = with_cohort(
+    DEV_MATRIX + ", med AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in MATRIX_COLS) + " FROM dev),\n"
+    "w AS (SELECT count(*) / (2.0 * greatest(count(*) - sum(y_cls), 1)) AS w0, count(*) / (2.0 * greatest(sum(y_cls), 1)) AS w1 FROM dev),\n"
+    "seen AS (SELECT DISTINCT ccsr_category FROM row_cats JOIN dev USING (hadm_id)),\n"
+    "hot AS (SELECT hadm_id, count(DISTINCT ccsr_category) AS k FROM row_cats WHERE ccsr_category IN (SELECT ccsr_category FROM seen) GROUP BY 1)\n"
+    "SELECT m.hadm_id, split, y_cls AS y, round(CASE WHEN y_cls = 1 THEN w1 ELSE w0 END, 6) AS weight, round("
+    + " + ".join(f"coalesce({c}, m_{c}, 0.0)" for c in MATRIX_COLS)
+    + " + coalesce(hot.k, 0), 6) AS total FROM matrix m CROSS JOIN med CROSS JOIN w LEFT JOIN hot USING (hadm_id)", *HCF)
+ORACLE["foreign_scores"] = with_cohort(
+    ALL_MATRIX + "SELECT hadm_id, n_dx_rows, round(coalesce(age_at_admit, 0.0), 9) AS age_at_admit, "
+    "round(least(greatest(n_dx_rows * 0.03125 + coalesce(age_at_admit, 0.0) * 0.0078125, 0.0), 1.0), 9) AS y_prob FROM matrix", *HCF)
+ORACLE["text_model_facts"] = with_cohort(
+    TOKENS + TEXT_SPLIT + "SELECT count(*) AS n, CAST(sum(y_mort) AS BIGINT) AS deaths, CAST(sum(hadm_id) AS BIGINT) AS ids, true AS all_probabilities "
+    "FROM sp WHERE split = 'test'", *HCF, TEXT_ROWS)
+
 ORACLE["gbt_curve_facts"] = with_cohort(
     ALL_MATRIX + "SELECT split, CAST(20 AS BIGINT) AS rounds, count(*) AS n_rows, CAST(sum(y_cls) AS BIGINT) AS n_pos, true AS same_rows, "
     "true AS best_is_top, true AS cut_as_curve FROM matrix WHERE split <> 'test' GROUP BY split", *HCF)
