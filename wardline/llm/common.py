@@ -19,6 +19,14 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, or with underscores behind it, so that no column of ``df`` has the name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order (NULL text: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

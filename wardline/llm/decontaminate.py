@@ -1,4 +1,4 @@
-"""Benchmark decontamination: latent semantic retrieval and an exact filter, then common subsequences and answers."""
+"""Benchmark decontamination: latent semantic retrieval, then common subsequences and answers."""
 from __future__ import annotations
 
 import math
@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.sizing import materialise
+from .common import free_name
 from .lsa import ROWS, randomised_basis
 
 ITEMS = 256        # benchmark items of one block: the bound of what a task holds
-DIMENSIONS = 192   # near the rank of a block, so an item keeps most of its length
-MIN_COSINE = 0.35  # latent candidates; exact_candidates holds all that the checks below can accept
+DIMENSIONS = 128   # of the latent space of a block
+MIN_COSINE = 0.18  # of a window and an item in it
+MIN_REACH = 0.25   # of the item's latent length that the window covers along it
+FLOOR = 1e-4       # document share added to every word's, so weights do not grow with the corpus
 MIN_COMMON = 0.75  # of an item's words in a common subsequence with the window
 PARAPHRASE = 0.45  # enough when the item's answer stands in the window too
 ANSWER = 4         # least words of an answer: the item's last sentence, or its last words
@@ -33,10 +36,10 @@ def scale_of(n: int) -> int:
     return max(8, 1 << (n - 1).bit_length())
 
 
-def read_items(benchmark: DataFrame) -> list[list[dict]]:
-    """The benchmark in blocks of ``ITEMS``: id, words and answer of each item with a word."""
+def read_items(benchmark: DataFrame) -> Iterator[list[dict]]:
+    """The benchmark in blocks of ``ITEMS``, one at a time: id, words and answer of each item with a word."""
     rows = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
-    blocks, now = [], []
+    now = []
     for r in rows.toLocalIterator():
         w = words(r["text"])
         if w:
@@ -44,16 +47,19 @@ def read_items(benchmark: DataFrame) -> list[list[dict]]:
             answer = last[-1] if len(last[-1]) >= ANSWER else w[-ANSWER:]
             now.append({"id": r["item_id"], "words": w, "answer": answer})
         if len(now) == ITEMS:
-            blocks.append(now)
+            yield now
             now = []
-    return [*blocks, now] if now else blocks
+    if now:
+        yield now
 
 
 def fit(docs: DataFrame, items: list[dict]) -> dict:
     """Vocabulary, idf over all documents, latent basis of the block's TF-IDF passages, and its vectors.
 
     The basis is fitted on the benchmark's passages: with documents among them, the few
-    leading dimensions describe the documents, and items lose most of their length."""
+    leading dimensions describe the documents, and items lose most of their length. Words
+    outside the vocabulary weigh nothing and idf depends on document shares alone, so a
+    window's cosine is the same in a corpus of any size."""
     vocab = {w: i for i, w in enumerate(sorted({w for x in items for w in x["words"]}))}
     n = len(vocab)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
@@ -75,7 +81,7 @@ def fit(docs: DataFrame, items: list[dict]) -> dict:
             n_docs = r["n"]
         else:
             df[r["term"]] = r["n"]
-    idf = np.log((2 + n_docs) / (1 + df))
+    idf = np.maximum(-np.log(np.minimum(df / max(n_docs, 1), 1) + FLOOR), 0.1)
 
     def tfidf(ws: list[bytes], get) -> tuple[list, list]:
         idx, tf = np.unique([i for i in map(get, ws) if i is not None] or np.zeros(0, int), return_counts=True)
@@ -92,71 +98,18 @@ def fit(docs: DataFrame, items: list[dict]) -> dict:
     rows = materialise(mine.mapInPandas(passages, ROWS))
     basis = randomised_basis(rows, n, DIMENSIONS)
     embed = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-    model = {"vocab": vocab, "embed": embed, "mass": np.append(idf ** 2, np.log(2.0 + n_docs) ** 2).astype(np.float32), "scales": {}}
+    model = {"vocab": vocab, "embed": embed, "mass": np.append(idf ** 2, 0).astype(np.float32), "scales": {}}
     for x in items:
         idx = [vocab[w] for w in x["words"]]
         v = embed[idx].sum(0)
-        x |= {"idx": idx, "vector": v / (np.linalg.norm(v) or 1.0), "answer_idx": [vocab[w] for w in x["answer"]]}
+        x |= {"idx": idx, "vector": v / (np.linalg.norm(v) or 1.0), "length": np.linalg.norm(v), "answer_idx": [vocab[w] for w in x["answer"]]}
         model["scales"].setdefault(scale_of(len(idx)), {"items": []})["items"].append(x)
     for g in model["scales"].values():
-        g["vectors"] = np.array([x["vector"] for x in g["items"]], np.float32)
-        g |= exact_index(g["items"], df)
+        g["vectors"] = np.array([x["vector"] for x in g["items"]], np.float32).T.copy()
+        g["reach"] = np.array([MIN_REACH * x["length"] for x in g["items"]], np.float32)
     return model
 
 
-def exact_index(items: list[dict], df: np.ndarray) -> dict:
-    """What every window that the checks can accept holds, for the items of one scale.
-
-    An item found by MIN_COMMON lacks at most ``miss`` of its words, so of its miss + miss / 3 + 1
-    rarest ones more than miss / 3 stand in the window; one found by PARAPHRASE has the first
-    words of its answer there. Rarity steers the work only: any order holds the same items."""
-    owners, need, answers = [[] for _ in range(len(df) + 1)], np.zeros(len(items), np.int64), {}
-    for i, x in enumerate(items):
-        n = len(x["idx"])
-        miss = n - math.ceil(MIN_COMMON * n)
-        rare = sorted(x["idx"], key=lambda w: (df[w], w))[:miss + miss // 3 + 1]
-        need[i] = len(rare) - miss
-        for w in set(rare):
-            owners[w].append(i)
-        head = tuple(x["answer_idx"][:ANSWER])
-        answers.setdefault(len(head), {}).setdefault(head, []).append(i)
-    tables = {}
-    for k, heads in answers.items():
-        tables[k] = np.zeros((k, len(df) + 1), bool)
-        for head in heads:
-            tables[k][np.arange(k), head] = True
-    return {"first": np.cumsum([0, *map(len, owners)]), "owners": np.array([i for o in owners for i in o], np.int64),
-            "need": need, "answers": answers, "tables": tables}
-
-
-def exact_candidates(part: np.ndarray, hop: int, n_windows: int, items: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(window, item) pairs of ``exact_index``; no pair that the checks accept is missing."""
-    n, first = len(items["need"]), items["first"]
-    start = first.take(part)
-    many = first.take(part + 1) - start
-    pos = many.nonzero()[0]
-    many = many[pos]
-    ends = many.cumsum()
-    own = items["owners"][np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[pos] - ends + many, many)]
-    # Counts of half scales; three of them make a window.
-    count = np.bincount(np.repeat(pos // hop, many) * n + own, minlength=(n_windows + 2) * n)
-    found = ((count[:-2 * n] + count[n:-n] + count[2 * n:]).reshape(-1, n) >= items["need"]).ravel().nonzero()[0]
-    ws, xs = [found // n], [found % n]
-    for k, heads in items["answers"].items():
-        table, most = items["tables"][k], len(part) - k + 1
-        if most < 1:
-            continue
-        at = table[0].take(part[:most]).nonzero()[0]
-        for s in range(1, k):
-            at = at[table[s].take(part[at + s])]
-        for p in at.tolist():
-            for x in heads.get(tuple(part[p:p + k].tolist()), ()):
-                near = np.arange(max(p // hop - 2, 0), p // hop + 1)
-                ws.append(near)
-                xs.append(np.full(len(near), x))
-    return np.concatenate(ws), np.concatenate(xs)
-
-
 def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, bit-parallel over ``a``."""
     where: dict[int, int] = {}
@@ -180,8 +133,8 @@ def search(text: str | None, model: dict) -> dict[int, float]:
     """Items found in a whole text, with the largest common share of their words.
 
     Windows of 1.5 times an item's scale start every half scale, so each passage of an
-    item's length lies whole in one. Candidates by cosine, whose reach falls as the corpus
-    grows, and by ``exact_candidates``, so the result is that of checking every window."""
+    item's length lies whole in one. The latent space proposes (window, item) pairs; common
+    subsequence and answer decide."""
     get, none = model["vocab"].get, len(model["vocab"])
     found: dict[int, float] = {}
     idx = np.array([get(w, none) for w in words(text)], np.int32)
@@ -210,10 +163,8 @@ def _look(v: np.ndarray, m: np.ndarray, part: np.ndarray, hop: int, items: dict,
         if len(v) > s:
             win[:-s] += v[s:]
             mass[:-s] += m[s:]
-    cos = (win @ items["vectors"].T) / np.sqrt(np.maximum(mass, 1e-9))[:, None]
-    near = cos >= MIN_COSINE
-    near[exact_candidates(part, hop, len(v), items)] = True
-    for w, i in zip(*np.nonzero(near), strict=True):
+    along = win @ items["vectors"]
+    for w, i in zip(*np.nonzero(along >= np.maximum(items["reach"], MIN_COSINE * np.sqrt(mass)[:, None])), strict=True):
         x = items["items"][i]
         if found.get(x["id"], 0) == 1.0:
             continue
@@ -237,14 +188,15 @@ def contamination(docs: DataFrame, model: dict, text: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with item_ids (empty: clean) and the largest common share in a struct ``_found``.
+    """Every row of ``docs`` with a last column struct(item_ids, common): the items found (none: clean) and the largest common share.
 
-    Rows and their columns stay as they are, repeated rows too; an empty benchmark finds
-    nothing. A benchmark beyond ``ITEMS`` items is searched in blocks."""
-    out = docs.withColumn("_found", F.struct(F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("common")))
+    The column is named ``_found``, with underscores behind it if ``docs`` has that name. Rows
+    and their columns stay as they are, repeated rows too; an empty benchmark finds nothing. A
+    benchmark beyond ``ITEMS`` items is read and searched in blocks."""
+    name, hit = free_name(docs, "_found"), free_name(docs, "_hit")
+    out = docs.withColumn(name, F.struct(F.array().cast("array<long>").alias("item_ids"), F.lit(0.0).alias("common")))
     for block in read_items(benchmark):
-        hit = contamination(docs, fit(docs.select("doc_id", "text"), block), F.col("text"))
-        out = out.withColumn("_hit", hit).withColumn("_found", F.struct(
-            F.array_sort(F.array_union("_found.item_ids", "_hit.item_ids")).alias("item_ids"),
-            F.greatest("_found.common", "_hit.common").alias("common"))).drop("_hit")
+        out = out.withColumn(hit, contamination(docs, fit(docs.select("text"), block), F.col("text"))).withColumn(name, F.struct(
+            F.array_sort(F.array_union(f"{name}.item_ids", f"{hit}.item_ids")).alias("item_ids"),
+            F.greatest(f"{name}.common", f"{hit}.common").alias("common"))).drop(hit)
     return out
