@@ -31,7 +31,21 @@ def materialise(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/wardline-tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` wrote, once what was made of them is written itself.
+
+    Only for tables that no plan reads any more; frames of another kind are left alone."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
