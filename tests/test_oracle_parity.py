@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 
 SLOW = {"mortality_leaderboard", "los_regression_leaderboard", "gbt_iteration_curve", "learning_curve_auroc",
-        "text_los_model", "text_mortality_model", "trajectory_model", "grouped_cv_logreg", "bootstrap_ci_b2000"}
+        "text_los_model", "text_mortality_model", "trajectory_model", "grouped_cv_logreg", "model_reports"}
 
 
 def _norm(v):
