@@ -285,3 +285,17 @@ def test_pipeline_stages(spark, texts):
     copies = Counter(r.doc_id for r in mixed.collect())
     taken = {r.doc_id: r.taken / r["size"] for r in queries.op8_source_mix(spark, SF).collect() if r["size"]}
     assert mixed.columns == docs.columns and all(abs(copies[d] - taken[d]) <= 0.5 for d in taken)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the stages' own, repeated rows and ids, NULL and empty texts, and no rows."""
+    names = ["_found", "_hit", "_id", "_copies", "_copy", "_keep", "_first", "_at"]
+    docs = spark.createDataFrame(EDGE, DOCS).select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for stage in (corpus_pipeline.near_duplicate_stage, corpus_pipeline.decontamination_stage, corpus_pipeline.mixing_stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all([r[c] for c in names] == list(range(len(names))) for r in rows)
+        assert stage(spark, docs.where("false"), SF).count() == 0
+    kept = sorted((str(r.doc_id) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()))
+    assert kept == ["1", "2", "3", "4", "None"]
