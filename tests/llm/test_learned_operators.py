@@ -194,6 +194,17 @@ def brute_components(texts, n, percent):
     return {d: (len(sets[d]), find(d)) for d in texts}
 
 
+def test_marks_never_tell_more_apart_than_there_is():
+    rng = np.random.default_rng(5)
+    for n in (2, 40, 255, 256, 257, 511, 512, 513, 5000):
+        a = np.unique(rng.integers(0, 1 << 62, n))
+        for drop in (0, n // 50, n // 6, n):
+            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 62, drop // 2 + 1)]))
+            apart, told = len(np.setxor1d(a, b)), ngrams.differing(ngrams.marks(a), ngrams.marks(b))
+            assert told <= apart
+            assert drop < n or n < 40 or told > 0.16 * (len(a) + len(b))  # unrelated sets are told apart
+
+
 @pytest.mark.parametrize("often", [4, 1])
 def test_jaccard_join_brute_force(spark, texts, often, monkeypatch):
     """With ``often`` 1 every sampled token counts as frequent, so pairs of tokens carry the join."""
