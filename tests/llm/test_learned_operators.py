@@ -2,7 +2,7 @@
 import math
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import chain, combinations
 
 import corpus_pipeline
 import numpy as np
@@ -31,10 +31,13 @@ def test_codec_round_trip_and_damage():
     for ids in ([], [5], [0] * 5000, rng.integers(0, 50257, 9000), np.arange(50257), [1, 2, 3] * 4000):
         ids = np.array(ids, np.uint16)
         assert (codec.decode(codec.encode(ids)) == ids).all()
-    chunk = bytearray(codec.encode(np.arange(3000, dtype=np.uint16) % 7))
-    chunk[-3] ^= 1
-    with pytest.raises(ValueError):
-        codec.decode(bytes(chunk))
+    whole = codec.encode(np.arange(3000, dtype=np.uint16) % 7)
+    for at in [*range(100), *range(100, len(whole), 37), len(whole) - 3]:
+        for bit in (1, 128):
+            chunk = bytearray(whole)
+            chunk[at] ^= bit
+            with pytest.raises(ValueError):
+                codec.decode(bytes(chunk))
     assert len(codec.encode(np.array([1, 2, 3] * 4000, np.uint16))) < 3000
 
 
@@ -46,6 +49,11 @@ def test_token_files(spark, texts):
     e = tokens.Encoder(open(public_tokenizers.path("byte_bpe_50k.json")).read())
     for x, got in zip(odd, e.ids(odd), strict=True):
         assert list(got) == [*t.encode(x, add_special_tokens=False).ids, 0]
+    rng = np.random.default_rng(8)
+    signs = [*"ab Z9.!'\t\n\r", "  ", "\n\n", "\xa0", "\u3000", "é", "漢", "😀", "<|endoftext|>", "\x00", "\u200b", " \n", "the ", "\x1c"]
+    mixed = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(3000)] + [None, "", "x" * 50000, " \n" * 900]
+    for x, got in zip(mixed, chain.from_iterable(map(e.ids, tokens.portions(mixed))), strict=True):
+        assert list(got) == [*(t.encode(x, add_special_tokens=False).ids if x else []), 0]
     got, pos = {r.doc_id: r for r in queries.op1_token_files(spark, SF).collect()}, 0
     assert len(got) == len(texts)
     for d in sorted(texts):

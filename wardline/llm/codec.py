@@ -1,8 +1,8 @@
 """Adaptive range coder for token ids: order-0 to order-2 predictions, independent checksummed blocks.
 
-Chunk layout (little endian): magic, u32 ids, u32 blocks, u32 kinds; kinds x u16 id and
-u16 frequency - 1 (order 0, total 65,536); per block u32 words and u32 crc32 of its payload;
-payloads of u16 words. Every block but the last codes BLOCK ids and resets all adaptive state.
+Chunk layout (little endian): magic, u32 crc32 of all from here to the payloads; u32 ids, u32
+blocks, u32 kinds; kinds x u16 id and u16 frequency - 1 (order 0, total 65,536); per block
+u32 words and u32 crc32 of its payload; payloads of u16 words. A flipped bit anywhere raises. Every block but the last codes BLOCK ids and resets all adaptive state.
 
 An id is coded as the order-2 prediction, the order-1 prediction, or by order 0. The shares of
 the three are mixed from adaptive probabilities, chosen by how often the two predictions held
@@ -16,9 +16,10 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"ACM2"
+MAGIC = b"ACM3"
+FIXED = 20         # bytes before the order-0 table
 BLOCK = 1024
-SLOTS = 1024       # entries of a block's order-1 and order-2 tables
+SLOTS = 512        # entries of a block's order-1 and order-2 tables
 BITS = 12          # precision of a share
 RATE = 5           # adaptation: a share moves by 1/32 of its error, and stays within 31..4,064
 U16, U64 = np.uint16, np.uint64
@@ -97,14 +98,17 @@ def _shift(low: np.ndarray, rng: np.ndarray):
         low[some], rng[some] = lo, r
 
 
+def _sealed(head: bytes) -> bytes:
+    return MAGIC + zlib.crc32(head).to_bytes(4, "little") + head
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A chunk of ids below 65,536, any number of them."""
     n_blocks = -(-len(ids) // BLOCK)
     kinds, freq = _frequencies(ids) if len(ids) else (np.zeros(0, int), np.zeros(0, int))
-    head = MAGIC + np.array([len(ids), n_blocks, len(kinds)], "<u4").tobytes() + np.stack(
-        [kinds, freq - 1], 1).astype("<u2").tobytes()
+    head = np.array([len(ids), n_blocks, len(kinds)], "<u4").tobytes() + np.stack([kinds, freq - 1], 1).astype("<u2").tobytes()
     if not n_blocks:
-        return head
+        return _sealed(head)
     start, size = _tables(kinds, freq)
     padded = np.full(n_blocks * BLOCK, kinds[0], np.int32)
     padded[:len(ids)] = ids
@@ -132,22 +136,25 @@ def encode(ids: np.ndarray) -> bytes:
         n += 1
     parts = [words[i, :m].astype("<u2").tobytes() for i, m in enumerate(n)]
     index = np.array([(len(p) // 2, zlib.crc32(p)) for p in parts], "<u4")
-    return head + index.tobytes() + b"".join(parts)
+    return _sealed(head + index.tobytes()) + b"".join(parts)
 
 
 def decode(chunk: bytes) -> np.ndarray:
     """The ids of a chunk; a wrong magic or checksum raises ValueError."""
     if chunk[:4] != MAGIC:
         raise ValueError("not a chunk of token ids")
-    n, n_blocks, n_kinds = (int(x) for x in np.frombuffer(chunk, "<u4", 3, 4))
-    table = np.frombuffer(chunk, "<u2", 2 * n_kinds, 16).reshape(-1, 2).astype(np.int64)
+    crc, n, n_blocks, n_kinds = (int(x) for x in np.frombuffer(chunk, "<u4", 4, 4))
+    payloads = FIXED + 4 * n_kinds + 8 * n_blocks
+    if zlib.crc32(chunk[8:payloads]) != crc:
+        raise ValueError("the header is damaged")
+    table = np.frombuffer(chunk, "<u2", 2 * n_kinds, FIXED).reshape(-1, 2).astype(np.int64)
     if not n_blocks:
         return np.zeros(0, np.int32)
     kinds, freq = table[:, 0], table[:, 1] + 1
     start, size = _tables(kinds, freq)
     find = np.repeat(kinds, freq).astype(np.int32)
-    index = np.frombuffer(chunk, "<u4", 2 * n_blocks, 16 + 4 * n_kinds).reshape(-1, 2).astype(np.int64)
-    at = 16 + 4 * n_kinds + 8 * n_blocks + 2 * (np.cumsum(index[:, 0]) - index[:, 0])
+    index = np.frombuffer(chunk, "<u4", 2 * n_blocks, FIXED + 4 * n_kinds).reshape(-1, 2).astype(np.int64)
+    at = payloads + 2 * (np.cumsum(index[:, 0]) - index[:, 0])
     words = np.zeros((n_blocks, int(index[:, 0].max()) + 8), U16)
     for i, (length, crc) in enumerate(index):
         payload = chunk[at[i]:at[i] + 2 * length]

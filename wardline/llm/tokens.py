@@ -18,47 +18,132 @@ from pyspark.sql import functions as F
 from . import codec
 
 END = 0            # id after every document
-LAST = array("H", [END]).tobytes()
-CHUNK = 1 << 21    # ids of a chunk: a chunk ends with the document that fills it
-CACHED = 400_000   # pieces whose ids a worker holds before it starts anew
+CHUNK = 1 << 22    # ids of a chunk: a chunk ends with the document that fills it
+CACHED = 800_000   # pieces whose ids a worker holds before it starts anew
+BANK = 1 << 23     # ids held before it starts anew
 PIECES = 20_000    # new pieces encoded by one call
-TEXTS = 500        # texts encoded together
+TEXTS = 500        # texts encoded together, and the characters after which no further one joins them
+CHARS = 1 << 20
 # White space of any kind but these four keeps a text from being cut into pieces.
 OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+BLANKS = (" ", "\t", "\r", "\n")
+RUNS = ("\t", "\r", "  ", " \n", "\n ", "\n\n")
+
+
+def keys(text: str) -> list[str]:
+    """The pieces of a text without other white space: a run of blanks and what follows, up to the next run.
+
+    The usual blank, one space, is left out of a key; a key that begins with a line break is the
+    whole piece; a piece of any other form stands after a space (``piece`` takes keys back)."""
+    if any(r in text for r in RUNS):
+        return [" " + p for p in PIECE.findall(text)]
+    found = text.replace("\n", " \n").split(" ")
+    found[0] = " " + found[0]
+    return found
+
+
+def piece(key: str) -> str:
+    return key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
+
+
+class Numbers(dict):
+    """Numbers of keys in order of first sight; keys not encoded yet are in ``new``."""
+
+    def __init__(self):
+        self.taken, self.new = 1, []  # number 0 is the end of a text
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = self.add(piece(key))
+        return number
+
+    def add(self, text: str) -> int:
+        self.new.append(text)
+        self.taken += 1
+        return self.taken - 1
 
 
 class Encoder:
     """Ids of whole texts by the tokenizers library, with the ids of repeated pieces held.
 
     The byte-level pre-tokenizer never joins a character and the white space after it, so a
-    text can be cut before each run of blanks, and each distinct piece encoded once."""
+    text can be cut before each run of blanks, and each distinct piece encoded once. New pieces
+    are encoded as one text; the bytes that each id stands for tell whose it is."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task keeps to its own core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(definition)
-        self.held: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # a character of a byte-level token is a byte
+        self._start()
+
+    def _start(self) -> None:
+        # ids of all pieces in one row; of the piece of each number, where they begin and how many they are
+        self.numbers, self.bank, self.first, self.size = Numbers(), array("H", [END]), array("q", [0]), array("q", [1])
+
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in one row, and how many each has."""
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([*chain.from_iterable(coded)], np.uint16), np.array([*map(len, coded)], np.int64)
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that each begin with a blank and end with none."""
+        whole = "".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, np.uint16)
+        ends, reached = np.cumsum([*map(len, pieces if whole.isascii() else map(str.encode, pieces))]), np.cumsum(self.width[ids])
+        cut = np.searchsorted(reached, ends)
+        if cut[-1] != len(ids) - 1 or (reached[cut] != ends).any():
+            return self._alone(pieces)  # an id that is not the bytes of its token
+        return ids, np.diff(cut, prepend=-1)
+
+    def _learn(self) -> None:
+        new, self.numbers.new = self.numbers.new, []
+        for at in range(0, len(new), PIECES):
+            part = new[at:at + PIECES]
+            joins = np.array([p[:1] in BLANKS and p[-1:] not in BLANKS and not OTHER_SPACE.search(p) for p in part])
+            first, size = np.zeros((2, len(part)), np.int64)
+            for some, how in ((joins, self._joined), (~joins, self._alone)):
+                if some.any():
+                    ids, size[some] = how([p for p, s in zip(part, some, strict=True) if s])
+                    first[some] = len(self.bank) + np.cumsum(size[some]) - size[some]
+                    self.bank.frombytes(ids.tobytes())
+            self.first.frombytes(first.tobytes())
+            self.size.frombytes(size.tobytes())
 
     def ids(self, texts) -> list[np.ndarray]:
         """uint16 ids of each text and the end id (NULL or empty: the end id alone)."""
-        if len(self.held) > CACHED:
-            self.held.clear()
-        cut = [PIECE.findall(t) if t and not OTHER_SPACE.search(t) else None for t in texts]
-        new = list(set(chain.from_iterable(c for c in cut if c)).difference(self.held))
-        for at in range(0, len(new), PIECES):
-            part = new[at:at + PIECES]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.held.update(zip(part, (array("H", e.ids).tobytes() for e in coded), strict=True))
-        get = self.held.__getitem__
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            if c:
-                out.append(np.frombuffer(b"".join(chain(map(get, c), (LAST,))), np.uint16))
-            else:
-                ids = self.tokenizer.encode(t, add_special_tokens=False).ids if t else []
-                out.append(np.array([*ids, END], np.uint16))
-        return out
+        if len(self.numbers) > CACHED or len(self.bank) > BANK:
+            self._start()
+        number, found, ends = self.numbers.__getitem__, [], []
+        for t in texts:
+            if t and OTHER_SPACE.search(t):
+                found.append(self.numbers.add(t))
+            elif t:
+                found.extend(map(number, keys(t)))
+            found.append(0)
+            ends.append(len(found))
+        self._learn()
+        pieces = np.array(found)
+        first, sizes = np.frombuffer(self.first, np.int64)[pieces], np.frombuffer(self.size, np.int64)[pieces]
+        reached = np.cumsum(sizes)
+        ids = np.frombuffer(self.bank, np.uint16).take(np.arange(reached[-1]) + np.repeat(first - (reached - sizes), sizes))
+        return np.split(ids, reached[np.array(ends[:-1], int) - 1])
+
+
+def portions(texts: list) -> Iterator[list]:
+    """Texts in order, so many together that their ids fit well in memory; a very long text stands alone."""
+    part, chars = [], 0
+    for t in texts:
+        if part and (len(part) == TEXTS or chars + len(t or "") > CHARS):
+            yield part
+            part, chars = [], 0
+        part.append(t)
+        chars += len(t or "")
+    if part:
+        yield part
 
 
 @lru_cache(maxsize=1)
@@ -87,7 +172,7 @@ def token_chunks(docs: DataFrame, definition: str) -> DataFrame:
                                  "data": [codec.encode(np.concatenate(ids))]})
 
         for b in batches:
-            coded = chain.from_iterable(encode(b["text"].iloc[i:i + TEXTS].tolist()) for i in range(0, len(b), TEXTS))
+            coded = chain.from_iterable(map(encode, portions(b["text"].tolist())))
             for name, one in zip(b["doc_id"], coded, strict=True):
                 ids.append(one)
                 names.append(None if pd.isna(name) else int(name))
