@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from wardline.llm import brown, codec, decontaminate, langid, ngrams, quality, queries, tokens
+from wardline.llm import brown, codec, common, decontaminate, langid, ngrams, quality, queries, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label double, rid int, n int"
@@ -318,3 +318,21 @@ def test_stages_keep_columns_of_any_name(spark):
         assert stage(spark, docs.where("false"), SF).count() == 0
     kept = sorted((str(r.doc_id) for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()))
     assert kept == ["1", "2", "3", "4", "None"]
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """A batch holds about 4 MB whatever the rows are; a lower bound, or one given with a unit, stays."""
+    import pandas as pd
+    was = spark.conf.get(common.BATCH_LIMIT)
+    try:
+        spark.conf.unset(common.BATCH_LIMIT)
+        common.bounded_batches(spark)
+        texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 3000).alias("t"))
+        most = texts.mapInPandas(lambda bs: (pd.DataFrame({"n": [len(b)]}) for b in bs), "n long").agg(F.max("n")).first()[0]
+        assert most * 3000 <= 1.1 * common.BATCH_BYTES
+        for given in ("1000", "64m"):
+            spark.conf.set(common.BATCH_LIMIT, given)
+            common.bounded_batches(spark)
+            assert spark.conf.get(common.BATCH_LIMIT) == given
+    finally:
+        spark.conf.set(common.BATCH_LIMIT, was)

@@ -1,9 +1,10 @@
 """Small helpers shared by the operators of this subpackage."""
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 22
+
 
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
@@ -62,3 +66,12 @@ def running_offset(cells: DataFrame, key: str, order: str, value: str, out: str,
     c = c.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return (c.join(tops.hint("merge"), c[key].eqNullSafe(F.col("_k")) & (F.col("_super") == F.col("_s")))
             .withColumn(out, F.col("_off") + F.col("_in")).drop("_super", "_in", "_k", "_s", "_off"))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the Arrow batches that this session's Python tasks get to ``BATCH_BYTES``; a lower bound, or one given with a unit, stays.
+
+    By the usual bounds thousands of long texts make one batch, held several times over on both sides."""
+    now = re.fullmatch(r"(-?\d+)b?", spark.conf.get(BATCH_LIMIT))
+    if now and not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))

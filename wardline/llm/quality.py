@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.sizing import materialise
-from .common import id_crc
+from .common import bounded_batches, id_crc
 from .lsa import ROWS, randomised_basis
 
 # Bound of the labelled sample: ids first by hash. 8,000 vectors of 64 floats are 2 MB.
@@ -149,6 +149,7 @@ def score(docs: DataFrame, model: dict, text: Column) -> Column:
     """Probability-like score of label 1 for every whole text; empty and NULL texts score 0.
 
     A column, so rows and their other columns stay as they are. Without labels all score 0."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

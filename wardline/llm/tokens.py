@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import codec
+from .common import bounded_batches
 
 END = 0            # id after every document
 CHUNK = 1 << 22    # ids of a chunk: a chunk ends with the document that fills it
@@ -158,6 +159,7 @@ def token_chunks(docs: DataFrame, definition: str) -> DataFrame:
     Rows are range-partitioned by id (NULL first; rows of one id by text hash) and sorted; a
     shard holds a range, its chunks whole documents in order. ``definition`` is the
     tokenizer's JSON, so executors need no file."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     kind = dict(docs.dtypes)["doc_id"]
 
