@@ -104,3 +104,20 @@ def test_balanced_draw_is_with_replacement(spark):
     assert B.balanced_resample(df.where("false"), "y_true", "hadm_id").count() == 0
     p = B.poisson_bounds(64.0)
     assert abs(p[-1] - 1) < 1e-12 and abs((1 - p).sum() - 64) < 1e-9
+
+
+def test_weights_are_the_draws_of_the_whole_distribution():
+    """Weights taken block by block, the rare ones apart, are the number of bounds that each hash reaches."""
+    w = R.Weights(42, 2000)
+    keys = np.append(np.arange(3 * R.BLOCK + 5, dtype=np.int64) * 10 ** 12, 0)
+    h = w._mixed((w.key_hash(keys)[:, None] + w.steps) & np.uint32(0x7FFFFFFF))
+    got = w.of(keys)
+    assert (got == sum((h >= b).astype(int) for b in w.bounds)).all() and got.max() > R.DENSE + 2
+    assert (got[-1] == got[0]).all() and w.of(keys[:0]).shape == (0, 2000)
+
+
+def test_labels_beyond_two_classes_weigh_as_before():
+    runs, keys = R.Runs(R.Weights(42, 50)), np.arange(6, dtype=np.int64)
+    w = R.Weights(42, 50).of(keys).astype(float)
+    _, pos, neg = runs.of(np.array([3.0, 3, 2, 2, 1, 1]), np.array([1, 0, 2, 0, 0, 1]), keys)
+    assert (pos == [w[0], 2 * w[2], w[5]]).all() and (neg == [w[1], w[3] - w[2], w[4]]).all()
