@@ -73,3 +73,38 @@ def test_trimming_as_the_expression_does(spark):
 def test_generated_methods_are_compiled(spark):
     Cohort(spark, SF_SMALL)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_rollup_tasks_read_bounded_pieces(spark, monkeypatch):
+    """Wide rows are sorted by tasks of small scans, over row groups that allow them; the setting comes back afterwards."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from wardline.operators import features as FE
+    from wardline.plans import session, sizing
+    given, seen = spark.conf.get(session.SCAN_LIMIT), []
+    write = sizing.materialise
+    monkeypatch.setattr(FE, "materialise", lambda df: seen.append(spark.conf.get(session.SCAN_LIMIT)) or write(df))
+    rows = spark.createDataFrame([(1, 1, "A", ["x"]), (1, 2, "B", None)], "hadm_id long, seq_num int, race string, ccsr_list_sorted array<string>")
+    assert [(r.race, r.n_dx_rows) for r in FE.admission_rollup(rows).collect()] == [("A", 2)]
+    assert seen == [str(session.SCAN_BYTES)] and spark.conf.get(session.SCAN_LIMIT) == given
+    monkeypatch.setattr(sizing, "ROW_GROUP", 1 << 16)
+    at = sizing.materialise(spark.range(200_000).selectExpr("xxhash64(id) AS x").coalesce(1))._written_to.removeprefix("file:")
+    files = [f for f in os.listdir(at) if f.endswith(".parquet")]
+    assert sum(pq.ParquetFile(f"{at}/{f}").num_row_groups for f in files) > 4
+
+
+def test_text_split_reads_written_records(spark):
+    """A split reads its records twice: from a written table, not from the diagnosis rows; counts need no texts."""
+    from conftest import SF_SMALL
+    from wardline.plans import catalog as Q
+    from wardline.plans.cohort import Cohort
+    Cohort._shared.pop((spark.sparkContext.applicationId, spark.sparkContext.getCheckpointDir(), SF_SMALL), None)
+    first = Q.QUERIES["text_split_counts"](spark, SF_SMALL)
+    assert "seq_num" not in first._jdf.queryExecution().toString()
+    assert "text" not in Q._text_records(spark, SF_SMALL, "race").columns
+    whole = Q._text_split(spark, SF_SMALL)
+    assert "text" in whole.columns and "seq_num" not in whole._jdf.queryExecution().toString()
+    again = Q.QUERIES["text_split_counts"](spark, SF_SMALL)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
