@@ -336,3 +336,36 @@ def test_batches_of_long_texts_are_bounded(spark):
             assert spark.conf.get(common.BATCH_LIMIT) == given
     finally:
         spark.conf.set(common.BATCH_LIMIT, was)
+
+
+def test_encoder_keeps_the_most_used_pieces(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), tokens.Encoder(open(path).read())
+    monkeypatch.setattr(tokens, "CACHED", 200)
+    learn, met, most = e._learn, Counter(), 0
+    monkeypatch.setattr(e, "_learn", lambda: (met.update(e.numbers.new), learn()))
+    for r in range(30):
+        rare = [f"the common word{r}x{i} again{r % 3}　and\x1cso {r * i}" for i in range(20)]
+        part = [None, "", *rare, " ".join(f"w{r}y{i} often" for i in range(50))]
+        for x, got in zip(part, e.ids(part), strict=True):
+            assert list(got) == [*(t.encode(x, add_special_tokens=False).ids if x else []), 0]
+        most = max(most, len(e.numbers))
+    assert most <= 200 + 100 and met["often"] == 1  # dropped and encoded anew before
+    monkeypatch.setattr(tokens, "BANK", 400)
+    for r in range(5):
+        part = ["x" * 3000 + f" often {r}", "often often"]
+        for x, got in zip(part, e.ids(part), strict=True):
+            assert list(got) == [*t.encode(x, add_special_tokens=False).ids, 0]
+
+
+def test_worker_holds_the_state_of_one_operator():
+    import public_tokenizers
+    definition = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    e = tokens.encoder(definition)
+    assert tokens.encoder(definition) is e
+    words = common.held_by_worker("word hashes", dict)
+    assert common.held_by_worker("word hashes", dict) is words
+    assert list(common._HELD) == ["word hashes"] and tokens.encoder(definition) is not e  # stayed beside the join before
+    assert len(common._HELD) == 1

@@ -110,13 +110,14 @@ def encode(ids: np.ndarray) -> bytes:
     if not n_blocks:
         return _sealed(head)
     start, size = _tables(kinds, freq)
-    padded = np.full(n_blocks * BLOCK, kinds[0], np.int32)
-    padded[:len(ids)] = ids
-    steps = np.ascontiguousarray(padded.reshape(n_blocks, BLOCK).T)
+    steps = np.full(n_blocks * BLOCK, kinds[0], U16)
+    steps[:len(ids)] = ids
+    steps = np.ascontiguousarray(steps.reshape(n_blocks, BLOCK).T)
     model = _Model(n_blocks)
     low, rng = np.zeros(n_blocks, U64), np.full(n_blocks, FULL, U64)
     words, n = np.zeros((n_blocks, 4 * BLOCK + 8), U16), np.zeros(n_blocks, np.int64)
-    for now in steps:
+    for step in steps:
+        now = step.astype(np.int32)
         p2, p1, s2, s1 = model.predict()
         two, first = p2 == now, p1 == now
         s12 = s2 + s1

@@ -6,7 +6,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -16,12 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import codec
-from .common import bounded_batches
+from .common import bounded_batches, held_by_worker
 
 END = 0            # id after every document
 CHUNK = 1 << 22    # ids of a chunk: a chunk ends with the document that fills it
-CACHED = 800_000   # pieces whose ids a worker holds before it starts anew
-BANK = 1 << 23     # ids held before it starts anew
+CACHED = 300_000   # pieces whose ids a worker holds before it drops all but the most used
+BANK = 1 << 23     # ids held before it does so
 PIECES = 20_000    # new pieces encoded by one call
 TEXTS = 500        # texts encoded together, and the characters after which no further one joins them
 CHARS = 1 << 20
@@ -49,17 +48,22 @@ def piece(key: str) -> str:
 
 
 class Numbers(dict):
-    """Numbers of keys in order of first sight; keys not encoded yet are in ``new``."""
+    """Numbers of keys in order of first sight; keys not encoded yet are in ``new``, of these the whole texts at ``whole``."""
 
-    def __init__(self):
-        self.taken, self.new = 1, []  # number 0 is the end of a text
+    def __init__(self, known: list[str] = ()):
+        super().__init__(zip(known, range(1, len(known) + 1), strict=True))
+        self.taken, self.new, self.whole = len(known) + 1, [], []  # number 0 is the end of a text
 
     def __missing__(self, key: str) -> int:
-        self[key] = number = self.add(piece(key))
+        number = self[key] = self.taken
+        self.taken += 1
+        self.new.append(key)
         return number
 
     def add(self, text: str) -> int:
-        self.new.append(text)
+        """The number of a whole text, which is not met again."""
+        self.whole.append(len(self.new))
+        self.new.append(" " + text)
         self.taken += 1
         return self.taken - 1
 
@@ -82,8 +86,25 @@ class Encoder:
         self._start()
 
     def _start(self) -> None:
-        # ids of all pieces in one row; of the piece of each number, where they begin and how many they are
+        # ids of all pieces in one row; of the piece of each number, where they begin, how many they are, how often it was met
         self.numbers, self.bank, self.first, self.size = Numbers(), array("H", [END]), array("q", [0]), array("q", [1])
+        self.uses = np.zeros(1, np.int64)
+
+    def _thin(self) -> None:
+        """Drop the pieces met once, and of more than half of ``CACHED`` the least met; all if the rest is long."""
+        names, at = list(self.numbers), np.fromiter(self.numbers.values(), np.int64, len(self.numbers))
+        uses, most = self.uses[at], CACHED // 2
+        least = max(2, int(np.partition(uses, -most)[-most]) + 1) if len(uses) > most else 2
+        stay = np.flatnonzero(uses >= least)
+        at = np.concatenate([[0], at[stay]])
+        first, size = np.frombuffer(self.first, np.int64)[at], np.frombuffer(self.size, np.int64)[at]
+        if size.sum() > BANK // 2:
+            self._start()
+            return
+        ends = np.cumsum(size)
+        bank = np.frombuffer(self.bank, np.uint16)[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
+        self.numbers, self.uses = Numbers([names[i] for i in stay]), self.uses[at] // 2
+        self.bank, self.first, self.size = array("H", bank.tobytes()), array("q", (ends - size).tobytes()), array("q", size.tobytes())
 
     def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the pieces in one row, and how many each has."""
@@ -101,10 +122,12 @@ class Encoder:
         return ids, np.diff(cut, prepend=-1)
 
     def _learn(self) -> None:
-        new, self.numbers.new = self.numbers.new, []
+        new, whole = self.numbers.new, np.array(self.numbers.whole, int)
+        self.numbers.new, self.numbers.whole = [], []
         for at in range(0, len(new), PIECES):
-            part = new[at:at + PIECES]
-            joins = np.array([p[:1] in BLANKS and p[-1:] not in BLANKS and not OTHER_SPACE.search(p) for p in part])
+            part = [*map(piece, new[at:at + PIECES])]
+            joins = np.array([p[:1] in BLANKS and p[-1:] not in BLANKS for p in part])
+            joins[whole[(whole >= at) & (whole < at + PIECES)] - at] = False
             first, size = np.zeros((2, len(part)), np.int64)
             for some, how in ((joins, self._joined), (~joins, self._alone)):
                 if some.any():
@@ -117,7 +140,7 @@ class Encoder:
     def ids(self, texts) -> list[np.ndarray]:
         """uint16 ids of each text and the end id (NULL or empty: the end id alone)."""
         if len(self.numbers) > CACHED or len(self.bank) > BANK:
-            self._start()
+            self._thin()
         number, found, ends = self.numbers.__getitem__, [], []
         for t in texts:
             if t and OTHER_SPACE.search(t):
@@ -127,7 +150,10 @@ class Encoder:
             found.append(0)
             ends.append(len(found))
         self._learn()
-        pieces = np.array(found)
+        pieces = np.array(found, np.int64)
+        uses = np.bincount(pieces, minlength=len(self.size))
+        uses[:len(self.uses)] += self.uses
+        self.uses = uses
         first, sizes = np.frombuffer(self.first, np.int64)[pieces], np.frombuffer(self.size, np.int64)[pieces]
         reached = np.cumsum(sizes)
         ids = np.frombuffer(self.bank, np.uint16).take(np.arange(reached[-1]) + np.repeat(first - (reached - sizes), sizes))
@@ -147,10 +173,9 @@ def portions(texts: list) -> Iterator[list]:
         yield part
 
 
-@lru_cache(maxsize=1)
 def encoder(definition: str) -> Encoder:
-    """One encoder per worker process, so its held pieces serve all tasks of the worker."""
-    return Encoder(definition)
+    """One encoder per worker process, so its held pieces serve all tasks of the worker, until another operator runs there."""
+    return held_by_worker(f"encoder {zlib.crc32(definition.encode())}", lambda: Encoder(definition))
 
 
 def token_chunks(docs: DataFrame, definition: str) -> DataFrame:
