@@ -369,3 +369,23 @@ def test_worker_holds_the_state_of_one_operator():
     assert common.held_by_worker("word hashes", dict) is words
     assert list(common._HELD) == ["word hashes"] and tokens.encoder(definition) is not e  # stayed beside the join before
     assert len(common._HELD) == 1
+
+
+def test_no_short_chunk_at_the_end_of_a_shard(spark, monkeypatch):
+    import public_tokenizers
+    monkeypatch.setattr(tokens, "CHUNK", 1000)
+    monkeypatch.setattr(tokens, "REST", 250)
+    definition, parts = open(public_tokenizers.path("byte_bpe_50k.json")).read(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        for sizes in ([99] * 23, [99] * 22, [99] * 11 + [5000, 5000, 20], [3000], [1], [999, 240], [999, 240, 9, 1], []):
+            docs = spark.createDataFrame([(i, "a" + " a" * (n - 1)) for i, n in enumerate(sizes)], "doc_id long, text string")
+            chunks = tokens.token_chunks(docs, definition).cache()
+            n = [r.n_ids for r in chunks.orderBy("shard", "chunk").collect()]
+            assert sum(n) == sum(x + 1 for x in sizes) and all(x < 1250 + 5001 for x in n)
+            assert len(n) < 2 or max(sizes) > 1000 or min(n) >= 250
+            got = {r.doc_id: (r.start, r.n_tokens) for r in tokens.read_documents(chunks).collect()}
+            assert got == {i: (sum(sizes[:i]) + i, x + 1) for i, x in enumerate(sizes)}
+            chunks.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

@@ -19,6 +19,7 @@ from .common import bounded_batches, held_by_worker
 
 END = 0            # id after every document
 CHUNK = 1 << 22    # ids of a chunk: a chunk ends with the document that fills it
+REST = CHUNK // 4  # fewer ids than these after it stand in the last chunk of a shard, for few blocks code slowly
 CACHED = 300_000   # pieces whose ids a worker holds before it drops all but the most used
 BANK = 1 << 23     # ids held before it does so
 PIECES = 20_000    # new pieces encoded by one call
@@ -192,11 +193,12 @@ def token_chunks(docs: DataFrame, definition: str) -> DataFrame:
         encode, number = encoder(shared.value).ids, 0
         ids: list[np.ndarray] = []
         names: list = []
-        held = 0
+        held = full = 0  # ids held, and the documents that fill a chunk
 
-        def flush() -> pd.DataFrame:
-            return pd.DataFrame({"chunk": [number], "doc_ids": [names], "counts": [[len(x) for x in ids]], "n_ids": [held],
-                                 "data": [codec.encode(np.concatenate(ids))]})
+        def first(n: int) -> pd.DataFrame:
+            counts = [len(x) for x in ids[:n]]
+            return pd.DataFrame({"chunk": [number], "doc_ids": [names[:n]], "counts": [counts], "n_ids": [sum(counts)],
+                                 "data": [codec.encode(np.concatenate(ids[:n]))]})
 
         for b in batches:
             coded = chain.from_iterable(map(encode, portions(b["text"].tolist())))
@@ -204,11 +206,15 @@ def token_chunks(docs: DataFrame, definition: str) -> DataFrame:
                 ids.append(one)
                 names.append(None if pd.isna(name) else int(name))
                 held += len(ids[-1])
-                if held >= CHUNK:
-                    yield flush()
-                    ids, names, held, number = [], [], 0, number + 1
+                if held >= CHUNK and not full:
+                    full = len(ids)
+                if held >= CHUNK + REST:
+                    yield first(full)
+                    ids, names, number = ids[full:], names[full:], number + 1
+                    held = sum(map(len, ids))
+                    full = len(ids) if held >= CHUNK else 0
         if ids:
-            yield flush()
+            yield first(len(ids))
 
     h = F.xxhash64("text")
     ordered = (docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id"), h)
