@@ -249,6 +249,21 @@ def test_jaccard_large_buckets(spark, levels, monkeypatch):
     assert got == brute_components(texts, 4, 85) and len({c for _, c in got.values()}) > 10
 
 
+def test_frequent_tokens_are_counted_in_all_texts(spark, monkeypatch):
+    """Bits equal a count over every text: a token common in a few of 3,000 texts is told, whichever texts they are."""
+    texts = [f"a{i} b{i} c{i} d{i}" + (" north south east west" if i % 50 == 7 else "") for i in range(3000)] + ["", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    for often, every in ((4, 16), (4, 15), (2, 1)):
+        monkeypatch.setattr(ngrams, "FREQUENT", often)
+        monkeypatch.setattr(ngrams, "SAMPLE_EVERY", every)
+        cells = Counter(c for t in texts for c in ngrams.cells_of(ngrams.shingles(t, 4, {})).tolist())
+        want = {c for c, k in cells.items() if k >= often * every}
+        assert set(np.flatnonzero(np.unpackbits(ngrams.frequent_tokens(docs, 4))).tolist()) == want
+    assert len(ngrams.frequent_tokens(docs.limit(0), 4)) == 0
+    s = ngrams.shingles("north south east west", 4, {})
+    assert ngrams.in_order(s, ngrams.frequent_tokens(docs, 4)).tolist() == [~int(s[0])]
+
+
 def test_class_bigrams(spark, texts):
     rows = queries.op10_class_bigrams(spark, SF).collect()
     count = Counter(w for d, t in texts.items() if not held(d, 7) for w in [*(t or "").encode().lower().split(), b""])
